@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 For each language a zstandard raw-content dictionary is made of sample texts.  A text is cut into
-blocks of `block_bytes`; each block is compressed with every language's dictionary, and the language
+blocks of `block_bytes`, lower-cased; each block is compressed with every language's dictionary, and the language
 with the smallest sum of sizes wins.  Blocks are compressed apart from each other so that a long
 text keeps being measured against the dictionaries and not against itself; all blocks of
 the whole text count.
@@ -33,7 +33,7 @@ from .words import slices_by_bytes
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 64, dict_bytes: int = 1 << 16, max_langs: int = 64) -> dict[str, bytes]:
+def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, dict_bytes: int = 1 << 17, max_langs: int = 64) -> dict[str, bytes]:
     """Dictionary content of every language, from a bounded sample of the labelled rows."""
     labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     langs = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
@@ -46,7 +46,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     content: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["k"], r["text"])):
         content.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(parts).encode()[:dict_bytes] for lang, parts in sorted(content.items())}
+    return {lang: "\n".join(parts).lower().encode()[:dict_bytes] for lang, parts in sorted(content.items())}
 
 
 @lru_cache(maxsize=2)
@@ -64,7 +64,7 @@ def compressors(content: tuple[tuple[str, bytes], ...], level: int):
 def classify(text: str | None, models, block_bytes: int) -> tuple[str, float]:
     if text is None or not models or not LETTER.search(text):
         return "und", 0.0
-    raw = text.encode()
+    raw = text.lower().encode()
     blocks = [raw[i : i + block_bytes] for i in range(0, len(raw), block_bytes)]
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in models)
     if len(sizes) == 1:
@@ -73,7 +73,7 @@ def classify(text: str | None, models, block_bytes: int) -> tuple[str, float]:
     return lang, (second - best) / second
 
 
-def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, block_bytes: int = 4096, level: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.005, block_bytes: int = 1024, level: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, lang_pred, score, rejected for every row; `keep` names columns to carry along."""
     frozen = tuple(sorted(content.items()))
 
