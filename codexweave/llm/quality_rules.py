@@ -128,7 +128,7 @@ def _monotone(text: str) -> bool:
 RULES = (
     Rule("symbol_ratio", lambda t, s: s.n_symbols > 0.3 * s.n_words),
     Rule("word_length", lambda t, s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 20 * s.n_words)),
-    Rule("duplicate_lines", lambda t, s: 10 * s.n_dup_lines > 3 * s.n_lines),
+    Rule("duplicate_lines", lambda t, s: 2 * s.n_dup_lines > s.n_lines),
     Rule("few_letters", _each(_few_letters)),
     Rule("no_stop_word", _each(_no_stop_word)),
     Rule("bullets", _each(_bullets)),
