@@ -14,7 +14,7 @@ rows with the lowest hash of the id, of these at most `dict_bytes` bytes altoget
 `max_langs` languages, the most frequent ones.  Only text and language of training rows are used.
 
 Defined results: null text, or text without a letter: `und`, score 0, rejected.  No training rows:
-every row is `und`.  Ties: the language whose name sorts first wins, with score 0.
+every row is `und`.  Ties: the language with more training rows wins, with score 0.
 """
 
 from __future__ import annotations
@@ -34,19 +34,25 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, dict_bytes: int = 1 << 17, max_langs: int = 64) -> dict[str, bytes]:
-    """Dictionary content of every language, from a bounded sample of the labelled rows."""
+    """Dictionary content of every language, the most frequent first, from a bounded sample of the labelled rows."""
     labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    langs = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    # Only ids and languages are ranked; a rank limit is applied before the shuffle too, so a language may hold most rows.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = labelled.filter(F.col("lang").isin(langs)).select("id", "lang").withColumn("k", rank).filter(F.col("k") <= docs_per_lang).select("id", "k")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    if not counts:
+        return {}
+    langs = list(counts)
+    # Only ids and languages are ranked, and of each language only about four times the wanted number, by hash.
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (4 * docs_per_lang << 30) // n))]), F.col("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "id"))
+    few = labelled.filter(F.col("lang").isin(langs)).select("id", "lang").filter(spot <= bound)
+    chosen = few.withColumn("k", rank).filter(F.col("k") <= docs_per_lang).select("id", "k")
     picked = chosen.distinct().limit(docs_per_lang * max_langs)  # a proven bound for the broadcast
     share = max(256, 2 * dict_bytes // docs_per_lang)
     sample = labelled.join(F.broadcast(picked), "id").filter(F.col("lang").isin(langs)).select("lang", "k", F.substring("text", 1, share).alias("text"))
     content: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["k"], r["text"])):
         content.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(parts).lower().encode()[:dict_bytes] for lang, parts in sorted(content.items())}
+    return {lang: "\n".join(content[lang]).lower().encode()[:dict_bytes] for lang in langs if lang in content}
 
 
 @lru_cache(maxsize=2)
@@ -66,16 +72,17 @@ def classify(text: str | None, models, block_bytes: int) -> tuple[str, float]:
         return "und", 0.0
     raw = text.lower().encode()
     blocks = [raw[i : i + block_bytes] for i in range(0, len(raw), block_bytes)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in models)
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), i) for i, (_, c) in enumerate(models))
+    lang = models[sizes[0][1]][0]
     if len(sizes) == 1:
-        return sizes[0][1], 1.0
-    (best, lang), (second, _) = sizes[:2]
+        return lang, 1.0
+    best, second = sizes[0][0], sizes[1][0]
     return lang, (second - best) / second
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.005, block_bytes: int = 1024, level: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, lang_pred, score, rejected for every row; `keep` names columns to carry along."""
-    frozen = tuple(sorted(content.items()))
+    frozen = tuple(content.items())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = compressors(frozen, level)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, pii, quality_rules, secrets, substring_dedup, token_counts, warc
+from . import bpe, decontamination, language_id, near_dedup, pii, quality_rules, secrets, substring_dedup, token_counts, warc
 from .common import sha256, table
 
 
@@ -35,6 +35,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("failed_rule")
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,

@@ -1,13 +1,76 @@
-"""A cleaning pipeline over documents."""
+"""A cleaning pipeline over documents: language ID, near-dedup, decontamination, secret redaction, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.  Decisions:
+
+1.  language_id: documents without a clear language go.
+2.  near_dedup: of each class of near duplicates the document with the least id stays (of rows that are equal in id
+    and text, one).
+3.  decontamination: documents that hold a window of a benchmark item go.
+4.  secret_scan: live-looking secrets are masked in the text; n_chars follows the text.
+5.  bpe: token ids of the texts, with id, language and source.
+
+Rows with null text have no language and go in stage 1.  Other columns, whatever their names, are carried along.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codexweave.llm import bpe, decontamination, language_id, near_dedup, secrets
+from codexweave.llm.common import checkpoint, table
+from codexweave.llm.queries import tokenizer_path
+
+
+def _with_row(docs: DataFrame) -> DataFrame:
+    """The id, the text, and the whole row in one column, so that no other column's name can clash."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def keep_clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    content = language_id.train(docs)
+    return language_id.identify(_with_row(docs), content, keep=("row",)).filter(~F.col("rejected")).select("row.*")
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs, near_dedup.classes(docs))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(_with_row(docs), table(spark, sf_dir, "benchmark"), keep=("row",))
+    return found.filter(F.size("hit_spans") == 0).select("row.*")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.scan(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))
+    out = secrets.redact(docs, found)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep=("lang", "source"))
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_clear_language),
+    ("near_dedup", keep_one_of_each_class),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", mask_secrets),
+    ("bpe", encode),
+]
+
+#: Compression, sampling and token merging have no SQL form; tests hold the pipeline against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline over documents; what a stage keeps is written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = checkpoint(docs)
     return docs
