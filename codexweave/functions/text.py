@@ -173,6 +173,14 @@ def count_term(text: Column | str, term: Column | str) -> Column:
     return F.when(n > 0, ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / n).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def grams_of(text: Column | str, n: int) -> Column:
+    """All n-grams of a text, in order; by shifted lists of characters, so that the time is linear in the text."""
+    chars = F.filter(F.split(_col(text), ""), lambda c: c != "")
+    size = F.size(chars) - (n - 1)
+    shifted = F.arrays_zip(*[F.slice(chars, F.lit(k + 1), F.greatest(size, F.lit(0))).alias(f"c{k}") for k in range(n)])
+    return F.transform(shifted, lambda x: F.concat(*[x[f"c{k}"] for k in range(n)]))
+
+
 def lexicon_count(text: Column | str, terms: Iterable[str]) -> Column:
     total = F.lit(0).cast("long")
     for t in dict.fromkeys(terms):

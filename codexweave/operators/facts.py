@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_term
+from ..functions.text import count_term, grams_of
 from .ordered import top_n
 
 
@@ -24,9 +24,10 @@ def term_hits(texts: DataFrame, terms: DataFrame, text: str = "text", term: str
     if small(terms, broadcast_rows):
         joined = texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)))
     else:
-        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(2))))
-        keyed = texts.withColumn("__id", F.xxhash64(*texts.columns)).withColumn("__g", F.explode(pairs))
-        joined = keyed.join(terms.withColumn("__g", F.substring(term, 1, 2)), "__g").filter(F.contains(F.col(text), F.col(term))).drop("__g", "__id")
+        # One-character terms meet the texts by their characters.
+        keys = F.array_union(F.array_distinct(grams_of(text, 2)), F.array_distinct(grams_of(text, 1)))
+        keyed = texts.withColumn("__g", F.explode(keys))
+        joined = keyed.join(terms.withColumn("__g", F.substring(term, 1, 2)), "__g").filter(F.contains(F.col(text), F.col(term))).drop("__g")
     return joined.withColumn("n", count_term(F.col(text), F.col(term)))
 
 
