@@ -132,7 +132,7 @@ def harvest_annotations(text: Column | str, editions: Sequence[str], kinds: Sequ
 
     def parse(n: Column) -> Column:
         found = F.filter(F.array(*map(F.lit, editions)), lambda e: F.contains(head(n), e))
-        kind = F.element_at(F.filter(F.array(*map(F.lit, kinds)), lambda k: F.contains(head(n), k)), 1)
+        kind = F.try_element_at(F.filter(F.array(*map(F.lit, kinds)), lambda k: F.contains(head(n), k)), F.lit(1))
         known = (F.size(found) > 0) | kind.isNotNull()
         body = F.when(known, F.regexp_replace(n, r"^[^：:]{1,12}[：:]", "")).otherwise(n)
         return F.struct(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default_edition))).alias("editions"), kind.alias("kind"), F.trim(body).alias("text"))
@@ -237,7 +237,7 @@ def parse_chain(text: Column | str, arrow: str = "→", alternatives: str = r"[
 def chapter_range(text: Column | str) -> Column:
     """First to last integer of a text, inclusive; the first alone if they are reversed; empty array if there is none."""
     n = F.transform(F.regexp_extract_all(_col(text), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
-    first, last = F.element_at(n, 1), F.element_at(n, -1)
+    first, last = F.try_element_at(n, F.lit(1)), F.try_element_at(n, F.lit(-1))
     return F.when(F.size(n) == 0, F.array().cast("array<int>")).when(last >= first, F.sequence(first, last)).otherwise(F.array(first))
 
 
