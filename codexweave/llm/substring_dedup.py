@@ -12,7 +12,8 @@ document with a smaller id.  Windows are judged on the input.
     of each.  Neighbouring windows with a smaller document merge into maximal repeats.
 3.  Cut.  The words of these windows leave the text.
 
-Load.  Payloads are binary columns, one row for each slice of text and bucket.  Before anything is sent, each
+Load.  Payloads are binary columns, one row for each slice of text and bucket; answers come back packed by groups of
+documents.  Before anything is sent, each
 slice sums up its own equal fingerprints, so a passage that a third of all documents share costs a bucket
 one entry per slice and not one per document.  The number of buckets follows the amount of text.  Documents
 without anchors are told apart by a bitmap of 2^26 bits (8 MB at any corpus size) and are not shuffled; a false
@@ -40,10 +41,12 @@ LOCAL_MANY = 8
 #: Text that one bucket stands for.
 BUCKET_BYTES = 32 << 20
 
-PAYLOAD = "bucket int, hit boolean, doc long, hashes binary, docs binary, counts binary, blocks binary, shared binary"
-_PAYLOAD = pa.schema([("bucket", pa.int32()), ("hit", pa.bool_()), ("doc", pa.int64()), *((c, pa.binary()) for c in ("hashes", "docs", "counts", "blocks", "shared"))])
-HITS = "doc long, hashes binary"
-_HITS = pa.schema([("doc", pa.int64()), ("hashes", pa.binary())])
+PAYLOAD = "bucket int, hit boolean, hashes binary, docs binary, counts binary, blocks binary, shared binary"
+_PAYLOAD = pa.schema([("bucket", pa.int32()), ("hit", pa.bool_()), *((c, pa.binary()) for c in ("hashes", "docs", "counts", "blocks", "shared"))])
+#: What a bucket answers: packed by groups of documents, one row for each bucket and group.
+HITS = "bucket int, hashes binary, docs binary, counts binary"
+_HITS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "counts"))])
+BY_DOC = "doc long, hashes binary"
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -59,18 +62,25 @@ def _pieces(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def _hit_columns(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    starts = _runs(docs)
-    return docs[starts], _pieces(hashes, starts)
+def _packed(docs: np.ndarray, hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Group, hashes, documents and counts of documents' hits, one tuple for each group of documents."""
+    group = (((docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((docs, group))
+    group, docs, hashes = group[order], docs[order], hashes[order]
+    starts = np.append(_runs(group), len(group))
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        runs = _runs(docs[lo:hi])
+        yield int(group[lo]), hashes[lo:hi].tobytes(), docs[lo:hi][runs].tobytes(), np.diff(np.append(runs, hi - lo)).astype(np.uint32).tobytes()
 
 
 def _hit_rows(docs: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    of, lists = _hit_columns(docs, hashes)
-    none = pa.nulls(len(of), pa.binary())
-    where = ((of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-    return pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(np.ones(len(of), bool)), pa.array(of), lists, none, none, none, none], schema=_PAYLOAD)
+    rows = [dict(zip(("bucket", "hashes", "docs", "counts"), r)) | {"hit": True} for r in _packed(docs, hashes, buckets)]
+    return pa.RecordBatch.from_pylist(rows, schema=_PAYLOAD)
+
+
+def _answers(passed: pa.Table, docs: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.Table:
+    rows = [dict(zip(("bucket", "hashes", "docs", "counts"), r)) for r in _packed(docs, hashes, buckets)]
+    return pa.concat_tables([passed.cast(_HITS), pa.Table.from_pylist(rows, schema=_HITS)])
 
 
 def _bucket_rows(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray, block: np.ndarray, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -80,7 +90,7 @@ def _bucket_rows(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray, block:
     for lo, hi in zip(starts[:-1], starts[1:]):
         runs = _runs(doc[lo:hi])
         counts = np.diff(np.append(runs, hi - lo)).astype(np.uint32)
-        row = [int(bucket[lo]), False, None, hashes[lo:hi].tobytes(), doc[lo:hi][runs].tobytes(), counts.tobytes(), np.packbits(block[lo:hi]).tobytes(), np.packbits(shared[lo:hi]).tobytes()]
+        row = [int(bucket[lo]), False, hashes[lo:hi].tobytes(), doc[lo:hi][runs].tobytes(), counts.tobytes(), np.packbits(block[lo:hi]).tobytes(), np.packbits(shared[lo:hi]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PAYLOAD)], schema=_PAYLOAD)
 
 
@@ -141,33 +151,48 @@ def _probing(window: int, buckets: int):
 
 def _split_hits(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
     mask = rows.column("hit")
-    return rows.filter(mask).select(["doc", "hashes"]), rows.filter(pa.compute.invert(mask))
+    return rows.filter(mask).select(_HITS.names), rows.filter(pa.compute.invert(mask))
 
 
-def _anchors(rows: pa.Table) -> pa.Table:
+def _anchors(buckets: int):
     """Documents and fingerprints of the anchors of a bucket."""
-    passed, probes = _split_hits(rows)
-    h, doc, block, shared = _read_bucket(probes, np.uint32)
-    if not len(h):
-        return passed.cast(_HITS)
-    order = np.argsort(h)
-    h, doc, block, shared = h[order], doc[order], block[order], shared[order]
-    starts = _runs(h)
-    several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | np.logical_or.reduceat(shared, starts)
-    anchor = several & np.logical_or.reduceat(block, starts)
-    mine = np.repeat(anchor, np.diff(np.append(starts, len(h)))) & ~shared
-    of, lists = _hit_columns(doc[mine], h[mine])
-    return pa.concat_tables([passed.cast(_HITS), pa.table([pa.array(of), lists], schema=_HITS)])
+
+    def run(rows: pa.Table) -> pa.Table:
+        passed, probes = _split_hits(rows)
+        h, doc, block, shared = _read_bucket(probes, np.uint32)
+        if not len(h):
+            return passed.cast(_HITS)
+        order = np.argsort(h)
+        h, doc, block, shared = h[order], doc[order], block[order], shared[order]
+        starts = _runs(h)
+        several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | np.logical_or.reduceat(shared, starts)
+        anchor = several & np.logical_or.reduceat(block, starts)
+        mine = np.repeat(anchor, np.diff(np.append(starts, len(h)))) & ~shared
+        return _answers(passed, doc[mine], h[mine], buckets)
+
+    return run
+
+
+def _by_doc(kind: type):
+    """One row for each document of a group: all its hashes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        docs = np.concatenate([np.repeat(np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint32)) for d, c in zip(rows.column("docs"), rows.column("counts"))])
+        hashes = np.concatenate([np.frombuffer(h.as_buffer(), kind) for h in rows.column("hashes")])
+        order = np.lexsort((hashes, docs))
+        docs, hashes = docs[order], hashes[order]
+        new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])])
+        docs, hashes = docs[new], hashes[new]
+        starts = _runs(docs)
+        return pa.table({"doc": pa.array(docs[starts]), "hashes": _pieces(hashes, starts)})
+
+    return run
 
 
 def _joined(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a column of lists of binaries, and the row of each."""
-    rows, values = [], []
-    for i, lists in enumerate(column.to_pylist()):
-        for b in lists or ():
-            values.append(np.frombuffer(b, kind))
-            rows.append(np.full(len(values[-1]), i))
-    return (np.concatenate(values), np.concatenate(rows)) if values else (np.zeros(0, kind), np.zeros(0, np.int64))
+    """All numbers of a column of binaries, and the row of each."""
+    values = [np.frombuffer(b.as_buffer(), kind) if b.is_valid else np.zeros(0, kind) for b in column]
+    return np.concatenate(values), np.repeat(np.arange(len(values)), [len(v) for v in values])
 
 
 def _extending(window: int, buckets: int):
@@ -203,18 +228,21 @@ def _extending(window: int, buckets: int):
     return run
 
 
-def _repeats(rows: pa.Table) -> pa.Table:
+def _repeats(buckets: int):
     """Documents and windows of a bucket that a smaller document has, too."""
-    passed, sent = _split_hits(rows)
-    h, doc, _, _ = _read_bucket(sent, np.uint64)
-    if not len(h):
-        return passed.cast(_HITS)
-    order = np.argsort(h)
-    h, doc = h[order], doc[order]
-    starts = _runs(h)
-    later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
-    of, lists = _hit_columns(doc[later], h[later])
-    return pa.concat_tables([passed.cast(_HITS), pa.table([pa.array(of), lists], schema=_HITS)])
+
+    def run(rows: pa.Table) -> pa.Table:
+        passed, sent = _split_hits(rows)
+        h, doc, _, _ = _read_bucket(sent, np.uint64)
+        if not len(h):
+            return passed.cast(_HITS)
+        order = np.argsort(h)
+        h, doc = h[order], doc[order]
+        starts = _runs(h)
+        later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
+        return _answers(passed, doc[later], h[later], buckets)
+
+    return run
 
 
 CUT = "n_words long, n_removed long, kept string, spans array<struct<lo:long,hi:long>>"
@@ -269,17 +297,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = rows.select(F.col("doc").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
     buckets = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs, text_col) // BUCKET_BYTES))
     probes = named.mapInArrow(_probing(window, buckets), PAYLOAD)
-    anchors = checkpoint(probes.groupBy("bucket").applyInArrow(_anchors, HITS))
 
-    def with_hashes(found: DataFrame) -> DataFrame:
-        return found.groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
+    def gathered(payload: DataFrame, answer, kind: type) -> DataFrame:
+        """Answers of all buckets, one row for each document."""
+        answers = payload.groupBy("bucket").applyInArrow(answer(buckets), HITS)
+        return checkpoint(answers.groupBy("bucket").applyInArrow(_by_doc(kind), BY_DOC))
 
-    near = maybe_among(named, "doc", anchors.select("doc")).filter("among").drop("among").join(with_hashes(anchors), "doc")
+    anchors = gathered(probes, _anchors, np.uint32)
+    near = maybe_among(named, "doc", anchors.select("doc")).filter("among").drop("among").join(anchors, "doc")
     extended = near.select("doc", "text", "hashes").mapInArrow(_extending(window, buckets), PAYLOAD)
-    repeats = checkpoint(extended.groupBy("bucket").applyInArrow(_repeats, HITS))
+    repeats = gathered(extended, _repeats, np.uint64)
     flagged = maybe_among(rows.withColumn("key", F.col("doc").cast("long")), "key", repeats.select("doc"))
-    gone = with_hashes(repeats).withColumnRenamed("doc", "key")
+    gone = repeats.withColumnRenamed("doc", "key")
     touched = flagged.filter("among").join(gone, "key", "left").select("doc", "text", "hashes")
-    rest = flagged.filter(~F.col("among")).select("doc", "text", F.lit(None).cast("array<binary>").alias("hashes"))
+    rest = flagged.filter(~F.col("among")).select("doc", "text", F.lit(None).cast("binary").alias("hashes"))
     kind = rows.schema["doc"].dataType.simpleString()
     return rest.unionByName(touched).mapInArrow(_cutting(window), f"doc {kind}, {CUT}").withColumnRenamed("doc", id_col)
