@@ -16,7 +16,7 @@ Load.  Payloads are binary columns, one row for each slice of text and bucket; a
 documents.  Before anything is sent, each
 slice sums up its own equal fingerprints, so a passage that a third of all documents share costs a bucket
 one entry per slice and not one per document.  The number of buckets follows the amount of text.  Documents
-without anchors are told apart by a bitmap of 2^26 bits (8 MB at any corpus size) and are not shuffled; a false
+without anchors are told apart by a bitmap (8 MB at most, at any corpus size) and are not shuffled; a false
 alarm there costs work only.
 
 Defined results: null text has no words.  A row with null id keeps its text and removes nothing.  Rows with equal ids
@@ -277,9 +277,12 @@ def _cutting(window: int):
     return run
 
 
-def maybe_among(rows: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """rows with a flag `among`: false only if the key is surely not in ids (one column).  The bitmap that is broadcast has
-    bits / 32768 rows of 4 KB at most."""
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """rows with a flag `among`: false only if the key is surely not in ids (one column, checkpointed by the caller).
+
+    The bitmap has about 32 bits for each id, and `most_bits` (8 MB) at most; that is all that is broadcast.
+    """
+    bits = min(most_bits, max(1 << 15, 1 << (32 * ids.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     spot = ids.select(place(F.col(ids.columns[0])).alias("p"))
     maps = spot.groupBy(F.bitmap_bucket_number("p").alias("__no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
