@@ -283,3 +283,20 @@ def test_oracles(spark, name):
     cols = sorted(got.columns)
     want = con.execute(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.select(*cols).collect()))) == sorted(map(repr, want))
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rng = random.Random(11)
+    text = prose(rng, 120) + " token=abcdef123456"
+    d = spark.createDataFrame([(None, text), (3, text), (3, text), (1, text), (None, None)], "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))
+    cut = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup.remove_repeats(d).collect())
+    assert cut == [(0, 0), (0, 0), (1, 0), (3, 121), (3, 121)]
+    classed = sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in near_dedup.classes(d).collect())
+    assert classed == [(0, 0), (0, 0), (1, 1), (3, 1), (3, 1)]
+    assert sorted(r["doc_id"] or 0 for r in near_dedup.keep_one(d, near_dedup.classes(d)).collect()) == [0, 0, 1]
+    assert sorted(r["n_assign"] for r in secrets.digests(secrets.scan(d)).collect()) == [0, 1, 1, 1, 1]
+    assert pii.digests(pii.scan(d)).count() == 5 and bpe.encode_digests(d, WORD).count() == 5
+    assert token_counts.count_tokens(d, PIECE).count() == 5 and quality_rules.assess(d).count() == 5
+    assert language_id.identify(d, language_id.train(d)).count() == 5
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert decontamination.decontaminate(d, bench).filter("size(items) = 1").count() == 4
