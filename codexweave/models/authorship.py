@@ -64,7 +64,7 @@ def keyness(texts: DataFrame, text: str, is_head: Column, char_class: str, least
     chars = texts.select(is_head.alias("head"), F.explode(F.filter(F.split(tx.keep_chars(text, char_class), ""), lambda c: c != "")).alias("w"))
     n = chars.groupBy("w").agg(F.count(F.when(F.col("head"), 1)).alias("h"), F.count(F.when(~F.col("head"), 1)).alias("t"))
     sizes = n.agg(F.sum("h").alias("nh"), F.sum("t").alias("nt"))
-    r = (F.col("h") / F.col("nh")) / F.greatest(F.col("t") / F.col("nt"), F.lit(1e-9))
+    r = F.coalesce(F.try_divide("h", "nh"), F.lit(0.0)) / F.greatest(F.coalesce(F.try_divide("t", "nt"), F.lit(0.0)), F.lit(1e-9))
     scored = n.filter(F.col("h") + F.col("t") >= least).crossJoin(F.broadcast(sizes)).select("w", "h", "t", log_likelihood(F.col("h"), F.col("nh"), F.col("t"), F.col("nt")).alias("g"), r.alias("r"))
     side = F.when(F.col("r") >= ratio, "front").when(F.col("r") <= 0.667, "back")
     return top_n(scored.withColumn("side", side).filter("side is not null"), ["side"], [F.desc("g"), F.col("w")], k).drop("rank")

@@ -181,7 +181,7 @@ _LG = lambda x: f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"  # noqa: E7
 
 
 @query("keyness", f"""WITH {CH}, {CHARS_SQL}, s AS (SELECT CAST(sum(h) AS DOUBLE) AS nh, CAST(sum(t) AS DOUBLE) AS nt FROM k), p AS (SELECT *, nh * (h + t) / (nh + nt) AS e1, nt * (h + t) / (nh + nt) AS e2 FROM k, s WHERE h + t >= 60),
-    g AS (SELECT w, h, t, 2 * ({_LG('h * 1.0')} + {_LG('t * 1.0')} + {_LG('(nh - h)')} + {_LG('(nt - t)')} - ({_LG('e1')} + {_LG('e2')} + {_LG('(nh - e1)')} + {_LG('(nt - e2)')})) AS g, (h / nh) / greatest(t / nt, 1e-9) AS r FROM p),
+    g AS (SELECT w, h, t, 2 * ({_LG('h * 1.0')} + {_LG('t * 1.0')} + {_LG('(nh - h)')} + {_LG('(nt - t)')} - ({_LG('e1')} + {_LG('e2')} + {_LG('(nh - e1)')} + {_LG('(nt - e2)')})) AS g, coalesce(h / nullif(nh, 0), 0) / greatest(coalesce(t / nullif(nt, 0), 0), 1e-9) AS r FROM p),
     x AS (SELECT CASE WHEN r >= 1.02 THEN 'front' WHEN r <= 0.667 THEN 'back' END AS side, * FROM g), y AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY g DESC, w) AS k FROM x WHERE side IS NOT NULL) SELECT side, w, h, t, round(g, 2) AS g, round(r, 6) AS r FROM y WHERE k <= 26""")
 def keyness(spark, sf_dir):
     # The synthetic halves hardly differ, so the front ratio is low here.
