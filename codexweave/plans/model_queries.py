@@ -200,7 +200,7 @@ _NAME = ", ".join(f"{{'name': '{n}', 'n': (length(text) - length(replace(text, '
 
 @query("name_shift", f"""WITH {CH}, e AS (SELECT chapter <= {SPLIT} AS head, length({_Z}) AS size, unnest([{_NAME}]) AS x FROM chapters), s AS (SELECT sum(length({_Z})) FILTER (chapter <= {SPLIT}) AS nh, sum(length({_Z})) FILTER (chapter > {SPLIT}) AS nt FROM chapters),
     k AS (SELECT x.name AS name, CAST(sum(CASE WHEN head THEN x.n ELSE 0 END) AS BIGINT) AS h, CAST(sum(CASE WHEN head THEN 0 ELSE x.n END) AS BIGINT) AS t FROM e GROUP BY ALL)
-    SELECT name, h, t, round(h * 10000.0 / nh, 6) AS rh, round(t * 10000.0 / nt, 6) AS rt, round((t * 10000.0 / nt) / greatest(h * 10000.0 / nh, 1e-6), 6) AS ratio FROM k, s WHERE h + t >= 8""")
+    SELECT name, h, t, round(h * 10000.0 / greatest(coalesce(nh, 0), 1), 6) AS rh, round(t * 10000.0 / greatest(coalesce(nt, 0), 1), 6) AS rt, round((t * 10000.0 / greatest(coalesce(nt, 0), 1)) / greatest(h * 10000.0 / greatest(coalesce(nh, 0), 1), 1e-6), 6) AS ratio FROM k, s WHERE h + t >= 8""")
 def name_shift(spark, sf_dir):
     got = authorship.name_shift(chapters(spark, sf_dir), "text", F.col("chapter") <= SPLIT, ("thing", "tion", "keit", "que"), r"\p{L}")
     return got.select("name", F.col("h").cast("long").alias("h"), F.col("t").cast("long").alias("t"), *[F.round(c, 6).alias(c) for c in ("rh", "rt", "ratio")])
