@@ -27,6 +27,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES
 from .words import slices_by_bytes
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Longer words are not kept in the table.
 CACHE_CHARS = 64
 # White space of the normaliser and the pattern of a word, as in the tokenizer file.
@@ -224,9 +225,10 @@ def encoder(tokenizer_file: str) -> Encoder:
     return Encoder(tokenizer_file)
 
 
-def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, `keep`, ids (array of int) and decoded text of every document."""
-    return _run(docs, tokenizer_file, id_col, text_col, keep, digests=False)
+def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decode: bool = True) -> DataFrame:
+    """id, `keep`, n_tokens, ids (array of int) and, unless `decode` is off, the decoded text of every document."""
+    out = _run(docs, tokenizer_file, id_col, text_col, keep, digests=False, decode=decode)
+    return out if decode else out.drop("decoded")
 
 
 def encode_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -234,19 +236,21 @@ def encode_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     return _run(docs, tokenizer_file, id_col, text_col, keep, digests=True)
 
 
-def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, keep: tuple[str, ...], digests: bool) -> DataFrame:
+def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, keep: tuple[str, ...], digests: bool, decode: bool = True) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_file)
         for batch in batches:
-            for part in slices_by_bytes(batch, "__text", SLICE_BYTES):
+            # Token ids take more room than digests, so fewer texts are held at once.
+            for part in slices_by_bytes(batch, "__text", SLICE_BYTES if digests else SLICE_BYTES // 16):
                 counts, ids, decoded = [], [], []
                 for text in part.column("__text"):
                     line, back = e.both(text.as_py() or "")
                     counts.append(line.count(" ") + 1 if line else 0)
-                    ids.append(hashlib.sha256(line.encode()).hexdigest() if digests else [int(x) for x in line.split()])
-                    decoded.append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
+                    ids.append(hashlib.sha256(line.encode()).hexdigest() if digests else np.array(line.split(), np.int32))
+                    decoded.append(hashlib.sha256(back.encode()).hexdigest() if digests else back if decode else None)
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*part.schema.names[:-1], "n_tokens", "a", "b"])
+                id_column = pa.array(ids, pa.string()) if digests else pa.ListArray.from_arrays(np.cumsum([0, *counts]).astype(np.int32), np.concatenate(ids))
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), id_column, pa.array(decoded, pa.string())], names=[*part.schema.names[:-1], "n_tokens", "a", "b"])
 
     names = list(dict.fromkeys([id_col, *keep]))
     cols: list[Column] = [F.col(c).alias(f"__k{i}") for i, c in enumerate(names)]

@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import render, with_spans
 from .common import checkpoint, sha256
-from .native_spans import render, with_spans
 
 # The base patterns.  Repeats are possessive and runs are entered at their start (or where the match
 # before ended), which changes no match and keeps the time linear.
