@@ -42,6 +42,27 @@ def coverage(counts: DataFrame, table: DataFrame, keys: Sequence[str] = ()) -> D
     return whole.join(kept, [*keys, "n"]).withColumn("cover", F.round(F.col("kept") / F.col("total"), 6))
 
 
+def verse_text(lines: DataFrame, keys: Sequence[str], marks: tuple[str, str] = ("，", "。")) -> DataFrame:
+    """keys, text: a poem's lines (seq, line) in order, the marks put back by the parity of the line."""
+    marked = F.concat("line", F.when(F.col("seq") % 2 == 0, F.lit(marks[0])).otherwise(F.lit(marks[1])))
+    listed = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", marked.alias("t")))).alias("l"))
+    return listed.select(*keys, F.concat_ws("", F.transform("l", lambda x: x["t"])).alias("text"))
+
+
+def voice_tables(voices: Mapping[str, tuple[DataFrame, Mapping[int, int]]]) -> DataFrame:
+    """voice, n, gram, cnt: the top grams of each voice (a table with a column text, and its caps by order)."""
+    out = None
+    for voice, (texts, caps) in voices.items():
+        part = top_table(gram_counts(texts, "text", tuple(caps)), caps).select(F.lit(voice).alias("voice"), "n", "gram", "cnt")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def seeds(table: DataFrame, char_class: str, keys: Sequence[str] = (), k: int = 48) -> DataFrame:
+    """The k most frequent trigrams of script characters only."""
+    return top_n(table.filter((F.col("n") == 3) & F.col("gram").rlike(f"^[{char_class}]{{3}}$")), keys, [F.desc("cnt"), F.col("gram")], k).select(*keys, "gram", "cnt")
+
+
 def log_weight(cnt: Column) -> Column:
     """Weight of a count: its log bucket turned back."""
     return F.exp(F.least(F.round(F.log(1.0 + cnt) * BUCKET_SCALE), F.lit(float(BUCKETS))) / BUCKET_SCALE) - 1

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_term, grams_of
+from ..functions.text import count_term, grams_of, lexicon_count
 from .ordered import top_n
 
 
@@ -167,6 +167,30 @@ def annotator_stats(annotations: DataFrame, chapter: str, span: int = 80) -> Dat
     return total.select("edition", "n", "chars", F.round(F.col("chars") / F.col("n"), 6).alias("mean_len"), "covered", F.round(F.col("n") * 1.0 / span, 6).alias("density"))
 
 
+def annotator_types(annotations: DataFrame, kind: str) -> DataFrame:
+    """edition, kind, n: histogram of note types."""
+    return annotations.select(F.explode("editions").alias("edition"), kind).groupBy("edition", kind).agg(F.count("*").alias("n"))
+
+
+def annotator_moods(annotations: DataFrame, moods: dict[str, Sequence[str]]) -> DataFrame:
+    """edition and, per mood, its terms per 1000 characters of the edition's notes."""
+    one = annotations.select(F.explode("editions").alias("edition"), F.length("text").alias("__n"), *[lexicon_count("text", ws).alias(m) for m, ws in moods.items()])
+    rate = lambda m: F.round(F.sum(m) * 1000.0 / F.greatest(F.sum("__n"), F.lit(1)), 6).alias(m)
+    return one.groupBy("edition").agg(*[rate(m) for m in moods])
+
+
+def annotator_samples(annotations: DataFrame, keys: Sequence[str], moods: dict[str, Sequence[str]], longest: int = 3, per_mood: int = 2) -> DataFrame:
+    """edition, why, rank, keys, text: the longest notes of each edition, and those with the most terms of each mood."""
+    one = annotations.select(F.explode("editions").alias("edition"), *keys, "text")
+    scores = {"longest": (F.length("text").cast("long"), longest)} | {m: (lexicon_count("text", ws), per_mood) for m, ws in moods.items()}
+    out = None
+    for why, (score, n) in scores.items():
+        scored = one.withColumn("__s", score).filter("__s > 0")
+        part = top_n(scored, ["edition"], [F.desc("__s"), *[F.col(k) for k in keys]], n).select("edition", F.lit(why).alias("why"), "rank", *keys, "text")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def segment_summary(facts: DataFrame, segments: DataFrame, at: str, kind: str, chars: DataFrame, top: int = 3) -> DataFrame:
     """Per segment: facts, kinds, kinds per 10,000 characters, share of the `top` most frequent kinds."""
     inside = range_join(facts, segments, at, "lo", "hi").groupBy("segment", kind).agg(F.count("*").alias("n"))

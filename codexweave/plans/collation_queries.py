@@ -161,6 +161,19 @@ def first_hits(spark, sf_dir):
     return ledgers.first_hits(src.blocks(chapters(spark, sf_dir)), a, ["stream", "chapter", "seq"])
 
 
+@query("object_summary", f"""WITH {CH}, {BL}, a(name, term, priority) AS (VALUES ('x', 'tion', 1), ('x', 'er', 2), ('y', 'sch', 1), ('y', 'que', 2), ('y', 'en', 3)), h AS (SELECT DISTINCT stream, chapter, seq, name FROM blocks JOIN a ON contains(text, term)) SELECT name, min(chapter) AS first, max(chapter) AS last, count(*) AS n, count(*) FILTER (stream = 'src0') AS n_src0 FROM h GROUP BY name""")
+def object_summary(spark, sf_dir):
+    got = ledgers.object_summary(first_hits(spark, sf_dir), "chapter", "stream")
+    return got.select("name", "first", "last", "n", F.coalesce(F.col("by_source")["src0"], F.lit(0)).alias("n_src0"))
+
+
+@query("concordance_totals", f"WITH {CH}, h AS (SELECT stream, chapter, length(text) AS chars, (length(text) - length(replace(text, 'tion', ''))) // 4 + (length(text) - length(replace(text, 'keit', ''))) // 4 AS n FROM chapters) SELECT stream, chapter, CAST(n AS BIGINT) AS n, round(n * 1000.0 / chars, 6) AS per_1000 FROM h WHERE n > 0")
+def concordance_totals(spark, sf_dir):
+    c = chapters(spark, sf_dir)
+    hits = ledgers.kwic(c, spark.createDataFrame([("tion",), ("keit",)], "term string"), ["stream", "chapter"], 10)
+    return ledgers.concordance_totals(hits, c, ["stream", "chapter"])
+
+
 def found_amounts(spark, sf_dir):
     return ledgers.amounts(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], r"\d{2,9}", F.col("raw").cast("double"), ["+", "@", "."], ["and", "und", "de"], r"[A-Za-z]", (0, 1e9), {"dotted": ["."], "phone": ["+", "("]}, "other", names=names(spark))
 

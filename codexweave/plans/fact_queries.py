@@ -169,6 +169,24 @@ def annotator_axes(spark, sf_dir):
     return axes.select("edition", F.round("n", 6).alias("n"), F.round("covered", 6).alias("covered"), F.round("mean_len", 5).alias("mean_len"))
 
 
+NOTE_MOODS = {"calm": ("the", "der"), "keen": ("tion", "keit")}
+
+
+@query("annotator_types", f"WITH {NOTES_SQL} SELECT e AS edition, atype, count(*) AS n FROM (SELECT unnest(editions) AS e, atype FROM notes) GROUP BY ALL")
+def annotator_types(spark, sf_dir):
+    return facts.annotator_types(notes(spark, sf_dir), "atype")
+
+
+@query("annotator_moods", f"WITH {NOTES_SQL}, e AS (SELECT unnest(editions) AS edition, length(text) AS n, (length(text) - length(replace(text, 'the', ''))) // 3 + (length(text) - length(replace(text, 'der', ''))) // 3 AS calm, (length(text) - length(replace(text, 'tion', ''))) // 4 + (length(text) - length(replace(text, 'keit', ''))) // 4 AS keen FROM notes) SELECT edition, round(sum(calm) * 1000.0 / sum(n), 6) AS calm, round(sum(keen) * 1000.0 / sum(n), 6) AS keen FROM e GROUP BY edition")
+def annotator_moods(spark, sf_dir):
+    return facts.annotator_moods(notes(spark, sf_dir), NOTE_MOODS)
+
+
+@query("annotator_samples", f"WITH {NOTES_SQL}, e AS (SELECT unnest(editions) AS edition, stream, chapter, seq, text FROM notes), s AS (SELECT 'longest' AS why, 3 AS n, length(text) AS s, * FROM e UNION ALL SELECT 'calm', 2, (length(text) - length(replace(text, 'the', ''))) // 3 + (length(text) - length(replace(text, 'der', ''))) // 3, * FROM e UNION ALL SELECT 'keen', 2, (length(text) - length(replace(text, 'tion', ''))) // 4 + (length(text) - length(replace(text, 'keit', ''))) // 4, * FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY why, edition ORDER BY s DESC, stream, chapter, seq) AS k FROM s WHERE s > 0) SELECT edition, why, CAST(k AS INTEGER) AS rank, stream, chapter, seq, text FROM r WHERE k <= n")
+def annotator_samples(spark, sf_dir):
+    return facts.annotator_samples(notes(spark, sf_dir), ["stream", "chapter", "seq"], NOTE_MOODS)
+
+
 @query("affect_curve", f"WITH {CH}, {BL} SELECT stream, chapter, CAST(sum(CASE WHEN regexp_matches(text, '{MOODS['sad']}') THEN 1 ELSE 0 END) AS BIGINT) AS sad, CAST(sum(CASE WHEN regexp_matches(text, '{MOODS['happy']}') THEN 1 ELSE 0 END) AS BIGINT) AS happy, count(*) AS blocks FROM blocks GROUP BY ALL")
 def affect_curve(spark, sf_dir):
     return facts.affect_curve(blocks(spark, sf_dir), ["stream", "chapter"], MOODS)

@@ -138,6 +138,19 @@ def _model_sql(on: str) -> str:
 _P = "greatest(0.98 * (0.55 * coalesce(t, 0) + 0.30 * coalesce(b, 0) + 0.15 * coalesce(u, 0)) + 0.02 * coalesce(u, 0), 1e-9)"
 
 
+VOICE_CAPS = {1: 40, 2: 300, 3: 600}
+
+
+@query("voice_seeds", f"""WITH {CH}, bl AS (SELECT stream, chapter, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM chapters), vt AS (SELECT string_agg(line || CASE WHEN seq % 2 = 0 THEN ',' ELSE '.' END, '' ORDER BY seq) AS text FROM bl GROUP BY stream, chapter),
+    g AS (SELECT 'main' AS voice, gram FROM ({_grams_sql(3)}) UNION ALL SELECT 'verse', gram FROM ({_grams_sql(3, 'vt')})), c AS (SELECT voice, gram, count(*) AS cnt FROM g GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY voice ORDER BY cnt DESC, gram) AS r FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY voice ORDER BY cnt DESC, gram) AS k FROM t WHERE r <= 600 AND regexp_matches(gram, '^\\p{{L}}{{3}}$')) SELECT voice, gram, cnt FROM p WHERE k <= 48""")
+def voice_seeds(spark, sf_dir):
+    """Models of two voices, running text and text with its line marks put back; their seed trigrams."""
+    ch = chapters(spark, sf_dir)
+    lines = src.blocks(ch).withColumnRenamed("text", "line")
+    verse = ngrams.verse_text(lines, ["stream", "chapter"], (",", "."))
+    return ngrams.seeds(ngrams.voice_tables({"main": (ch, VOICE_CAPS), "verse": (verse, VOICE_CAPS)}), r"\p{L}", ["voice"])
+
+
 @query("perplexity", f"""WITH {COUNTS_SQL}, {TABLE_SQL}, {_model_sql('')}, g AS (SELECT doc_id, {_list_sql(3)} AS abc FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) >= 8)), m AS (SELECT doc_id, abc, count(*) AS m FROM g GROUP BY ALL)
     SELECT doc_id, round(exp(-sum(m * ln({_P})) / sum(m)), 4) AS ppl FROM m LEFT JOIN t USING (abc) LEFT JOIN b ON bc = substring(abc, 2, 2) LEFT JOIN u ON c = substring(abc, 3, 1) GROUP BY doc_id UNION ALL SELECT doc_id, 0.0 FROM documents WHERE length(text) < 8""")
 def perplexity(spark, sf_dir):
