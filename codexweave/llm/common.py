@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8 << 20
 
 
+#: Rows in one Arrow batch.  The default of 10,000 holds tens of megabytes of text, several times over, in each task.
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

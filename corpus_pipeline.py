@@ -16,31 +16,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexweave.llm import bpe, decontamination, language_id, near_dedup, secrets
-from codexweave.llm.common import checkpoint, table
+from codexweave.llm.common import bound_batches, checkpoint, table
 from codexweave.llm.queries import tokenizer_path
+from codexweave.llm.substring_dedup import maybe_among
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """The id, the text, and the whole row in one column, so that no other column's name can clash."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose key (hash of id and text) is in `dropped`.  Only the verdicts have been through Python; of the documents those that
+    may be among the dropped ones are shuffled, the others stay where they are."""
+    gone = checkpoint(dropped.select(F.col("key").alias("gone")).distinct())
+    flagged = maybe_among(docs.withColumn("__key", _key()), "__key", gone)
+    unsure = flagged.filter("among").join(gone, F.col("__key") == F.col("gone"), "left_anti")
+    return flagged.filter(~F.col("among")).select(*docs.columns).unionByName(unsure.select(*docs.columns))
 
 
 def keep_clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    content = language_id.train(docs)
-    return language_id.identify(_with_row(docs), content, keep=("row",)).filter(~F.col("rejected")).select("row.*")
+    bound_batches(spark)
+    rows = docs.select("doc_id", "text", _key().alias("key"))
+    return _without(docs, language_id.identify(rows, language_id.train(docs), keep=("key",)).filter("rejected").select("key"))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return near_dedup.keep_one(docs, near_dedup.classes(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.decontaminate(_with_row(docs), table(spark, sf_dir, "benchmark"), keep=("row",))
-    return found.filter(F.size("hit_spans") == 0).select("row.*")
+    found = decontamination.decontaminate(docs.select("doc_id", "text", _key().alias("key")), table(spark, sf_dir, "benchmark"), keep=("key",))
+    return _without(docs, found.filter(F.size("hit_spans") > 0).select("key"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +61,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep=("lang", "source"))
+    bound_batches(spark)
+    out = bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep=("lang", "source"), decode=False)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
