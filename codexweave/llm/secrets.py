@@ -103,5 +103,5 @@ def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask))).alias("out"))
 
-    masked = F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return joined.select(*[F.when(F.col("live").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"d.{c}").alias(c) for c in docs.columns])
+    masked = F.aggregate("m.live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return joined.select(*[F.when(F.col("m.live").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"d.{c}").alias(c) for c in docs.columns])

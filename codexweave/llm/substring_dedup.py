@@ -278,7 +278,7 @@ def _cutting(window: int):
 
 
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
-    """rows with a flag `among`: false only if the key is surely not in ids (one column, checkpointed by the caller).
+    """rows with a flag `__among`: false only if the key is surely not in ids (one column, checkpointed by the caller).
 
     The bitmap has about 32 bits for each id, and `most_bits` (8 MB) at most; that is all that is broadcast.
     """
@@ -289,7 +289,7 @@ def maybe_among(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 <<
     bit: Column = F.bitmap_bit_position(place(F.col(key)))
     byte = F.conv(F.hex(F.substring("__map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col(key))) == F.col("__no"), "left")
-    return joined.withColumn("among", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("__no", "__map")
+    return joined.withColumn("__among", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("__no", "__map")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -307,12 +307,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return checkpoint(answers.groupBy("bucket").applyInArrow(_by_doc(kind), BY_DOC))
 
     anchors = gathered(probes, _anchors, np.uint32)
-    near = maybe_among(named, "doc", anchors.select("doc")).filter("among").drop("among").join(anchors, "doc")
+    near = maybe_among(named, "doc", anchors.select("doc")).filter("__among").drop("__among").join(anchors, "doc")
     extended = near.select("doc", "text", "hashes").mapInArrow(_extending(window, buckets), PAYLOAD)
     repeats = gathered(extended, _repeats, np.uint64)
     flagged = maybe_among(rows.withColumn("key", F.col("doc").cast("long")), "key", repeats.select("doc"))
     gone = repeats.withColumnRenamed("doc", "key")
-    touched = flagged.filter("among").join(gone, "key", "left").select("doc", "text", "hashes")
-    rest = flagged.filter(~F.col("among")).select("doc", "text", F.lit(None).cast("binary").alias("hashes"))
+    touched = flagged.filter("__among").join(gone, "key", "left").select("doc", "text", "hashes")
+    rest = flagged.filter(~F.col("__among")).select("doc", "text", F.lit(None).cast("binary").alias("hashes"))
     kind = rows.schema["doc"].dataType.simpleString()
     return rest.unionByName(touched).mapInArrow(_cutting(window), f"doc {kind}, {CUT}").withColumnRenamed("doc", id_col)

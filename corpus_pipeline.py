@@ -32,10 +32,10 @@ def _key() -> Column:
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose key (hash of id and text) is in `dropped`.  Only the verdicts have been through Python; of the documents those that
     may be among the dropped ones are shuffled, the others stay where they are."""
-    gone = checkpoint(dropped.select(F.col("key").alias("gone")).distinct())
+    gone = checkpoint(dropped.select(F.col("key").alias("__gone")).distinct())
     flagged = maybe_among(docs.withColumn("__key", _key()), "__key", gone)
-    unsure = flagged.filter("among").join(gone, F.col("__key") == F.col("gone"), "left_anti")
-    return flagged.filter(~F.col("among")).select(*docs.columns).unionByName(unsure.select(*docs.columns))
+    unsure = flagged.filter("__among").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    return flagged.filter(~F.col("__among")).select(*docs.columns).unionByName(unsure.select(*docs.columns))
 
 
 def keep_clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_stages_in_order_with_the_columns_of_documents(spark):
 
 
 def test_stages_take_odd_rows(spark, docs, empty):
-    for frame in (docs.withColumn("row", F.lit("clash")).withColumn("rejected", F.lit(1)), empty):
+    for frame in (docs.withColumn("row", F.lit("clash")).withColumn("rejected", F.lit(1)).withColumns({c: F.lit(c) for c in ("among", "key", "gone", "live", "spans", "id", "among_", "bands")}), empty):
         columns = frame.columns
         for _, stage in corpus_pipeline.STAGES[:-1]:
             frame = stage(spark, frame, SF)
