@@ -13,7 +13,11 @@ chance, about words per document / 2^20, does not grow with the corpus either).
     probability of their weighted Jaccard similarity.
 3.  Banding.  Rows of ROWS bins are hashed.  In every band bucket each text is compared with one
     centre, so a bucket of any size gives one pair for each member.  Later passes take up
-    the buckets whose members are still in different classes, with other centres, drawn by hash.
+    the buckets whose members are still in different classes, with other centres, drawn by hash.  The
+    buckets of three or more that are then still mixed are settled without centres: all pairs of their texts in different classes that may
+    reach `threshold` are compared.  The weighted shingles of a text are put in one order for all texts, heavy (rare) ones
+    first; two texts that reach the threshold share a shingle in the part of both before less than `threshold` of the
+    weight is left, and at the first they share, what is left of either is no less than the overlap they need.
 4.  Verification.  A pair counts if its weighted Jaccard similarity, from all shingles of both texts, is
     `threshold` or more.  Classes are the connected components of the verified pairs.
 
@@ -45,6 +49,8 @@ BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 #: Text that is sampled at once; about thirty numbers of 8 bytes are held for each of its words.
 SLICE = SLICE_BYTES // 4
+#: Room for rounding in bounds of weights.
+SLACK = 1e-6
 #: Tries to borrow a sample for an empty bin before the next filled bin is taken.
 TRIES = 48
 
@@ -215,6 +221,64 @@ def _features(k: int):
     return run
 
 
+PREFIX = "doc long, total double, items array<struct<item:long,left:double>>"
+
+
+def _prefixes(weights: np.ndarray, k: int, threshold: float):
+    """doc, its weight, and the shingles of which one is shared with each text that reaches the threshold, with the weight left from there on."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices_by_bytes(batch, "text", SLICE):
+                hash_, doc, _ = shingles(*text_buffer(part.column("text")), k)
+                low, doc, count = counted(hash_ & np.uint64(0xFFFFFFFF), doc)
+                of = np.repeat(np.arange(len(low)), count)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                item = mix(low[of] + (nth.astype(np.uint64) << np.uint64(32)))
+                doc, weight = doc[of], weights[cell_of(low[of])].astype(np.float64)
+                order = np.lexsort((item, -weight, doc))
+                item, doc, weight = item[order], doc[order], weight[order]
+                total = np.bincount(doc, weight, part.num_rows)
+                upto = np.concatenate([[0.0], np.cumsum(weight)])
+                ends = np.searchsorted(doc, np.arange(part.num_rows), side="right")
+                left = upto[ends][doc] - upto[:-1]
+                among = left >= threshold * total[doc] * (1 - SLACK)
+                sizes = np.bincount(doc[among], minlength=part.num_rows)
+                pairs = pa.StructArray.from_arrays([pa.array(item[among].view(np.int64)), pa.array(left[among])], ["item", "left"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(total), lists], names=["doc", "total", "items"])
+
+    return run
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (key, doc) with the label of the doc's class."""
+    return rows.join(labels, rows["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+
+
+def rest_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame, weights: np.ndarray, k: int, threshold: float) -> DataFrame | None:
+    """Pairs (a, b) of different classes, among them all that reach the threshold in buckets of three or more; None if no bucket is mixed.
+
+    Texts of one class and one shingle are one row until a row of another class meets them, so a large class costs no pairs of its own.
+    """
+    here = _labelled(members, labels)
+    mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("key")
+    open_ = checkpoint(here.join(mixed, "key").select("doc", "label").distinct())
+    if open_.isEmpty():
+        return None
+    texts = maybe_among(docs, "doc", open_.select("doc")).filter("__among").select("doc", "text")
+    prefixes = checkpoint(texts.mapInArrow(_prefixes(weights, k, threshold), PREFIX).join(open_, "doc"))
+    rows = prefixes.select("doc", "label", "total", F.explode("items").alias("x")).select("doc", "label", "total", "x.item", "x.left")
+    several = rows.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("item")
+    one = F.collect_list(F.struct("doc", "left", "total"))
+    groups = checkpoint(rows.join(several, "item").groupBy("item", "label").agg(F.max("left").alias("left"), F.min("total").alias("total"), one.alias("docs")))
+    x, y = (groups.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("label", "left", "total", "docs")]) for s in "xy")
+    enough = lambda l, m, t, u: F.least(l, m) >= (F.col(t) + F.col(u)) * (threshold / (1 + threshold) * (1 - SLACK))
+    met = x.join(y, "item").filter((F.col("label_x") < F.col("label_y")) & enough("left_x", "left_y", "total_x", "total_y"))
+    each = met.select(F.explode("docs_x").alias("x"), "docs_y").select("x", F.explode("docs_y").alias("y")).select("x.*", *[F.col(f"y.{c}").alias(f"{c}_y") for c in ("doc", "left", "total")])
+    return each.filter(enough("left", "left_y", "total", "total_y")).select(F.least("doc", "doc_y").alias("a"), F.greatest("doc", "doc_y").alias("b")).distinct()
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
     """Of two sorted arrays of 32-bit shingle hashes, repeated as often as they occur."""
     x, n = np.unique(a, return_counts=True)
@@ -263,7 +327,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         if p == 0:
             open_, centre = members.withColumn("label", F.col("doc")), F.min("doc")
         else:
-            here = members.join(labels, members["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+            here = _labelled(members, labels)
             mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
             open_, centre = here.join(mixed, "key"), F.min_by("doc", F.xxhash64("doc", "key", F.lit(p)))
         centres = open_.groupBy("key").agg(centre.alias("centre"))
@@ -280,6 +344,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         new = checkpoint(verified(pairs, named, weights, shingle, threshold))
         links = new if links is None else links.unionByName(new)
         labels = components(links)
+    rest = rest_pairs(members, labels, named, weights, shingle, threshold) if labels is not None else None
+    if rest is not None:
+        rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
+        new = checkpoint(verified(rest, named, weights, shingle, threshold))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node long, label long")
         degree = docs.sparkSession.createDataFrame([], "node long, n_links long")

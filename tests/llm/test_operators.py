@@ -114,6 +114,19 @@ def test_near_classes_hold_all_pairs(spark, docs, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for i, c in label.items()})
 
 
+def test_near_classes_hold_pairs_below_a_shared_template(spark):
+    """Texts with a common template, similar at 0.78, and among them pairs at 0.81: most of their buckets hold hundreds of classes."""
+    rng = random.Random(11)
+    template = prose(rng, 238)
+    own = lambda n: " ".join(f"w{rng.getrandbits(48)}" for _ in range(n))
+    rows = [(i, f"{template} {own(25)}") for i in range(1000)]
+    for i in range(1000, 1120, 2):
+        common = own(4)
+        rows += [(i, f"{template} {common} {own(21)}"), (i + 1, f"{template} {common} {own(21)}")]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 1000 else i - i % 2 for i, _ in rows}
+
+
 def test_samples_follow_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 4000, dtype=np.uint64)
