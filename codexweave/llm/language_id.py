@@ -10,8 +10,9 @@ The score is the margin (second - best) / second, between 0 and 1.  `rejected` i
 is no verdict or the score is below `min_margin`.
 
 Bounded training sample (the documented bound): of each language the `docs_per_lang` training
-rows with the lowest hash of the id, of these at most `dict_bytes` bytes altogether; at most
-`max_langs` languages, the most frequent ones.  Only text and language of training rows are used.
+rows with the lowest hash of the id, of these at most `dict_bytes` bytes altogether.  Every language that is
+named in a training row is learned; more than GROUP of them are scored in groups, so that a task holds one group's compressors
+at a time.  Only text and language of training rows are used.
 
 Defined results: null text, or text without a letter: `und`, score 0, rejected.  No training rows:
 every row is `und`.  Ties: the language with more training rows wins, with score 0.
@@ -30,32 +31,34 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES
 from .words import slices_by_bytes
 
+#: Languages whose compressors a task holds at once.
+GROUP = 64
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, dict_bytes: int = 1 << 17, max_langs: int = 64) -> dict[str, bytes]:
+def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, dict_bytes: int = 1 << 17) -> dict[str, bytes]:
     """Dictionary content of every language, the most frequent first, from a bounded sample of the labelled rows."""
     labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return {}
     langs = list(counts)
     # Only ids and languages are ranked, and of each language only about four times the wanted number, by hash.
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (4 * docs_per_lang << 30) // n))]), F.col("lang"))
+    bounds = labelled.sparkSession.createDataFrame([(k, min(1 << 30, (4 * docs_per_lang << 30) // n)) for k, n in counts.items()], "lang string, bound long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "id"))
-    few = labelled.filter(F.col("lang").isin(langs)).select("id", "lang").filter(spot <= bound)
+    few = labelled.select("id", "lang").join(F.broadcast(bounds), "lang").filter(spot <= F.col("bound")).select("id", "lang")
     chosen = few.withColumn("k", rank).filter(F.col("k") <= docs_per_lang).select("id", "k")
-    picked = chosen.distinct().limit(docs_per_lang * max_langs)  # a proven bound for the broadcast
+    picked = chosen.distinct().limit(docs_per_lang * len(langs))  # a proven bound for the broadcast
     share = max(256, 2 * dict_bytes // docs_per_lang)
-    sample = labelled.join(F.broadcast(picked), "id").filter(F.col("lang").isin(langs)).select("lang", "k", F.substring("text", 1, share).alias("text"))
+    sample = labelled.join(F.broadcast(picked), "id").select("lang", "k", F.substring("text", 1, share).alias("text"))
     content: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["k"], r["text"])):
         content.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(content[lang]).lower().encode()[:dict_bytes] for lang in langs if lang in content}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def compressors(content: tuple[tuple[str, bytes], ...], level: int):
     import zstandard as zstd
 
@@ -67,17 +70,27 @@ def compressors(content: tuple[tuple[str, bytes], ...], level: int):
     return out
 
 
-def classify(text: str | None, models, block_bytes: int) -> tuple[str, float]:
-    if text is None or not models or not LETTER.search(text):
-        return "und", 0.0
-    raw = text.lower().encode()
-    blocks = [raw[i : i + block_bytes] for i in range(0, len(raw), block_bytes)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), i) for i, (_, c) in enumerate(models))
-    lang = models[sizes[0][1]][0]
-    if len(sizes) == 1:
-        return lang, 1.0
-    best, second = sizes[0][0], sizes[1][0]
-    return lang, (second - best) / second
+def classify(texts: list[str | None], content: tuple[tuple[str, bytes], ...], block_bytes: int, level: int) -> list[tuple[str, float]]:
+    """Language and score of each text; of each group of languages only the two smallest sizes are kept."""
+    blocks: list[list[bytes]] = []
+    for text in texts:
+        raw = text.lower().encode() if text is not None and LETTER.search(text) else b""
+        blocks.append([raw[i : i + block_bytes] for i in range(0, len(raw), block_bytes)])
+    least: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for g in range(0, len(content), GROUP):
+        models = compressors(content[g : g + GROUP], level)
+        for at, own in enumerate(blocks):
+            if own:
+                least[at] = sorted(least[at] + [(sum(len(c.compress(b)) for b in own), g + i) for i, (_, c) in enumerate(models)])[:2]
+    out = []
+    for two in least:
+        if not two:
+            out.append(("und", 0.0))
+        elif len(two) == 1:
+            out.append((content[two[0][1]][0], 1.0))
+        else:
+            out.append((content[two[0][1]][0], (two[1][0] - two[0][0]) / two[1][0]))
+    return out
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.005, block_bytes: int = 1024, level: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -85,10 +98,9 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     frozen = tuple(content.items())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = compressors(frozen, level)
         for batch in batches:
             for part in slices_by_bytes(batch, "__text", SLICE_BYTES):
-                got = [classify(t.as_py(), models, block_bytes) for t in part.column("__text")]
+                got = classify(part.column("__text").to_pylist(), frozen, block_bytes, level)
                 langs, scores = [g[0] for g in got], [g[1] for g in got]
                 refuse = [g[0] == "und" or g[1] < min_margin for g in got]
                 cols = [part.column(i) for i in range(part.num_columns - 1)]

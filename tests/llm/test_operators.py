@@ -226,6 +226,19 @@ def test_language_id_learns_and_rejects(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark):
+    """150 languages, each with its own words: those with few rows are learned as well."""
+    rng = random.Random(9)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(150)}
+    rows = [(k, " ".join(rng.sample(w, 12)), lang) for lang, w in words.items() for k in range(2 if lang < "l080" else 1)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    content = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(content) == set(words)
+    tests = spark.createDataFrame([(lang, " ".join(rng.sample(w, 12))) for lang, w in words.items()], "doc_id string, text string")
+    got = language_id.identify(tests, content).collect()
+    assert len(got) == 150 and all(r["doc_id"] == r["lang_pred"] and not r["rejected"] for r in got)
+
+
 def test_language_id_held_out_accuracy(spark):
     out = QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 30").select("doc_id", "lang")
