@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +117,46 @@ def nearest(rows: DataFrame, bench: DataFrame, key: str, bench_key: str, feature
     return top_n(rows.crossJoin(F.broadcast(b)).select(key, bench_key, d.alias("distance")), [key], [F.col("distance"), F.col(bench_key)], k)
 
 
+def _ranking(keys: np.ndarray, points: np.ndarray, scale: np.ndarray, k: int, rows_at_once: int = 256):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_d, best_n = np.full((len(keys), k), np.inf), np.zeros((len(keys), k), np.int64)
+        for batch in batches:
+            near, values = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], 1) / scale
+            for i in range(0, len(near), rows_at_once):
+                part = values[i : i + rows_at_once]
+                d = np.round(np.sqrt(sum((points[:, j, None] - part[None, :, j]) ** 2 for j in range(len(scale))) / len(scale)), 9)
+                d = np.concatenate([best_d, d], 1)
+                n = np.concatenate([best_n, np.broadcast_to(near[i : i + rows_at_once], (len(keys), len(part)))], 1)
+                order = np.lexsort((n, d))[:, :k]
+                best_d, best_n = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+        row, col = np.nonzero(np.isfinite(best_d))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(best_n[row, col]), pa.array(best_d[row, col])], names=["key", "near", "distance"])
+
+    return run
+
+
+def nearest_of_all(queries: DataFrame, rows: DataFrame, key: str, near_key: str, features: Sequence[str], scales: DataFrame, k: int = 3, block_rows: int = 2000) -> DataFrame:
+    """key, near_key, distance, rank: of all rows the k nearest to each query, by root mean square of differences of features.
+
+    Features are divided by those of `scales` (one row, 0 counts as 1).  Queries go in blocks by hash of about `block_rows` rows, each against all
+    rows; a task passes on its k nearest of each query.  Distances tie at nine digits, then the smaller key comes first.  Keys are
+    integers; rows with a null feature are none.
+    """
+    one = scales.select(*[F.col(f).cast("double") for f in features]).first()
+    scale = np.array([1.0 if x is None or x == 0 else x for x in one])
+    columns = [F.col(f).cast("double").alias(f) for f in features]
+    candidates = rows.select(F.col(near_key).cast("long").alias("near"), *columns).dropna()
+    asked = queries.select(F.col(key).cast("long").alias("key"), *columns).dropna()
+    blocks = max(1, -(-asked.count() // block_rows))
+    parts = []
+    for i in range(blocks):
+        got = np.array([tuple(r) for r in asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()], [("key", np.int64), *((f, np.float64) for f in features)])
+        points = np.stack([got[f] for f in features], 1) / scale
+        parts.append(candidates.mapInArrow(_ranking(got["key"], points, scale, k), "key long, near long, distance double"))
+    every = reduce(DataFrame.unionByName, parts)
+    return top_n(every, ["key"], [F.col("distance"), F.col("near")], k).select(F.col("key").alias(key), F.col("near").alias(near_key), "distance", "rank")
+
+
 def verdict(length: Column, distance: Column, ppl: Column, inside: Column, outside: Column) -> Column:
     """Band of a text from its style distance and its perplexity against in-sample and held-out medians."""
     style = F.when(distance <= 1, "close").when(distance <= 2, "near").otherwise("far")

@@ -218,3 +218,21 @@ def test_dictionary_joins_make_no_cartesian_product(spark):
     names = spark.createDataFrame([("x", "ab")], "name string, term string")
     plan = facts.mentions(blocks, names, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
+def test_nearest_of_all_ranks_every_row(spark):
+    """Copies whose id is not a multiple of 100 are found; all five features count, in units of one benchmark row; queries in several blocks."""
+    rng = random.Random(4)
+    names = ["a", "b", "c", "d", "e"]
+    points = {i: [rng.random() * 10**j for j in range(5)] for i in range(400)}
+    points |= {501: points[100], 502: [*points[200][:4], points[200][4] * 1.5], 503: [None] * 5}
+    rows = spark.createDataFrame([(i, *p) for i, p in points.items()], "id long, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    bench = [sum(p[j] for p in points.values() if p[0] is not None) / 402 for j in range(5)]
+    scales = spark.createDataFrame([tuple(bench)], ", ".join(f"{n} double" for n in names))
+    full = {i: p for i, p in points.items() if p[0] is not None}
+    far = lambda p, q: round(math.sqrt(sum(((x - y) / s) ** 2 for x, y, s in zip(p, q, bench)) / 5), 9)
+    want = {(q, n, k + 1) for q in range(0, 400, 100) for k, (_, n) in enumerate(sorted((far(full[q], p), i) for i, p in full.items())[:3])}
+    for size in (1, 2000):
+        got = authorship.nearest_of_all(rows.filter("id % 100 = 0"), rows.withColumnRenamed("id", "near"), "id", "near", names, scales, 3, size)
+        assert {(r["id"], r["near"], r["rank"]) for r in got.collect()} == want
+    assert (100, 501, 2) in want
