@@ -14,7 +14,7 @@ SPAN = "struct<start:int,end:int,value:string,left:string>"
 
 
 def with_spans(df: DataFrame, text_col: str, patterns: dict[str, str], left_chars: int = 0) -> DataFrame:
-    """Adds, for each kind, an array of (start, end, value, left) in order; `left` is up to left_chars of the text since the match before.
+    """Adds, for each kind, an array of (start, end, value, left) in order; `left` is the text before the match, left_chars code points at most.
 
     The text is split only where there are matches.  A null text has none.
     """
@@ -34,14 +34,16 @@ def _spans(text: Column, matches: Column, pieces: Column, left_chars: int) -> Co
     empty = F.array().cast(f"array<{SPAN}>")
     pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"))
 
+    last = lambda *parts: F.right(F.concat(*parts), F.lit(left_chars)) if left_chars else F.lit("")
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["match"])
-        left = F.right(x["piece"], F.lit(left_chars)) if left_chars else F.lit("")
+        left = last(acc["tail"], x["piece"])
         one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("value"), left.alias("left"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(end.alias("at"), last(left, x["match"]).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out"))
     return F.when(F.size(matches) > 0, F.aggregate(pairs, first, step, lambda a: a["out"])).otherwise(empty)
 
 
