@@ -15,7 +15,8 @@ Words repeat, so each task keeps a bounded table of encoded words (`CACHE_WORDS`
 not met lately leave it.
 
 Defined results: null text counts as empty: no tokens, empty decoding.  Special strings in a text
-are special tokens, as in the library.  Rows with equal ids are encoded separately.
+are special tokens, as in the library.  Every code point is split and folded as in the library, whose Unicode is newer than
+Python's.  Rows with equal ids are encoded separately.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES
+from .common import SLICE_BYTES, numbered, place
 from .words import slices_by_bytes
 
 CACHE_WORDS = 200_000
@@ -40,15 +41,46 @@ CACHE_WORDS = 200_000
 CACHE_CHARS = 64
 # White space of the normaliser and the pattern of a word, as in the tokenizer file.
 WHITE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = rf"\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
-# The same pattern for lower-case texts of Latin-1 characters, with their letters and numbers spelt out.
-_LETTERS, _NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-LATIN_WORD = rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{WHITE}{_LETTERS}{_NUMBERS}]+"
+WORD = r"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^{white}{letters}{numbers}]+"
+# Letters and numbers of Unicode 16, which the library splits by, and lower cases of Unicode 17, which it
+# folds by, as far as Python's own tables (Unicode 15.1) lack them.
+NEW_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+NEW_LOWER = "1C89-1C89:1C8A A7CB-A7CB:0264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:019B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
 SUFFIX = "</w>"
 #: A word's last symbol is shifted by this much, so that a symbol with the suffix is one character.
 _LAST = 0x1000
 
 
+def _runs(spans: str) -> Iterator[tuple[int, int]]:
+    for span in spans.split():
+        lo, hi = span.split("-")
+        yield int(lo, 16), int(hi, 16)
+
+
+def character_class(initial: str, more: str, limit: int = 0x110000) -> str:
+    """The body of a regular expression's class: code points whose category begins with `initial`, and those in `more`."""
+    flag = np.fromiter((unicodedata.category(chr(c))[0] == initial for c in range(limit)), bool, limit)
+    for lo, hi in _runs(more):
+        flag[lo : hi + 1] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])))
+    return "".join(f"\\U{lo:08x}-\\U{hi - 1:08x}" for lo, hi in edge.reshape(-1, 2).tolist())
+
+
+def word_pattern(limit: int = 0x110000) -> re.Pattern:
+    """A word, for texts of code points below `limit`."""
+    return re.compile(WORD.format(white=WHITE, letters=character_class("L", NEW_LETTERS, limit), numbers=character_class("N", NEW_NUMBERS, limit)))
+
+
+def new_lower() -> dict[int, int]:
+    out = {}
+    for span in NEW_LOWER.split():
+        upper, to = span.split(":")
+        for lo, hi in _runs(upper):
+            out |= {c: int(to, 16) + c - lo for c in range(lo, hi + 1)}
+    return out
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -67,14 +99,15 @@ def _folded(token: str) -> str:
 class Encoder:
     def __init__(self, tokenizer_file: str):
         import ahocorasick
-        import regex
 
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.word, self.latin_word = regex.compile(WORD), re.compile(LATIN_WORD)
+        self.word, self.latin_word = word_pattern(), word_pattern(0x100)
+        self.lower = new_lower()
+        self.newer = re.compile("[" + "".join(map(chr, self.lower)) + "]")
         self.beyond_latin = re.compile(r"[^\x00-\xff]")
         self.bytes = str.maketrans({chr(i): s for i, s in enumerate(byte_symbols())})
         strings = {i: t for t, i in (model["vocab"] | self.special).items()}
@@ -186,7 +219,9 @@ class Encoder:
     def words(self, text: str) -> list[str]:
         # Words never hold white space, so the normaliser's squeezing of it changes nothing here.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return (self.word if self.beyond_latin.search(text) else self.latin_word).findall(text)
+        if not self.beyond_latin.search(text):
+            return self.latin_word.findall(text)
+        return self.word.findall(text.translate(self.lower) if self.newer.search(text) else text)
 
     def both(self, text: str) -> tuple[str, str]:
         """Ids (decimal, joined by spaces) and decoding of a text."""
@@ -253,8 +288,8 @@ def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, keep:
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), id_column, pa.array(decoded, pa.string())], names=[*part.schema.names[:-1], "n_tokens", "a", "b"])
 
     names = list(dict.fromkeys([id_col, *keep]))
-    cols: list[Column] = [F.col(c).alias(f"__k{i}") for i, c in enumerate(names)]
-    source = docs.select(*cols, F.col(text_col).alias("__text"))
+    cols: list[Column] = [place(docs, c).alias(f"__k{i}") for i, c in enumerate(names)]
+    source = numbered(docs).select(*cols, place(docs, text_col).alias("__text"))
     schema = "".join(f"__k{i} {f.dataType.simpleString()}, " for i, f in enumerate(source.schema.fields[:-1]))
     out = source.mapInArrow(run, schema + f"n_tokens long, a {'string' if digests else 'array<int>'}, b string")
     names_out = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")

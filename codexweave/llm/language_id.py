@@ -10,12 +10,14 @@ The score is the margin (second - best) / second, between 0 and 1.  `rejected` i
 is no verdict or the score is below `min_margin`.
 
 Bounded training sample (the documented bound): of each language the `docs_per_lang` training
-rows with the lowest hash of the id, of these at most `dict_bytes` bytes altogether.  Every language that is
+documents with the lowest hash of the id, of these at most `dict_bytes` bytes altogether.  Each of them gives the same
+share: a text that is longer gives SLICES pieces, one from each part of the whole text, at places chosen by hash.  Of rows with
+equal id and language the least text counts.  Every language that is
 named in a training row is learned; more than GROUP of them are scored in groups, so that a task holds one group's compressors
 at a time.  Only text and language of training rows are used.
 
 Defined results: null text, or text without a letter: `und`, score 0, rejected.  No training rows:
-every row is `und`.  Ties: the language with more training rows wins, with score 0.
+every row is `und`.  Ties: the language with more training rows wins, of these the first by name, with score 0.
 """
 
 from __future__ import annotations
@@ -28,17 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES
+from .common import SLICE_BYTES, numbered, pick, place
 from .words import slices_by_bytes
 
 #: Languages whose compressors a task holds at once.
 GROUP = 64
+#: Pieces that a long training text gives.
+SLICES = 4
 LETTER = re.compile(r"[^\W\d_]")
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, dict_bytes: int = 1 << 17) -> dict[str, bytes]:
     """Dictionary content of every language, the most frequent first, from a bounded sample of the labelled rows."""
-    labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    labelled = pick(rows, id=id_col, text=text_col, lang=lang_col).select("id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return {}
@@ -48,16 +52,23 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bounds = labelled.sparkSession.createDataFrame([(k, min(1 << 30, (4 * docs_per_lang << 30) // n)) for k, n in counts.items()], "lang string, bound long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "id"))
     few = labelled.select("id", "lang").join(F.broadcast(bounds), "lang").filter(spot <= F.col("bound")).select("id", "lang")
-    chosen = few.withColumn("k", rank).filter(F.col("k") <= docs_per_lang).select("id", "k")
+    chosen = few.withColumn("k", rank).filter(F.col("k") <= docs_per_lang).select("id", "lang", "k")
     picked = chosen.distinct().limit(docs_per_lang * len(langs))  # a proven bound for the broadcast
-    share = max(256, 2 * dict_bytes // docs_per_lang)
-    sample = labelled.join(F.broadcast(picked), "id").select("lang", "k", F.substring("text", 1, share).alias("text"))
+    share = max(64, dict_bytes // docs_per_lang)
+    sample = labelled.join(F.broadcast(picked), ["id", "lang"]).select("lang", "k", pieces(F.col("text"), F.col("id"), share).alias("text")).groupBy("lang", "k").agg(F.min("text").alias("text"))
     content: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["k"], r["text"])):
         content.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(content[lang]).lower().encode()[:dict_bytes] for lang in langs if lang in content}
 
 
+def pieces(text: Column, id_: Column, share: int) -> Column:
+    """The text, or if it has more than `share` code points, SLICES pieces of it, one from each of as many equal parts."""
+    size, part = share // SLICES, F.floor(F.length(text) / SLICES).cast("int")
+    at = [part * i + F.pmod(F.xxhash64(id_, F.lit(i)), F.greatest(part - size + 1, F.lit(1))).cast("int") + 1 for i in range(SLICES)]
+    return F.when(F.length(text) <= share, text).otherwise(F.concat_ws("\n", *[F.substring(text, a, F.lit(size)) for a in at]))
+
+
 @lru_cache(maxsize=1)
 def compressors(content: tuple[tuple[str, bytes], ...], level: int):
     import zstandard as zstd
@@ -107,8 +118,8 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(refuse, pa.bool_())], names=[*part.schema.names[:-1], "lang_pred", "score", "rejected"])
 
     names = list(dict.fromkeys([id_col, *keep]))
-    cols: list[Column] = [F.col(c).alias(f"__k{i}") for i, c in enumerate(names)]
-    source = docs.select(*cols, F.col(text_col).alias("__text"))
+    cols: list[Column] = [place(docs, c).alias(f"__k{i}") for i, c in enumerate(names)]
+    source = numbered(docs).select(*cols, place(docs, text_col).alias("__text"))
     schema = ", ".join(f"__k{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:-1]))
     out = source.mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)], "lang_pred", "score", "rejected")

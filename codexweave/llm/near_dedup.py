@@ -11,20 +11,21 @@ chance, about words per document / 2^20, does not grow with the corpus either).
     Gamma(2, 1), beta uniform, all from the shingle's hash; t = floor(ln w / r + beta); least a = c / (y e^r))
     picks (shingle, t).  An empty bin borrows from a bin chosen by hash.  Two texts agree in a bin with about the
     probability of their weighted Jaccard similarity.
-3.  Banding.  Rows of ROWS bins are hashed.  In every band bucket each text is compared with one
-    centre, so a bucket of any size gives one pair for each member.  Later passes take up
-    the buckets whose members are still in different classes, with other centres, drawn by hash.  The
-    buckets of three or more that are then still mixed are settled without centres: all pairs of their texts in different classes that may
-    reach `threshold` are compared.  The weighted shingles of a text are put in one order for all texts, heavy (rare) ones
+3.  Banding.  Rows of ROWS bins are hashed.  In every band bucket each text is compared with one centre, the text with the
+    least id, so a bucket of any size gives one pair for each member.  Buckets of three or more whose members
+    are then in different classes are settled without centres: all pairs of their texts in different classes that may reach
+    `threshold` are compared.  The weighted shingles of a text are put in one order for all texts, heavy (rare) ones
     first; two texts that reach the threshold share a shingle in the part of both before less than `threshold` of the
-    weight is left, and at the first they share, what is left of either is no less than the overlap they need.
+    weight is left, and at the first they share, what is left of either is no less than the overlap they need.  So
+    no pair that shares a bucket and reaches the threshold is missed, but through links that join its classes.
 4.  Verification.  A pair counts if its weighted Jaccard similarity, from all shingles of both texts, is
     `threshold` or more.  Classes are the connected components of the verified pairs.
 
 With BANDS = 40 and ROWS = 6 a pair at similarity 0.8 shares a bucket with probability 0.99999.
 
 Defined results: null text, or text without words: a class of its own.  Null id: class_id null, no comparison.  Rows with
-equal ids are one document.  Ids must be integers.
+equal ids are one document; each is classed by its own text, and if an id stands for several texts, it is compared by the one
+whose hash is least.  Ids must be integers.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, checkpoint, shuffle_partitions
+from .common import SLICE_BYTES, checkpoint, maybe_among, measured, numbered, pick, place, salted_join, shuffle_partitions
 from .components import components
-from .substring_dedup import maybe_among
 from .words import mix, separator_table, slices_by_bytes, split_words, text_buffer, window_hash
 
 _TABLE = separator_table()
@@ -188,13 +189,13 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 SKETCH = "doc long, whole long, check long, bands array<long>"
 
 
-def _sketching(weights: np.ndarray, k: int):
+def _sketching(shared: Broadcast, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices_by_bytes(batch, "text", SLICE):
                 hash_, doc, whole = shingles(*text_buffer(part.column("text")), k)
                 hash_, doc, count = counted(hash_, doc)
-                keys = band_keys(samples(hash_, doc, count * weights[cell_of(hash_)], part.num_rows))
+                keys = band_keys(samples(hash_, doc, count * shared.value[cell_of(hash_)], part.num_rows))
                 some = whole != 0
                 check = np.zeros(part.num_rows, np.uint64)  # a second hash of the text: of its shingles as a multiset
                 np.add.at(check, doc, mix(hash_) * count.astype(np.uint64))
@@ -206,17 +207,17 @@ def _sketching(weights: np.ndarray, k: int):
 
 
 def _features(k: int):
-    """doc and its shingles: sorted 32-bit hashes, repeated as often as they occur."""
+    """doc, hash of its words, and its shingles: sorted 32-bit hashes, repeated as often as they occur."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices_by_bytes(batch, "text", SLICE):
-                hash_, doc, _ = shingles(*text_buffer(part.column("text")), k)
+                hash_, doc, whole = shingles(*text_buffer(part.column("text")), k)
                 low = (hash_ & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 order = np.lexsort((low, doc))
                 ends = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
                 low = low[order]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([low[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(whole.view(np.int64)), pa.array([low[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["doc", "whole", "shingles"])
 
     return run
 
@@ -224,10 +225,11 @@ def _features(k: int):
 PREFIX = "doc long, total double, items array<struct<item:long,left:double>>"
 
 
-def _prefixes(weights: np.ndarray, k: int, threshold: float):
+def _prefixes(shared: Broadcast, k: int, threshold: float):
     """doc, its weight, and the shingles of which one is shared with each text that reaches the threshold, with the weight left from there on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
         for batch in batches:
             for part in slices_by_bytes(batch, "text", SLICE):
                 hash_, doc, _ = shingles(*text_buffer(part.column("text")), k)
@@ -251,32 +253,31 @@ def _prefixes(weights: np.ndarray, k: int, threshold: float):
     return run
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (key, doc) with the label of the doc's class."""
-    return rows.join(labels, rows["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-
-
-def rest_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame, weights: np.ndarray, k: int, threshold: float) -> DataFrame | None:
+def rest_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame, shared: Broadcast, k: int, threshold: float) -> tuple[DataFrame, int] | None:
     """Pairs (a, b) of different classes, among them all that reach the threshold in buckets of three or more; None if no bucket is mixed.
 
-    Texts of one class and one shingle are one row until a row of another class meets them, so a large class costs no pairs of its own.
+    Classes meet first, by their bounds for a shingle; only of classes that may hold a pair are the texts joined.
     """
-    here = _labelled(members, labels)
-    mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("key")
-    open_ = checkpoint(here.join(mixed, "key").select("doc", "label").distinct())
-    if open_.isEmpty():
+    many = members.filter("n > 2").select("key", "doc")
+    here = many.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+    mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    open_, seen = measured(here.join(mixed, "key").select("doc", "label").distinct(), n=F.count(F.lit(1)))
+    if not seen["n"]:
         return None
-    texts = maybe_among(docs, "doc", open_.select("doc")).filter("__among").select("doc", "text")
-    prefixes = checkpoint(texts.mapInArrow(_prefixes(weights, k, threshold), PREFIX).join(open_, "doc"))
+    texts = maybe_among(docs, "doc", open_.select("doc"), seen["n"]).filter("__among").select("doc", "text")
+    prefixes = checkpoint(texts.mapInArrow(_prefixes(shared, k, threshold), PREFIX).join(open_, "doc"))
     rows = prefixes.select("doc", "label", "total", F.explode("items").alias("x")).select("doc", "label", "total", "x.item", "x.left")
-    several = rows.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("item")
-    one = F.collect_list(F.struct("doc", "left", "total"))
-    groups = checkpoint(rows.join(several, "item").groupBy("item", "label").agg(F.max("left").alias("left"), F.min("total").alias("total"), one.alias("docs")))
-    x, y = (groups.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("label", "left", "total", "docs")]) for s in "xy")
+    of_class = rows.groupBy("item", "label").agg(F.max("left").alias("left"), F.min("total").alias("total"))
     enough = lambda l, m, t, u: F.least(l, m) >= (F.col(t) + F.col(u)) * (threshold / (1 + threshold) * (1 - SLACK))
-    met = x.join(y, "item").filter((F.col("label_x") < F.col("label_y")) & enough("left_x", "left_y", "total_x", "total_y"))
-    each = met.select(F.explode("docs_x").alias("x"), "docs_y").select("x", F.explode("docs_y").alias("y")).select("x.*", *[F.col(f"y.{c}").alias(f"{c}_y") for c in ("doc", "left", "total")])
-    return each.filter(enough("left", "left_y", "total", "total_y")).select(F.least("doc", "doc_y").alias("a"), F.greatest("doc", "doc_y").alias("b")).distinct()
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.select("item", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "item"])
+
+    fits = (F.col("label_x") < F.col("label_y")) & enough("left_x", "left_y", "total_x", "total_y")
+    met = side(of_class, "x").join(side(of_class, "y"), "item").filter(fits).select("item", "label_x", "label_y")
+    each = met.join(side(rows, "x"), ["item", "label_x"]).join(side(rows, "y"), ["item", "label_y"]).filter(fits)
+    pairs, seen = measured(each.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct(), n=F.count(F.lit(1)))
+    return pairs, seen["n"]
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
@@ -289,8 +290,9 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float
     return shared / total if total else 0.0
 
 
-def _verifying(weights: np.ndarray, threshold: float):
+def _verifying(shared: Broadcast, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
         for batch in batches:
             got = [weighted_jaccard(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32), weights) for a, b in zip(batch.column("fa"), batch.column("fb"))]
             mask = pa.array([g >= threshold for g in got])
@@ -299,67 +301,48 @@ def _verifying(weights: np.ndarray, threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, weights: np.ndarray, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts reach the threshold.  Only texts in pairs are shuffled."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    texts = maybe_among(docs, "doc", ids).filter("__among").select("doc", "text")
-    # Written once, read by both joins; so each join has plain exchanges on both sides, and a hot centre's pairs can be split.
-    features = checkpoint(texts.mapInArrow(_features(k), "doc long, shingles binary").dropDuplicates(["doc"]))
-    with_a = pairs.join(features.select(F.col("doc").alias("a"), F.col("shingles").alias("fa")), "a")
-    both = with_a.join(features.select(F.col("doc").alias("b"), F.col("shingles").alias("fb")), "b")
-    return both.select("a", "b", "fa", "fb").mapInArrow(_verifying(weights, threshold), "a long, b long, similarity double")
+def verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, shared: Broadcast, k: int, threshold: float) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of ids whose texts reach the threshold, and their number.  Only texts in pairs are shuffled; pairs of a hot text are dealt to several tasks."""
+    ids, seen = measured(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), n=F.count(F.lit(1)))
+    texts = maybe_among(docs, "doc", ids, seen["n"]).filter("__among").select("doc", "text")
+    found = texts.mapInArrow(_features(k), "doc long, whole long, shingles binary")
+    features = checkpoint(found.groupBy("doc").agg(F.min(F.struct("whole", "shingles")).alias("m")).select("doc", F.col("m.shingles").alias("shingles")))
+    both = pairs
+    for end in ("a", "b"):
+        counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        both = salted_join(both, features.select(F.col("doc").alias(end), F.col("shingles").alias(f"f{end}")), [end], n_pairs, counts=counts, salt=["a", "b"])
+    links, seen = measured(both.select("a", "b", "fa", "fb").mapInArrow(_verifying(shared, threshold), "a long, b long, similarity double"), n=F.count(F.lit(1)))
+    return links, seen["n"]
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, idf_share: float = 0.3, passes: int = 3) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, idf_share: float = 0.3) -> DataFrame:
     """id, class_id (the least id of the class), n_links (verified links of its text to different texts), one row for each document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = pick(docs, doc=id_col, text=text_col).select(F.col("doc").cast("long").alias("doc"), "text")
     named = rows.filter("doc is not null and text is not null")
     df, n = document_frequencies(named, shingle)
-    weights = idf_weights(df, n, idf_share)
-    sketch = checkpoint(named.mapInArrow(_sketching(weights, shingle), SKETCH))
+    shared = docs.sparkSession.sparkContext.broadcast(idf_weights(df, n, idf_share))  # 4 MB at any corpus size
+    sketch = checkpoint(named.mapInArrow(_sketching(shared, shingle), SKETCH))
     whole = ["whole", "check"]
-    texts = sketch.groupBy(*whole).agg(F.min(F.struct("doc", "bands")).alias("m")).select(*whole, "m.doc", "m.bands")
+    texts = checkpoint(sketch.groupBy(*whole).agg(F.min(F.struct("doc", "bands")).alias("m"), F.count("*").alias("n")).select(*whole, "m.doc", "m.bands", "n"))
     spread = texts.select("doc", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = checkpoint(spread.join(shared, "key"))  # in buckets of two or more
-    links = labels = tried = None
-    for p in range(passes):
-        if p == 0:
-            open_, centre = members.withColumn("label", F.col("doc")), F.min("doc")
-        else:
-            here = _labelled(members, labels)
-            mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            open_, centre = here.join(mixed, "key"), F.min_by("doc", F.xxhash64("doc", "key", F.lit(p)))
-        centres = open_.groupBy("key").agg(centre.alias("centre"))
-        # The centre's label is its own doc's; a member of the same class needs no comparison.
-        found = open_.join(centres, "key").filter("doc <> centre")
-        if p:
-            of_centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-            found = found.join(of_centre, "centre", "left").filter(F.col("label") != F.coalesce("centre_label", "centre"))
-        pairs = found.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
-        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = checkpoint(verified(pairs, named, weights, shingle, threshold))
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-    rest = rest_pairs(members, labels, named, weights, shingle, threshold) if labels is not None else None
-    if rest is not None:
-        rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
-        new = checkpoint(verified(rest, named, weights, shingle, threshold))
-        if not new.isEmpty():
-            links = links.unionByName(new)
+    centres = checkpoint(spread.groupBy("key").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).filter("n > 1"))
+    members = checkpoint(salted_join(spread, centres, ["key"], n * BANDS, counts=centres.select("key", "n")))
+    pairs, seen = measured(members.filter("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), n=F.count(F.lit(1)))
+    links, n_links = verified(pairs, seen["n"], named, shared, shingle, threshold) if seen["n"] else (None, 0)
+    labels = components(links) if n_links else docs.sparkSession.createDataFrame([], "node long, label long")
+    rest = rest_pairs(members, labels, named, shared, shingle, threshold)
+    if rest is not None and rest[1]:
+        new, n_new = verified(*rest, named, shared, shingle, threshold)
+        if n_new:
+            links = new if links is None else links.unionByName(new)
             labels = components(links)
-    if labels is None:
-        labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    if links is None:
         degree = docs.sparkSession.createDataFrame([], "node long, n_links long")
     else:
-        ends = links.select(F.explode(F.array("a", "b")).alias("node"))
-        degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_text = texts.select(*whole, F.col("doc").alias("node")).join(labels, "node", "left").join(degree, "node", "left")
     of_text = of_text.select(*whole, F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classed = sketch.select("doc", *whole).join(of_text, whole).select("doc", "class_id", "n_links")
+    classed = salted_join(sketch.select("doc", *whole), of_text, whole, n, counts=texts.select(*whole, "n"), salt=["doc"]).select("doc", "class_id", "n_links")
     rest = rows.select("doc", F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("words")).filter("doc is null or not words").select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return classed.unionByName(rest).withColumnRenamed("doc", id_col)
 
@@ -367,12 +350,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def keep_one(docs: DataFrame, classed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those whose class has a smaller id; of rows equal in id and text one stays.
 
-    Documents that surely stay as they are, mostly, are not shuffled.
+    Rows with null id stay, but for repeats.  Rows with one id and different texts go only if the classes of all their texts have a smaller
+    id.  Documents that surely stay as they are, mostly, are not shuffled.
     """
-    ids = classed.select(F.col(id_col).cast("long").alias("key"), "class_id").filter("key is not null")
-    fate = ids.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("key") != F.col("class_id")).alias("gone")).filter("gone or n > 1")
-    fate = checkpoint(fate.select(F.col("key").alias("__fate"), F.col("gone").alias("__gone")))
-    flagged = maybe_among(docs.withColumn("__key", F.col(id_col).cast("long")), "__key", fate)
-    stay = flagged.filter(~F.col("__among")).select(*docs.columns)
-    unsure = flagged.filter("__among").join(fate.filter("__gone"), F.col("__key") == F.col("__fate"), "left_anti").select(*docs.columns)
-    return stay.unionByName(unsure.dropDuplicates([id_col, text_col]))
+    ids = pick(classed, key=id_col, class_id="class_id").select(F.col("key").cast("long").alias("key"), "class_id").filter("key is not null")
+    fate = ids.groupBy("key").agg(F.count("*").alias("n"), F.every(F.col("key") != F.col("class_id")).alias("gone")).filter("gone or n > 1")
+    fate, seen = measured(fate.select(F.col("key").alias("__fate"), F.col("gone").alias("__gone")), n=F.count(F.lit(1)))
+    rows = numbered(docs)
+    flagged = maybe_among(rows.withColumn("__key", place(docs, id_col).cast("long")), "__key", fate, seen["n"])
+    stay = flagged.filter(~F.col("__among")).select(*rows.columns)
+    unsure = flagged.filter("__among").join(fate.filter("__gone"), F.col("__key") == F.col("__fate"), "left_anti")
+    once = unsure.withColumns({"__id": place(docs, id_col), "__text": place(docs, text_col)}).dropDuplicates(["__id", "__text"])
+    return stay.unionByName(once.select(*rows.columns)).toDF(*docs.columns)

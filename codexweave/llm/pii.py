@@ -1,8 +1,9 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts, in Spark functions only.
 
 Base entities (e-mail, IP address, card number, telephone number) are the seeds.  The word, and the two
-words, before a seed form lexical patterns of its kind.  All other words with a digit are candidates, with the same two
-contexts.  Patterns and instances (values) make a bipartite graph whose edges are summed
+words, before a seed form lexical patterns of its kind.  Candidates are groups of digits with spaces, brackets, dots, slashes or dashes
+between them (6 to 41 code points) and all other words of CANDIDATE_CHARS code points or more with a digit or an @; they have the
+same two contexts.  Patterns and instances (values) make a bipartite graph whose edges are summed
 over the corpus.  In each of `rounds` rounds a pattern's score is the mean score of the instances in
 its context, weighted by occurrences, and a candidate's score for a kind is the mean score of the patterns it
 stands in; seeds keep score 1 for their kind.  Patterns with `support` distinct seeds or more and a score of
@@ -10,7 +11,8 @@ stands in; seeds keep score 1 for their kind.  Patterns with `support` distinct
 (`ctx_email`, `ctx_ip`, `ctx_card`, `ctx_phone`).
 
 Defined results: null text counts as empty.  Rows with equal id and text get equal results, one row each.
-Spans are in code points, end exclusive.  A candidate inside a base span is none.
+Spans are in code points, end exclusive.  A candidate that overlaps a base span is none.  Contexts are read from the CONTEXT_CHARS code points
+before an entity: of a longer word only its end counts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import render, with_spans
-from .common import checkpoint, sha256
+from .common import checkpoint, measured, pick, salted_join, sha256
 
 # The base patterns.  Repeats are possessive and runs are entered at their start (or where the match
 # before ended), which changes no match and keeps the time linear.
@@ -29,11 +31,13 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "other": rf"(?:\G|(?<!{WORD}))[^\x20\x09-\x0D0-9]*+[0-9]{WORD}*+",
+    "other": rf"(?:\G|(?<!{WORD}))(?:\(?[+0-9][0-9()./\x20-]{{4,38}}[0-9](?!{WORD})|[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+)",
 }
 KINDS = ("email", "ip", "card", "phone")
 #: Code points before an entity that its context is taken from.
 CONTEXT_CHARS = 64
+#: Code points of a candidate, at least.
+CANDIDATE_CHARS = 6
 
 BASE = "array<struct<kind_no:int,start:int,end:int,kind:string,value:string,left:string>>"
 
@@ -47,7 +51,8 @@ def luhn(digits: Column) -> Column:
 def _keep(kind: str):
     only = lambda s: F.regexp_replace(s["value"], "[^0-9]", "")
     size = lambda s: F.length(only(s))
-    small = lambda s: F.forall(F.split(s["value"], r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.concat(F.lit("0"), F.right(p, F.lit(3))).cast("int") <= 255))
+    part = lambda p: F.ltrim(p, F.lit("0"))
+    small = lambda s: F.forall(F.split(s["value"], r"\."), lambda p: F.when(F.length(part(p)) <= 3, F.concat(F.lit("0"), part(p)).cast("int") <= 255).otherwise(False))
     return {
         "email": lambda s: F.lit(True),
         "ip": small,
@@ -57,12 +62,12 @@ def _keep(kind: str):
 
 
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (hash of the text), base entities by kind, then start, and the other words with a digit."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """id, key (hash of the text), base entities by kind, then start, and the candidates."""
+    rows = pick(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     spans = with_spans(rows, "text", PATTERNS, CONTEXT_CHARS)
     of_kind = lambda no, kind: F.transform(F.filter(kind, _keep(kind)), lambda s: F.struct(F.lit(no).alias("kind_no"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), s["left"].alias("left")))
     base = F.array_sort(F.concat(*[of_kind(no, kind) for no, kind in enumerate(KINDS)]))
-    out = spans.select("id", F.xxhash64("text").alias("key"), base.cast(BASE).alias("base"), F.filter("other", lambda s: F.length(s["value"]) >= 6).alias("other"))
+    out = spans.select("id", F.xxhash64("text").alias("key"), base.cast(BASE).alias("base"), F.filter("other", lambda s: F.length(s["value"]) >= CANDIDATE_CHARS).alias("other"))
     outside = F.filter("other", lambda o: ~F.exists("base", lambda s: (o["start"] < s["end"]) & (s["start"] < o["end"])))
     return out.withColumn("other", outside)
 
@@ -90,11 +95,15 @@ def learn(rows: DataFrame, rounds: int, support: int, confidence: float) -> Data
     patterns = seeds.groupBy("context", "kind").agg(F.count("*").alias("seeds"), F.sum("n").alias("hits")).filter(F.col("seeds") >= support)
     totals = edges.groupBy("context").agg(F.sum("n").alias("all"))
     patterns = checkpoint(patterns.join(totals, "context"))
-    unseen = checkpoint(edges.filter("kind = ''").select("context", "value", "n").join(patterns.select("context").distinct(), "context", "left_semi"))
+    nodes = patterns.select("context").distinct()
+    unseen, seen = measured(edges.filter("kind = ''").select("context", "value", "n").join(nodes, "context", "left_semi"), n=F.count(F.lit(1)))
+    by = {c: checkpoint(unseen.groupBy(c).agg(F.count("*").alias("n"))) for c in ("context", "value")}
     scores = patterns.select("context", "kind", (F.col("hits") / F.col("all")).alias("score"))
     for _ in range(rounds):
-        instance = unseen.join(scores, "context").groupBy("value", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("belief"))
-        credit = unseen.join(instance, "value").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("credit"))
+        scored = salted_join(unseen, scores, ["context"], seen["n"], counts=by["context"], salt=["value"])
+        instance = scored.groupBy("value", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("belief"))
+        believed = salted_join(unseen, instance, ["value"], seen["n"], counts=by["value"], salt=["context"])
+        credit = believed.groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("credit"))
         joined = patterns.join(credit, ["context", "kind"], "left")
         scores = checkpoint(joined.select("context", "kind", ((F.col("hits") + F.coalesce("credit", F.lit(0.0))) / F.col("all")).alias("score")))
     return scores.filter(F.col("score") >= confidence)
@@ -102,10 +111,10 @@ def learn(rows: DataFrame, rounds: int, support: int, confidence: float) -> Data
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """id, key, base and spans (arrays with kind, start, end), one row for each document."""
-    rows = checkpoint(found(docs, id_col, text_col))
-    accepted = learn(rows, rounds, support, confidence)
+    rows, seen = measured(found(docs, id_col, text_col), n=F.sum(F.size("other")))
+    accepted = checkpoint(learn(rows, rounds, support, confidence))
     other = rows.select("id", "key", F.explode("other").alias("s")).select("id", "key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.explode(contexts(F.col("s.left"))).alias("context"))
-    hit = other.join(accepted, "context").groupBy("id", "key", "start", "end").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
+    hit = salted_join(other, accepted, ["context"], 2 * seen["n"], salt=["id", "start"]).groupBy("id", "key", "start", "end").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
     number = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, len(KINDS) + i)]), F.col("kind"))
     per_text = hit.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct(number.alias("kind_no"), "start", "end", F.concat(F.lit("ctx_"), "kind").alias("kind")))).alias("more"))
     left, right = rows.select("id", "key", "base").alias("l"), per_text.alias("r")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES
+from .common import SLICE_BYTES, pick
 from .words import mix, separator_table, slices_by_bytes, split_words, text_buffer, window_hash, window_ok
 
 _TABLE = separator_table()
@@ -137,7 +137,7 @@ RULES = (
 )
 
 
-def pick(s: Stats, rows: np.ndarray) -> Stats:
+def part_of(s: Stats, rows: np.ndarray) -> Stats:
     return Stats(*(x[rows] for x in s))
 
 
@@ -163,7 +163,7 @@ def cascade(texts: list[str | None], s: Stats, order: list[str], rules: tuple[Ru
     for name in order:
         if not len(left):
             break
-        bad = by_name[name].rejects([texts[i] or "" for i in left], pick(s, left))
+        bad = by_name[name].rejects([texts[i] or "" for i in left], part_of(s, left))
         why[left[bad]] = name
         left = left[~bad]
     kept = np.zeros(len(texts), bool)
@@ -176,7 +176,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 
     The sample only orders the rules: `sample_rows` rows, and of each the first `sample_chars` code points.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = pick(docs, id=id_col, text=text_col)
     ids = source.select("id").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     sample = [r["t"] for r in source.join(F.broadcast(ids.distinct()), "id").select(F.substring("text", 1, sample_chars).alias("t")).limit(sample_rows).collect()]
     order = plan([t for t in sample if t])

@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), owner="source", repository=F.concat_ws("/", "source", "lang"))
+    found = secrets.scan(table(spark, sf_dir, "documents"), owner="source", repository=("source", "lang"))
     return secrets.digests(found)
 
 

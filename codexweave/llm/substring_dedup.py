@@ -16,7 +16,7 @@ Load.  Payloads are binary columns, one row for each slice of text and bucket; a
 documents.  Before anything is sent, each
 slice sums up its own equal fingerprints, so a passage that a third of all documents share costs a bucket
 one entry per slice and not one per document.  The number of buckets follows the amount of text.  Documents
-without anchors are told apart by a bitmap (8 MB at most, at any corpus size) and are not shuffled; a false
+without anchors are told apart by a bitmap (64 MB at most, at any corpus size) and are not shuffled; a false
 alarm there costs work only.
 
 Defined results: null text has no words.  A row with null id keeps its text and removes nothing.  Rows with equal ids
@@ -29,10 +29,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, checkpoint, shuffle_partitions, text_bytes
+from .common import SLICE_BYTES, checkpoint, maybe_among, pick, shuffle_partitions, text_bytes
 from .words import Words, separator_table, slices_by_bytes, split_words, text_buffer, window_hash, window_ok
 
 _TABLE = separator_table()
@@ -277,28 +277,13 @@ def _cutting(window: int):
     return run
 
 
-def maybe_among(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
-    """rows with a flag `__among`: false only if the key is surely not in ids (one column, checkpointed by the caller).
-
-    The bitmap has about 32 bits for each id, and `most_bits` (8 MB) at most; that is all that is broadcast.
-    """
-    bits = min(most_bits, max(1 << 15, 1 << (32 * ids.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    spot = ids.select(place(F.col(ids.columns[0])).alias("p"))
-    maps = spot.groupBy(F.bitmap_bucket_number("p").alias("__no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
-    bit: Column = F.bitmap_bit_position(place(F.col(key)))
-    byte = F.conv(F.hex(F.substring("__map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col(key))) == F.col("__no"), "left")
-    return joined.withColumn("__among", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("__no", "__map")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """id, n_words, n_removed, kept (kept words joined by one space), spans (maximal removed word spans, end exclusive)."""
     if window % 2:
         raise ValueError("the window must be even: blocks are half a window")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = pick(docs, doc=id_col, text=text_col)
     named = rows.select(F.col("doc").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
-    buckets = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs, text_col) // BUCKET_BYTES))
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(rows) // BUCKET_BYTES))
     probes = named.mapInArrow(_probing(window, buckets), PAYLOAD)
 
     def gathered(payload: DataFrame, answer, kind: type) -> DataFrame:

@@ -9,7 +9,7 @@ overlap holds no such position it is doubled, and in the end the chunk itself gr
 rest of the text: the count is always that of the whole text.
 
 The proof needs a model that leaves characters as they are (spaces apart).  The splitter checks
-each chunk's normal form and encodes the text as a whole if it differs.
+the normal form of every chunk and encodes the text as a whole if one differs.
 
 Defined results: null or empty text: 0 bytes, 0 tokens.  Rows with equal ids are counted
 separately.  Columns besides id and text are not looked at.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES
+from .common import SLICE_BYTES, pick
 from .words import slices_by_bytes
 
 SPACE = "▁"  # how the vocabulary writes a space
@@ -86,7 +86,7 @@ class Splitter:
         yield done, n, sum(b >= done for b in starts)
 
     def count(self, text: str, chunk: int, overlap: int) -> int:
-        if len(text) <= chunk or not self.plain(text[:chunk]):
+        if len(text) <= chunk or not all(self.plain(text[i : i + chunk + 1]) for i in range(0, len(text), chunk)):  # chunks share a character, so that every pair is seen
             return self.count_whole([text])[0]
         return sum(k for _, _, k in self.pieces(text, chunk, overlap))
 
@@ -108,7 +108,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                 counts = [next(short) if len(t) <= chunk_chars else s.count(t, chunk_chars, overlap_chars) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(counts, pa.int64()), pa.array([int(len(t) > chunk_chars) for t in texts], pa.int64())], names=["id", "n_bytes", "n_tokens", "n_chunked"])
 
-    cols = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
+    cols = pick(docs, id=id_col, text=text_col).select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     kind = cols.schema["id"].dataType.simpleString()
     out = cols.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, n_chunked long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chunked")

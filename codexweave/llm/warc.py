@@ -1,6 +1,7 @@
 """WARC archives: writing, reading back, and an index merged from locally sorted runs.
 
-Writing.  Payload digests decide which records are revisits.  Each task sorts its records by URL key and
+Writing.  Payload digests decide which records are revisits.  Only ids and digests of large payloads are shuffled for that; a payload itself moves only
+if it is the response that others revisit (or, rarely, taken for one).  Each task sorts its records by URL key and
 timestamp and packs them into segments of about `segment_bytes`; each segment becomes one gzip file, written
 by Spark's text sink (a lost task is written again).  A file is thus a locally sorted capture run.
 
@@ -25,13 +26,14 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, shuffle_partitions
+from .common import ensure_checkpoint_dir, maybe_among, measured, numbered, place, remove, salted_join, shuffle_partitions
 
 END = "\r\n\r\n"
 ENTRY = "url_key string, ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, run string, seq long, at long, length long"
@@ -44,15 +46,30 @@ def url_key(url: Column) -> Column:
     return F.coalesce(F.concat(F.concat_ws(",", F.reverse(F.split(host, r"\."))), F.lit(")"), F.lower(rest)), F.lit(""))
 
 
-def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, ts: Column, revisit_bytes: int) -> DataFrame:
-    """Adds record type and reference.  Groups of equal payloads are reduced to their largest id before anything is joined."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z")).alias("ts"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("digest"))
-    large = rows.filter(F.col("payload_bytes") >= revisit_bytes)
-    first = large.groupBy("digest").agg(F.max("page_id").alias("master"), F.count("*").alias("n")).filter("n > 1 and master is not null").select(F.col("digest").alias("of"), "master")
-    joined = rows.join(first, (F.col("digest") == F.col("of")) & (F.col("payload_bytes") >= revisit_bytes), "left")
-    revisit = F.col("master").isNotNull() & ~F.col("master").eqNullSafe(F.col("page_id"))
-    return joined.select(url_key(F.col("url")).alias("url_key"), "ts", "page_id", "url", "payload_bytes", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("master")).alias("refers_to"), F.when(~revisit, F.col("html")).alias("html"))
+def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, ts: Column | None, revisit_bytes: int) -> DataFrame:
+    """Adds record type and reference; revisits have no html.  Equal payloads are reduced to their largest id before anything is joined."""
+    html, id_ = F.coalesce(place(pages, html_col), F.lit("")), place(pages, id_col)
+    if ts is None:  # the table has no capture time: one capture a second, by page id
+        ts = F.timestamp_seconds(F.lit(1704067200) + id_)
+    rows = numbered(pages).select(id_.alias("page_id"), F.coalesce(place(pages, url_col), F.lit("")).alias("url"), F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z")).alias("ts"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("digest"))
+    count = F.count(F.lit(1))
+    large, seen = measured(rows.drop("html").filter(F.col("payload_bytes") >= revisit_bytes), n=count)
+    first, several = measured(large.groupBy("digest").agg(F.max("page_id").alias("master"), F.count("*").alias("n")).filter("n > 1 and master is not null"), n=count)
+    flagged = maybe_among(rows, "digest", first.select("digest"), several["n"]).withColumn("__among", F.col("__among") & (F.col("payload_bytes") >= revisit_bytes))
+    copied = salted_join(large, first.select("digest", "master"), ["digest"], seen["n"], counts=first.select("digest", "n"), salt=["page_id", "url"])
+    revisits = copied.filter(~F.col("master").eqNullSafe(F.col("page_id")))
+    # Large payloads that may be copies and yet are responses: the masters, and those that the bitmap took for copies.
+    key = F.xxhash64("page_id", "digest")
+    alarms = maybe_among(large, "digest", first.select("digest"), several["n"]).filter("__among").join(first.select("digest"), "digest", "left_anti")
+    masters = first.select(F.col("master").alias("page_id"), "digest")
+    responses, n = measured(alarms.select("page_id", "digest").unionByName(masters).select(key.alias("__response")).distinct(), n=count)
+    near = maybe_among(flagged.filter("__among").drop("__among").withColumn("__key", key), "__key", responses, n["n"]).filter("__among")
+    moved = near.join(responses, F.col("__key") == F.col("__response"), "left_semi")
+    none = F.lit(None).cast("long")
+    out = [df.select("page_id", "url", "ts", "payload_bytes", "digest", F.lit("response").alias("record_type"), none.alias("refers_to"), "html") for df in (flagged.filter(~F.col("__among")), moved)]
+    out.append(revisits.select("page_id", "url", "ts", "payload_bytes", "digest", F.lit("revisit").alias("record_type"), F.col("master").cast("long").alias("refers_to"), F.lit(None).cast("string").alias("html")))
+    every = reduce(DataFrame.unionByName, out)
+    return every.select(url_key(F.col("url")).alias("url_key"), "*")
 
 
 def record(row: dict[str, Any]) -> bytes:
@@ -95,8 +112,7 @@ def _packing(segment_bytes: int):
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts: Column | None = None, revisit_bytes: int = 1000, segment_bytes: int = 8 << 20) -> None:
-    if ts is None:  # the table has no capture time: one capture a second, by page id
-        ts = F.timestamp_seconds(F.lit(1704067200) + F.col(id_col))
+    """Records of all pages as gzip files in `path`.  `ts`: a column over numbered(pages); without it, one capture a second by page id."""
     records = decide(pages, id_col, url_col, html_col, ts, revisit_bytes).sortWithinPartitions("url_key", "ts", "page_id")
     records.mapInArrow(_packing(segment_bytes), "value string").write.option("lineSep", END).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
@@ -182,9 +198,12 @@ class LoserTree:
             self._play(i)
 
 
-def merge_index(entries: DataFrame, partitions: int | None = None, rows_per_partition: int = 200_000) -> DataFrame:
-    """All entries in order of URL key, timestamp and page, merged from the runs; the partitions are in order, too."""
-    n = partitions or max(shuffle_partitions(entries.sparkSession), -(-entries.count() // rows_per_partition))
+def merge_index(entries: DataFrame, partitions: int, rows: int | None = None, rows_per_partition: int = 100_000) -> DataFrame:
+    """All entries in order of URL key, timestamp and page, merged from the runs; the partitions are in order, too.
+
+    `partitions` at least; more of them if `rows` would give one more than `rows_per_partition`.
+    """
+    n = max(partitions, -(-(rows or 0) // rows_per_partition))
     order = ["url_key", "ts", "page_id", "run", "seq"]
     dealt = entries.repartitionByRange(n, *order).sortWithinPartitions("run", "seq")
     names = entries.columns
@@ -207,10 +226,17 @@ def merge_index(entries: DataFrame, partitions: int | None = None, rows_per_part
     return dealt.mapInArrow(run, entries.schema)
 
 
-def capture_index(pages: DataFrame, **options: Any) -> DataFrame:
-    """Write pages as archives into the shared folder, read them back, merge the index."""
+def capture_index(pages: DataFrame, path: str | None = None, **options: Any) -> DataFrame:
+    """Write pages as archives, read them back, merge the index.
+
+    The archives stay in `path`; without one they are written to the shared folder and removed when they have been read.  Every page
+    gives one entry, repeated rows too; an empty table gives none.
+    """
     spark = pages.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path, **options)
-    return merge_index(read_archives(spark, path))
+    at = path or f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, at, **options)
+    entries, seen = measured(read_archives(spark, at), n=F.count(F.lit(1)))  # parsed once
+    if path is None:
+        remove(spark, at)
+    return merge_index(entries, shuffle_partitions(spark), seen["n"])
