@@ -260,37 +260,37 @@ def encoder(tokenizer_file: str) -> Encoder:
     return Encoder(tokenizer_file)
 
 
-def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decode: bool = True) -> DataFrame:
-    """id, `keep`, n_tokens, ids (array of int) and, unless `decode` is off, the decoded text of every document."""
-    out = _run(docs, tokenizer_file, id_col, text_col, keep, digests=False, decode=decode)
-    return out if decode else out.drop("decoded")
+def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: str = "text") -> DataFrame:
+    """id, `keep`, n_tokens, ids (array of int) and the decoded text of every document, or with decoded="digest" its SHA-256."""
+    return _run(docs, tokenizer_file, id_col, text_col, keep, False, decoded == "digest")
 
 
 def encode_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """As encode(), with n_tokens and SHA-256 of the ids (decimal, joined by spaces) and of the decoded text instead."""
-    return _run(docs, tokenizer_file, id_col, text_col, keep, digests=True)
+    return _run(docs, tokenizer_file, id_col, text_col, keep, True, True)
 
 
-def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, keep: tuple[str, ...], digests: bool, decode: bool = True) -> DataFrame:
+def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, keep: tuple[str, ...], hash_ids: bool, hash_text: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_file)
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             # Token ids take more room than digests, so fewer texts are held at once.
-            for part in slices_by_bytes(batch, "__text", SLICE_BYTES if digests else SLICE_BYTES // 16):
+            for part in slices_by_bytes(batch, "__text", SLICE_BYTES if hash_ids else SLICE_BYTES // 16):
                 counts, ids, decoded = [], [], []
                 for text in part.column("__text"):
                     line, back = e.both(text.as_py() or "")
                     counts.append(line.count(" ") + 1 if line else 0)
-                    ids.append(hashlib.sha256(line.encode()).hexdigest() if digests else np.array(line.split(), np.int32))
-                    decoded.append(hashlib.sha256(back.encode()).hexdigest() if digests else back if decode else None)
+                    ids.append(digest(line) if hash_ids else np.array(line.split(), np.int32))
+                    decoded.append(digest(back) if hash_text else back)
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
-                id_column = pa.array(ids, pa.string()) if digests else pa.ListArray.from_arrays(np.cumsum([0, *counts]).astype(np.int32), np.concatenate(ids))
+                id_column = pa.array(ids, pa.string()) if hash_ids else pa.ListArray.from_arrays(np.cumsum([0, *counts]).astype(np.int32), np.concatenate(ids))
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), id_column, pa.array(decoded, pa.string())], names=[*part.schema.names[:-1], "n_tokens", "a", "b"])
 
     names = list(dict.fromkeys([id_col, *keep]))
     cols: list[Column] = [place(docs, c).alias(f"__k{i}") for i, c in enumerate(names)]
     source = numbered(docs).select(*cols, place(docs, text_col).alias("__text"))
     schema = "".join(f"__k{i} {f.dataType.simpleString()}, " for i, f in enumerate(source.schema.fields[:-1]))
-    out = source.mapInArrow(run, schema + f"n_tokens long, a {'string' if digests else 'array<int>'}, b string")
-    names_out = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)], "n_tokens", F.col("a").alias(names_out[0]), F.col("b").alias(names_out[1]))
+    out = source.mapInArrow(run, schema + f"n_tokens long, a {'string' if hash_ids else 'array<int>'}, b string")
+    ids, text = "ids_sha256" if hash_ids else "ids", "decoded_sha256" if hash_text else "decoded"
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(names)], "n_tokens", F.col("a").alias(ids), F.col("b").alias(text))
