@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, numbered, place
+from .common import SLICE_BYTES, hold, numbered, place
 from .words import slices_by_bytes
 
 CACHE_WORDS = 200_000
@@ -272,6 +272,7 @@ def encode_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
 
 def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, keep: tuple[str, ...], hash_ids: bool, hash_text: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", encoder.cache_clear)
         e = encoder(tokenizer_file)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:

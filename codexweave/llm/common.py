@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
@@ -37,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def hold(name: str, drop: Callable[[], object]) -> None:
+    """In a worker: `name` keeps tables from task to task, which drop() lets go of.  What other operators have kept goes now."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    _held[name] = drop
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns named c0, c1, ... by place, so that no name of theirs can clash with another or be ambiguous."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

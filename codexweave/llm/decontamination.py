@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, maybe_among, numbered, pick, place, text_bytes
+from .common import checkpoint, hold, maybe_among, numbered, pick, place, text_bytes
 
 # What separates words after lower-casing A-Z.
 _SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -177,6 +177,7 @@ def searcher(items: Broadcast, block: str, window: int) -> Searcher:
 
 def _searching(block: Broadcast, name: str, window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontamination", _known.clear)
         tables = searcher(block, name, window)
         for batch in batches:
             counts, spans, names = [], [], []

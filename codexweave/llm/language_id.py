@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, numbered, pick, place
+from .common import SLICE_BYTES, hold, numbered, pick, place
 from .words import slices_by_bytes
 
 #: Languages whose compressors a task holds at once.
@@ -51,7 +51,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     bounds = labelled.sparkSession.createDataFrame([(k, min(1 << 30, (4 * docs_per_lang << 30) // n)) for k, n in counts.items()], "lang string, bound long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "id"))
-    few = labelled.select("id", "lang").join(F.broadcast(bounds), "lang").filter(spot <= F.col("bound")).select("id", "lang")
+    few = labelled.select("id", "lang").join(F.broadcast(bounds), "lang").filter(spot <= F.col("bound")).select("id", "lang").distinct()
     chosen = few.withColumn("k", rank).filter(F.col("k") <= docs_per_lang).select("id", "lang", "k")
     picked = chosen.distinct().limit(docs_per_lang * len(langs))  # a proven bound for the broadcast
     share = max(64, dict_bytes // docs_per_lang)
@@ -109,6 +109,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     frozen = tuple(content.items())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language_id", compressors.cache_clear)
         for batch in batches:
             for part in slices_by_bytes(batch, "__text", SLICE_BYTES):
                 got = classify(part.column("__text").to_pylist(), frozen, block_bytes, level)

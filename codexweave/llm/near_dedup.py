@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, checkpoint, maybe_among, measured, numbered, pick, place, salted_join, shuffle_partitions
+from .common import SLICE_BYTES, checkpoint, hold, maybe_among, measured, numbered, pick, place, salted_join, shuffle_partitions
 from .components import components
 from .words import mix, separator_table, slices_by_bytes, split_words, text_buffer, window_hash
 
@@ -49,7 +49,7 @@ SEGMENTS = 256
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 #: Text that is sampled at once; about thirty numbers of 8 bytes are held for each of its words.
-SLICE = SLICE_BYTES // 4
+SLICE = SLICE_BYTES // 8
 #: Room for rounding in bounds of weights.
 SLACK = 1e-6
 #: Tries to borrow a sample for an empty bin before the next filled bin is taken.
@@ -95,6 +95,7 @@ def document_frequencies(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     width = CELLS // SEGMENTS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dedup", _donors.cache_clear)
         total, n = np.zeros(CELLS, np.uint32), 0
         for batch in batches:
             for part in slices_by_bytes(batch, "text", SLICE):
@@ -191,6 +192,7 @@ SKETCH = "doc long, whole long, check long, bands array<long>"
 
 def _sketching(shared: Broadcast, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dedup", _donors.cache_clear)
         for batch in batches:
             for part in slices_by_bytes(batch, "text", SLICE):
                 hash_, doc, whole = shingles(*text_buffer(part.column("text")), k)

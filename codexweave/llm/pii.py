@@ -31,7 +31,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "other": rf"(?:\G|(?<!{WORD}))(?:\(?[+0-9][0-9()./\x20-]{{4,38}}[0-9](?!{WORD})|[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+)",
+    "other": rf"(?:\G|(?<!{WORD}))(?:\(?[+0-9][0-9()./\x20-]{{4,38}}[0-9](?![\p{{L}}0-9@])|[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+)",
 }
 KINDS = ("email", "ip", "card", "phone")
 #: Code points before an entity that its context is taken from.

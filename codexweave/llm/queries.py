@@ -78,6 +78,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 finds by the base rules alone."""
+    return op5_quality_rules(spark, sf_dir).drop("kept")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 counts by the base patterns alone."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 counts by the base patterns alone."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -89,7 +104,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "quality_base": quality_base,
+    "pii_base": pii_base,
+    "secret_base": secret_base,
 }
+
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 ORACLES: dict[str, str] = {
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -100,4 +122,70 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND master <> page_id THEN master END AS refers_to
         FROM m
     """,
+    "op2_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+        least_of AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least_of USING (k) WHERE d < doc_id),
+        word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_FOLDED} AS ws FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+        bm AS (SELECT item, ws, least(10, len(ws)) AS m FROM b WHERE len(ws) > 0),
+        bw AS (SELECT DISTINCT item, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS k FROM (SELECT item, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM bm)),
+        sizes AS (SELECT DISTINCT m FROM bw),
+        dw AS (SELECT doc_id, m, i, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS k FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, sizes)),
+        hit AS (SELECT doc_id, i, m, item FROM dw JOIN bw USING (m, k)),
+        word AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
+        item AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(item.n, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+    """,
+    "quality_base": f"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+        line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w),
+        dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, x, count(*) AS n FROM line WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, x) GROUP BY doc_id),
+        win AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 7), ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+        twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+        inside AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+               CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+               CAST(coalesce(inside.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(inside.n, 0) > 30 * len(ws) AS base_failed
+        FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN inside USING (doc_id)
+    """,
+    "pii_base": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        f AS (
+            SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+')) AS v FROM d
+            UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(t, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')) FROM d
+            UNION ALL SELECT doc_id, 'card', unnest(regexp_extract_all(t, '[0-9]([ -]?[0-9])+')) FROM d
+            UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(t, '[+][0-9][ ().0-9-]+[0-9]')) FROM d
+        ),
+        g AS (SELECT doc_id, kind, v, {_DIGITS} AS digits FROM f),
+        luhn AS (SELECT doc_id, kind, v, digits, sum(CASE WHEN (length(digits) - i) % 2 = 0 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END) AS s
+            FROM (SELECT doc_id, kind, v, digits, r, unnest(range(1, length(digits) + 1)) AS i, CAST(unnest(string_split(digits, '')) AS INTEGER) AS x FROM (SELECT *, row_number() OVER () AS r FROM g WHERE kind = 'card' AND length(digits) BETWEEN 16 AND 19))
+            GROUP BY doc_id, kind, v, digits, r),
+        n AS (
+            SELECT doc_id, kind FROM g WHERE kind = 'email' OR (kind = 'phone' AND length(digits) BETWEEN 8 AND 15)
+                OR (kind = 'ip' AND regexp_full_match(v, '(0*([0-9]{{1,2}}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])[.]){{3}}0*([0-9]{{1,2}}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])'))
+            UNION ALL SELECT doc_id, kind FROM luhn WHERE s % 10 = 0
+        )
+        SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone
+        FROM d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+    """,
+    "secret_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        a AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) AS v FROM d),
+        k AS (SELECT doc_id, unnest(regexp_extract_all(t, 'AKIA[A-Z0-9]+')) AS v FROM d),
+        h AS (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9a-f]+')) AS v FROM d),
+        n AS (SELECT doc_id, 'assign' AS kind FROM a WHERE length(v) >= 8 UNION ALL SELECT doc_id, 'access' FROM k WHERE length(v) >= 16 UNION ALL SELECT doc_id, 'hex' FROM h WHERE length(v) >= 32)
+        SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex
+        FROM d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+    """,
 }

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, pick
+from .common import SLICE_BYTES, hold, pick
 from .words import slices_by_bytes
 
 SPACE = "▁"  # how the vocabulary writes a space
@@ -100,6 +100,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     """id, n_bytes, n_tokens, over_limit (more than `limit` tokens) and n_chunked (1 for a text counted in chunks)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token_counts", splitter.cache_clear)
         s = splitter(model_file)
         for batch in batches:
             for part in slices_by_bytes(batch, "text", SLICE_BYTES):
