@@ -25,11 +25,12 @@ def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_substring(x or "", y or "") for x, y in zip(a, b)])
 
 
+_BAR = re.compile(r"\|(?![^\[\]]*\]\])")  # a bar outside [[...]]
 _TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
 
 
 def _longest_argument(m: re.Match) -> str:
-    parts = [p for p in m[1].split("|")[1:] if "=" not in p]
+    parts = [p for p in _BAR.split(m[1])[1:] if "=" not in p]
     return max(parts, key=len, default="")
 
 

@@ -12,20 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import grams_of
+from ..operators.facts import small
+from ..operators.graph import checkpoint
 from ..operators.ordered import top_n
 
 # Interpolation weights, log buckets.
 W3, W2, W1, FLOOR = 0.55, 0.30, 0.15, 0.02
 BUCKETS, BUCKET_SCALE = 63, 6
+#: Rows of a model that are broadcast, at most; a larger one is shuffled.
+MODEL_ROWS = 1_000_000
+
+
+def _side(table: DataFrame) -> DataFrame:
+    """The table, broadcast if a count of its rows allows."""
+    return F.broadcast(table) if small(table, MODEL_ROWS) else table
 
 
 def gram_counts(texts: DataFrame, text: str, orders: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, gram, cnt.  Summed up per task before the shuffle."""
-    parts = [texts.select(*keys, F.lit(n).alias("n"), F.explode(grams_of(text, n)).alias("gram")) for n in orders]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*keys, "n", "gram").agg(F.count("*").alias("cnt"))
+    every = F.concat(*[grams_of(text, n) for n in orders])  # one pass over the texts; a gram's length is its order
+    return texts.select(*keys, F.explode(every).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("cnt")).select(*keys, F.length("gram").alias("n"), "gram", "cnt")
 
 
 def top_table(counts: DataFrame, caps: Mapping[int, int], keys: Sequence[str] = ()) -> DataFrame:
@@ -100,7 +106,8 @@ def perplexity(texts: DataFrame, text: str, keys: Sequence[str], table: DataFram
 
     Trigrams of a text are counted before they meet the model.  `model` names key columns shared by texts and table.
     """
-    uni, bi, tri = model_weights(table, model)
+    # The table is counted once; common grams are in every text, so a model within the bound is broadcast and no text is shuffled by gram.
+    uni, bi, tri = (_side(t) for t in model_weights(checkpoint(table), model))
     on = list(model)
     ids = list(dict.fromkeys([*keys, *on]))
     grams = texts.filter(F.length(text) >= least).select(*ids, F.explode(grams_of(text, 3)).alias("abc")).groupBy(*ids, "abc").agg(F.count("*").alias("m"))
@@ -116,16 +123,16 @@ def perplexity(texts: DataFrame, text: str, keys: Sequence[str], table: DataFram
 def trigram_entropy(texts: DataFrame, text: str, keys: Sequence[str], train: DataFrame, train_text: str, k: float = 0.05) -> DataFrame:
     """keys, bits: cross-entropy per character under an additively smoothed trigram model; fewer than three characters give 0.
 
-    As in the original, a training text counts its bigrams without the last one.
+    As in the original, a training text counts its bigrams without the last one, which is how often trigrams begin with them.
     """
-    counts = gram_counts(train, train_text, (1, 3))
-    heads = train.select(F.explode(F.slice(grams_of(train_text, 2), F.lit(1), F.greatest(F.length(train_text) - 2, F.lit(0)))).alias("ab")).groupBy("ab").agg(F.count("*").alias("bg"))
+    counts = checkpoint(gram_counts(train, train_text, (1, 3)))
+    heads = counts.filter("n = 3").groupBy(F.substring("gram", 1, 2).alias("ab")).agg(F.sum("cnt").alias("bg"))
     uni = counts.filter("n = 1").select(F.col("gram").alias("c"), F.col("cnt").alias("un"))
     tri = counts.filter("n = 3").select(F.col("gram").alias("abc"), F.col("cnt").alias("tg"))
     size = uni.agg(F.sum("un").alias("total"), F.count("*").alias("v"))
     grams = texts.filter(F.length(text) >= 3).select(*keys, F.explode(grams_of(text, 3)).alias("abc")).groupBy(*keys, "abc").agg(F.count("*").alias("m"))
     seen = grams.withColumn("ab", F.substring("abc", 1, 2)).withColumn("c", F.substring("abc", 3, 1))
-    joined = seen.join(tri, "abc", "left").join(heads, "ab", "left").join(uni, "c", "left").crossJoin(F.broadcast(size))
+    joined = seen.join(_side(tri), "abc", "left").join(_side(heads), "ab", "left").join(_side(uni), "c", "left").crossJoin(F.broadcast(size))
     tg, bg, un = (F.coalesce(x, F.lit(0)) for x in ("tg", "bg", "un"))
     back = un / F.greatest("total", F.lit(1))
     p = F.when(bg > 0, (tg + k * F.col("v") * back) / (bg + k * F.col("v"))).otherwise(back)
@@ -133,6 +140,20 @@ def trigram_entropy(texts: DataFrame, text: str, keys: Sequence[str], train: Dat
     return scored.unionByName(texts.filter(F.length(text) < 3).select(*keys, F.lit(0.0).alias("bits")))
 
 
+def cross_halves(texts: DataFrame, text: str, keys: Sequence[str], half: Column, k: float = 0.05, in_sample: bool = False) -> DataFrame:
+    """keys, model, bits: texts of each half scored by the model of the other; with `in_sample` also by that of their own.
+
+    `half` is true for the first half; null is in neither.  No text is scored by a model that has seen it unless asked.
+    """
+    halved = texts.withColumn("__half", half)
+    out = None
+    for first in (True, False):
+        scored = halved.filter("__half is not null") if in_sample else halved.filter(F.col("__half") != first)
+        part = trigram_entropy(scored, text, keys, halved.filter(F.col("__half") == first), text, k).withColumn("model", F.lit("first" if first else "second"))
+        out = part if out is None else out.unionByName(part)
+    return out.select(*keys, "model", "bits")
+
+
 def pack_samples(rows: DataFrame, id_col: str, text: str, seed: int, size: int, least: int, n: int) -> DataFrame:
     """sample, text: texts of `least` characters or more in an order given by a seeded hash, packed into samples of about `size` characters; the first n.
 

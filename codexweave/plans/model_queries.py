@@ -179,16 +179,33 @@ def spectrum(spark, sf_dir):
     return scored.select("doc_id", F.col("model").alias("fold"), F.round("ppl", 4).alias("ppl"))
 
 
-@query("cross_entropy", f"""WITH {CH}, z AS (SELECT doc_id, chapter, {_Z} AS text FROM chapters), tr AS (SELECT text FROM z WHERE chapter <= {SPLIT}), u AS (SELECT gram AS c, count(*) AS un FROM ({_grams_sql(1, 'tr')}) GROUP BY ALL), t AS (SELECT gram AS abc, count(*) AS tg FROM ({_grams_sql(3, 'tr')}) GROUP BY ALL),
+def _entropy_sql(train: str, scored: str) -> str:
+    return f"""WITH {CH}, z AS (SELECT doc_id, chapter, {_Z} AS text FROM chapters), tr AS (SELECT text FROM z WHERE {train}), u AS (SELECT gram AS c, count(*) AS un FROM ({_grams_sql(1, 'tr')}) GROUP BY ALL), t AS (SELECT gram AS abc, count(*) AS tg FROM ({_grams_sql(3, 'tr')}) GROUP BY ALL),
     b AS (SELECT ab, count(*) AS bg FROM (SELECT unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1])) AS ab FROM (SELECT string_split(text, '') AS c FROM tr)) GROUP BY ALL), k AS (SELECT CAST(sum(un) AS DOUBLE) AS total, count(*) AS v FROM u),
-    m AS (SELECT doc_id, abc, count(*) AS m FROM (SELECT doc_id, {_list_sql(3)} AS abc FROM (SELECT doc_id, string_split(text, '') AS c FROM z WHERE length(text) >= 3)) GROUP BY ALL)
-    SELECT doc_id, round(sum(m * -log2(greatest(CASE WHEN coalesce(bg, 0) > 0 THEN (coalesce(tg, 0) + 0.05 * v * coalesce(un, 0) / total) / (bg + 0.05 * v) ELSE coalesce(un, 0) / total END, 1e-9))) / sum(m), 5) AS bits FROM m LEFT JOIN t USING (abc) LEFT JOIN b ON ab = substring(abc, 1, 2) LEFT JOIN u ON c = substring(abc, 3, 1), k GROUP BY doc_id UNION ALL SELECT doc_id, 0.0 FROM z WHERE length(text) < 3""")
+    m AS (SELECT doc_id, abc, count(*) AS m FROM (SELECT doc_id, {_list_sql(3)} AS abc FROM (SELECT doc_id, string_split(text, '') AS c FROM z WHERE {scored} AND length(text) >= 3)) GROUP BY ALL)
+    SELECT doc_id, round(sum(m * -log2(greatest(CASE WHEN coalesce(bg, 0) > 0 THEN (coalesce(tg, 0) + 0.05 * v * coalesce(un, 0) / total) / (bg + 0.05 * v) ELSE coalesce(un, 0) / total END, 1e-9))) / sum(m), 5) AS bits FROM m LEFT JOIN t USING (abc) LEFT JOIN b ON ab = substring(abc, 1, 2) LEFT JOIN u ON c = substring(abc, 3, 1), k GROUP BY doc_id UNION ALL SELECT doc_id, 0.0 FROM z WHERE {scored} AND length(text) < 3"""
+
+
+def letters(spark, sf_dir):
+    return chapters(spark, sf_dir).select("doc_id", "chapter", F.regexp_replace("text", r"[^\p{L}]", "").alias("text"))
+
+
+@query("cross_entropy", _entropy_sql(f"chapter <= {SPLIT}", "TRUE"))
 def cross_entropy(spark, sf_dir):
-    z = chapters(spark, sf_dir).select("doc_id", "chapter", F.regexp_replace("text", r"[^\p{L}]", "").alias("text"))
+    z = letters(spark, sf_dir)
     bits = ngrams.trigram_entropy(z, "text", ["doc_id"], z.filter(F.col("chapter") <= SPLIT), "text")
     return bits.select("doc_id", F.round("bits", 5).alias("bits"))
 
 
+_HEAD, _TAIL = f"chapter <= {SPLIT}", f"chapter > {SPLIT}"
+
+
+@query("cross_halves", f"SELECT *, 'first' AS model FROM ({_entropy_sql(_HEAD, _TAIL)}) UNION ALL SELECT *, 'second' AS model FROM ({_entropy_sql(_TAIL, _HEAD)})")
+def cross_halves(spark, sf_dir):
+    bits = ngrams.cross_halves(letters(spark, sf_dir), "text", ["doc_id"], F.col("chapter") <= SPLIT)
+    return bits.select("doc_id", F.round("bits", 5).alias("bits"), "model")
+
+
 CHARS_SQL = f"c AS (SELECT chapter <= {SPLIT} AS head, unnest(string_split({_Z}, '')) AS w FROM chapters), k AS (SELECT w, count(*) FILTER (head) AS h, count(*) FILTER (NOT head) AS t FROM c WHERE w <> '' GROUP BY w)"
 _LG = lambda x: f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
 

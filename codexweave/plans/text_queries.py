@@ -178,3 +178,17 @@ def inline_notes(spark, sf_dir):
     marked = F.concat(F.lit("x【"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Jia"), "role")).otherwise(F.col("role")), F.lit(":"), clean, F.lit("】y"))
     got = c.select("conv_id", "turn", F.explode(tx.harvest_annotations(marked, ["Jia", "Geng"], ["user", "assistant", "system"], "Geng")).alias("a"))
     return got.select("conv_id", "turn", F.concat_ws(",", "a.editions").alias("editions"), F.col("a.kind").alias("kind"), F.col("a.text").alias("note"))
+
+
+@query("chapter_texts", f"WITH {src.CHAPTERS_SQL} SELECT doc_id, stream, chapter, md5(text) AS digest FROM chapters WHERE text IS NOT NULL")
+def chapter_texts(spark, sf_dir):
+    """Chapters put together again from their lines."""
+    lines = src.blocks(src.chapters(spark, sf_dir))
+    return src.concat_chapter(lines, ["doc_id", "stream", "chapter"], "seq").select("doc_id", "stream", "chapter", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("book_union", f"WITH {src.CHAPTERS_SQL} SELECT stream, chapter, doc_id, CASE WHEN chapter % 5 = 0 THEN 'later' ELSE 'main' END AS src, length(text) AS n FROM chapters")
+def book_union(spark, sf_dir):
+    """Every fifth chapter is in a later book, which overrides the main one."""
+    ch = src.chapters(spark, sf_dir).select("stream", "chapter", "doc_id", F.length("text").cast("long").alias("n"))
+    return src.book_union({"main": ch, "later": ch.filter("chapter % 5 = 0")}, ["stream", "chapter"])

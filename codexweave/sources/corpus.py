@@ -96,21 +96,44 @@ def rank_in_group(df: DataFrame, group: str, order: str, name: str, block: int =
     """row_number() of each row in its group by an integer column, also for groups that hold most of the rows.
 
     The order column is cut into blocks of values.  Rows are ranked inside (group, block), at most `block` distinct
-    values, and get the number of rows in the group's blocks before; only these counts are ordered as a whole.
+    values, and get the number of rows in the group's blocks before; only these counts are ordered as a whole.  A null group is a group like
+    others, rows with a null order come last, and rows of equal order each get a rank.
     """
-    cut = df.withColumn("__block", F.floor(F.col(order) / block))
-    sizes = cut.groupBy(group, "__block").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(group, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = cut.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__block").orderBy(order)))
-    return local.join(offsets, [group, "__block"]).withColumn(name, (F.col("__k") + F.col("__before")).cast("int")).drop("__block", "__k", "__before")
+    at = F.floor(F.col(order) / block)
+    cut = df.withColumn("__g", F.struct(F.col(group).alias("group"), F.when(at.isNull(), 1).otherwise(0).alias("last"), at.alias("block")))  # structs are equal where their nulls are
+    before = Window.partitionBy("__g.group").orderBy("__g.last", "__g.block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("__g").agg(F.count("*").alias("__n")).select("__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    local = cut.withColumn("__k", F.row_number().over(Window.partitionBy("__g").orderBy(order)))
+    return local.join(offsets, "__g").withColumn(name, (F.col("__k") + F.col("__before")).cast("int")).drop("__g", "__k", "__before")
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stream, chapter, doc_id, text: documents of a source in order of id."""
+    """stream, chapter, doc_id, text: documents of a source in order of id; every row is a chapter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("stream"), "doc_id", "text")
-    ranked = rank_in_group(docs.select("stream", "doc_id"), "stream", "doc_id", "chapter")
-    return ranked.join(docs.drop("stream"), "doc_id").select("stream", "chapter", "doc_id", "text")
+    return rank_in_group(docs, "stream", "doc_id", "chapter").select("stream", "chapter", "doc_id", "text")
+
+
+def concat_chapter(blocks: DataFrame, keys: Sequence[str], order: str, text: str = "text", sep: str = "\n", kinds: Sequence[str] | None = None, kind: str = "kind", exclude: DataFrame | None = None) -> DataFrame:
+    """keys, text: the blocks of each chapter joined in order; only blocks of `kinds`, if given, and not those whose keys are in `exclude`.
+
+    Null texts are left out; a chapter without any text has an empty one.  A chapter, not a stream, is brought together.
+    """
+    used = blocks if kinds is None else blocks.filter(F.col(kind).isin(list(kinds)))
+    if exclude is not None:
+        used = used.join(exclude.select(*keys).distinct(), list(keys), "left_anti")
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text)))), lambda x: x[text])
+    return used.groupBy(*keys).agg(F.concat_ws(sep, gathered).alias(text))
+
+
+def book_union(books: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The chapters of several books with their book in `src`; of chapters with equal keys those of the last book named stay."""
+    out = None
+    for src, df in books.items():
+        tagged = df.withColumn("src", F.lit(src))
+        out = tagged if out is None else out.join(tagged.select(*keys).distinct(), list(keys), "left_anti").unionByName(tagged)
+    if out is None:
+        raise ValueError("no books")
+    return out
 
 
 def blocks(chapter_table: DataFrame) -> DataFrame:

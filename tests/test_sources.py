@@ -48,3 +48,45 @@ def test_rank_crosses_blocks(spark):
     got = src.rank_in_group(spark.createDataFrame(rows, "s string, i long"), "s", "i", "r", block=7).collect()
     want = {(s, i): k + 1 for s in "ab" for k, (_, i) in enumerate(r for r in rows if r[0] == s)}
     assert {(r["s"], r["i"]): r["r"] for r in got} == want
+
+
+def test_no_row_is_lost_in_order(spark):
+    from codexweave.operators import ordered
+    from codexweave.sources import corpus
+    from pyspark.sql import functions as F
+
+    rows = [(None, 1, 5), ("a", None, 7), ("a", 2, 1), ("a", 2, 1), ("a", 200_000, 3), (None, None, 2)]
+    d = spark.createDataFrame(rows, "g string, o long, v long")
+    assert ordered.running_sum(d, ["g"], "o", F.col("v"), "s").count() == len(rows)
+    assert {r["s"] for r in ordered.running_sum(d, ["g"], "o", F.col("v"), "s").filter("o = 200000").collect()} == {12}
+    assert ordered.fill_forward(d, ["g"], "o", "v", "f").count() == len(rows)
+    assert ordered._running_max(d, ["g"], "o", F.col("v"), "m").count() == len(rows)
+    assert ordered.islands(d.filter("o is not null"), ["g"], "o", 3).count() == 4
+    got = sorted((r["g"] or "", r["k"]) for r in corpus.rank_in_group(d, "g", "o", "k").collect())
+    assert got == [("", 1), ("", 2), ("a", 1), ("a", 2), ("a", 3), ("a", 4)]
+
+
+def test_chapters_keep_every_document(spark, tmp_path):
+    from codexweave.sources import corpus
+
+    rows = [(1, "x", "s"), (1, "y", "s"), (None, "z", "s"), (2, None, None), (3, "w", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["stream"] or "", r["chapter"], r["doc_id"] or 0) for r in corpus.chapters(spark, str(tmp_path)).collect())
+    assert got == [("", 1, 2), ("s", 1, 1), ("s", 2, 1), ("s", 3, 3), ("s", 4, 0)]
+
+
+def test_concat_chapter_and_book_union(spark):
+    from codexweave.sources import corpus
+
+    b = spark.createDataFrame([(1, 2, "b", "m"), (1, 1, "a", "m"), (1, 3, None, "m"), (2, 1, "n", "note"), (3, 1, "x", "m")], "chapter int, id int, text string, kind string")
+    out = corpus.concat_chapter(b, ["chapter"], "id", sep="", kinds=["m"], exclude=spark.createDataFrame([(3,)], "chapter int"))
+    assert [tuple(r) for r in out.collect()] == [(1, "ab")]
+    main, later = spark.createDataFrame([(1, "old"), (2, "old")], "chapter int, text string"), spark.createDataFrame([(2, "new"), (3, "new")], "chapter int, text string")
+    got = sorted(tuple(r) for r in corpus.book_union({"main": main, "later": later}, ["chapter"]).collect())
+    assert got == [(1, "old", "main"), (2, "new", "later"), (3, "new", "later")]
+
+
+def test_template_arguments_with_links():
+    from codexweave.functions.helpers import expand_templates
+
+    assert expand_templates("{{center|[[A|long label]]}} {{x|a|bcd|k=vvvvv}}") == "[[A|long label]] bcd"
