@@ -35,7 +35,7 @@ def burrows_delta(rates: DataFrame, chapter: str, split: int, group: Sequence[st
     head, tail) from elsewhere.
     """
     on = [*group, "feature"]
-    z = rates.join(F.broadcast(scales) if scales is not None else scales_of(rates, group), on if scales is None else "feature")
+    z = rates.join(scales if scales is not None else scales_of(rates, group), on if scales is None else "feature")
     z = z.select(*group, chapter, "feature", ((F.col("rate") - F.col("mean")) / F.col("sd")).alias("z"), (F.col(chapter) <= split).alias("is_head"))
     if centroids is None:
         sums = z.groupBy(*on).agg(F.sum(F.when(F.col("is_head"), F.col("z")).otherwise(0.0)).alias("sh"), F.sum(F.when(~F.col("is_head"), F.col("z")).otherwise(0.0)).alias("st"), F.count(F.when(F.col("is_head"), 1)).alias("nh"), F.count(F.when(~F.col("is_head"), 1)).alias("nt"))
@@ -46,7 +46,7 @@ def burrows_delta(rates: DataFrame, chapter: str, split: int, group: Sequence[st
         head = F.when(nh > 0, (F.col("sh") - own(F.col("is_head"))) / nh).otherwise(empty)
         tail = F.when(nt > 0, (F.col("st") - own(~F.col("is_head"))) / nt).otherwise(empty)
     else:
-        j, head, tail = z.join(F.broadcast(centroids), "feature"), F.col("head"), F.col("tail")
+        j, head, tail = z.join(centroids, "feature"), F.col("head"), F.col("tail")
     out = j.groupBy(*group, chapter).agg(F.avg(F.abs(F.col("z") - head)).alias("dh"), F.avg(F.abs(F.col("z") - tail)).alias("dt"))
     return out.withColumn("d", F.col("dt") - F.col("dh"))
 
@@ -106,15 +106,20 @@ def climate_curve(texts: DataFrame, keys: Sequence[str], text: str, lexicons: Ma
     return counted.select(*keys, *dens, F.round(tint, 6).alias("tint"), F.round(gloom, 6).alias("gloom"))
 
 
-def nearest(rows: DataFrame, bench: DataFrame, key: str, bench_key: str, features: Sequence[str], k: int = 3) -> DataFrame:
+def nearest(rows: DataFrame, bench: DataFrame, key: str, bench_key: str, features: Sequence[str], k: int = 3, block_rows: int = 5000) -> DataFrame:
     """key, rank, bench_key, distance: the k benchmark rows with the least root mean square of relative differences.
 
-    The benchmark is a stated small set (its size is checked by the caller); rows go against it in one pass.
+    The benchmark is a stated set.  It is counted; rows go against one block of about `block_rows` of its rows after the other, and of each
+    block only the k nearest stay.
     """
     b = bench.select(bench_key, *[F.col(f).alias(f"b_{f}") for f in features])
     sq = [F.pow((F.col(f) - F.col(f"b_{f}")) / F.when(F.col(f"b_{f}") == 0, 1).otherwise(F.col(f"b_{f}")), F.lit(2)) for f in features]
     d = F.sqrt(sum(sq[1:], sq[0]) / len(features))
-    return top_n(rows.crossJoin(F.broadcast(b)).select(key, bench_key, d.alias("distance")), [key], [F.col("distance"), F.col(bench_key)], k)
+    blocks = max(1, -(-b.count() // block_rows))
+    order = [F.col("distance"), F.col(bench_key)]
+    parts = [b.filter(F.pmod(F.xxhash64(bench_key), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [b]
+    best = [top_n(rows.crossJoin(F.broadcast(p)).select(key, bench_key, d.alias("distance")), [key], order, k) for p in parts]
+    return best[0] if blocks == 1 else top_n(reduce(DataFrame.unionByName, best).drop("rank"), [key], order, k)
 
 
 def _ranking(keys: np.ndarray, points: np.ndarray, scale: np.ndarray, k: int, rows_at_once: int = 256):

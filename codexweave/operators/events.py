@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .facts import term_hits
+from .facts import holding, term_hits
 from .ordered import top_n
 
 
@@ -62,7 +62,7 @@ def events(scenes: DataFrame, keys: Sequence[str], aliases: DataFrame, types: Da
     place = F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, sorted(places, key=lambda p: (-len(p), p)))), lambda p: F.contains(F.col("text"), p)), F.lit(1)), F.lit(""))
     ctx = who.withColumn("__m", F.concat_ws("", mine)).select(*keys, F.col("name").alias("person"), "n", place.alias("place"), F.when(F.col("__m") == "", F.col("text")).otherwise(F.col("__m")).alias("ctx"))
     verbs = types.select("type_no", "etype", F.explode("verbs").alias("verb"))
-    w = ctx.join(F.broadcast(verbs), F.contains("ctx", "verb")).withColumn("w", tx.count_term(F.col("ctx"), F.col("verb")) * F.length("verb") * F.length("verb"))
+    w = holding(ctx, verbs, "ctx", "verb").withColumn("w", tx.count_term(F.col("ctx"), F.col("verb")) * F.length("verb") * F.length("verb"))
     scored = w.groupBy(*keys, "person", "type_no", "etype").agg(F.sum("w").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "verb"))).alias("v"))
     best = top_n(scored, [*keys, "person"], [F.desc("score"), F.col("type_no")], 1)
     acts = F.concat_ws("、", F.transform(F.slice("v", 1, 2), lambda x: x["verb"]))

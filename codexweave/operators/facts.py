@@ -19,16 +19,26 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", broadcast_rows: int = 5000) -> DataFrame:
-    """texts x terms where the text holds the term, with `n`, the number of non-overlapping occurrences."""
+def holding(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", broadcast_rows: int = 5000, bound: DataFrame | None = None) -> DataFrame:
+    """texts x terms where the text holds the term.  `bound` is a table with at least as many rows as terms, if one is cheaper to count."""
+    if small(terms if bound is None else bound, broadcast_rows):
+        return texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)))
+    # One-character terms meet the texts by their characters.
+    keys = F.array_union(F.array_distinct(grams_of(text, 2)), F.array_distinct(grams_of(text, 1)))
+    keyed = texts.withColumn("__g", F.explode(keys))
+    return keyed.join(terms.withColumn("__g", F.substring(term, 1, 2)), "__g").filter(F.contains(F.col(text), F.col(term))).drop("__g")
+
+
+def holding_or_none(texts: DataFrame, terms: DataFrame, text: str, term: str, broadcast_rows: int = 5000) -> DataFrame:
+    """holding(), and every text that holds no term once, with nulls for the term's columns.  A large dictionary adds that row to the other texts too."""
     if small(terms, broadcast_rows):
-        joined = texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)))
-    else:
-        # One-character terms meet the texts by their characters.
-        keys = F.array_union(F.array_distinct(grams_of(text, 2)), F.array_distinct(grams_of(text, 1)))
-        keyed = texts.withColumn("__g", F.explode(keys))
-        joined = keyed.join(terms.withColumn("__g", F.substring(term, 1, 2)), "__g").filter(F.contains(F.col(text), F.col(term))).drop("__g")
-    return joined.withColumn("n", count_term(F.col(text), F.col(term)))
+        return texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)), "left")
+    return holding(texts, terms, text, term, broadcast_rows).unionByName(texts, allowMissingColumns=True)
+
+
+def term_hits(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", **options) -> DataFrame:
+    """texts x terms where the text holds the term, with `n`, the number of non-overlapping occurrences."""
+    return holding(texts, terms, text, term, **options).withColumn("n", count_term(F.col(text), F.col(term)))
 
 
 def mentions(blocks: DataFrame, aliases: DataFrame, keys: Sequence[str], least: int = 2, **options) -> DataFrame:
@@ -48,7 +58,7 @@ def image_facts(texts: DataFrame, images: DataFrame, keys: Sequence[str], names:
     raw = term_hits(texts, images, **options).select(*keys, "term", "category", "n")
     if names is None:
         return raw
-    holders = images.filter(F.length("term") == 1).select(F.col("term").alias("image")).join(F.broadcast(names.select(F.col("term").alias("name"))), F.contains("name", "image"))
+    holders = holding(names.select(F.col("term").alias("name")), images.filter(F.length("term") == 1).select(F.col("term").alias("image")), "name", "image", options.get("broadcast_rows", 5000))
     inside = term_hits(texts, holders.select(F.col("name").alias("term"), "image"), **options).groupBy(*keys, "image").agg(F.sum("n").alias("sub"))
     joined = raw.join(inside.withColumnRenamed("image", "term"), [*keys, "term"], "left")
     return joined.withColumn("n", F.greatest(F.col("n") - F.coalesce("sub", F.lit(0)), F.lit(0))).drop("sub").filter("n > 0")

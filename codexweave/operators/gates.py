@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .facts import holding
 from .ordered import top_n
 
 ISSUE = "gate STRING, detail STRING"
@@ -30,25 +31,25 @@ def forbidden(docs: DataFrame, keys: Sequence[str], markers: Sequence[str], deni
 def event_index(plan: DataFrame, events: DataFrame) -> DataFrame:
     """event, chapter: the first planned chapter whose title or brief holds one of the event's keywords."""
     rows = plan.select("chapter", F.concat_ws(" ", "title", "brief").alias("p"))
-    return rows.join(F.broadcast(events), F.contains("p", "keyword")).groupBy("event").agg(F.min("chapter").alias("at"))
+    return holding(rows, events, "p", "keyword").groupBy("event").agg(F.min("chapter").alias("at"))
 
 
 def chronology(docs: DataFrame, plan: DataFrame, events: DataFrame, lead: int = 3) -> DataFrame:
     """A text must not hold the keywords of an event planned `lead` or more chapters later; one issue per event."""
     due = events.join(event_index(plan, events), "event")
-    hit = docs.join(F.broadcast(due), (F.col("at") - F.col("chapter") >= lead) & F.contains("text", "keyword"))
+    hit = holding(docs, due, term="keyword", bound=events).filter(F.col("at") - F.col("chapter") >= lead)
     return hit.groupBy("chapter", "event").agg(F.min("keyword").alias("keyword")).select("chapter", F.lit("G2").alias("gate"), F.concat_ws(":", "event", "keyword").alias("detail"))
 
 
 def deaths(docs: DataFrame, names: DataFrame, death: str) -> DataFrame:
     """name, died: the first chapter where a known name stands right before a death verb."""
-    return docs.join(F.broadcast(names), F.contains("text", "name")).filter(F.regexp_like("text", F.concat(F.lit(r"\Q"), "name", F.lit(r"\E(?:" + death + ")")))).groupBy("name").agg(F.min("chapter").alias("died"))
+    return holding(docs, names, term="name").filter(F.regexp_like("text", F.concat(F.lit(r"\Q"), "name", F.lit(r"\E(?:" + death + ")")))).groupBy("name").agg(F.min("chapter").alias("died"))
 
 
 def deceased(docs: DataFrame, dead: DataFrame, actions: str, retrospect: Sequence[str], back: int = 14) -> DataFrame:
-    """A name dead in an earlier chapter followed by an action, unless a retrospective word stands in the `back` characters before."""
+    """A name dead in an earlier chapter followed by an action, unless a retrospective word stands in the `back` characters before.  dead is counted first, so it should be a written table."""
     retro = "|".join(map(re.escape, retrospect))
-    j = docs.join(F.broadcast(dead), (F.col("died") < F.col("chapter")) & F.contains("text", "name"))
+    j = holding(docs, dead, term="name").filter(F.col("died") < F.col("chapter"))
     parts = F.split("text", F.concat(F.lit(r"\Q"), "name", F.lit(r"\E")), F.lit(-1))
     pairs = F.arrays_zip(F.slice("__p", F.lit(1), F.size("__p") - 1).alias("b"), F.slice("__p", F.lit(2), F.size("__p") - 1).alias("a"))
     bad = F.exists(pairs, lambda x: x["a"].rlike(f"^(?:{actions})") & ~F.right(x["b"], F.lit(back)).rlike(retro))
@@ -57,7 +58,7 @@ def deceased(docs: DataFrame, dead: DataFrame, actions: str, retrospect: Sequenc
 
 def taboo(docs: DataFrame, taboos: DataFrame) -> DataFrame:
     """A person and one of their taboo words in one text."""
-    hit = docs.join(F.broadcast(taboos.filter(F.length("taboo") >= 2)), F.contains("text", "person") & F.contains("text", "taboo"))
+    hit = holding(docs, taboos.filter(F.length("taboo") >= 2), term="person").filter(F.contains("text", "taboo"))
     return hit.select("chapter", F.lit("G4").alias("gate"), F.concat_ws(":", "person", "taboo").alias("detail"))
 
 
@@ -98,8 +99,8 @@ def recheck(docs: DataFrame, issues: Sequence[DataFrame], warnings: Sequence[str
 def plan_sanity(plan: DataFrame, dead: DataFrame, once: DataFrame) -> DataFrame:
     """kind, name, n: dead persons in the plan after their death; one-off events in more than one row."""
     blob = plan.select("chapter", F.concat_ws(" ", "title", "brief").alias("p"))
-    late = blob.join(F.broadcast(dead), (F.col("died") < F.col("chapter")) & F.contains("p", "name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("dead").alias("kind"), "name", "n")
-    twice = blob.join(F.broadcast(once), F.contains("p", "keyword")).groupBy("event").agg(F.count_distinct("chapter").alias("n")).filter("n > 1").select(F.lit("repeated").alias("kind"), F.col("event").alias("name"), "n")
+    late = holding(blob, dead, "p", "name").filter(F.col("died") < F.col("chapter")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("dead").alias("kind"), "name", "n")
+    twice = holding(blob, once, "p", "keyword").groupBy("event").agg(F.count_distinct("chapter").alias("n")).filter("n > 1").select(F.lit("repeated").alias("kind"), F.col("event").alias("name"), "n")
     return late.unionByName(twice)
 
 

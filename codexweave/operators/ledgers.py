@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.spans import term_spans, with_spans
-from .facts import term_hits
+from .facts import holding_or_none, term_hits
 from .ordered import top_n
 
 
@@ -21,7 +21,7 @@ def kwic(texts: DataFrame, terms: DataFrame, keys: Sequence[str], pad: int, name
     out = hit.select(*keys, "term", *extra, "text", F.explode("__s").alias("s")).select(*keys, "term", *extra, F.col("s.start").cast("long").alias("at"), tx.snippet("text", F.col("s.start"), F.length("term"), pad).alias("context"))
     if names is None:
         return out
-    longest = out.join(F.broadcast(names.select("name", F.col("term").alias("__t"))), F.contains("context", "__t"), "left")
+    longest = holding_or_none(out, names.select("name", F.col("term").alias("__t")), "context", "__t")
     return longest.groupBy(*out.columns).agg(F.max_by("name", F.struct(F.length("__t"), "__t")).alias("person"))
 
 
@@ -58,7 +58,7 @@ def amounts(blocks: DataFrame, keys: Sequence[str], pattern: str, value: Column,
     kept = rows.filter(context & ~F.col("__after").rlike(f"^(?:{bad_follow})")).withColumn("amount", value).filter((F.col("amount") > bounds[0]) & (F.col("amount") < bounds[1]))
     out = kept.select(*keys, "at", "raw", "amount", tx.multi_tags("__wide", tags, other).alias("tags"), "__wide")
     if names is not None:
-        joined = out.join(F.broadcast(names.select("name", F.col("term").alias("__t"))), F.contains("__wide", "__t"), "left")
+        joined = holding_or_none(out, names.select("name", F.col("term").alias("__t")), "__wide", "__t")
         out = joined.groupBy(*out.columns).agg(F.max_by("name", F.struct(F.length("__t"), "__t")).alias("person"))
     return out.drop("__wide")
 
@@ -107,11 +107,11 @@ def wear_scenes(blocks: DataFrame, keys: Sequence[str], verbs: Sequence[str], ga
     before = F.right(F.expr("substring_index(text, garment, 1)"), F.lit(stray))
     c = c.withColumn("colour", F.coalesce(F.nullif(F.col("__in"), F.lit("")), F.nullif(F.regexp_extract(before, colour, 1), F.lit(""))))
     handed = F.instr(F.col("c"), F.lit(hand_over)) if hand_over else F.lit(0)
-    j = c.withColumn("__h", handed).join(F.broadcast(names.select("name", "term")), F.contains("c", "term"), "left").withColumn("__n", F.instr(F.col("c"), F.col("term")))
+    j = holding_or_none(c.withColumn("__h", handed), names.select("name", "term"), "c", "term").withColumn("__n", F.instr(F.col("c"), F.col("term")))
     grouped = j.groupBy(*keys, "clause", "garment", "colour", "__v", "__h")
     receiver = F.min(F.when((F.col("__h") > 0) & (F.col("__n") > F.col("__h")), F.struct("__n", "name")))
     subject = F.max(F.when(F.col("__n") < F.col("__v"), F.struct("__n", "name")))
-    nearest = F.min(F.struct(F.abs(F.col("__n") - F.col("__v")).alias("d"), "name"))
+    nearest = F.min(F.when(F.col("__n").isNotNull(), F.struct(F.abs(F.col("__n") - F.col("__v")).alias("d"), "name")))
     got = grouped.agg(receiver.alias("r"), subject.alias("s"), nearest.alias("x"))
     person = F.coalesce("r.name", "s.name", "x.name")
     how = F.when(F.col("r").isNotNull(), "receiver").when(F.col("s").isNotNull(), "subject").when(F.col("x.name").isNotNull(), "nearest").otherwise("none")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .facts import holding
 from .ordered import top_n
 
 
@@ -52,24 +52,30 @@ def verse_spans(text: str, form: Form) -> list[tuple[int, int, int, int, float]]
     clauses, out, i = clause_list(text, form), [], 0
     lo, hi = form.lengths
     while i < len(clauses):
-        sizes: Counter[int] = Counter()
-        rhymes: Counter[str] = Counter()
-        xu_sum = chars = evens = bad = 0
-        best = None
-        anchored = re.search(form.anchor, text[max(0, clauses[i][0] - form.anchor_back) : clauses[i][0]]) is not None
+        sizes: dict[int, int] = {}  # in order of their first clause, which decides between equal counts
+        rhymes: dict[str, int] = {}
+        xu_sum = chars = evens = bad = main = hits = most = 0
+        best = anchored = None
         for j in range(i, min(len(clauses), i + form.window)):
             _, _, size, xu, key = clauses[j]
-            sizes[size] += 1
+            of_size = sizes[size] = sizes.get(size, 0) + 1
+            if of_size > hits or (of_size == hits and next(s for s in sizes if s in (size, main)) == size):
+                main, hits = size, of_size
             xu_sum, chars = xu_sum + xu * size, chars + size
             if (j - i) % 2:
-                rhymes[key] += 1
+                of_key = rhymes[key] = rhymes.get(key, 0) + 1
+                most = max(most, of_key)
                 evens += 1
             n = j - i + 1
-            main, hits = sizes.most_common(1)[0]
-            rhyme = rhymes.most_common(1)[0][1] / evens if evens >= 2 else 0.0
-            enough = rhyme >= form.least_rhyme or (anchored and xu_sum / chars <= form.most_xu / 2)
-            if n >= form.least_lines and lo <= main <= hi and hits / n >= form.uniform and xu_sum / chars <= form.most_xu and enough:
-                best = (j, main, rhyme)
+            if n >= form.least_lines and lo <= main <= hi and hits / n >= form.uniform and xu_sum / chars <= form.most_xu:
+                rhyme = most / evens if evens >= 2 else 0.0
+                enough = rhyme >= form.least_rhyme
+                if not enough and xu_sum / chars <= form.most_xu / 2:
+                    if anchored is None:
+                        anchored = re.search(form.anchor, text[max(0, clauses[i][0] - form.anchor_back) : clauses[i][0]]) is not None
+                    enough = anchored
+                if enough:
+                    best = (j, main, rhyme)
             bad = bad + 1 if not lo <= size <= hi else 0
             if bad > form.bad_run:
                 break
@@ -105,7 +111,7 @@ def verse_by_seed(chapters: DataFrame, keys: Sequence[str], seeds: DataFrame, cu
     """keys, title, start, end: a known opening (or, failing that, its first 4, 3, 2 characters), for its number of clauses, or to the paragraph's end if that is null."""
     tries = F.array_distinct(F.concat(F.array("opening"), F.array(*[F.substring("opening", 1, n) for n in prefixes])))
     spread = seeds.select("title", "lines", F.posexplode(tries).alias("try", "term")).filter(F.length("term") >= min(prefixes))
-    hit = chapters.join(F.broadcast(spread), F.contains("text", "term")).withColumn("start", F.instr(F.col("text"), F.col("term")) - 1)
+    hit = holding(chapters, spread).withColumn("start", F.instr(F.col("text"), F.col("term")) - 1)
     best = top_n(hit, ["title"], [F.col("try"), *[F.col(k) for k in keys]], 1)
     rest = F.substring("text", F.col("start") + 1, F.length("text"))
     clauses = F.regexp_extract_all(rest, F.lit(f"[^{re.escape(cuts)}]+[{re.escape(cuts)}]*"), F.lit(0))
@@ -116,7 +122,7 @@ def verse_by_seed(chapters: DataFrame, keys: Sequence[str], seeds: DataFrame, cu
 
 def verse_by_title(chapters: DataFrame, keys: Sequence[str], titles: DataFrame, cuts: str, lines: int) -> DataFrame:
     """keys, title, start, end: the `lines` clauses that follow a title."""
-    hit = chapters.join(F.broadcast(titles), F.contains("text", "title")).withColumn("at", F.instr(F.col("text"), F.col("title")) - 1 + F.length("title"))
+    hit = holding(chapters, titles, term="title").withColumn("at", F.instr(F.col("text"), F.col("title")) - 1 + F.length("title"))
     rest = F.substring("text", F.col("at") + 1, F.length("text"))
     lead = F.length(F.regexp_extract(rest, f"^[{re.escape(cuts)}\\s]*", 0))
     clauses = F.regexp_extract_all(rest, F.lit(f"[^{re.escape(cuts)}]+[{re.escape(cuts)}]*"), F.lit(0))
@@ -149,7 +155,7 @@ def guess_author(poems: DataFrame, pseudonyms: DataFrame, excluded: Sequence[str
     """poems with author: the pseudonym that stands last in the `back` characters of context before the poem, else the speaker; excluded genres stay empty."""
     ctx = poems.withColumn("__c", F.right("context", F.lit(back)))
     at = F.length(F.expr("substring_index(__c, term, -1)"))  # characters after the last occurrence
-    hit = ctx.join(F.broadcast(pseudonyms), F.contains("__c", "term")).withColumn("__d", at).groupBy("id").agg(F.min_by("name", F.struct("__d", "term")).alias("__a"))
+    hit = holding(ctx, pseudonyms, "__c").withColumn("__d", at).groupBy("id").agg(F.min_by("name", F.struct("__d", "term")).alias("__a"))
     joined = poems.join(hit, "id", "left")
     return joined.withColumn("author", F.when(F.col("genre").isin(list(excluded)), F.lit("")).otherwise(F.coalesce("author", "__a", "speaker", F.lit("")))).drop("__a")
 

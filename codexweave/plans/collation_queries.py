@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.helpers import wikitext_to_text
 from ..operators import collate, events, facts, gates, graph, ledgers, ordered, verse
-from ..registry import query
+from ..registry import ORACLES, query
 from ..sources import corpus as src
 from .fact_queries import NAMES_SQL, names
 
@@ -148,7 +148,10 @@ def concordance(spark, sf_dir):
     return hits.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
-@query("kwic")
+@query("kwic", f"""WITH {CH}, {NAMES_SQL}, k(term, category) AS (VALUES ('tion', 'suffix'), ('keit', 'suffix'), ('mente', 'suffix')), p AS (SELECT stream, chapter, term, category, text, string_split(text, term) AS s FROM chapters JOIN k ON contains(text, term)), i AS (SELECT *, unnest(range(1, len(s))) AS i FROM p),
+    h AS (SELECT stream, chapter, term, category, text, CAST(list_sum(list_transform(list_slice(s, 1, i), lambda x: length(x))) + (i - 1) * length(term) AS BIGINT) AS "at" FROM i),
+    c AS (SELECT stream, chapter, term, category, "at", substring(text, greatest("at" - 24, 0) + 1, "at" - greatest("at" - 24, 0)) || '〔' || term || '〕' || substring(text, "at" + length(term) + 1, 24) AS context FROM h),
+    n AS (SELECT c.*, names.name AS person, row_number() OVER (PARTITION BY stream, chapter, c.term, "at" ORDER BY length(names.term) DESC NULLS LAST, names.term DESC) AS r FROM c LEFT JOIN names ON contains(context, names.term)) SELECT stream, chapter, term, category, "at", context, person FROM n WHERE r = 1""")
 def kwic(spark, sf_dir):
     """Every hit of three terms with its context and the longest name in it."""
     terms = spark.createDataFrame([("tion", "suffix"), ("keit", "suffix"), ("mente", "suffix")], "term string, category string")
@@ -272,7 +275,7 @@ _DEAD = "n(name) AS (VALUES " + ", ".join(f"('{p}')" for p in PEOPLE) + "), dead
 
 @query("gate_deceased", f"WITH {_DEAD}, p AS (SELECT doc_id AS chapter, name, string_split(text, name) AS s FROM documents JOIN dead ON died < doc_id AND contains(text, name)) SELECT chapter, 'G3' AS gate, name AS detail FROM p WHERE len(list_filter(range(1, len(s)), lambda i: regexp_matches(s[i + 1], '^(?:re|an|e)') AND NOT regexp_matches(right(s[i], 14), 'was|von'))) > 0")
 def gate_deceased(spark, sf_dir):
-    return gates.deceased(documents(spark, sf_dir), found_deaths(spark, sf_dir), "re|an|e", ["was", "von"])
+    return gates.deceased(documents(spark, sf_dir), graph.checkpoint(found_deaths(spark, sf_dir)), "re|an|e", ["was", "von"])
 
 
 TABOOS = [("The", "ciónr"), ("Der", "keit"), ("The", "stupid")]
@@ -301,7 +304,11 @@ def body_checks(spark, sf_dir):
     return checked_bodies(spark, sf_dir)
 
 
-@query("recheck")
+_GATES = ("gate_forbidden", "gate_chronology", "gate_deceased", "gate_taboo", "gate_grounding", "body_checks")
+
+
+@query("recheck", f"""WITH e AS ({' UNION ALL '.join(f'SELECT chapter, gate, detail FROM ({ORACLES[g]})' for g in _GATES)}), p AS (SELECT DISTINCT chapter, gate, gate || ' ' || detail AS issue FROM e), x AS (SELECT chapter, bool_or(gate <> 'G5') AS failed, string_agg(issue, '; ' ORDER BY issue) AS issues FROM p GROUP BY chapter)
+    SELECT doc_id AS chapter, coalesce(failed, FALSE) AS failed, coalesce(issues, '') AS issues FROM documents LEFT JOIN x ON chapter = doc_id""")
 def recheck(spark, sf_dir):
     """All gates over all documents."""
     parts = [forbidden_issues(spark, sf_dir), gate_chronology(spark, sf_dir), gate_deceased(spark, sf_dir), gate_taboo(spark, sf_dir), unknown_speakers(spark, sf_dir), checked_bodies(spark, sf_dir)]
@@ -310,7 +317,7 @@ def recheck(spark, sf_dir):
 
 @query("plan_sanity", f"WITH {_DEAD}, {PLAN_SQL}, {EVENTS_SQL} SELECT 'dead' AS kind, name, count(*) AS n FROM plan JOIN dead ON died < chapter AND contains(title || ' ' || brief, name) GROUP BY name UNION ALL SELECT 'repeated', event, count(DISTINCT chapter) FROM plan JOIN ev ON contains(title || ' ' || brief, keyword) GROUP BY event HAVING count(DISTINCT chapter) > 1")
 def plan_sanity(spark, sf_dir):
-    return gates.plan_sanity(plan(spark, sf_dir), found_deaths(spark, sf_dir), planned_events(spark))
+    return gates.plan_sanity(plan(spark, sf_dir), graph.checkpoint(found_deaths(spark, sf_dir)), planned_events(spark))
 
 
 @query("constraints", "SELECT 'clue' AS kind, text FROM benchmark UNION SELECT 'fate', c_mktsegment || ': ' || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey UNION SELECT 'rule', 'keep the order'")

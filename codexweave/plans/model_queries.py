@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..models import authorship, ngrams, style
 from ..operators import graph, ordered
-from ..registry import query
+from ..registry import ORACLES, query
 from ..sources import corpus as src
 
 # Fixed values of the test corpus: function characters, banned and preferred words, features, lexicons.
@@ -257,7 +257,13 @@ def nearest_chapters(spark, sf_dir):
     return joined.select("doc_id", "bench_id", "rank", F.round("distance", 6).alias("distance"))
 
 
-@query("nearest_of_all")
+_HELD_SQL = ORACLES["spectrum"].replace("length(text) >= 300", "length(text) >= 8").replace(", 4) AS ppl", ", 12) AS ppl")
+_FIVE = ("avg_sent_len", "dialog_rate", "xuci_rate", "type_token", "ppl")
+
+
+@query("nearest_of_all", f"""WITH {CH}, src AS (SELECT * FROM chapters), {VECTOR_SQL}, h AS (SELECT doc_id, ppl FROM ({_HELD_SQL}) UNION ALL SELECT doc_id, 0.0 FROM chapters WHERE length(text) < 8), q AS (SELECT doc_id, {', '.join(_FIVE)} FROM m JOIN h USING (doc_id) WHERE z > 0),
+    b AS (SELECT {', '.join(f'coalesce(nullif(avg({f}), 0), 1) AS {f}' for f in _FIVE[:4])}, coalesce(nullif(median(ppl), 0), 1) AS ppl FROM q), d AS (SELECT q.doc_id, o.doc_id AS near_id, round(sqrt(({' + '.join(f'((q.{f} - o.{f}) / b.{f}) ** 2' for f in _FIVE)}) / 5), 9) AS distance FROM q JOIN q o ON q.doc_id % 100 = 0, b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, near_id) AS rank FROM d) SELECT doc_id, near_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM r WHERE rank <= 3""")
 def nearest_of_all(spark, sf_dir):
     """Of all chapters the three nearest to each with doc_id % 100 = 0, by style and held-out perplexity, each divided by the corpus benchmark."""
     f = folded(spark, sf_dir)

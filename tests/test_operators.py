@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +237,104 @@ def test_nearest_of_all_ranks_every_row(spark):
         got = authorship.nearest_of_all(rows.filter("id % 100 = 0"), rows.withColumnRenamed("id", "near"), "id", "near", names, scales, 3, size)
         assert {(r["id"], r["near"], r["rank"]) for r in got.collect()} == want
     assert (100, 501, 2) in want
+
+
+def test_large_dictionaries_give_the_same_rows(spark):
+    texts = spark.createDataFrame([(1, "the sun and moon"), (2, "of a b"), (3, ""), (4, None), (5, "moon moon")], "id int, text string")
+    terms = spark.createDataFrame([("moon", "M"), ("the", "T"), ("a", "A"), ("zz", "Z")], "term string, name string")
+    small, large = (facts.holding(texts, terms, broadcast_rows=n) for n in (10, 0))
+    assert rows(small, "id", "term", "name") == rows(large, "id", "term", "name") == [(1, "a", "A"), (1, "moon", "M"), (1, "the", "T"), (2, "a", "A"), (5, "moon", "M")]
+    best = lambda df: sorted((r["id"], r["b"]) for r in df.groupBy("id").agg(F.max_by("name", F.struct(F.length("term"), "term")).alias("b")).collect())
+    assert best(facts.holding_or_none(texts, terms, "text", "term", 10)) == best(facts.holding_or_none(texts, terms, "text", "term", 0)) == [(1, "M"), (2, "A"), (3, None), (4, None), (5, "M")]
+
+
+def test_nearest_in_blocks_of_the_benchmark(spark):
+    rng = random.Random(4)
+    feats = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(60)], "id int, a double, b double")
+    bench = feats.filter("id % 3 = 0").withColumnRenamed("id", "bench")
+    one, many = (authorship.nearest(feats, bench, "id", "bench", ["a", "b"], 3, n) for n in (5000, 4))
+    assert rows(one, "id", "rank", "bench") == rows(many, "id", "rank", "bench")
+    assert one.count() == 180
+
+
+def slow_verse_spans(text, form):
+    """Every window counted anew."""
+    from collections import Counter
+
+    clauses, out, i = verse.clause_list(text, form), [], 0
+    lo, hi = form.lengths
+    while i < len(clauses):
+        best, anchored = None, re.search(form.anchor, text[max(0, clauses[i][0] - form.anchor_back) : clauses[i][0]])
+        for j in range(i, min(len(clauses), i + form.window)):
+            part = clauses[i : j + 1]
+            main, hits = Counter(c[2] for c in part).most_common(1)[0]
+            chars, tails = sum(c[2] for c in part), [c[4] for c in part[1::2]]
+            xu = sum(c[3] * c[2] for c in part) / chars
+            rhyme = Counter(tails).most_common(1)[0][1] / len(tails) if len(tails) >= 2 else 0.0
+            if len(part) >= form.least_lines and lo <= main <= hi and hits / len(part) >= form.uniform and xu <= form.most_xu and (rhyme >= form.least_rhyme or (anchored and xu <= form.most_xu / 2)):
+                best = (j, main, rhyme)
+            if len(part) > form.bad_run and not any(lo <= c[2] <= hi for c in part[-form.bad_run - 1 :]):
+                break
+        if best is None:
+            i += 1
+            continue
+        kept = [n for n in range(i, best[0] + 1)]
+        odd = lambda n: re.search(form.edge, text[clauses[n][0] : clauses[n][1]])
+        while len(kept) > 1 and odd(kept[0]):
+            kept.pop(0)
+        while len(kept) > 1 and odd(kept[-1]):
+            kept.pop()
+        if len(kept) >= form.least_lines:
+            out.append((clauses[kept[0]][0], clauses[kept[-1]][1], len(kept), *best[1:]))
+        i = best[0] + 1
+    return out
+
+
+def test_verse_spans_against_windows_counted_anew():
+    rng, found = random.Random(8), 0
+    forms = [verse.Form(cuts=".,", lengths=(2, 4), uniform=u, most_xu=x, least_rhyme=r, window=w, bad_run=b, function_chars="aeiou", edge="xx", anchor="the", unit="word") for u, x, r, w, b in ((0.5, 0.5, 0.4, 12, 2), (0.75, 0.4, 0.5, 160, 5), (0.4, 0.6, 0.9, 20, 3))]
+    for n in range(150):
+        text = "".join(" ".join(rng.choice(("the", "sun", "moon", "xx", "on", "bcd", "fgh")) for _ in range(rng.choice((1, 2, 3, 3, 3, 4, 6)))) + rng.choice(".,") for _ in range(rng.randrange(40)))
+        got = verse.verse_spans(text, forms[n % 3])
+        want = slow_verse_spans(text, forms[n % 3])
+        assert [(*g[:4], pytest.approx(g[4])) for g in got] == want
+        found += len(got)
+    assert found > 50
+
+
+def test_tables_of_poems_against_plain_counts(spark):
+    import pandas as pd
+
+    rng = random.Random(5)
+    data = [(f"p{i}", rng.choice("st"), rng.randrange(1, 6), "x" * rng.randrange(30), rng.randrange(4, 9), rng.choice((0.0, 0.5, 0.75)), rng.choice(("song", "riddle", "verse")), rng.choice(("", "Ann", "Bo", "（Cy）"))) for i in range(80)]
+    p = pd.DataFrame(data, columns=["id", "stream", "chapter", "text", "n_lines", "rhyme", "genre", "author"])
+    poems = spark.createDataFrame(data, "id string, stream string, chapter int, text string, n_lines long, rhyme double, genre string, author string")
+    chapters = spark.createDataFrame([(s, c, "y" * 50 * c) for s in "stu" for c in range(1, 7)], "stream string, chapter int, text string")
+
+    got = {(r["stream"], r["chapter"]): tuple(r)[2:] for r in verse.poem_density(poems, chapters, ["stream", "chapter"]).select("stream", "chapter", "poems", "lines", "chars", "per_10k").collect()}
+    for s in "stu":
+        for c in range(1, 7):
+            mine = p[(p.stream == s) & (p.chapter == c)]
+            assert got[s, c] == (len(mine), mine.n_lines.sum(), 50 * c, pytest.approx(len(mine) * 10000 / (50 * c), abs=1e-6))
+
+    omens = rows(verse.genre_chapters(poems, ["song", "riddle"], ["stream", "chapter"]), "stream", "chapter", "n")
+    assert omens == sorted((s, c, n) for (s, c), n in p[p.genre != "verse"].groupby(["stream", "chapter"]).size().items())
+
+    images = spark.createDataFrame([(f"p{i}", t, i % 3 + 1) for i in range(80) for t in ("a", "b", "c") if (i + ord(t)) % 2], "id string, term string, n int")
+    for r in verse.poet_stats(poems, images, ["riddle"]).collect():
+        mine = p[(p.author == r["author"]) & (p.genre != "riddle")]
+        used = {}
+        for i in mine.id.str[1:].astype(int):
+            for t in "abc":
+                if (i + ord(t)) % 2:
+                    used[t] = used.get(t, 0) + i % 3 + 1
+        assert (r["poems"], r["lines"], r["images"]) == (len(mine), mine.n_lines.sum(), ",".join(sorted(used, key=lambda t: (-used[t], t))))
+        assert r["mean_rhyme"] == pytest.approx(mine.rhyme.mean(), abs=1e-6) and r["mean_lines"] == pytest.approx(mine.n_lines.mean(), abs=1e-6)
+    assert [r["author"] for r in verse.poet_stats(poems, images, ["riddle"]).collect()][-1] == "（Cy）"
+
+    g = spark.createDataFrame([("first", 1), ("second", 2), ("none", 99)], "gathering string, chapter int")
+    for r in verse.salon_table(g, poems.drop("stream")).collect():
+        mine = p[p.chapter == {"first": 1, "second": 2, "none": 99}[r["gathering"]]]
+        n = mine.genre.value_counts().to_dict()
+        assert (r["poems"], r["authors"]) == (len(mine), sorted(set(mine.author) - {""}))
+        assert (r["genres"] or []) == sorted(n, key=lambda x: (-n[x], x))
