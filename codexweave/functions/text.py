@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -256,6 +257,27 @@ def multi_tags(window: Column | str, tags: Mapping[str, Sequence[str]], other: s
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(other)))
 
 
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def unescape(text: Column | str) -> Column:
+    """Character references resolved in one pass: decimal and hexadecimal numbers and the names of HTML 4; unknown names and numbers that are no character stay."""
+    text = _col(text)
+    names = F.create_map(*[F.lit(x) for name, code in [*name2codepoint.items(), ("apos", 39)] for x in (name, chr(code))])
+
+    def resolve(ref: Column) -> Column:
+        body = F.substring(ref, F.lit(2), F.length(ref) - 2)
+        hexadecimal = F.lower(body).startswith("#x")
+        after = lambda n: F.substring(body, F.lit(n), F.length(body))
+        code = F.when(hexadecimal, F.conv(after(3), 16, 10).cast("long")).when(body.startswith("#"), after(2).cast("long"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.try_element_at(names, body), ref)
+
+    found, pieces = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.split(text, ENTITY, -1)
+    head = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.concat(p, resolve(m)))
+    return F.when(F.contains(text, F.lit("&")), F.concat_ws("", head, F.element_at(pieces, -1))).otherwise(text)
+
+
 def html_to_text(html: Column | str) -> Column:
     """Text of a page: styles, scripts, comments and reference marks dropped, block ends as line breaks, entities resolved, white space squeezed."""
     out = _col(html)
@@ -263,7 +285,6 @@ def html_to_text(html: Column | str) -> Column:
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|table|section|article|nav|footer|ul|ol)\s*>", "\n")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
-    for entity, char in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&middot;": "·", "&copy;": "©", "&amp;": "&"}.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, r"[ \t 　]+", " ")
+    out = F.translate(unescape(out), "\u00a0\u200b", " ")
+    out = F.regexp_replace(out, r"[ \t\u3000]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{2,}", "\n"))

@@ -210,6 +210,50 @@ def segment_summary(facts: DataFrame, segments: DataFrame, at: str, kind: str, c
     return per.join(size, "segment").select("segment", "n", "kinds", F.round(F.col("kinds") * 10000.0 / F.col("chars"), 6).alias("kinds_per_10k"), F.round(F.col("head") / F.col("n"), 6).alias("concentration"))
 
 
+def segment_shares(facts: DataFrame, segments: DataFrame, at: str, kind: str, category: str, top: int = 5) -> DataFrame:
+    """segment, what, label, n, share: facts of each category, and the `top` most frequent kinds, with their share of the segment's facts."""
+    inside = range_join(facts, segments, at, "lo", "hi").groupBy("segment", kind, category).agg(F.count("*").alias("n"))
+    total = inside.groupBy("segment").agg(F.sum("n").alias("all"))
+    by_category = inside.groupBy("segment", F.col(category).alias("label")).agg(F.sum("n").cast("long").alias("n"))
+    by_kind = inside.groupBy("segment", F.col(kind).alias("label")).agg(F.sum("n").cast("long").alias("n"))
+    first = top_n(by_kind, ["segment"], [F.desc("n"), F.col("label")], top).drop("rank")
+    every = by_category.withColumn("what", F.lit("category")).unionByName(first.withColumn("what", F.lit("kind")))
+    return every.join(total, "segment").select("segment", "what", "label", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+
+
+def period_means(df: DataFrame, periods: DataFrame, at: str, metrics: Sequence[str]) -> DataFrame:
+    """label, n and the mean of each metric over the rows of each period (label, lo, hi)."""
+    return range_join(df, periods, at, "lo", "hi").groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in metrics])
+
+
+def cooccur_of(facts: DataFrame, anchors: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """anchor, name, w, rank: cooccur() of every name in `anchors` at once; anchors are a part of the dictionary, so rows per chapter are bounded by its size squared."""
+    m = facts.join(anchors.select("name").distinct(), "name", "left_semi").groupBy(*keys, F.col("name").alias("anchor")).agg(F.count("*").alias("m"))
+    n = facts.groupBy(*keys, "name").agg(F.sum("n").alias("n"))
+    w = n.join(m, list(keys)).filter("name <> anchor").groupBy("anchor", "name").agg(F.sum(F.col("n") * F.col("m")).cast("long").alias("w"))
+    return top_n(w, ["anchor"], [F.desc("w"), F.col("name")], k)
+
+
+def stance_digest(claims: DataFrame, topic: str, agent: str, order: str, text: str = "text", width: int = 120) -> DataFrame:
+    """topic, agent, other, said: for every agent of a topic the latest statement of each other one, cut at `width` characters.  Pairs are bounded by the agents of a topic."""
+    last = claims.groupBy(topic, agent).agg(F.max_by(F.substring(text, 1, width), order).alias("said"))
+    others = last.select(topic, F.col(agent).alias("other"), "said")
+    return last.select(topic, agent).join(others, topic).filter(F.col(agent) != F.col("other"))
+
+
+def taken_up(hits: DataFrame, name: str, source: str, order: str, first: str, second: str) -> DataFrame:
+    """name, at, taken: what occurs in the first source, where first, and whether the second one takes it up."""
+    each = hits.filter(F.col(source).isin(first, second)).groupBy(name).agg(F.min(F.when(F.col(source) == first, F.col(order))).alias("at"), F.max(F.col(source) == second).alias("taken"))
+    return each.filter("at is not null")
+
+
+def associations(persons: DataFrame, objects: DataFrame, label: str, text: str, cap: int = 10, **options) -> DataFrame:
+    """name, n, objects: how many objects' text holds the person's name, and the first `cap` of them by label."""
+    each = holding(objects.select(label, text), persons.select("name", "term"), text, "term", **options).select("name", label).distinct()
+    first = top_n(each, ["name"], [F.col(label)], cap).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", label))), lambda x: x[label]).alias("objects"))
+    return each.groupBy("name").agg(F.count("*").alias("n")).join(first, "name")
+
+
 def head_tail_means(df: DataFrame, group: Sequence[str], chapter: str, metrics: Sequence[str], split: int, end: int) -> DataFrame:
     """Long form: metric, means of chapters up to `split` and of (split, end], and how many there are."""
     long_ = df.select(*group, chapter, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select(*group, chapter, "x.metric", "x.v")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .facts import holding
+from .facts import cooccur_of, holding, people_in
 from .ordered import top_n
 
 ISSUE = "gate STRING, detail STRING"
@@ -147,10 +147,25 @@ def parse_json(answers: DataFrame, keys: Sequence[str], schema: str, text: str =
     return answers.select(*keys, F.from_json(F.regexp_extract(text, r"(?s)([{].*[}])", 1), schema).alias("j")).filter("j is not null").select(*keys, "j.*")
 
 
+def evidence_tables(topics: DataFrame, facts: DataFrame, names: DataFrame, keys: Sequence[str], affect: DataFrame, omens: DataFrame, editions: DataFrame, since: int = 70, persons: int = 2, tail: int = 12, near: int = 6, most_omens: int = 5, most_editions: int = 6) -> DataFrame:
+    """topic, kind, name, label, n: of the persons named in a topic the end of the arc ('arc': label is the chapter) and who is with them ('cooccur'); for all
+    topics, with null for the topic, moods of the chapters from `since` on ('affect'), the chapters with most omens and the largest editions."""
+    who = people_in(topics, names, ["topic"], persons).select("topic", F.explode("names").alias("name"))
+    arcs = top_n(facts.groupBy("name", "chapter").agg(F.sum("n").cast("long").alias("n")), ["name"], [F.desc("chapter")], tail)
+    arc = who.join(arcs, "name").select("topic", F.lit("arc").alias("kind"), "name", F.col("chapter").cast("string").alias("label"), "n")
+    together = cooccur_of(facts, who, keys, near).select(F.col("anchor").alias("name"), F.col("name").alias("label"), F.col("w").alias("n"))
+    co = who.join(together, "name").select("topic", F.lit("cooccur").alias("kind"), "name", "label", "n")
+    moods = [c for c in affect.columns if c not in ("chapter", "blocks")]
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.col(m).cast("long").alias("n")) for m in moods])).alias("x")
+    none = F.lit(None).cast(topics.schema["topic"].dataType).alias("topic")
+    felt = affect.filter(F.col("chapter") >= since).select("chapter", cells).select(none, F.lit("affect").alias("kind"), "x.name", F.col("chapter").cast("string").alias("label"), "x.n")
+    ominous = omens.orderBy(F.desc("n"), "chapter").limit(most_omens).select(none, F.lit("omen").alias("kind"), F.lit("").alias("name"), F.col("chapter").cast("string").alias("label"), "n")
+    largest = editions.orderBy(F.desc("n"), "edition").limit(most_editions).select(none, F.lit("edition").alias("kind"), F.lit("").alias("name"), F.col("edition").alias("label"), "n")
+    return arc.unionByName(co).unionByName(felt).unionByName(ominous).unionByName(largest)
+
+
 def evidence(topics: DataFrame, facts: DataFrame, names: DataFrame, tail: int = 12) -> DataFrame:
     """topic, name, chapters: of each person named in a topic (the first two), the last `tail` chapters of their arc as (chapter, hits)."""
-    from .facts import people_in
-
     who = people_in(topics, names, ["topic"], 2).select("topic", F.explode("names").alias("name"))
     hits = facts.groupBy("name", "chapter").agg(F.sum("n").cast("long").alias("hits"))
     last = top_n(hits, ["name"], [F.desc("chapter")], tail)

@@ -52,6 +52,42 @@ def households(links: DataFrame, a: str, b: str) -> DataFrame:
         labels = new.select("node", "unit")
 
 
+def kin_edges(edges: DataFrame, people: DataFrame, kinds: Mapping[str, Sequence[str]], by_gender: Mapping[str, str], by_mark: Mapping[str, Sequence[str]], male: str) -> DataFrame:
+    """a, b, rel, kind of every relation (source, target, rel): kind 'parent' (a is the parent), 'concubine' (a is the master), or that of `kinds`.
+
+    `kinds` maps a kind (such as parent, spouse, servant, ancestor, concubine) to its relations; what is named nowhere is collateral.  Relations of
+    `by_gender` hold between parent and child without saying which is which: the source is the parent if it has the gender given.  In those of
+    `by_mark` the target is the parent if its name holds one of the marks.  A male target of a concubine relation is the master.
+    """
+    gender = people.select(F.col("name").alias("__n"), F.coalesce("gender", F.lit("")).alias("__g"))
+    e = edges.select("source", "target", "rel")
+    for end in ("source", "target"):
+        e = e.join(gender.select(F.col("__n").alias(end), F.col("__g").alias(f"__{end}")), end, "left")
+    kind, forward = F.lit("collateral"), F.lit(True)
+    for k, rels in kinds.items():
+        kind = F.when(F.col("rel").isin(list(rels)), F.lit(k)).otherwise(kind)
+    for rel, g in by_gender.items():
+        kind = F.when(F.col("rel") == rel, F.lit("parent")).otherwise(kind)
+        forward = F.when(F.col("rel") == rel, F.coalesce(F.col("__source") == g, F.lit(False))).otherwise(forward)
+    for rel, marks in by_mark.items():
+        kind = F.when(F.col("rel") == rel, F.lit("parent")).otherwise(kind)
+        forward = F.when(F.col("rel") == rel, ~F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(F.col("target"), m))).otherwise(forward)
+    forward = F.when(kind == "concubine", F.coalesce(F.col("__target") != male, F.lit(True))).otherwise(forward)
+    return e.select(F.when(forward, F.col("source")).otherwise(F.col("target")).alias("a"), F.when(forward, F.col("target")).otherwise(F.col("source")).alias("b"), "rel", kind.alias("kind"))
+
+
+def kin_claims(kin: DataFrame, people: DataFrame, male: str, roots: Sequence[str] = ()) -> DataFrame:
+    """child, parent, rel, rank: claims for kinship_tree in order of rank: parents who have parents themselves, men, the order of `roots`; ancestors only
+    where nobody else claims the child."""
+    parents = kin.filter(F.col("kind").isin("parent", "ancestor")).select(F.col("b").alias("child"), F.col("a").alias("parent"), "rel", (F.col("kind") == "ancestor").alias("__far"))
+    lineage = parents.filter(~F.col("__far")).select(F.col("child").alias("parent")).distinct().withColumn("__in", F.lit(True))
+    known = people.select(F.col("name").alias("parent"), (F.coalesce("gender", F.lit("")) == male).alias("__male"))
+    place = F.array_position(F.array(*map(F.lit, roots)), F.col("parent")) if roots else F.lit(0)
+    ranked = parents.join(lineage, "parent", "left").join(known, "parent", "left")
+    rank = F.struct("__far", F.col("__in").isNull().alias("outside"), (~F.coalesce("__male", F.lit(False))).alias("not_male"), F.when(place > 0, place).otherwise(F.lit(1 << 30)).alias("place"))
+    return ranked.select("child", "parent", "rel", rank.alias("rank"))
+
+
 def kinship_tree(claims: DataFrame, priority: Sequence[Column]) -> DataFrame:
     """child, parent, solid: of the claims (child, parent, ...) on a child the first by priority is its parent; the others, and claims that would
     close a cycle (of each cycle that of its least node), stay as dashed edges.  Parents are followed upwards, doubling the distance each round."""

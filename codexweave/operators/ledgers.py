@@ -44,6 +44,12 @@ def object_summary(hits: DataFrame, chapter: str, source: str) -> DataFrame:
     return each.groupBy("name").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").cast("long").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(source, "n")))).alias("by_source"))
 
 
+def owner_lanes(objects: DataFrame, people: DataFrame, last: DataFrame) -> DataFrame:
+    """object, pos, name, fate, role, last: every owner in an object's chain of owners in order, with what is known of the person and the last mention."""
+    chain = objects.select("object", F.posexplode(F.array_distinct(F.flatten(tx.parse_chain("owner")))).alias("pos", "name"))
+    return chain.join(people.select("name", "fate", "role"), "name", "left").join(last.select("name", "last"), "name", "left").select("object", "pos", "name", "fate", "role", "last")
+
+
 def amounts(blocks: DataFrame, keys: Sequence[str], pattern: str, value: Column, strong: Sequence[str], weak: Sequence[str], bad_follow: str, bounds: tuple[float, float], tags: Mapping[str, Sequence[str]], other: str, near: int = 14, wide: int = 26, names: DataFrame | None = None) -> DataFrame:
     """keys, at, raw, amount, tags: amounts with a strong word, or two weak ones, within `near` characters, within bounds.
 

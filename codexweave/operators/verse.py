@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .facts import holding
+from .facts import holding, range_join
 from .ordered import top_n
 
 
@@ -185,6 +185,37 @@ def poem_density(poems: DataFrame, chapters: DataFrame, keys: Sequence[str]) ->
     return out.withColumn("per_10k", F.round(F.col("poems") * 10000.0 / F.greatest("chars", F.lit(1)), 6))
 
 
+def poem_ranges(poems: DataFrame, chapters: DataFrame, ranges: DataFrame, chapter: str = "chapter") -> DataFrame:
+    """label, poems, lines, chapters, poems per 10,000 characters of each range (label, lo, hi) of chapters."""
+    n = poems.groupBy(chapter).agg(F.count("*").alias("poems"), F.sum(F.greatest("n_lines", F.lit(1))).alias("lines"))
+    size = chapters.groupBy(chapter).agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("chapters"))
+    every = range_join(size.join(n, chapter, "left").na.fill(0, ["poems", "lines"]), ranges, chapter, "lo", "hi")
+    sums = every.groupBy("label").agg(*[F.sum(c).cast("long").alias(c) for c in ("poems", "lines", "chapters", "chars")])
+    return sums.select("label", "poems", "lines", "chapters", F.round(F.col("poems") * 10000.0 / F.greatest("chars", F.lit(1)), 6).alias("per_10k"))
+
+
+def poet_profiles(poems: DataFrame, excluded: Sequence[str], densities: Mapping[str, str], char_class: str, chapter: str = "chapter", k: int = 16) -> DataFrame:
+    """author, poems, lines, mean_line_len, a density per character of the class for each pattern, n_chapters, first, last of the k authors with most poems, bracketed names last."""
+    p = poems.filter(~F.col("genre").isin(list(excluded)) & (F.col("author") != ""))
+    n = {d: F.regexp_count("text", F.lit(pattern)) for d, pattern in densities.items()}
+    one = p.select("author", chapter, F.greatest("n_lines", F.lit(1)).alias("__l"), F.length("text").alias("__t"), F.length(tx.keep_chars("text", char_class)).alias("__z"), *[c.alias(f"__{d}") for d, c in n.items()])
+    each = one.groupBy("author", chapter).agg(F.count("*").alias("poems"), *[F.sum(c).alias(c) for c in one.columns[2:]])
+    sums = each.groupBy("author").agg(F.sum("poems").cast("long").alias("poems"), *[F.sum(c).cast("long").alias(c) for c in one.columns[2:]], F.count("*").alias("n_chapters"), F.min(chapter).alias("first"), F.max(chapter).alias("last"))
+    top = sums.orderBy(F.startswith("author", F.lit("（")), F.desc("poems"), F.desc("__l"), "author").limit(k)
+    rates = [F.round(F.col(f"__{d}") / F.greatest("__z", F.lit(1)), 6).alias(d) for d in densities]
+    return top.select("author", "poems", F.col("__l").alias("lines"), F.round(F.col("__t") / F.col("__l"), 6).alias("mean_line_len"), *rates, "n_chapters", "first", "last")
+
+
+def own_chars(poems: DataFrame, excluded: Sequence[str], char_class: str, stop: str, common: int = 400, least: int = 2, k: int = 10) -> DataFrame:
+    """author, char, n, rank: of an author's `common` most frequent characters those that occur `least` times or more and with no other author; the first k."""
+    p = poems.filter(~F.col("genre").isin(list(excluded)) & (F.col("author") != ""))
+    chars = F.split(tx.keep_chars("text", char_class), "")
+    each = p.select("author", F.explode(chars).alias("char")).filter((F.col("char") != "") & ~F.contains(F.lit(stop), F.col("char"))).groupBy("author", "char").agg(F.count("*").alias("n"))
+    single = each.groupBy("char").agg(F.count("*").alias("authors")).filter("authors = 1").select("char")
+    frequent = top_n(each, ["author"], [F.desc("n"), F.col("char")], common, "__r").filter(F.col("n") >= least)
+    return top_n(frequent.join(single, "char", "left_semi").drop("__r"), ["author"], [F.desc("n"), F.col("char")], k)
+
+
 def poet_stats(poems: DataFrame, images: DataFrame, excluded: Sequence[str], k: int = 16, top: int = 8) -> DataFrame:
     """author, poems, lines, mean_lines, mean_rhyme, images (the most frequent ones): the k authors with most poems, bracketed names last."""
     p = poems.filter(~F.col("genre").isin(list(excluded)) & (F.col("author") != ""))
@@ -221,20 +252,30 @@ def doubtful(poems: DataFrame, k: int = 14) -> DataFrame:
     return poems.orderBy("confidence", F.desc("n_lines"), "id").limit(k)
 
 
-def merge_strays(blocks: DataFrame, keys: Sequence[str], order: str, main: str, note: str, most: int = 4, ends: str = "。！？") -> DataFrame:
-    """blocks of a document in order; a main block of at most `most` characters without a sentence end, between two notes, joins the note before it."""
+def merge_strays(blocks: DataFrame, keys: Sequence[str], order: str, main: str, note: str, most: int = 4, ends: str = "。！？", tail: str | None = None, openers: str = "") -> DataFrame:
+    """blocks of a document in order; a main block of at most `most` characters without a sentence end, between two notes, joins the note before it.
+
+    With `tail` (the marks a note ends with) only a note that is cut off, and so ends with none of them, takes a stray; the notes after the stray are its
+    remainder and join it too, until it ends with such a mark or the next one begins with one of `openers`.
+    """
     names, kinds = list(keys), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*keys, order, "kind", "text").schema.fields)
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.sort_values(order).to_dict("records")
         out: list[dict] = []
+        open_ = False  # the last note has taken a stray and waits for its remainder
         for i, r in enumerate(rows):
             text = r["text"] or ""
             stray = r["kind"] == main and len(text) <= most and not any(c in ends for c in text)
-            if stray and out and out[-1]["kind"] == note and i + 1 < len(rows) and rows[i + 1]["kind"] == note:
-                out[-1]["text"] = (out[-1]["text"] or "") + text
+            before = (out[-1]["text"] or "") if out and out[-1]["kind"] == note else None
+            cut = before is not None and (tail is None or not before.endswith(tuple(tail)))
+            if stray and cut and i + 1 < len(rows) and rows[i + 1]["kind"] == note:
+                out[-1]["text"], open_ = before + text, tail is not None
+            elif open_ and cut and r["kind"] == note and not text.startswith(tuple(openers)):
+                out[-1]["text"] = before + text
             else:
                 out.append(dict(r))
+                open_ = False
         return pd.DataFrame(out, columns=[*names, order, "kind", "text"])
 
     return blocks.select(*names, order, "kind", "text").groupBy(*names).applyInPandas(merge, kinds)

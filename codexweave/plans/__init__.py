@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text_queries", "fact_queries", "model_queries", "collation_queries")
+MODULES = ("text_queries", "fact_queries", "model_queries", "collation_queries", "detail_queries")
 
 
 def load_all() -> None:

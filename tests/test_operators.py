@@ -338,3 +338,27 @@ def test_tables_of_poems_against_plain_counts(spark):
         n = mine.genre.value_counts().to_dict()
         assert (r["poems"], r["authors"]) == (len(mine), sorted(set(mine.author) - {""}))
         assert (r["genres"] or []) == sorted(n, key=lambda x: (-n[x], x))
+
+
+def test_strays_take_the_remainder_of_a_cut_note(spark):
+    b = spark.createDataFrame([(1, i, k, t) for i, (k, t) in enumerate([("n", "the poem of"), ("m", "rare"), ("n", "birds and"), ("n", "flowers."), ("n", "next note."), ("m", "ab"), ("n", "other"), ("m", "cd"), ("n", "“quoted."), ("m", "a main block")])], "d int, i int, kind string, text string")
+    got = [t for _, t in rows(verse.merge_strays(b, ["d"], "i", "m", "n", ends=".", tail=".!", openers="“("), "i", "text")]
+    assert got == ["the poem ofrarebirds andflowers.", "next note.", "ab", "othercd", "“quoted.", "a main block"]
+
+
+def test_kin_edges_and_claims(spark):
+    people = spark.createDataFrame([("Fa", "m"), ("Mo", "f"), ("So", "m"), ("Da", "f"), ("Gr", "f"), ("Li", "m"), ("Ol", "m"), ("Xu", None)], "name string, gender string")
+    e = spark.createDataFrame([("So", "Mo", "mother-child"), ("Mo", "Da", "mother-child"), ("Fa", "So", "father"), ("Gr", "Li", "grandparent"), ("Gr", "So", "grandparent"), ("Xu", "Ol", "concubine"), ("Fa", "Xu", "concubine"), ("So", "Li", "friend"), ("Da", "Elder Mo", "mother-daughter"), ("Ol", "Fa", "father")], "source string, target string, rel string")
+    kin = graph.kin_edges(e, people, {"parent": ["father"], "ancestor": ["grandparent"], "concubine": ["concubine"]}, {"mother-child": "f"}, {"mother-daughter": ["Elder"]}, "m")
+    assert rows(kin, "a", "b", "kind") == sorted([("Mo", "So", "parent"), ("Mo", "Da", "parent"), ("Fa", "So", "parent"), ("Gr", "Li", "ancestor"), ("Gr", "So", "ancestor"), ("Ol", "Xu", "concubine"), ("Fa", "Xu", "concubine"), ("So", "Li", "collateral"), ("Elder Mo", "Da", "parent"), ("Ol", "Fa", "parent")])
+    tree = graph.kinship_tree(graph.kin_claims(kin, people, "m"), [F.col("rank")])
+    solid = {r["child"]: r["parent"] for r in tree.collect() if r["solid"]}
+    assert solid == {"So": "Fa", "Fa": "Ol", "Da": "Elder Mo", "Li": "Gr"}
+
+
+def test_cooccur_of_all_equals_one_by_one(spark):
+    rng = random.Random(3)
+    f = spark.createDataFrame([(rng.randrange(5), rng.choice("abcd"), rng.randrange(1, 4)) for _ in range(60)], "chapter int, name string, n int")
+    got = rows(facts.cooccur_of(f, spark.createDataFrame([("a",), ("c",)], "name string"), ["chapter"], 2), "anchor", "name", "w")
+    want = [(a, r["name"], r["w"]) for a in "ac" for r in facts.cooccur(f, a, ["chapter"], 2).collect()]
+    assert got == sorted(want)

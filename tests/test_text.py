@@ -108,3 +108,11 @@ def test_common_substring():
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(2))
         want = max((j - i for i in range(len(a)) for j in range(i, len(a) + 1) if a[i:j] in b), default=0)
         assert helpers.common_substring(a, b) == want
+
+
+def test_character_references(spark):
+    cases = {"a&amp;lt;b": "a&lt;b", "&#20013;&#x6587;&#X1F600;": "中文😀", "&eacute;&apos;&nosuch;&": "é'&nosuch;&", "&#0;&#xD800;&#1114112;": "&#0;&#xD800;&#1114112;", "plain": "plain", "": "", "&Eacute;;&lt": "É;&lt"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "raw string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", tx.unescape("raw").alias("got")).collect())
+    page = spark.createDataFrame([("<p>a&#8203;b&nbsp;&#160; c</p><p>d</p>",)], "h string").select(tx.html_to_text("h")).first()[0]
+    assert page == "ab c\nd\n"
