@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
@@ -104,6 +105,31 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.select(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
 
 
+def blocks_of(rows: DataFrame, key: str, text_col: str, block_bytes: int) -> Iterator[DataFrame]:
+    """rows in blocks of about `block_bytes` of text, all rows of a key in one block.  Each block can be read apart from the others.
+
+    One block is rows themselves.  More are written, sorted by block, to the checkpoint folder's store once, a folder for each, and read from there.
+    """
+    blocks = -(-text_bytes(rows, text_col) // block_bytes)
+    if blocks <= 1:
+        yield rows
+        return
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    dealt.repartition(max(1, min(blocks, shuffle_partitions(spark))), "__block").write.partitionBy("__block").parquet(path)
+    for b in range(blocks):
+        part = spark.read.schema(dealt.schema).parquet(path).filter(F.col("__block") == b).drop("__block")
+        yield part
+    remove(spark, path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: that of spark.checkpoint.dir."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+
 def sha256(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, near_dedup, pii, quality_rules, secrets, substring_dedup, token_counts, warc
+from . import bpe, decontamination, language_id, lexical_search, line_dedup, merkle, near_dedup, pii, quality_rules, secrets, substring_dedup, token_counts, warc
 from .common import sha256, table
 
 
@@ -78,6 +78,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept")).alias("kept_sha256"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    made = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.translate("text", UPPER, LOWER)}, changed=changed)
+    return merkle.check(made.proofs).withColumnRenamed("id", "doc_id")
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op5 finds by the base rules alone."""
     return op5_quality_rules(spark, sf_dir).drop("kept")
@@ -104,12 +122,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "quality_base": quality_base,
     "pii_base": pii_base,
     "secret_base": secret_base,
 }
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = "regexp_extract_all(" + _LOWERED.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"""
+
+
+def _written(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode({value})) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    numbers = [_written(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "n_chars")]
+    return f"sha256({numbers[0]} || {_written('source')} || {_written('lang')} || {numbers[1]} || {_written(text)})"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Nodes of all levels over leaves (g, pos, h, n), and for each what stands left and right of it."""
+    return f"""{name} AS (
+            SELECT g, 0 AS lvl, pos, h, n FROM {leaves}
+            UNION ALL SELECT g, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM {name} WHERE n > 1 GROUP BY g, lvl, pos // 16
+        ), {name}_side AS (
+            SELECT g, lvl, pos, n, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM {name} WHERE n > 1 WINDOW run AS (PARTITION BY g, lvl, pos // 16 ORDER BY pos)
+        )"""
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 ORACLES: dict[str, str] = {
@@ -147,6 +195,46 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
     """,
+    "op11_lexical_search": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+        size AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM d WHERE len(ts) > 0),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+        tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY doc_id, n, t),
+        weight AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), size),
+        s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+              FROM q JOIN tf USING (t) JOIN weight USING (t), size GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+    """,
+    "op12_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        line AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS p FROM d),
+        k AS (SELECT doc_id, p, x, {_LOWERED.format("trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM line),
+        often AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(often.k) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (often.k IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN often USING (k) GROUP BY doc_id
+    """,
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE base AS (
+            SELECT doc_id, coalesce('=' || source, '-') AS g, {_leaf("text")} AS leaf,
+                   CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(_LOWERED.format("text"))} ELSE {_leaf("text")} END AS now
+            FROM documents
+        ), leaves AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n, doc_id, now FROM base
+        ), {_levels("low", "leaves")
+        }, subroots AS (SELECT g AS member, h AS subroot, 'top' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS n FROM low WHERE n = 1
+        ), {_levels("high", "subroots")
+        }, walk AS (
+            SELECT doc_id, leaf, g, 0 AS lvl, pos, '' AS proof, now AS folded FROM (SELECT doc_id, h AS leaf, g, pos, now FROM leaves)
+            UNION ALL SELECT doc_id, leaf, g, lvl + 1, pos // 16, proof || l || r, sha256(l || folded || r) FROM walk JOIN low_side USING (g, lvl, pos)
+        ), arrived AS (SELECT * FROM walk QUALIFY lvl = max(lvl) OVER (PARTITION BY doc_id)
+        ), climb AS (
+            SELECT doc_id, leaf, subroot, 0 AS lvl, s.pos, proof, folded FROM arrived a JOIN subroots s ON a.g = s.member
+            UNION ALL SELECT doc_id, leaf, subroot, lvl + 1, pos // 16, proof || l || r, sha256(l || folded || r) FROM climb JOIN high_side USING (lvl, pos)
+        )
+        SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+               folded = (SELECT h FROM high WHERE n = 1) AS verified
+        FROM climb QUALIFY lvl = max(lvl) OVER (PARTITION BY doc_id)
+    """,
     "quality_base": f"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
         line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w),
