@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import grams_of
 from ..operators.facts import small
-from ..operators.graph import checkpoint
+from ..operators.store import checkpoint
 from ..operators.ordered import top_n
 
 # Interpolation weights, log buckets.

@@ -53,7 +53,7 @@ def events(scenes: DataFrame, keys: Sequence[str], aliases: DataFrame, types: Da
     largest sum of count * length^2 of its verbs over the sentences that name the person (equals: the lower type number);
     no verb, no event.  acts: the two heaviest verbs of that type.
     """
-    hits = term_hits(scenes, aliases)
+    hits = term_hits(scenes, aliases).drop("at")
     quoted = F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E"))
     acting = F.regexp_like("text", F.concat(quoted, F.lit(f"(?:.{{0,{within}}}(?:{action})|.{{0,7}}{quote_open})")))
     people = hits.withColumn("acts_here", acting).groupBy(*keys, "name").agg(F.max("acts_here").alias("acting"), F.sum("n").cast("long").alias("n"), F.collect_set("term").alias("terms"))
@@ -62,7 +62,7 @@ def events(scenes: DataFrame, keys: Sequence[str], aliases: DataFrame, types: Da
     place = F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, sorted(places, key=lambda p: (-len(p), p)))), lambda p: F.contains(F.col("text"), p)), F.lit(1)), F.lit(""))
     ctx = who.withColumn("__m", F.concat_ws("", mine)).select(*keys, F.col("name").alias("person"), "n", place.alias("place"), F.when(F.col("__m") == "", F.col("text")).otherwise(F.col("__m")).alias("ctx"))
     verbs = types.select("type_no", "etype", F.explode("verbs").alias("verb"))
-    w = holding(ctx, verbs, "ctx", "verb").withColumn("w", tx.count_term(F.col("ctx"), F.col("verb")) * F.length("verb") * F.length("verb"))
+    w = term_hits(ctx.drop("n"), verbs, "ctx", "verb", keep=[*keys, "person"]).withColumn("w", F.col("n") * F.length("verb") * F.length("verb"))
     scored = w.groupBy(*keys, "person", "type_no", "etype").agg(F.sum("w").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "verb"))).alias("v"))
     best = top_n(scored, [*keys, "person"], [F.desc("score"), F.col("type_no")], 1)
     acts = F.concat_ws("、", F.transform(F.slice("v", 1, 2), lambda x: x["verb"]))

@@ -1,7 +1,6 @@
 """Mention, occurrence and annotation facts, and the aggregates over them.
 
-Dictionaries are DataFrames.  One of at most `broadcast_rows` rows (checked) is broadcast and tested against each text;
-a larger one meets the texts in an equi-join on the first two characters of its terms, and containment is checked after.
+Dictionaries are DataFrames; texts are searched for all their terms in one pass (operators.dictionary), of any size and with the same result.
 """
 
 from __future__ import annotations
@@ -11,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_term, grams_of, lexicon_count
+from ..functions.text import lexicon_count
+from .dictionary import BLOCK_ROWS, find_terms
 from .ordered import top_n
 
 
@@ -19,47 +19,54 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def holding(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", broadcast_rows: int = 5000, bound: DataFrame | None = None) -> DataFrame:
-    """texts x terms where the text holds the term.  `bound` is a table with at least as many rows as terms, if one is cheaper to count."""
-    if small(terms if bound is None else bound, broadcast_rows):
-        return texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)))
-    # One-character terms meet the texts by their characters.
-    keys = F.array_union(F.array_distinct(grams_of(text, 2)), F.array_distinct(grams_of(text, 1)))
-    keyed = texts.withColumn("__g", F.explode(keys))
-    return keyed.join(terms.withColumn("__g", F.substring(term, 1, 2)), "__g").filter(F.contains(F.col(text), F.col(term))).drop("__g")
+def _of_term(found: DataFrame, terms: DataFrame, term: str, outer: bool = False) -> DataFrame:
+    """found (a row per text and term, in `__t`) with the columns of terms; a term that stands in several rows of terms gives each of them."""
+    side = terms.withColumnRenamed(term, "__term")
+    side = F.broadcast(side) if small(side, BLOCK_ROWS) else side
+    kept = [c for c in found.columns if c not in ("__t", "n", "at")]
+    columns = [F.col("__t").alias(c) if c == term else side[c] for c in terms.columns]
+    return found.join(side, F.col("__t") == F.col("__term"), "left" if outer else "inner").select(*[found[c] for c in kept], *columns, "n", "at")
 
 
-def holding_or_none(texts: DataFrame, terms: DataFrame, text: str, term: str, broadcast_rows: int = 5000) -> DataFrame:
-    """holding(), and every text that holds no term once, with nulls for the term's columns.  A large dictionary adds that row to the other texts too."""
-    if small(terms, broadcast_rows):
-        return texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)), "left")
-    return holding(texts, terms, text, term, broadcast_rows).unionByName(texts, allowMissingColumns=True)
+def term_hits(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", keep: Sequence[str] | None = None, **options) -> DataFrame:
+    """texts (only the columns in `keep`, if given) x terms where the text holds the term, with `n`, the number of non-overlapping
+    occurrences, and `at`, their offsets."""
+    found = find_terms(texts, terms, text, term, keep, **options)
+    one = found.select(*[c for c in found.columns if c != "hits"], F.explode("hits").alias("__h"))
+    return _of_term(one.select(*one.columns[:-1], F.col("__h.term").alias("__t"), F.size("__h.at").cast("long").alias("n"), F.col("__h.at").alias("at")), terms, term)
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", **options) -> DataFrame:
-    """texts x terms where the text holds the term, with `n`, the number of non-overlapping occurrences."""
-    return holding(texts, terms, text, term, **options).withColumn("n", count_term(F.col(text), F.col(term)))
+def holding(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", **options) -> DataFrame:
+    """texts x terms where the text holds the term."""
+    return term_hits(texts, terms, text, term, **options).drop("n", "at")
+
+
+def holding_or_none(texts: DataFrame, terms: DataFrame, text: str, term: str, **options) -> DataFrame:
+    """holding(), and every text that holds no term once, with nulls for the term's columns."""
+    found = find_terms(texts, terms, text, term, **options)
+    one = found.select(*[c for c in found.columns if c != "hits"], F.explode_outer("hits").alias("__h"))
+    return _of_term(one.select(*one.columns[:-1], F.col("__h.term").alias("__t"), F.lit(0).alias("n"), F.lit(0).alias("at")), terms, term, outer=True).drop("n", "at")
 
 
 def mentions(blocks: DataFrame, aliases: DataFrame, keys: Sequence[str], least: int = 2, **options) -> DataFrame:
     """keys, name, n: occurrences of all aliases of a name in a block.  Aliases are not exclusive: a name inside another counts for both."""
     used = aliases.filter(F.length("term") >= least)
-    return term_hits(blocks, used, **options).groupBy(*keys, "name").agg(F.sum("n").cast("long").alias("n"))
+    return term_hits(blocks, used, keep=keys, **options).groupBy(*keys, "name").agg(F.sum("n").cast("long").alias("n"))
 
 
 def occurrences(chapters: DataFrame, terms: DataFrame, group: str, order: str, cap: int, **options) -> DataFrame:
     """term x chapter counts; of each term and group the first `cap` chapters."""
-    hits = term_hits(chapters, terms, **options).select(group, order, "term", "n")
+    hits = term_hits(chapters, terms, keep=[group, order], **options).select(group, order, "term", "n")
     return top_n(hits, ["term", group], [F.col(order)], cap).drop("rank")
 
 
 def image_facts(texts: DataFrame, images: DataFrame, keys: Sequence[str], names: DataFrame | None = None, **options) -> DataFrame:
     """keys, term, category, n; with `names`, a one-character term does not count inside a name that holds it (floored at 0)."""
-    raw = term_hits(texts, images, **options).select(*keys, "term", "category", "n")
+    raw = term_hits(texts, images, keep=keys, **options).select(*keys, "term", "category", "n")
     if names is None:
         return raw
-    holders = holding(names.select(F.col("term").alias("name")), images.filter(F.length("term") == 1).select(F.col("term").alias("image")), "name", "image", options.get("broadcast_rows", 5000))
-    inside = term_hits(texts, holders.select(F.col("name").alias("term"), "image"), **options).groupBy(*keys, "image").agg(F.sum("n").alias("sub"))
+    holders = holding(names.select(F.col("term").alias("name")), images.filter(F.length("term") == 1).select(F.col("term").alias("image")), "name", "image", **options)
+    inside = term_hits(texts, holders.select(F.col("name").alias("term"), "image"), keep=keys, **options).groupBy(*keys, "image").agg(F.sum("n").alias("sub"))
     joined = raw.join(inside.withColumnRenamed("image", "term"), [*keys, "term"], "left")
     return joined.withColumn("n", F.greatest(F.col("n") - F.coalesce("sub", F.lit(0)), F.lit(0))).drop("sub").filter("n > 0")
 
@@ -86,7 +93,7 @@ def pair_cooccurrence(items: DataFrame, group: Sequence[str], item: str, least:
 
 def people_in(texts: DataFrame, names: DataFrame, keys: Sequence[str], cap: int = 3, **options) -> DataFrame:
     """keys, names: canonical names in a text, longest first; a name contained in a longer one that is there too is dropped; the first `cap`."""
-    hits = term_hits(texts, names, **options).select(*keys, "term", "name").distinct()
+    hits = term_hits(texts, names, keep=keys, **options).select(*keys, "term", "name").distinct()
     longer = hits.select(*keys, F.col("term").alias("long"))
     contained = F.contains(F.col("long"), F.col("term")) & (F.length("long") > F.length("term"))
     kept = hits.alias("h").join(longer.alias("l"), [F.col(f"h.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys] + [contained], "left_anti")
@@ -96,10 +103,15 @@ def people_in(texts: DataFrame, names: DataFrame, keys: Sequence[str], cap: int
 
 
 def range_join(events: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, broadcast_rows: int = 100_000) -> DataFrame:
-    """Rows whose position lies in a range.  A checked small range table is broadcast; else ranges are exploded into positions for an equi-join."""
+    """Rows whose position, whole or not, lies in a range.  A checked small range table is broadcast; else positions and ranges meet in
+    cells as wide as the ranges are on average, so that ranges are in about two cells each."""
+    inside = F.col(at).between(F.col(lo), F.col(hi))
     if small(ranges, broadcast_rows):
-        return events.join(F.broadcast(ranges), F.col(at).between(F.col(lo), F.col(hi)))
-    return events.join(ranges.withColumn(at, F.explode(F.sequence(F.col(lo), F.col(hi)))), at)
+        return events.join(F.broadcast(ranges), inside)
+    width = max(1.0, float(ranges.agg(F.avg(F.col(hi) - F.col(lo))).first()[0] or 1))
+    cell = lambda c: F.floor(c / F.lit(width))
+    spread = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("__cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi)))))
+    return events.withColumn("__cell", cell(F.col(at))).join(spread, "__cell").filter(inside).drop("__cell")
 
 
 def prune_edges(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:

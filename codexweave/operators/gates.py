@@ -37,7 +37,7 @@ def event_index(plan: DataFrame, events: DataFrame) -> DataFrame:
 def chronology(docs: DataFrame, plan: DataFrame, events: DataFrame, lead: int = 3) -> DataFrame:
     """A text must not hold the keywords of an event planned `lead` or more chapters later; one issue per event."""
     due = events.join(event_index(plan, events), "event")
-    hit = holding(docs, due, term="keyword", bound=events).filter(F.col("at") - F.col("chapter") >= lead)
+    hit = holding(docs, due, term="keyword", keep=["chapter"]).filter(F.col("at") - F.col("chapter") >= lead)
     return hit.groupBy("chapter", "event").agg(F.min("keyword").alias("keyword")).select("chapter", F.lit("G2").alias("gate"), F.concat_ws(":", "event", "keyword").alias("detail"))
 
 

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import classify
 from .facts import prune_edges
 from .ordered import top_n
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write to the shared folder of spark.checkpoint.dir and read back; only a local session without one, as in tests, makes its own."""
-    spark: SparkSession = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+from .store import checkpoint
 
 
 def degree(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,20 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.spans import term_spans, with_spans
-from .facts import holding_or_none, term_hits
+from ..functions.spans import with_spans
+from .dictionary import BLOCK_ROWS, find_terms, with_longest
+from .facts import holding_or_none, small, term_hits
 from .ordered import top_n
 
 
 def kwic(texts: DataFrame, terms: DataFrame, keys: Sequence[str], pad: int, names: DataFrame | None = None) -> DataFrame:
     """keys, term (and the terms' other columns), at, context; with `names`, the longest name in the window of `pad` characters around the hit."""
-    hit = term_spans(term_hits(texts, terms), "text", "term", "__s")
-    extra = [c for c in terms.columns if c != "term"]
-    out = hit.select(*keys, "term", *extra, "text", F.explode("__s").alias("s")).select(*keys, "term", *extra, F.col("s.start").cast("long").alias("at"), tx.snippet("text", F.col("s.start"), F.length("term"), pad).alias("context"))
-    if names is None:
-        return out
-    longest = holding_or_none(out, names.select("name", F.col("term").alias("__t")), "context", "__t")
-    return longest.groupBy(*out.columns).agg(F.max_by("name", F.struct(F.length("__t"), "__t")).alias("person"))
+    found = find_terms(texts, terms, keep=keys, pad=pad)
+    one = found.select(*keys, F.explode("hits").alias("h"))
+    each = one.select(*keys, F.col("h.term").alias("term"), F.explode(F.arrays_zip("h.at", "h.context")).alias("x"))
+    side = F.broadcast(terms) if small(terms, BLOCK_ROWS) else terms
+    out = each.join(side, "term").select(*keys, "term", *[c for c in terms.columns if c != "term"], F.col("x.at").cast("long").alias("at"), F.col("x.context").alias("context"))
+    return out if names is None else _with_person(out, names, "context")
+
+
+def _with_person(rows: DataFrame, names: DataFrame, text: str) -> DataFrame:
+    """rows with `person`: the name (of several the greatest) whose alias is the longest in the text."""
+    known = names.groupBy(F.col("term").alias("__t")).agg(F.max("name").alias("person"))
+    known = F.broadcast(known) if small(known, BLOCK_ROWS) else known
+    return with_longest(rows, names, text, "term", "__t").join(known, "__t", "left").drop("__t")
 
 
 def concordance_totals(hits: DataFrame, chapters: DataFrame, chapter: Sequence[str]) -> DataFrame:
@@ -33,8 +40,8 @@ def concordance_totals(hits: DataFrame, chapters: DataFrame, chapter: Sequence[s
 
 def first_hits(blocks: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, name, term, at: one hit per block and object, by the first alias in priority order that occurs."""
-    hits = term_hits(blocks, aliases)
-    best = hits.withColumn("at", F.instr(F.col("text"), F.col("term")) - 1).groupBy(*keys, "name").agg(F.min(F.struct("priority", "term", "at")).alias("b"))
+    hits = term_hits(blocks, aliases, keep=keys)
+    best = hits.withColumn("at", F.get("at", F.lit(0))).groupBy(*keys, "name").agg(F.min(F.struct("priority", "term", "at")).alias("b"))
     return best.select(*keys, "name", "b.term", F.col("b.at").cast("long").alias("at"))
 
 
@@ -63,10 +70,7 @@ def amounts(blocks: DataFrame, keys: Sequence[str], pattern: str, value: Column,
     context = (F.col("__near").rlike("|".join(map(re.escape, strong))) if strong else F.lit(False)) | (weak_n >= 2)
     kept = rows.filter(context & ~F.col("__after").rlike(f"^(?:{bad_follow})")).withColumn("amount", value).filter((F.col("amount") > bounds[0]) & (F.col("amount") < bounds[1]))
     out = kept.select(*keys, "at", "raw", "amount", tx.multi_tags("__wide", tags, other).alias("tags"), "__wide")
-    if names is not None:
-        joined = holding_or_none(out, names.select("name", F.col("term").alias("__t")), "__wide", "__t")
-        out = joined.groupBy(*out.columns).agg(F.max_by("name", F.struct(F.length("__t"), "__t")).alias("person"))
-    return out.drop("__wide")
+    return (out if names is None else _with_person(out, names, "__wide")).drop("__wide")
 
 
 def amount_tiers(found: DataFrame, tiers: Sequence[tuple[str, float]]) -> DataFrame:

@@ -59,7 +59,7 @@ def mentions(spark, sf_dir):
 
 @query("mentions_large_dictionary", f"WITH {FACTS_SQL} SELECT * FROM facts")
 def mentions_large_dictionary(spark, sf_dir):
-    return facts.mentions(blocks(spark, sf_dir), names(spark), ["stream", "chapter", "seq"], broadcast_rows=0)
+    return facts.mentions(blocks(spark, sf_dir), names(spark), ["stream", "chapter", "seq"], block_rows=2)
 
 
 @query("occurrences", f"WITH {CH}, {NAMES_SQL}, o AS (SELECT term, stream, chapter, CAST((length(text) - length(replace(text, term, ''))) // length(term) AS BIGINT) AS n, row_number() OVER (PARTITION BY term, stream ORDER BY chapter) AS k FROM chapters JOIN names ON contains(text, term)) SELECT term, stream, chapter, n FROM o WHERE k <= 12")

@@ -52,7 +52,7 @@ def test_mentions_are_not_exclusive(spark):
     names = spark.createDataFrame([("宝玉", "宝玉"), ("甄宝玉", "甄宝玉"), ("x", "来")], "name string, term string")
     want = [(1, "宝玉", 2), (2, "宝玉", 1), (2, "甄宝玉", 1)]
     assert rows(facts.mentions(blocks, names, ["id"]), "id", "name", "n") == want
-    assert rows(facts.mentions(blocks, names, ["id"], broadcast_rows=0), "id", "name", "n") == want
+    assert rows(facts.mentions(blocks, names, ["id"], block_rows=1), "id", "name", "n") == want
     assert [r["names"] for r in facts.people_in(blocks, names, ["id"]).filter("id = 2").collect()] == [["甄宝玉"]]
 
 
@@ -218,7 +218,7 @@ def test_dictionary_joins_make_no_cartesian_product(spark):
     blocks = spark.createDataFrame([(1, "a")], "id int, text string")
     names = spark.createDataFrame([("x", "ab")], "name string, term string")
     plan = facts.mentions(blocks, names, ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "MapInArrow" in plan
 
 
 def test_nearest_of_all_ranks_every_row(spark):
@@ -242,10 +242,10 @@ def test_nearest_of_all_ranks_every_row(spark):
 def test_large_dictionaries_give_the_same_rows(spark):
     texts = spark.createDataFrame([(1, "the sun and moon"), (2, "of a b"), (3, ""), (4, None), (5, "moon moon")], "id int, text string")
     terms = spark.createDataFrame([("moon", "M"), ("the", "T"), ("a", "A"), ("zz", "Z")], "term string, name string")
-    small, large = (facts.holding(texts, terms, broadcast_rows=n) for n in (10, 0))
+    small, large = (facts.holding(texts, terms, block_rows=n) for n in (10, 1))
     assert rows(small, "id", "term", "name") == rows(large, "id", "term", "name") == [(1, "a", "A"), (1, "moon", "M"), (1, "the", "T"), (2, "a", "A"), (5, "moon", "M")]
     best = lambda df: sorted((r["id"], r["b"]) for r in df.groupBy("id").agg(F.max_by("name", F.struct(F.length("term"), "term")).alias("b")).collect())
-    assert best(facts.holding_or_none(texts, terms, "text", "term", 10)) == best(facts.holding_or_none(texts, terms, "text", "term", 0)) == [(1, "M"), (2, "A"), (3, None), (4, None), (5, "M")]
+    assert best(facts.holding_or_none(texts, terms, "text", "term", block_rows=10)) == best(facts.holding_or_none(texts, terms, "text", "term", block_rows=1)) == [(1, "M"), (2, "A"), (3, None), (4, None), (5, "M")]
 
 
 def test_nearest_in_blocks_of_the_benchmark(spark):
