@@ -15,8 +15,8 @@ Words repeat, so each task keeps a bounded table of encoded words (`CACHE_WORDS`
 not met lately leave it.
 
 Defined results: null text counts as empty: no tokens, empty decoding.  Special strings in a text
-are special tokens, as in the library.  Every code point is split and folded as in the library, whose Unicode is newer than
-Python's.  Rows with equal ids are encoded separately.
+are special tokens, as in the library.  Every code point is composed, split and folded as in the library, whose Unicode differs from
+Python's: its own NFC is called, and tables below give the newer letters, numbers and lower cases.  Rows with equal ids are encoded separately.
 """
 
 from __future__ import annotations
@@ -99,6 +99,7 @@ def _folded(token: str) -> str:
 class Encoder:
     def __init__(self, tokenizer_file: str):
         import ahocorasick
+        from tokenizers.normalizers import NFC
 
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -108,6 +109,8 @@ class Encoder:
         self.word, self.latin_word = word_pattern(), word_pattern(0x100)
         self.lower = new_lower()
         self.newer = re.compile("[" + "".join(map(chr, self.lower)) + "]")
+        self.compose = NFC().normalize_str
+        self.composing = re.compile(r"[^\x00-\u02ff]")
         self.beyond_latin = re.compile(r"[^\x00-\xff]")
         self.bytes = str.maketrans({chr(i): s for i, s in enumerate(byte_symbols())})
         strings = {i: t for t, i in (model["vocab"] | self.special).items()}
@@ -218,7 +221,8 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         # Words never hold white space, so the normaliser's squeezing of it changes nothing here.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        # Below U+0300 nothing composes or is reordered; above, the library's classes and compositions are of an older Unicode than Python's.
+        text = (self.compose(text) if self.composing.search(text) else text).replace("Σ", "σ").lower()
         if not self.beyond_latin.search(text):
             return self.latin_word.findall(text)
         return self.word.findall(text.translate(self.lower) if self.newer.search(text) else text)

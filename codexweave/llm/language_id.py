@@ -10,8 +10,8 @@ The score is the margin (second - best) / second, between 0 and 1.  `rejected` i
 is no verdict or the score is below `min_margin`.
 
 Bounded training sample (the documented bound): of each language the `docs_per_lang` training
-documents with the lowest hash of the id, of these at most `dict_bytes` bytes altogether.  Each of them gives the same
-share: a text that is longer gives SLICES pieces, one from each part of the whole text, at places chosen by hash.  Of rows with
+documents with the lowest hash of the id, of these at most `dict_bytes` bytes altogether.  Each of them has the same
+share of these bytes: a text with more gives SLICES pieces, one from each part of the whole text, at places chosen by hash.  Of rows with
 equal id and language the least text counts.  Every language that is
 named in a training row is learned; more than GROUP of them are scored in groups, so that a task holds one group's compressors
 at a time.  Only text and language of training rows are used.
@@ -22,7 +22,6 @@ every row is `und`.  Ties: the language with more training rows wins, of these t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -37,7 +36,6 @@ from .words import slices_by_bytes
 GROUP = 64
 #: Pieces that a long training text gives.
 SLICES = 4
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, dict_bytes: int = 1 << 17) -> dict[str, bytes]:
@@ -58,15 +56,22 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = labelled.join(F.broadcast(picked), ["id", "lang"]).select("lang", "k", pieces(F.col("text"), F.col("id"), share).alias("text")).groupBy("lang", "k").agg(F.min("text").alias("text"))
     content: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["k"], r["text"])):
-        content.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(content[lang]).lower().encode()[:dict_bytes] for lang in langs if lang in content}
+        content.setdefault(r["lang"], []).append(cut(r["text"].lower(), share - 1))
+    return {lang: b"\n".join(content[lang]) for lang in langs if lang in content}
+
+
+def cut(text: str, size: int) -> bytes:
+    """The text in UTF-8, up to the last code point that ends within `size` bytes."""
+    raw = text.encode()
+    return raw if len(raw) <= size else raw[:size].decode(errors="ignore").encode()
 
 
 def pieces(text: Column, id_: Column, share: int) -> Column:
-    """The text, or if it has more than `share` code points, SLICES pieces of it, one from each of as many equal parts."""
-    size, part = share // SLICES, F.floor(F.length(text) / SLICES).cast("int")
+    """The text, or if it has more than `share` bytes, SLICES pieces of it of about that size together, one from each of as many equal parts."""
+    part = F.floor(F.length(text) / SLICES).cast("int")
+    size = F.greatest(F.floor(F.lit(share // SLICES) * F.length(text) / F.octet_length(text)).cast("int"), F.lit(1))
     at = [part * i + F.pmod(F.xxhash64(id_, F.lit(i)), F.greatest(part - size + 1, F.lit(1))).cast("int") + 1 for i in range(SLICES)]
-    return F.when(F.length(text) <= share, text).otherwise(F.concat_ws("\n", *[F.substring(text, a, F.lit(size)) for a in at]))
+    return F.when(F.octet_length(text) <= share, text).otherwise(F.concat_ws("\n", *[F.substring(text, a, size) for a in at]))
 
 
 @lru_cache(maxsize=1)
@@ -85,7 +90,7 @@ def classify(texts: list[str | None], content: tuple[tuple[str, bytes], ...], bl
     """Language and score of each text; of each group of languages only the two smallest sizes are kept."""
     blocks: list[list[bytes]] = []
     for text in texts:
-        raw = text.lower().encode() if text is not None and LETTER.search(text) else b""
+        raw = text.lower().encode() if text is not None and any(map(str.isalpha, text)) else b""
         blocks.append([raw[i : i + block_bytes] for i in range(0, len(raw), block_bytes)])
     least: list[list[tuple[int, int]]] = [[] for _ in texts]
     for g in range(0, len(content), GROUP):

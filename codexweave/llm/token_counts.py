@@ -48,7 +48,8 @@ class Splitter:
         return text[at - 1 : at + 1].replace(" ", SPACE) not in self.joined
 
     def plain(self, text: str) -> bool:
-        return self.sp.normalize(text).replace(SPACE, " ").removeprefix(" ") == text.removeprefix(" ")
+        """The normal form is the text itself, after the one space that the model puts before it."""
+        return self.sp.normalize(text) == (SPACE + text.replace(" ", SPACE) if text else "")
 
     def token_starts(self, text: str, lo: int, hi: int) -> list[int]:
         return [lo + b for b, _ in self.sp.encode_as_offset_mapping(text[lo:hi])["offsets"]]
@@ -85,10 +86,12 @@ class Splitter:
             done, lo, hi, starts = cut, left, right, following
         yield done, n, sum(b >= done for b in starts)
 
-    def count(self, text: str, chunk: int, overlap: int) -> int:
+    def count(self, text: str, chunk: int, overlap: int) -> tuple[int, int]:
+        """Tokens, and the number of parts that were counted apart (0: the text was encoded at once)."""
         if len(text) <= chunk or not all(self.plain(text[i : i + chunk + 1]) for i in range(0, len(text), chunk)):  # chunks share a character, so that every pair is seen
-            return self.count_whole([text])[0]
-        return sum(k for _, _, k in self.pieces(text, chunk, overlap))
+            return self.count_whole([text])[0], 0
+        parts = [k for _, _, k in self.pieces(text, chunk, overlap)]
+        return sum(parts), len(parts)
 
 
 @lru_cache(maxsize=2)
@@ -97,7 +100,7 @@ def splitter(model_file: str) -> Splitter:
 
 
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk_chars: int = 1 << 15, overlap_chars: int = 1 << 10) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit (more than `limit` tokens) and n_chunked (1 for a text counted in chunks)."""
+    """id, n_bytes, n_tokens, over_limit (more than `limit` tokens) and n_chunked (the parts of a text that were counted apart and spliced, 0 for a text encoded at once)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("token_counts", splitter.cache_clear)
@@ -106,8 +109,8 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             for part in slices_by_bytes(batch, "text", SLICE_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 short = iter(s.count_whole([t for t in texts if len(t) <= chunk_chars]))
-                counts = [next(short) if len(t) <= chunk_chars else s.count(t, chunk_chars, overlap_chars) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(counts, pa.int64()), pa.array([int(len(t) > chunk_chars) for t in texts], pa.int64())], names=["id", "n_bytes", "n_tokens", "n_chunked"])
+                counts = [(next(short), 0) if len(t) <= chunk_chars else s.count(t, chunk_chars, overlap_chars) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array([n for n, _ in counts], pa.int64()), pa.array([k for _, k in counts], pa.int64())], names=["id", "n_bytes", "n_tokens", "n_chunked"])
 
     cols = pick(docs, id=id_col, text=text_col).select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     kind = cols.schema["id"].dataType.simpleString()

@@ -1,7 +1,10 @@
 """Plain, slow versions of the operators, written from their contracts."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 SPACE = r"[^\x20\x09-\x0D]+"
 HEX = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -101,3 +104,84 @@ def substring_dedup(docs, k=50):
                 gone.update(range(i, i + k))
         out.append((d, len(w), len(gone), HEX(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
+
+
+def ranked_search(docs, items, top=10):
+    """docs, items: (id, text) -> [(item, rank, doc, score)]; documents in any order, equal ids allowed."""
+    term = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    found = [(d, Counter(w)) for d, t in docs if (w := term(t))]
+    n_docs, length = len(found), sum(sum(c.values()) for _, c in found)
+    df = Counter(t for _, c in found for t in c)
+    queries = {}
+    for item, text in items:
+        queries.setdefault(item, set()).update(term(text))
+    out = []
+    for item, terms in queries.items():
+        scores = []
+        for d, c in found:
+            m = 100 - 90 + 90 * sum(c.values()) * n_docs // length
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms if t in c)
+            if s > 0:
+                scores.append((-s, d is None, d, s))
+        out += [(item, k, d, s) for k, (_, _, d, s) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:top], 1)]
+    return out
+
+
+def line_dedup(docs, min_docs=10, min_chars=1, keep_first=False):
+    """docs: (id, text) -> [(id, n_lines, n_dropped, kept)]; rows equal in id and text are one document."""
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    where = {}
+    for d, t in sorted(set(docs), key=lambda x: (x[0] is not None, x[0] or 0)):
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                where.setdefault(key(line), {})[d, t] = None
+    often = {k: next(iter(v)) for k, v in where.items() if len(v) >= min_docs}
+    out = []
+    for d, t in docs:
+        lines, kept, seen = (t or "").split("\n"), [], set()
+        for line in lines:
+            k = key(line)
+            first = keep_first and k in often and often[k] == (d, t) and k not in seen
+            seen.add(k)
+            if k not in often or first:
+                kept.append(line)
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def merkle(rows, fanout=16):
+    """rows: (doc_id, source, lang, n_chars, text), ids distinct within a source -> {(doc_id, source): (leaf, subroot, root, proof_sha256, folded_root, verified)}"""
+    put = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: HEX("".join(map(put, r)))
+
+    def tree(leaves):
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([HEX("".join(last[i : i + fanout])) for i in range(0, len(last), fanout)])
+        return levels
+
+    def sides(levels, at):
+        out = []
+        for level in levels[:-1]:
+            run = level[at // fanout * fanout :][:fanout]
+            out.append(("".join(run[: at % fanout]), "".join(run[at % fanout + 1 :])))
+            at //= fanout
+        return out
+
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        groups.setdefault(r[1], []).append(r)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: tree([leaf(r) for r in groups[g]]) for g in names}
+    upper = tree([trees[g][-1][0] for g in names])
+    out = {}
+    for k, g in enumerate(names):
+        for i, r in enumerate(groups[g]):
+            path = sides(trees[g], i) + sides(upper, k)
+            changed = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[4] is not None
+            h = leaf((*r[:4], re.sub("[A-Z]", lambda m: m[0].lower(), r[4]))) if changed else leaf(r)
+            for left, right in path:
+                h = HEX(left + h + right)
+            out[r[0], g] = (leaf(r), trees[g][-1][0], upper[-1][0], HEX("".join(a + b for a, b in path)), h, h == upper[-1][0])
+    return out

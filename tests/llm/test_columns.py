@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codexweave.llm import bpe, decontamination, language_id, near_dedup, pii, quality_rules, secrets, substring_dedup, token_counts, warc
+from codexweave.llm import bpe, decontamination, language_id, lexical_search, line_dedup, merkle, near_dedup, pii, quality_rules, secrets, substring_dedup, token_counts, warc
 from codexweave.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +48,9 @@ OPERATORS = {
     "bpe": lambda d: bpe.encode_digests(d, tokenizer_path("word_bpe_49k.json")),
     "language": lambda d: language_id.identify(d, language_id.train(d)),
     "decontamination": lambda d: decontamination.decontaminate(d, odd(d.sparkSession.createDataFrame([("i", "one x x")], "item_id string, text string"))),
+    "search": lambda d: lexical_search.search(d, odd(d.sparkSession.createDataFrame([("i", "one x x")], "item_id string, text string"))),
+    "lines": lambda d: line_dedup.remove_lines(d, min_docs=2),
+    "merkle": lambda d: merkle.check(merkle.manifest(d).proofs),
     "warc": lambda d: warc.capture_index(d, id_col="doc_id", url_col="source", html_col="text").select("page_id", "payload_digest", "record_type", "refers_to"),
 }
 

@@ -1,6 +1,7 @@
 """Cases that single out a rule of a contract, and measurements of the methods."""
 
 import random
+import unicodedata
 
 import brute
 import numpy as np
@@ -167,7 +168,53 @@ def test_a_changing_normal_form_anywhere_stops_the_splicing(monkeypatch):
     called = []
     monkeypatch.setattr(s, "plain", lambda t: "X" not in t)
     monkeypatch.setattr(s, "pieces", lambda *a: called.append(a) or iter([(0, 1, -1)]))
-    assert s.count(text + " X", 300, 20) == s.count_whole([text + " X"])[0] and not called
+    assert s.count(text + " X", 300, 20) == (s.count_whole([text + " X"])[0], 0) and not called
+
+
+def test_texts_of_a_hundred_chunks_are_spliced(spark):
+    """Chunks begin anywhere: with spaces, line ends or the character by which the vocabulary writes a space."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([" ", "  ", "\n", "▁", " ▁"]) + prose(rng, rng.randint(1, 9)) for _ in range(n)) for n in (60, 600, 2400)]
+    s = token_counts.splitter(PIECE)
+    for t in texts:
+        chunk = len(t) // 100
+        n, parts = s.count(t, chunk, 16)
+        assert n == s.count_whole([t])[0] and parts >= 100
+    d = spark.createDataFrame(list(enumerate([*texts, "short", None])), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_chunked"] for r in token_counts.count_tokens(d, PIECE, chunk_chars=500, overlap_chars=16).collect()}
+    assert got[0] > 1 and got[2] > got[1] > 10 and got[3] == got[4] == 0
+
+
+def test_marks_are_ordered_and_composed_as_by_the_library():
+    """Every mark beside marks of several classes, and every canonical pair of Python's tables."""
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(WORD), bpe.encoder(WORD)
+    classes = {}
+    marks = [c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c)[0] == "M"]
+    for m in marks:
+        classes.setdefault(unicodedata.combining(m), m)
+    beside = [classes[k] for k in (1, 220, 230, 240)]
+    pairs_ = [unicodedata.normalize("NFD", c) for c in map(chr, range(0xC0, 0x30000)) if unicodedata.decomposition(c) and "<" not in unicodedata.decomposition(c)]
+    texts = [f"a{m}{x}b e{x}{m}" for m in marks for x in beside] + pairs_ + [f"{p}{beside[1]}{beside[2]}" for p in pairs_] + ["\U00011935\U00011930", "a\u07fd\u0334"]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert e.encode(text) == want.ids, text
+
+
+def test_numbers_and_signs_are_no_letters(spark):
+    rows = [(1, "Der Hund und die Katze " * 9, "de"), (2, "The dog and the cat " * 9, "en"), (3, "²½ 12", None), (4, "①Ⅷ _ 7", None), (5, "ª the dog", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d, language_id.train(d)).collect()}
+    assert got[3] == got[4] == "und" and got[5] != "und"
+
+
+@pytest.mark.parametrize("letters", ["abc", "абв", "漢字語", "\U00020000\U00020001"])
+def test_every_sampled_document_has_its_share_of_the_dictionary(spark, letters):
+    rows = [(i, f"{i:04d}" + "".join(letters[(i + k) % len(letters)] for k in range(20 + i * 9)), "x") for i in range(256)]
+    content = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["x"]
+    parts = content.decode().split("\n")
+    assert len(content) <= 1 << 17 and sum(p[:4].isdigit() for p in parts if p) >= 40  # short ones begin with their number
+    assert len(content) > 0.9 * sum(min(511, len(t.encode())) for _, t, _ in rows)
 
 
 @pytest.mark.parametrize("kept,text", [(True, "Ein Haus am See steht dort und ist alt, aber schön; der Hund läuft um das Haus und sucht seinen Ball im hohen Gras. " + " ".join(f"und {w}" for w in dir(str))), (False, " ".join(f"code{i}x{i * 7}" for i in range(300))), (True, "сегодня мы идём в лес и там мы видим дом и реку, и поле, и сад; " + " ".join(f"слово{'абвгдежзик'[i % 10]}{i} и" for i in range(120)))])
