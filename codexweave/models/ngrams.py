@@ -1,37 +1,106 @@
 """Character n-gram counts, interpolated models with held-out folds, cross-entropy.
 
 n-grams are counted within a text, so the corpus can be counted in parallel and folds subtracted from the total.  Texts are
-never carried along with their exploded n-grams.
+never exploded: a task packs the code points of a batch of texts into numbers and sends each distinct n-gram of the batch once, with its count.
+
+Models are scored in the tasks too.  Their shares are packed into sorted arrays, and every trigram of a batch is looked up by binary search.  A
+model of up to MODEL_ROWS rows (counted first) is broadcast once.  A larger one goes in parts, by the two characters that its second table is
+keyed by, so that all a trigram needs is in one part; each part gives partial sums of a text, which are added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import grams_of
-from ..operators.facts import small
 from ..operators.store import checkpoint
 from ..operators.ordered import top_n
 
 # Interpolation weights, log buckets.
 W3, W2, W1, FLOOR = 0.55, 0.30, 0.15, 0.02
 BUCKETS, BUCKET_SCALE = 63, 6
-#: Rows of a model that are broadcast, at most; a larger one is shuffled.
-MODEL_ROWS = 1_000_000
-
-
-def _side(table: DataFrame) -> DataFrame:
-    """The table, broadcast if a count of its rows allows."""
-    return F.broadcast(table) if small(table, MODEL_ROWS) else table
+#: Rows of a model (16 bytes each) that are broadcast at once, at most.
+MODEL_ROWS = 4_000_000
+#: Code points that a task looks at together.
+STEP_CHARS = 1 << 21
+#: Bits of a code point in a packed n-gram.
+_BITS = 21
+
+
+class _Text(NamedTuple):
+    """Code points of several texts, one after the other, and where each text begins (one entry more at the end)."""
+
+    points: np.ndarray
+    first: np.ndarray
+    rows: np.ndarray  # the texts' places in the batch
+
+
+def _texts(column: pa.Array) -> Iterator[_Text]:
+    """The texts of a batch in steps of about STEP_CHARS code points; nulls are empty."""
+    size = pc.utf8_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + STEP_CHARS, "right")))
+        joined = "".join([x or "" for x in column.slice(lo, hi - lo).to_pylist()])
+        yield _Text(np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64), np.concatenate([[0], np.cumsum(size[lo:hi])]), np.arange(lo, hi))
+        lo = hi
+
+
+def _packed(points: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams inside texts as numbers, and the text of each."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    if len(points) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = points[: len(points) - n + 1].copy()
+    for k in range(1, n):
+        code = (code << _BITS) | points[k : len(points) - n + 1 + k]
+    inside = doc[: len(code)] == doc[n - 1 :]
+    return code[inside], doc[: len(code)][inside]
+
+
+def _unpacked(code: np.ndarray, n: int) -> list[str]:
+    points = np.stack([(code >> (_BITS * (n - 1 - k))) & ((1 << _BITS) - 1) for k in range(n)], axis=1).astype(np.uint32)
+    if (points == 0).any():
+        return ["".join(map(chr, p)) for p in points.tolist()]
+    return np.ascontiguousarray(points).view(f"<U{n}").ravel().tolist() if len(points) else []
+
+
+def _counting(keys: Sequence[str], orders: Sequence[int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds: dict[tuple, int] = {}
+            kind = np.array([kinds.setdefault(k, len(kinds)) for k in zip(*[batch.column(i).to_pylist() for i in range(len(keys))])] if keys else np.zeros(batch.num_rows), np.int64)
+            row_of = np.zeros(max(len(kinds), 1), np.int64)  # a row with the keys of each kind
+            row_of[kind[::-1]] = np.arange(batch.num_rows)[::-1]
+            for text in _texts(batch.column(len(keys))):
+                for n in orders:
+                    code, doc = _packed(text.points, text.first, n)
+                    for k in np.unique(kind[text.rows]) if len(kinds) > 1 else (0,):
+                        grams, counts = np.unique(code[kind[text.rows][doc] == k] if len(kinds) > 1 else code, return_counts=True)
+                        at = pa.array(np.full(len(grams), row_of[k]))
+                        cols = [batch.column(i).take(at) for i in range(len(keys))]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(grams), n, np.int32)), pa.array(_unpacked(grams, n), pa.string()), pa.array(counts, pa.int64())], names=[*[f"k{i}" for i in range(len(keys))], "n", "gram", "cnt"])
+
+    return run
 
 
 def gram_counts(texts: DataFrame, text: str, orders: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
-    """keys, n, gram, cnt.  Summed up per task before the shuffle."""
-    every = F.concat(*[grams_of(text, n) for n in orders])  # one pass over the texts; a gram's length is its order
-    return texts.select(*keys, F.explode(every).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("cnt")).select(*keys, F.length("gram").alias("n"), "gram", "cnt")
+    """keys, n, gram, cnt for orders up to 3.  Each task sends a gram once for every few million characters; `keys` have few values."""
+    if max(orders) > 3:
+        raise ValueError("n-grams of up to three characters are counted")
+    rows = texts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("text"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    found = rows.mapInArrow(_counting(keys, orders), schema + "n int, gram string, cnt long")
+    summed = found.groupBy(*found.columns[:-1]).agg(F.sum("cnt").alias("cnt"))
+    return summed.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "n", "gram", "cnt")
 
 
 def top_table(counts: DataFrame, caps: Mapping[int, int], keys: Sequence[str] = ()) -> DataFrame:
@@ -101,43 +170,141 @@ def model_weights(table: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame
     return uni.select(*keys, F.col("gram").alias("c"), (F.col("w") / F.col("s")).alias("u")), conditional(2, "b", "bc"), conditional(3, "t", "abc")
 
 
-def perplexity(texts: DataFrame, text: str, keys: Sequence[str], table: DataFrame, model: Sequence[str] = (), least: int = 8) -> DataFrame:
+class Shares(NamedTuple):
+    """Sorted packed n-grams with a value each: of three, of two, of one character."""
+
+    tri: tuple[np.ndarray, np.ndarray]
+    pair: tuple[np.ndarray, np.ndarray]
+    uni: tuple[np.ndarray, np.ndarray]
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> np.ndarray:
+    keys, values = table
+    if not len(keys):
+        return np.zeros(len(code))
+    at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+    return np.where(keys[at] == code, values[at], 0.0)
+
+
+def _code(gram: str, n: int) -> Column:
+    """A gram as a number, as `_packed` makes it."""
+    out = F.lit(0).cast("long")
+    for k in range(n):
+        out = out * (1 << _BITS) + F.ascii(F.substring(gram, k + 1, 1)).cast("long")
+    return out
+
+
+def _part(pair: np.ndarray | Column, parts: int):
+    return pair % 1_000_003 % parts
+
+
+def _score(texts: DataFrame, text: str, keys: Sequence[str], model: Sequence[str], tables: tuple[DataFrame, DataFrame, DataFrame], pair_at: int, log_p: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], model_rows: int) -> DataFrame:
+    """keys, s, m: the sum of log_p(value of the trigram, of its pair, of its last character) over the trigrams of a text, and their number.
+
+    `tables` are (model, code, value) of trigrams, pairs and characters; the pair begins at the trigram's character `pair_at`.
+    """
+    shift = 0 if pair_at else _BITS
+    tri = tables[0].select(*model, F.lit(3).alias("n"), "code", "value", (F.shiftright("code", shift).bitwiseAND((1 << 2 * _BITS) - 1)).alias("pair"))
+    pair = tables[1].select(*model, F.lit(2).alias("n"), "code", "value", F.col("code").alias("pair"))
+    uni = tables[2].select(*model, F.lit(1).alias("n"), "code", "value", F.lit(None).cast("long").alias("pair"))
+    every = checkpoint(tri.unionByName(pair).unionByName(uni))
+    parts = max(1, -(-every.filter("n > 1").count() // model_rows))
+    ids = list(dict.fromkeys([*keys, *model]))
+    rows = texts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(ids)], F.col(text).alias("text"))
+    of_model = [ids.index(k) for k in model]
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1]) + "s double, m long"
+    out = None
+    for p in range(parts):
+        wanted = every.filter(F.col("pair").isNull() | (_part(F.col("pair"), parts) == p)).select(*model, "n", "code", "value")
+        held = texts.sparkSession.sparkContext.broadcast(_shares(wanted.toArrow(), len(model)))
+        scored = rows.mapInArrow(_scoring(held, of_model, shift, p, parts, log_p), schema)
+        if parts > 1:
+            scored = checkpoint(scored)
+            held.unpersist()
+        out = scored if out is None else out.unionByName(scored)
+    named = out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(ids)], "s", "m")
+    return named.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("m").alias("m"))
+
+
+def _shares(table: pa.Table, n_keys: int) -> dict[tuple, Shares]:
+    out: dict[tuple, Shares] = {}
+    keys = list(zip(*[table.column(i).to_pylist() for i in range(n_keys)])) if n_keys else [()] * table.num_rows
+    kinds: dict[tuple, int] = {}
+    kind = np.array([kinds.setdefault(k, len(kinds)) for k in keys], np.int64)
+    n, code, value = (table.column(c).to_numpy() for c in ("n", "code", "value"))
+    for key, k in kinds.items():
+        part = []
+        for order in (3, 2, 1):
+            own = np.flatnonzero((kind == k) & (n == order))
+            own = own[np.argsort(code[own], kind="stable")]
+            part.append((code[own], value[own].astype(np.float64)))
+        out[key] = Shares(*part)
+    return out
+
+
+def _scoring(held: Broadcast, of_model: Sequence[int], shift: int, part: int, parts: int, log_p: Callable):
+    nothing = Shares(*[(np.zeros(0, np.int64), np.zeros(0))] * 3)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = held.value
+        for batch in batches:
+            s, m = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            model_of = list(zip(*[batch.column(i).to_pylist() for i in of_model])) if of_model else [()] * batch.num_rows
+            for text in _texts(batch.column(batch.num_columns - 1)):
+                code, doc = _packed(text.points, text.first, 3)
+                pair = (code >> shift) & ((1 << 2 * _BITS) - 1)
+                if parts > 1:
+                    mine = _part(pair, parts) == part
+                    code, doc, pair = code[mine], doc[mine], pair[mine]
+                names = [model_of[r] for r in text.rows]
+                of = {name: i for i, name in enumerate(dict.fromkeys(names))}
+                kind = np.array([of[name] for name in names], np.int64)[doc] if len(of) > 1 else None
+                for name, i in of.items():
+                    own = slice(None) if kind is None else np.flatnonzero(kind == i)
+                    t, c = models.get(name, nothing), code[own]
+                    logs = log_p(_look_up(t.tri, c), _look_up(t.pair, pair[own]), _look_up(t.uni, c & ((1 << _BITS) - 1)))
+                    s[text.rows] += np.bincount(doc[own], weights=logs, minlength=len(text.rows))
+                    m[text.rows] += np.bincount(doc[own], minlength=len(text.rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array(m)], names=[*batch.schema.names[:-1], "s", "m"])
+
+    return run
+
+
+def perplexity(texts: DataFrame, text: str, keys: Sequence[str], table: DataFrame, model: Sequence[str] = (), least: int = 8, model_rows: int = MODEL_ROWS) -> DataFrame:
     """keys, ppl: exp of the mean negative log probability of the third character of each trigram; texts shorter than `least` give 0.
 
-    Trigrams of a text are counted before they meet the model.  `model` names key columns shared by texts and table.
+    `model` names key columns shared by texts and table.
     """
-    # The table is counted once; common grams are in every text, so a model within the bound is broadcast and no text is shuffled by gram.
-    uni, bi, tri = (_side(t) for t in model_weights(checkpoint(table), model))
-    on = list(model)
-    ids = list(dict.fromkeys([*keys, *on]))
-    grams = texts.filter(F.length(text) >= least).select(*ids, F.explode(grams_of(text, 3)).alias("abc")).groupBy(*ids, "abc").agg(F.count("*").alias("m"))
-    seen = grams.withColumn("bc", F.substring("abc", 2, 2)).withColumn("c", F.substring("abc", 3, 1))
-    joined = seen.join(tri, [*on, "abc"], "left").join(bi, [*on, "bc"], "left").join(uni, [*on, "c"], "left")
-    u, b, t = (F.coalesce(x, F.lit(0.0)) for x in ("u", "b", "t"))
-    p = F.greatest((1 - FLOOR) * (W3 * t + W2 * b + W1 * u) + FLOOR * u, F.lit(1e-9))
-    scored = joined.groupBy(*keys).agg(F.exp(-F.sum(F.col("m") * F.log(p)) / F.sum("m")).alias("ppl"))
+    uni, bi, tri = model_weights(checkpoint(table), model)
+    coded = tuple(t.select(*model, _code(gram, n).alias("code"), F.col(share).alias("value")) for t, gram, n, share in ((tri, "abc", 3, "t"), (bi, "bc", 2, "b"), (uni, "c", 1, "u")))
+
+    def log_p(t: np.ndarray, b: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum((1 - FLOOR) * (W3 * t + W2 * b + W1 * u) + FLOOR * u, 1e-9))
+
+    summed = _score(texts.filter(F.length(text) >= least), text, keys, model, coded, 1, log_p, model_rows)
     short = texts.filter(F.length(text) < least).select(*keys, F.lit(0.0).alias("ppl"))
-    return scored.unionByName(short)
+    return summed.select(*keys, F.exp(-F.col("s") / F.col("m")).alias("ppl")).unionByName(short)
 
 
-def trigram_entropy(texts: DataFrame, text: str, keys: Sequence[str], train: DataFrame, train_text: str, k: float = 0.05) -> DataFrame:
+def trigram_entropy(texts: DataFrame, text: str, keys: Sequence[str], train: DataFrame, train_text: str, k: float = 0.05, model_rows: int = MODEL_ROWS) -> DataFrame:
     """keys, bits: cross-entropy per character under an additively smoothed trigram model; fewer than three characters give 0.
 
     As in the original, a training text counts its bigrams without the last one, which is how often trigrams begin with them.
     """
     counts = checkpoint(gram_counts(train, train_text, (1, 3)))
-    heads = counts.filter("n = 3").groupBy(F.substring("gram", 1, 2).alias("ab")).agg(F.sum("cnt").alias("bg"))
-    uni = counts.filter("n = 1").select(F.col("gram").alias("c"), F.col("cnt").alias("un"))
-    tri = counts.filter("n = 3").select(F.col("gram").alias("abc"), F.col("cnt").alias("tg"))
-    size = uni.agg(F.sum("un").alias("total"), F.count("*").alias("v"))
-    grams = texts.filter(F.length(text) >= 3).select(*keys, F.explode(grams_of(text, 3)).alias("abc")).groupBy(*keys, "abc").agg(F.count("*").alias("m"))
-    seen = grams.withColumn("ab", F.substring("abc", 1, 2)).withColumn("c", F.substring("abc", 3, 1))
-    joined = seen.join(_side(tri), "abc", "left").join(_side(heads), "ab", "left").join(_side(uni), "c", "left").crossJoin(F.broadcast(size))
-    tg, bg, un = (F.coalesce(x, F.lit(0)) for x in ("tg", "bg", "un"))
-    back = un / F.greatest("total", F.lit(1))
-    p = F.when(bg > 0, (tg + k * F.col("v") * back) / (bg + k * F.col("v"))).otherwise(back)
-    scored = joined.groupBy(*keys).agg((F.sum(F.col("m") * -F.log2(F.greatest(p, F.lit(1e-9)))) / F.sum("m")).alias("bits"))
-    return scored.unionByName(texts.filter(F.length(text) < 3).select(*keys, F.lit(0.0).alias("bits")))
+    tri = counts.filter("n = 3").select(_code("gram", 3).alias("code"), F.col("cnt").cast("double").alias("value"))
+    heads = tri.groupBy(F.shiftright("code", _BITS).alias("code")).agg(F.sum("value").alias("value"))
+    uni = counts.filter("n = 1").select(_code("gram", 1).alias("code"), F.col("cnt").cast("double").alias("value"))
+    total, kinds = uni.agg(F.sum("value"), F.count("*")).first()
+    total = max(total or 0.0, 1.0)
+
+    def log_p(tg: np.ndarray, bg: np.ndarray, un: np.ndarray) -> np.ndarray:
+        back = un / total
+        return np.log2(np.maximum(np.where(bg > 0, (tg + k * kinds * back) / np.maximum(bg + k * kinds, 1e-300), back), 1e-9))
+
+    summed = _score(texts.filter(F.length(text) >= 3), text, keys, (), (tri, heads, uni), 0, log_p, model_rows)
+    short = texts.filter(F.length(text) < 3).select(*keys, F.lit(0.0).alias("bits"))
+    return summed.select(*keys, (-F.col("s") / F.col("m")).alias("bits")).unionByName(short)
 
 
 def cross_halves(texts: DataFrame, text: str, keys: Sequence[str], half: Column, k: float = 0.05, in_sample: bool = False) -> DataFrame:
