@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import classify
 from .facts import prune_edges
 from .ordered import top_n
-from .store import checkpoint
+from .store import checkpoint, spread_join
 
 
 def degree(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -19,24 +20,39 @@ def degree(edges: DataFrame, a: str, b: str) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def relation_graph(edges: DataFrame, weights: DataFrame, kinds: Sequence[tuple[str, str]], default: str, labelled: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, degree, weight, labelled, neighbours) and links (source, target, rel, kind); a node is labelled from that weight on."""
+def neighbours(links: DataFrame, a: str, b: str) -> DataFrame:
+    """node, other, n: each pair of linked nodes from both sides, with the number of links between them."""
+    ends = F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other")))
+    return links.select(F.explode(ends).alias("x")).groupBy("x.node", "x.other").agg(F.count("*").alias("n"))
+
+
+def relation_graph(edges: DataFrame, weights: DataFrame, kinds: Sequence[tuple[str, str]], default: str, labelled: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, degree, n_neighbours, weight, labelled), links (source, target, rel, kind) and neighbours (node, other, n).
+
+    A node is labelled from that weight on.  Neighbours are rows: a hub's are never brought together, only counted.
+    """
     links = edges.select("source", "target", "rel", classify("rel", kinds, default).alias("kind"))
-    near = links.select(F.col("source").alias("node"), F.col("target").alias("other")).unionByName(links.select(F.col("target").alias("node"), F.col("source").alias("other")))
-    nodes = near.groupBy("node").agg(F.count("*").alias("degree"), F.array_sort(F.collect_set("other")).alias("neighbours")).join(weights.select("node", "weight"), "node", "left")
-    return nodes.select("node", "degree", F.coalesce("weight", F.lit(0)).alias("weight"), (F.coalesce("weight", F.lit(0)) >= labelled).alias("labelled"), "neighbours"), links
+    near = neighbours(links, "source", "target")
+    nodes = near.groupBy("node").agg(F.sum("n").cast("long").alias("degree"), F.count("*").alias("n_neighbours")).join(weights.select("node", "weight"), "node", "left")
+    return nodes.select("node", "degree", "n_neighbours", F.coalesce("weight", F.lit(0)).alias("weight"), (F.coalesce("weight", F.lit(0)) >= labelled).alias("labelled")), links, near
 
 
 def households(links: DataFrame, a: str, b: str) -> DataFrame:
-    """node, unit: connected components; the unit is named by its least node.  Labels spread and jump until none changes."""
-    pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = checkpoint(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = checkpoint(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("unit")))
+    """node, unit: connected components; the unit is named by its least node.  Labels spread and jump until none changes.
+
+    Nodes with very many neighbours, and units of very many nodes, are dealt to several tasks.
+    """
+    both = checkpoint(neighbours(links, a, b).select(F.col("node").alias("x"), F.col("other").alias("y")))
+    first = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("unit"), F.count("*").alias("n"))
+    labels = checkpoint(first)
+    ends = labels.agg(F.sum("n")).first()[0] or 0
+    degrees = labels.select(F.col("node").alias("y"), "n")
+    labels = labels.select("node", "unit")
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "unit"), "y").groupBy(F.col("x").alias("node")).agg(F.min("unit").alias("near"))
+        near = spread_join(both, labels.select(F.col("node").alias("y"), "unit"), "y", ends, degrees).groupBy(F.col("x").alias("node")).agg(F.min("unit").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("unit").alias("old"), F.least("unit", "near").alias("unit"))
         jump = labels.select(F.col("node").alias("unit"), F.col("unit").alias("next"))
-        new = checkpoint(spread.join(jump, "unit", "left").select("node", "old", F.least("unit", F.coalesce("next", "unit")).alias("unit")))
+        new = checkpoint(spread_join(spread, jump, "unit", ends).select("node", "old", F.least("unit", "next").alias("unit")))
         if new.filter("unit <> old").isEmpty():
             return new.select("node", "unit")
         labels = new.select("node", "unit")
@@ -97,16 +113,122 @@ def kinship_tree(claims: DataFrame, priority: Sequence[Column]) -> DataFrame:
     return ranked.join(opened, "child", "left").select("child", "parent", (F.col("first") & F.col("opened").isNull()).alias("solid"))
 
 
-def subtree(edges: DataFrame, roots: DataFrame, parent: str, child: str) -> DataFrame:
-    """root, node, depth: everything below each root; frontiers are checkpointed, a node counts once, at its least depth."""
+def households_tree(claims: DataFrame, units: DataFrame, family: int = 100_000) -> DataFrame:
+    """child_unit, parent_unit, child, parent, rel, solid: one parent for each unit, from claims of persons on persons.
+
+    `claims` are (child, parent, rel, rank), `units` (node, unit); a person without a unit is one.  Claims inside a unit are none.  The rest are taken in order of
+    (rank, parent, child, rel): a claim is solid if its child's unit has no parent yet and is not above the parent's unit already, else it stays dashed, and the
+    child's next claim is tried.
+
+    Units that claims do not connect have nothing to do with each other.  So families of up to `family` claims are each settled in one task, one claim
+    after the other; the claims of larger ones are settled in rounds, over all units at once.
+    """
+    unit_of = lambda c, name: units.select(F.col("node").alias(c), F.col("unit").alias(name))
+    met = claims.select("child", "parent", "rel", "rank").dropDuplicates(["child", "parent", "rel"]).join(unit_of("child", "ck"), "child", "left").join(unit_of("parent", "hk"), "parent", "left")
+    met = met.withColumns({"ck": F.coalesce("ck", "child"), "hk": F.coalesce("hk", "parent")}).filter("ck <> hk")
+    every = checkpoint(met.withColumn("at", F.struct("rank", "parent", "child", "rel")))
+    if every.isEmpty():
+        return every.select(F.col("ck").alias("child_unit"), F.col("hk").alias("parent_unit"), "child", "parent", "rel", F.lit(True).alias("solid"))
+    label = households(every, "ck", "hk").select(F.col("node").alias("ck"), F.col("unit").alias("family"))
+    labelled = checkpoint(every.join(label, "ck"))
+    large = checkpoint(labelled.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > family).select("family"))
+    taken = _in_families(labelled.join(large, "family", "left_anti"))
+    if not large.isEmpty():
+        taken = taken.unionByName(_in_rounds(labelled.join(large, "family", "left_semi").select("ck", "hk", "at")))
+    solid = taken.withColumn("solid", F.lit(True))
+    return every.join(solid, ["ck", "at"], "left").select(F.col("ck").alias("child_unit"), F.col("hk").alias("parent_unit"), "child", "parent", "rel", F.coalesce("solid", F.lit(False)).alias("solid"))
+
+
+def _in_families(labelled: DataFrame) -> DataFrame:
+    """(ck, at) of the claims that are taken, of families small enough for a task each."""
+    kind = labelled.schema["ck"].dataType.simpleString()
+    ordered = labelled.withColumn("no", F.row_number().over(Window.partitionBy("family").orderBy("at")))
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        above: dict = {}
+        taken = []
+        for ck, hk, no in rows.sort_values("no")[["ck", "hk", "no"]].itertuples(index=False):
+            top, way = hk, []
+            while top in above:
+                way.append(top)
+                top = above[top]
+            for x in way:  # the way up is kept short; solid edges are those in `taken`
+                above[x] = top
+            if ck not in above and top != ck:
+                above[ck] = top
+                taken.append((rows["family"].iat[0], no))
+        return pd.DataFrame(taken, columns=["family", "no"])
+
+    chosen = ordered.select("family", "ck", "hk", "no").groupBy("family").applyInPandas(settle, f"family {kind}, no int")
+    return ordered.join(chosen, ["family", "no"]).select("ck", "at")
+
+
+def _in_rounds(left: DataFrame) -> DataFrame:
+    """(ck, at) of the claims (ck, hk, at) that are taken, in rounds over all units at once.
+
+    Every unit follows the first of its claims that is not refused; where units then follow each other in a circle, the last claim of
+    the circle is refused.  When there are no circles left, what is followed is what taking the claims one by one would have
+    chosen: every other claim of a circle comes before the refused one, and nothing else can refuse it.
+    """
+    while True:
+        best = checkpoint(left.groupBy("ck").agg(F.min(F.struct("at", "hk")).alias("b")).select("ck", F.col("b.hk").alias("hk"), F.col("b.at").alias("at")))
+        refused = _last_of_circles(best)
+        if refused is None:
+            return best.select("ck", "at")
+        left = checkpoint(left.join(refused, ["ck", "at"], "left_anti"))
+
+
+def _last_of_circles(best: DataFrame) -> DataFrame | None:
+    """(ck, at) of the last claim of every circle, where each unit ck follows one unit hk; None if there is no circle.
+
+    The distance followed doubles each round, and units that come to an end drop out.  Once it exceeds the number of all units that follow one, whoever is left has
+    been led around a circle: the units reached are in circles, and the last claim on the way of each of these is that of its whole circle.
+    """
+    total = best.count()
+    way = best.select(F.col("ck").alias("node"), F.col("hk").alias("top"), F.col("at").alias("last"))
+    length = 1
+    while True:
+        step = way.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("last").alias("beyond"))
+        way = checkpoint(way.join(step, "top").select("node", F.col("next").alias("top"), F.greatest("last", "beyond").alias("last")))
+        n, length = way.count(), 2 * length
+        if not n:
+            return None
+        if length > total:
+            in_circles = way.select(F.col("top").alias("node")).distinct()
+            return way.join(in_circles, "node").select(F.col("node").alias("ck"), F.col("last").alias("at")).join(best.select("ck", "at"), ["ck", "at"], "left_semi")
+
+
+def unit_members(units: DataFrame, claims: DataFrame, tree: DataFrame, people: DataFrame, kin: DataFrame, male: str, attached: Sequence[str] = ("concubine", "servant")) -> DataFrame:
+    """unit, part, name: members of each unit, as rows: one 'primary', the others 'consort'; and who is attached to a member, by kind.
+
+    Primary is who has a claim of a parent, is the head of a solid edge, is male, has the shortest name; of equals the first by name.
+    """
+    member = units.select("unit", F.col("node").alias("name"))
+    of = lambda df, c, flag: df.select(F.col(c).alias("name")).distinct().withColumn(flag, F.lit(True))
+    known = member.join(of(claims, "child", "has"), "name", "left").join(of(tree.filter("solid"), "parent", "head"), "name", "left").join(people.select("name", "gender"), "name", "left")
+    flags = [F.coalesce("has", F.lit(False)), F.coalesce("head", F.lit(False)), F.coalesce(F.col("gender") == male, F.lit(False))]
+    key = F.struct(*[(~f).alias(f"f{i}") for i, f in enumerate(flags)], F.length("name").alias("size"), "name")
+    first = known.groupBy("unit").agg(F.min(key).alias("k")).select("unit", F.col("k.name").alias("name"), F.lit(True).alias("first"))
+    own = member.join(first, ["unit", "name"], "left").select("unit", F.when(F.col("first"), "primary").otherwise("consort").alias("part"), "name")
+    others = kin.filter(F.col("kind").isin(list(attached))).select(F.col("a").alias("node"), F.col("kind").alias("part"), F.col("b").alias("name")).distinct()
+    return own.unionByName(others.join(units, "node").select("unit", "part", "name").distinct())
+
+
+def subtree(edges: DataFrame, roots: DataFrame, parent: str, child: str, merge: int = 16) -> DataFrame:
+    """root, node, depth: everything below each root; a node counts once, at its least depth.
+
+    Each level is written once, and what is new is told by the levels written so far; every `merge` levels these are made one table.
+    """
     frontier = checkpoint(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")))
-    seen = frontier
+    whole, levels = frontier, 1
     while True:
         down = frontier.join(edges.select(F.col(parent).alias("node"), F.col(child).alias("next")), "node").select("root", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = checkpoint(down.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
+        frontier = checkpoint(down.join(whole.select("root", "node"), ["root", "node"], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = checkpoint(seen.unionByName(frontier))
+            return whole
+        whole, levels = whole.unionByName(frontier), levels + 1
+        if levels % merge == 0:
+            whole = checkpoint(whole)
 
 
 def roots(edges: DataFrame, parent: str, child: str) -> DataFrame:

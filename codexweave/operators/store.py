@@ -1,10 +1,14 @@
-"""Cutting lineage in the shared folder that the session names."""
+"""Cutting lineage in the shared folder that the session names, and joins whose keys may hold very many rows."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of one key that a task takes; a key with more, and more than one in HOT_KEYS of all rows, is dealt to several tasks.
+ROWS_PER_KEY, HOT_KEYS = 1 << 16, 10_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -15,3 +19,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, counts: DataFrame | None = None, rows_per_key: int = ROWS_PER_KEY) -> DataFrame:
+    """left joined with right on `key`, where one key may hold most of left's rows and few of right's.
+
+    `rows` is left's number of rows or a bound of it, `counts` (key, n) the rows of each key, if known.  There are HOT_KEYS hot keys at most, which are broadcast.
+    """
+    limit = max(rows_per_key, rows // HOT_KEYS)
+    if rows <= limit:
+        return left.join(right, key)
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = checkpoint(counts.filter(F.col("n") > limit).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot = F.broadcast(hot)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__deal", F.pmod(F.xxhash64(*left.columns), parts).cast("int"))
+    copied = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("__hot", "__parts").join(copied.drop("__hot", "__parts"), [key, "__deal"]).drop("__deal")

@@ -514,8 +514,7 @@ def degree(spark, sf_dir):
 def relation_graph(spark, sf_dir):
     edges = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), (F.col("c_nationkey").cast("long") + 1000000).alias("target"), F.col("c_mktsegment").alias("rel"))
     weights = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.count("*").alias("weight"))
-    nodes, _ = graph.relation_graph(edges, weights, [("home", "HOUSE|FURN")], "trade", 12)
-    return nodes.select("node", "degree", "weight", "labelled", F.size("neighbours").cast("long").alias("n_neighbours"))
+    return graph.relation_graph(edges, weights, [("home", "HOUSE|FURN")], "trade", 12)[0]
 
 
 @query("components", "WITH RECURSIVE e AS (SELECT DISTINCT doc_id AS a, doc_id - doc_id % 7 AS b FROM documents), b AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT x, x FROM b UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.seen) SELECT node, min(seen) AS unit FROM r GROUP BY node")

@@ -161,3 +161,42 @@ def kin_parents(spark, sf_dir):
     """The parent of each person: by priority of the claims, an ancestor only where nobody else claims the person."""
     edges, people = kin(spark, sf_dir)
     return facts.top_n(graph.kin_claims(edges, people, "m", ["d0", "d1"]), ["child"], [F.col("rank"), F.col("parent")], 1, "k").select("child", "parent", "rel")
+
+
+# Relations of two kinds of neighbours, so that units meet in circles and children have several claims.
+CROWD_SQL = KIN_SQL.replace("e AS (SELECT", "e AS (SELECT * FROM (SELECT", 1).replace("FROM documents WHERE doc_id > 0),", f"FROM documents WHERE doc_id > 0) UNION ALL SELECT 'd' || (doc_id * 7 + 3) % 200, 'd' || doc_id, {_REL}[doc_id // 8 % 3 + 1] FROM documents),", 1)
+HOUSES_SQL = f"""{CROWD_SQL}, s AS (SELECT a AS x, b AS y FROM kin WHERE kind = 'spouse' UNION SELECT b, a FROM kin WHERE kind = 'spouse'), reach(node, seen) AS (SELECT x, x FROM s UNION SELECT reach.node, s.y FROM reach JOIN s ON s.x = reach.seen),
+    unit AS (SELECT node, min(seen) AS unit FROM reach GROUP BY node), c AS (SELECT DISTINCT b AS child, a AS parent, rel, kind = 'ancestor' AS far FROM kin WHERE kind IN ('parent', 'ancestor')), l AS (SELECT DISTINCT child FROM c WHERE NOT far),
+    m AS (SELECT c.*, coalesce(x.unit, c.child) AS ck, coalesce(y.unit, c.parent) AS hk FROM c LEFT JOIN unit x ON x.node = c.child LEFT JOIN unit y ON y.node = c.parent),
+    o AS (SELECT m.*, row_number() OVER (ORDER BY far, l.child IS NULL, coalesce(gender, '') <> 'm', CASE parent WHEN 'd0' THEN 1 WHEN 'd1' THEN 2 ELSE 9 END, parent, m.child, rel) AS i FROM m LEFT JOIN l ON l.child = parent LEFT JOIN g ON name = parent WHERE ck <> hk),
+    no AS (SELECT u, row_number() OVER (ORDER BY u) AS k FROM (SELECT ck AS u FROM o UNION SELECT hk FROM o)), p AS (SELECT o.*, a.k AS c, b.k AS h FROM o JOIN no a ON a.u = ck JOIN no b ON b.u = hk),
+    walk(i, root, solid) AS (SELECT CAST(0 AS BIGINT), (SELECT list(k ORDER BY k) FROM no), FALSE UNION ALL
+        SELECT p.i, CASE WHEN root[c] = c AND root[h] <> c THEN list_transform(root, lambda x: CASE WHEN x = c THEN root[h] ELSE x END) ELSE root END, root[c] = c AND root[h] <> c FROM walk JOIN p ON p.i = walk.i + 1)"""
+
+
+def crowd(spark, sf_dir):
+    """Kin edges, people, units of spouses and claims."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    node = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    rel = lambda c, n: F.element_at(F.array(*map(F.lit, RELATIONS)), (c % n + 1).cast("int"))
+    people = d.select(node(F.col("doc_id")).alias("name"), F.when(F.col("doc_id") % 3 == 0, "f").when(F.col("doc_id") % 3 == 1, "m").alias("gender"))
+    near = d.filter("doc_id > 0").select(node(F.floor(F.col("doc_id") / 3)).alias("source"), node(F.col("doc_id")).alias("target"), rel(F.col("doc_id"), 8).alias("rel"))
+    far = d.select(node((F.col("doc_id") * 7 + 3) % 200).alias("source"), node(F.col("doc_id")).alias("target"), rel(F.floor(F.col("doc_id") / 8), 3).alias("rel"))
+    kinds = {"parent": ["father of"], "spouse": ["married"], "servant": ["maid of"], "concubine": ["concubine"], "ancestor": ["grandparent"]}
+    edges = graph.kin_edges(near.unionByName(far), people, kinds, {"mother and child": "f"}, {"mother and daughter": ["7"]}, "m")
+    return edges, people, graph.households(edges.filter("kind = 'spouse'"), "a", "b"), graph.kin_claims(edges, people, "m", ["d0", "d1"])
+
+
+@query("households_tree", f"WITH RECURSIVE {HOUSES_SQL} SELECT ck AS child_unit, hk AS parent_unit, child, parent, rel, solid FROM walk JOIN o USING (i)")
+def households_tree(spark, sf_dir):
+    """The parent of every household; displaced claims, and those that would close a circle, are dashed."""
+    _, _, units, claims = crowd(spark, sf_dir)
+    return graph.households_tree(claims, units)
+
+
+@query("unit_members", f"""WITH RECURSIVE {HOUSES_SQL}, t AS (SELECT DISTINCT parent FROM walk JOIN o USING (i) WHERE solid), every AS (SELECT DISTINCT child FROM c),
+    r AS (SELECT unit.unit, node AS name, row_number() OVER (PARTITION BY unit.unit ORDER BY every.child IS NULL, t.parent IS NULL, coalesce(gender, '') <> 'm', length(node), node) AS k FROM unit LEFT JOIN every ON every.child = node LEFT JOIN t ON t.parent = node LEFT JOIN g ON g.name = node)
+    SELECT unit, CASE WHEN k = 1 THEN 'primary' ELSE 'consort' END AS part, name FROM r UNION ALL SELECT DISTINCT unit, kind, b FROM kin JOIN unit ON node = a WHERE kind IN ('concubine', 'servant')""")
+def unit_members(spark, sf_dir):
+    edges, people, units, claims = crowd(spark, sf_dir)
+    return graph.unit_members(units, claims, graph.households_tree(claims, units), people, edges, "m")
