@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.helpers import longest_common
+from ..functions.helpers import Sentences
 from .facts import small, term_hits
 from .ordered import top_n
 
@@ -62,32 +63,39 @@ def verify_anchors(events: DataFrame, texts: DataFrame, keys: Sequence[str], ter
     return joined.withColumn("anchor", hit).filter("anchor is not null").drop("text", "title")
 
 
-def anchor_quotes(quotes: DataFrame, texts: DataFrame, key: str, id_col: str, char_class: str, ends: str, least: int = 4, share: float = 0.6) -> DataFrame:
+def anchor_quotes(quotes: DataFrame, texts: DataFrame, key: str, id_col: str, char_class: str, ends: str, least: int = 4, share: float = 0.6, group: int = 100) -> DataFrame:
     """id, key, sentence, how: the sentence of the text with the same key that a quote belongs to.
 
     exact: the quote without punctuation occurs; the sentence of its last character, and a quote that comes again takes the
-    next hit.  fuzzy: else the sentence with the longest common substring of max(least, share * length) or more, among
-    sentences that share a 4-gram.  Others give how = 'none', sentence null.
+    next hit.  fuzzy: else the sentence with the longest common substring of max(least, share * length) characters or more, of equals the
+    first.  Others give how = 'none', sentence null.  A text meets its quotes in groups of `group`.
     """
-    q = quotes.select(id_col, key, tx.keep_chars("quote", char_class).alias("__q"))
-    q = q.withColumn("turn", F.row_number().over(_by(key, "__q", order=id_col)))
-    s = texts.select(key, F.posexplode(tx.split_sentences("text", ends, keep=True)).alias("sentence", "s"))
-    s = s.select(key, "sentence", tx.keep_chars("s", char_class).alias("net"))
-    whole = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sentence", "net"))).alias("parts"))
-    whole = whole.withColumn("all", F.concat_ws("", F.transform("parts", lambda p: p["net"])))
-    j = q.join(whole, key).filter(F.length("__q") > 0)
-    j = j.withColumn("__hits", F.size(F.split("all", F.concat(F.lit(r"\Q"), F.col("__q"), F.lit(r"\E")), F.lit(-1))) - 1)
-    before = F.expr("substring_index(`all`, __q, least(turn, __hits))")
-    end = F.length(before) + F.length("__q")
-    upto = F.aggregate("parts", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at")), lambda a, p: F.struct((a["n"] + F.length(p["net"])).alias("n"), F.when((a["at"] < 0) & (a["n"] + F.length(p["net"]) >= F.col("__end")), p["sentence"]).otherwise(a["at"]).alias("at")), lambda a: a["at"])
-    exact = j.filter("__hits > 0").withColumn("__end", end).select(id_col, key, upto.alias("sentence"), F.lit("exact").alias("how"))
-    loose = j.filter("__hits = 0").select(id_col, key, "__q", F.explode("parts").alias("p")).select(id_col, key, "__q", "p.sentence", "p.net")
-    shared = loose.filter(F.arrays_overlap(tx.grams_of("__q", 4), tx.grams_of("net", 4)))
-    scored = shared.withColumn("common", longest_common("__q", "net")).filter(F.col("common") >= F.greatest(F.lit(least), F.floor(F.length("__q") * share)))
-    fuzzy = top_n(scored, [id_col], [F.desc("common"), F.col("sentence")], 1).select(id_col, key, "sentence", F.lit("fuzzy").alias("how"))
-    found = exact.unionByName(fuzzy)
-    none = quotes.select(id_col, key).join(found.select(id_col), id_col, "left_anti").select(id_col, key, F.lit(None).cast("int").alias("sentence"), F.lit("none").alias("how"))
-    return found.unionByName(none)
+    q = quotes.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.coalesce(tx.keep_chars("quote", char_class), F.lit("")).alias("q"))
+    q = q.withColumn("turn", F.row_number().over(_by("key", "q", order="id"))).withColumn("no", F.floor((F.row_number().over(_by("key", order="id")) - 1) / group))
+    asked = q.groupBy("key", "no").agg(F.collect_list(F.struct("id", "q", "turn")).alias("asked"))
+    nets = F.transform(tx.split_sentences("text", ends, keep=True), lambda s: tx.keep_chars(s, char_class))
+    met = asked.join(texts.select(F.col(key).alias("key"), nets.alias("nets")), "key", "left").select("key", "asked", "nets")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, ids, at, how = [], [], [], []
+            for i, (some, net) in enumerate(zip(batch.column("asked"), batch.column("nets"))):
+                sentences = Sentences([x or "" for x in net.as_py() or ()])
+                for one in some.as_py():
+                    found = sentences.exact(one["q"], one["turn"]) if one["q"] else None
+                    kind = "exact"
+                    if found is None and one["q"]:
+                        found, kind = sentences.nearest(one["q"], max(least, int(len(one["q"]) * share))), "fuzzy"
+                    row.append(i)
+                    ids.append(one["id"])
+                    at.append(found)
+                    how.append("none" if found is None else kind)
+            id_type = batch.schema.field("asked").type.value_type.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), batch.column("key").take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(how, pa.string())], names=["id", "key", "sentence", "how"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in q.schema.fields}
+    out = met.mapInArrow(run, f"id {kinds['id']}, key {kinds['key']}, sentence int, how string")
+    return out.select(F.col("id").alias(id_col), F.col("key").alias(key), "sentence", "how")
 
 
 def _by(*keys: str, order: str):

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .facts import holding, range_join
+from .facts import holding, image_facts, range_join
 from .ordered import top_n
 
 
 @dataclass(frozen=True)
 class Form:
-    """What verse looks like.  The defaults are those of Chinese regular verse."""
+    """What verse looks like.  The defaults are those of Chinese regular verse; lists of words are the caller's (`read_dictionary`)."""
 
     cuts: str = "，。！？；：\n"
     lengths: tuple[int, int] = (4, 7)
@@ -27,9 +27,9 @@ class Form:
     least_lines: int = 4
     window: int = 160
     bad_run: int = 5
-    function_chars: str = "之其而也乎者焉哉矣了的着"
-    edge: str = "看了|听了|说完|说毕|笑道|说道|众人|不知|且听|正是"
-    anchor: str = "诗|词|曲|歌|赋|云|曰"
+    function_chars: str = ""
+    edge: str = r"(?!)"  # matches nothing
+    anchor: str = r"(?!)"
     anchor_back: int = 240
     unit: str = "char"  # clause length in characters or in words
 
@@ -107,6 +107,173 @@ def verse_by_form(chapters: DataFrame, keys: Sequence[str], form: Form = Form())
     return chapters.select(*names, "text").mapInPandas(find, f"{kinds}, start long, end long, n_lines long, main_len long, rhyme double")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A window is verse if its usual clause length, number of clauses and shares are these; `anchored` needs an anchor word before it."""
+
+    lengths: tuple[int, ...]
+    clauses: tuple[int, int]
+    uniform: float
+    most_xu: float
+    least_rhyme: float = 0.0
+    least_imagery: float = 0.0
+    anchored: bool = False
+
+
+# The rules of regular verse, for two or three clauses, for lines of five and seven and for lines of four and six.
+REGULAR = (
+    Rule((5, 7), (2, 3), 0.7, 0.08, anchored=True),
+    Rule((5, 7), (4, 7), 0.75, 0.10, least_rhyme=0.5),
+    Rule((5, 7), (4, 7), 0.75, 0.07, anchored=True),
+    Rule((5, 7), (8, 160), 0.75, 0.11, least_rhyme=0.6),
+    Rule((5, 7), (8, 160), 0.75, 0.13, least_rhyme=0.6, anchored=True),
+    Rule((4, 6), (4, 160), 0.75, 0.05, least_rhyme=0.5, least_imagery=0.10, anchored=True),
+)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """How verse is told from prose by rules per length.  Word lists and the table of rhyme classes are parameters.
+
+    rhymes maps last characters to rhyme classes; a character that is not in it does not rhyme.  Without a table each ending is its own class.
+    """
+
+    rules: tuple[Rule, ...] = REGULAR
+    cuts: str = "，。！？；,!?;\n"
+    said: str = r"(?!)"  # a speaker before a clause
+    script: str = r"[\u4e00-\u9fff]"  # characters that densities are taken over
+    body: str = r"[，。！？；：、“”‘’（）《》,!?;:\s]"  # what is no part of a clause's body
+    function_chars: str = ""
+    imagery: str = ""
+    rhymes: Mapping[str, str] | None = None
+    anchor: str = r"(?!)"
+    edge: str = r"(?!)"
+    anchor_back: int = 240
+    usual: tuple[int, int] = (4, 7)  # other clauses, and those of more than prose_xu, are prose
+    prose_xu: float = 0.20
+    prose_run: int = 5
+    window: int = 160
+    edge_xu: float = 0.22
+    edge_lengths: tuple[int, int] = (2, 16)
+    least_lines: int = 4
+    unit: str = "char"  # clause length in characters or in words
+    ending: int = 1  # characters that rhyme
+
+
+@dataclass
+class Clause:
+    start: int
+    end: int
+    body: str
+    speaker: str
+    size: int
+    xu: float
+    images: int
+    rhyme: str
+
+
+def clauses_of(text: str, r: Rules) -> list[Clause]:
+    out = []
+    function, imagery, script, said = frozenset(r.function_chars), frozenset(r.imagery), re.compile(r.script), re.compile(r.said)
+    for m in re.finditer(f"[^{re.escape(r.cuts)}]+", text):
+        named = said.match(m[0])
+        raw = m[0][named.end() :] if named else m[0]
+        body = re.sub(r.body, "", raw)
+        if body:
+            signs = script.findall(body)
+            xu = sum(c in function for c in signs) / len(signs) if signs else 1.0
+            last = body[-r.ending :]
+            lead = len(raw) - len(raw.lstrip())
+            out.append(Clause(m.end() - len(raw) + lead, m.start() + len(m[0].rstrip()), body, named[0].strip("：: ") if named else "", len(raw.split()) if r.unit == "word" else len(body), xu, sum(c in imagery for c in body), last if r.rhymes is None else r.rhymes.get(last, "")))
+    return out
+
+
+class Window:
+    """Counts of a window of clauses that grows at its end."""
+
+    def __init__(self) -> None:
+        self.n = self.chars = self.images = self.hits = self.main = self.evens = self.rhyming = 0
+        self.xu = 0.0
+        self.sizes: dict[int, int] = {}
+        self.classes: dict[str, int] = {}
+
+    def add(self, c: Clause) -> None:
+        if self.n % 2 and c.rhyme:
+            self.classes[c.rhyme] = self.classes.get(c.rhyme, 0) + 1
+            self.evens += 1
+            self.rhyming = max(self.rhyming, self.classes[c.rhyme])
+        self.n += 1
+        self.chars += c.size
+        self.images += c.images
+        self.xu += c.xu * c.size
+        self.sizes[c.size] = self.sizes.get(c.size, 0) + 1
+        if self.sizes[c.size] >= self.hits:  # of equally frequent lengths the one met first
+            self.hits = self.sizes[c.size]
+            self.main = next(s for s, k in self.sizes.items() if k == self.hits)
+
+    def metrics(self) -> dict[str, float]:
+        chars = max(1, self.chars)
+        return {"n": self.n, "main_len": self.main, "uniform": self.hits / self.n, "xu": self.xu / chars, "imagery": self.images / chars, "rhyme": self.rhyming / self.evens if self.evens >= 2 else 0.0}
+
+
+def _is_verse(m: Mapping[str, float], r: Rules, anchored: bool) -> bool:
+    return any(m["main_len"] in x.lengths and x.clauses[0] <= m["n"] <= x.clauses[1] and m["uniform"] >= x.uniform and m["xu"] <= x.most_xu and m["rhyme"] >= x.least_rhyme and m["imagery"] >= x.least_imagery and (anchored or not x.anchored) for x in r.rules)
+
+
+def poems_of(text: str, r: Rules) -> Iterator[tuple[int, int, list[Clause], dict[str, float]]]:
+    """Start, end, clauses and metrics of the longest windows that are verse, from left to right, without prose at their edges."""
+    clauses, i = clauses_of(text, r), 0
+    edge, anchor = re.compile(r.edge), re.compile(r.anchor)
+    prose = lambda c: c.xu > r.edge_xu or not r.edge_lengths[0] <= c.size <= r.edge_lengths[1] or edge.search(c.body)
+    while i < len(clauses):
+        at = clauses[i].start
+        anchored = anchor.search(text[max(0, at - r.anchor_back) : at]) is not None
+        seen, best, run = Window(), None, 0
+        for j in range(i, min(len(clauses), i + r.window)):
+            c = clauses[j]
+            seen.add(c)
+            if _is_verse(seen.metrics(), r, anchored):
+                best = j
+            run = run + 1 if not r.usual[0] <= c.size <= r.usual[1] or c.xu > r.prose_xu else 0
+            if run > r.prose_run:
+                break
+        if best is None:
+            i += 1
+            continue
+        first, last = i, best
+        while first <= last and prose(clauses[first]):
+            first += 1
+        while last >= first and prose(clauses[last]):
+            last -= 1
+        kept = clauses[first : last + 1]
+        if len(kept) >= r.least_lines:
+            own = Window()
+            for c in kept:
+                own.add(c)
+            yield kept[0].start, kept[-1].end, kept, own.metrics()
+        i = best + 1
+
+
+POEM = "start long, end long, lines array<string>, speakers array<string>, n long, main_len long, uniform double, xu double, imagery double, rhyme double"
+
+
+def verse_by_rules(chapters: DataFrame, keys: Sequence[str], rules: Rules = Rules()) -> DataFrame:
+    """keys, start, end, lines, speakers and metrics (n, main_len, uniform, xu, imagery, rhyme) of the verse of each chapter, by rules per length."""
+    names = list(keys)
+    held = chapters.sparkSession.sparkContext.broadcast(rules)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for *k, text in batch[[*names, "text"]].itertuples(index=False):
+                for start, end, kept, m in poems_of(text or "", held.value):
+                    rows.append((*k, start, end, [c.body for c in kept], [c.speaker for c in kept if c.speaker], *m.values()))
+            yield pd.DataFrame(rows, columns=[*names, "start", "end", "lines", "speakers", "n", "main_len", "uniform", "xu", "imagery", "rhyme"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chapters.select(*names).schema.fields)
+    return chapters.select(*names, "text").mapInPandas(find, f"{kinds}, {POEM}")
+
+
 def verse_by_seed(chapters: DataFrame, keys: Sequence[str], seeds: DataFrame, cuts: str, prefixes: Sequence[int] = (4, 3, 2)) -> DataFrame:
     """keys, title, start, end: a known opening (or, failing that, its first 4, 3, 2 characters), for its number of clauses, or to the paragraph's end if that is null."""
     tries = F.array_distinct(F.concat(F.array("opening"), F.array(*[F.substring("opening", 1, n) for n in prefixes])))
@@ -151,6 +318,35 @@ def poem_fixes(poems: DataFrame, overrides: DataFrame, deletes: Sequence[str], r
     return fixed.withColumn("title", title)
 
 
+def poem_facts(poems: DataFrame, rules: Rules, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What depends on the poems' texts: metrics (id, n, main_len, uniform, xu, imagery, rhyme), lines (id, seq, line), images (id, term, category, n)."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, text in batch[["id", "text"]].itertuples(index=False):
+                own, bodies = Window(), []
+                for c in clauses_of(text or "", rules):
+                    own.add(c)
+                    bodies.append(c.body)
+                rows.append((key, bodies, *(own.metrics().values() if own.n else (0, 0, 0.0, 0.0, 0.0, 0.0))))
+            yield pd.DataFrame(rows, columns=["id", "lines", "n", "main_len", "uniform", "xu", "imagery", "rhyme"])
+
+    kind = poems.schema["id"].dataType.simpleString()
+    every = poems.select("id", "text").mapInPandas(measure, f"id {kind}, lines array<string>, n long, main_len long, uniform double, xu double, imagery double, rhyme double")
+    return every.drop("lines"), every.select("id", F.posexplode("lines").alias("seq", "line")), image_facts(poems, images, ["id"])
+
+
+def fixed_poem_facts(before: DataFrame, after: DataFrame, facts: Sequence[DataFrame], rules: Rules, images: DataFrame) -> list[DataFrame]:
+    """The facts of poem_facts brought up to date: computed anew only for poems whose text is another or new, dropped for those that are gone."""
+    old = before.select("id", F.xxhash64("text").alias("__was"))
+    state = after.select("id", F.xxhash64("text").alias("__is")).join(old, "id", "full")
+    same = state.filter(F.col("__is") == F.col("__was")).select("id")
+    changed = state.filter(F.col("__is").isNotNull() & ~F.col("__is").eqNullSafe(F.col("__was"))).select("id")
+    fresh = poem_facts(after.join(changed, "id", "left_semi"), rules, images)
+    return [f.join(same, "id", "left_semi").unionByName(n) for f, n in zip(facts, fresh)]
+
+
 def guess_author(poems: DataFrame, pseudonyms: DataFrame, excluded: Sequence[str], back: int = 260) -> DataFrame:
     """poems with author: the pseudonym that stands last in the `back` characters of context before the poem, else the speaker; excluded genres stay empty."""
     ctx = poems.withColumn("__c", F.right("context", F.lit(back)))

@@ -132,6 +132,12 @@ def wiki_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", wikitext_to_text(raw).alias("body"))
 
 
+@query("wiki_pages", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<br\s*/?\s*>', chr(10), 'gi'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS body FROM pages""")
+def wiki_pages(spark, sf_dir):
+    """The pages as they are, taken for wiki text: comments go, breaks are new lines."""
+    return read(spark, sf_dir, "pages").select("page_id", wikitext_to_text("html").alias("body"))
+
+
 @query("merged_strays")
 def merged_strays(spark, sf_dir):
     """Lines of conversations as blocks; very short ones between notes join the note before them."""
@@ -408,6 +414,19 @@ def poems(spark, sf_dir):
     return cut.select(ident.alias("id"), "stream", "chapter", "text", "n_lines", "rhyme", genre.alias("genre"), author.alias("author"))
 
 
+RULES = verse.Rules(
+    rules=(verse.Rule((4, 5), (2, 3), 0.6, 0.42, anchored=True), verse.Rule((3, 4, 5), (4, 7), 0.5, 0.45, least_rhyme=0.3), verse.Rule((3, 4, 5), (8, 40), 0.5, 0.5, least_rhyme=0.2, least_imagery=0.05), verse.Rule((6,), (4, 40), 0.4, 0.4, anchored=True)),
+    cuts=".,!?\n", said=r"^\w+:", script=r"[^\W\d_]", body=r"[\W_]", function_chars="aeiou", imagery="lmrw", anchor="the|der|la", edge="^zz", usual=(3, 7), prose_xu=0.6, window=40, edge_xu=0.6, edge_lengths=(2, 9), least_lines=2, unit="word", ending=2,
+)
+
+
+@query("verse_by_rules")
+def verse_by_rules(spark, sf_dir):
+    """Verse told by rules per length, with its lines and metrics."""
+    got = verse.verse_by_rules(chapters(spark, sf_dir), ["stream", "chapter"], RULES)
+    return got.select("stream", "chapter", "start", "end", F.concat_ws("/", "lines").alias("lines"), "n", "main_len", *[F.round(c, 6).alias(c) for c in ("uniform", "xu", "imagery", "rhyme")])
+
+
 @query("verse_by_form")
 def verse_by_form(spark, sf_dir):
     return verse.verse_by_form(chapters(spark, sf_dir), ["stream", "chapter"], FORM).withColumn("rhyme", F.round("rhyme", 6))
