@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.ordered import top_n
+from ..operators.store import checkpoint
 
 
 def feature_rates(texts: DataFrame, keys: Sequence[str], text: str, features: Sequence[str]) -> DataFrame:
@@ -106,60 +107,75 @@ def climate_curve(texts: DataFrame, keys: Sequence[str], text: str, lexicons: Ma
     return counted.select(*keys, *dens, F.round(tint, 6).alias("tint"), F.round(gloom, 6).alias("gloom"))
 
 
-def nearest(rows: DataFrame, bench: DataFrame, key: str, bench_key: str, features: Sequence[str], k: int = 3, block_rows: int = 5000) -> DataFrame:
-    """key, rank, bench_key, distance: the k benchmark rows with the least root mean square of relative differences.
+def _closest(k: int):
+    """The k rows of a cell that are nearest to each of its queries."""
 
-    The benchmark is a stated set.  It is counted; rows go against one block of about `block_rows` of its rows after the other, and of each
-    block only the k nearest stay.
-    """
-    b = bench.select(bench_key, *[F.col(f).alias(f"b_{f}") for f in features])
-    sq = [F.pow((F.col(f) - F.col(f"b_{f}")) / F.when(F.col(f"b_{f}") == 0, 1).otherwise(F.col(f"b_{f}")), F.lit(2)) for f in features]
-    d = F.sqrt(sum(sq[1:], sq[0]) / len(features))
-    blocks = max(1, -(-b.count() // block_rows))
-    order = [F.col("distance"), F.col(bench_key)]
-    parts = [b.filter(F.pmod(F.xxhash64(bench_key), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [b]
-    best = [top_n(rows.crossJoin(F.broadcast(p)).select(key, bench_key, d.alias("distance")), [key], order, k) for p in parts]
-    return best[0] if blocks == 1 else top_n(reduce(DataFrame.unionByName, best).drop("rank"), [key], order, k)
-
-
-def _ranking(keys: np.ndarray, points: np.ndarray, scale: np.ndarray, k: int, rows_at_once: int = 256):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        names = [c for c in rows.column_names if c.startswith("x")]
+        keys, near = queries.column("key").to_numpy(), rows.column("near").to_numpy()
+        points, values = (np.stack([t.column(c).to_numpy() for c in names], 1).reshape(len(t), len(names)) for t in (queries, rows))
         best_d, best_n = np.full((len(keys), k), np.inf), np.zeros((len(keys), k), np.int64)
-        for batch in batches:
-            near, values = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], 1) / scale
-            for i in range(0, len(near), rows_at_once):
-                part = values[i : i + rows_at_once]
-                d = np.round(np.sqrt(sum((points[:, j, None] - part[None, :, j]) ** 2 for j in range(len(scale))) / len(scale)), 9)
-                d = np.concatenate([best_d, d], 1)
-                n = np.concatenate([best_n, np.broadcast_to(near[i : i + rows_at_once], (len(keys), len(part)))], 1)
-                order = np.lexsort((n, d))[:, :k]
-                best_d, best_n = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+        step = max(1, (1 << 22) // max(1, len(keys)))
+        for i in range(0, len(near) if len(keys) else 0, step):
+            part = values[i : i + step]
+            d = np.round(np.sqrt(sum((points[:, j, None] - part[None, :, j]) ** 2 for j in range(len(names))) / len(names)), 9)
+            d, n = np.concatenate([best_d, d], 1), np.concatenate([best_n, np.broadcast_to(near[i : i + step], (len(keys), len(part)))], 1)
+            order = np.lexsort((n, d))[:, :k]
+            best_d, best_n = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
         row, col = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(best_n[row, col]), pa.array(best_d[row, col])], names=["key", "near", "distance"])
+        return pa.table({"key": keys[row], "near": best_n[row, col], "distance": best_d[row, col]})
 
     return run
 
 
-def nearest_of_all(queries: DataFrame, rows: DataFrame, key: str, near_key: str, features: Sequence[str], scales: DataFrame, k: int = 3, block_rows: int = 2000) -> DataFrame:
+def nearest_of_all(queries: DataFrame, rows: DataFrame, key: str, near_key: str, features: Sequence[str], scales: DataFrame, k: int = 3, cell_rows: int = 20_000, most_cells: int = 4096) -> DataFrame:
     """key, near_key, distance, rank: of all rows the k nearest to each query, by root mean square of differences of features.
 
-    Features are divided by those of `scales` (one row, 0 counts as 1).  Queries go in blocks by hash of about `block_rows` rows, each against all
-    rows; a task passes on its k nearest of each query.  Distances tie at nine digits, then the smaller key comes first.  Keys are
-    integers; rows with a null feature are none.
+    Features are divided by those of `scales` (one row, 0 counts as 1).  Rows are cut into cells by the scaled feature that varies most, at quantiles; a cell with more
+    rows than `cell_rows` is dealt to several tasks.  A query first meets its own cell, which bounds the distance of its k-th neighbour, and then only
+    cells that this bound reaches, since rows differ by at least the difference in one feature.  Queries and rows are tables throughout.  Distances tie at nine
+    digits, then the smaller key comes first.  Keys are integers; rows with a null feature are none.
     """
     one = scales.select(*[F.col(f).cast("double") for f in features]).first()
-    scale = np.array([1.0 if x is None or x == 0 else x for x in one])
-    columns = [F.col(f).cast("double").alias(f) for f in features]
-    candidates = rows.select(F.col(near_key).cast("long").alias("near"), *columns).dropna()
-    asked = queries.select(F.col(key).cast("long").alias("key"), *columns).dropna()
-    blocks = max(1, -(-asked.count() // block_rows))
-    parts = []
-    for i in range(blocks):
-        got = np.array([tuple(r) for r in asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).collect()], [("key", np.int64), *((f, np.float64) for f in features)])
-        points = np.stack([got[f] for f in features], 1) / scale
-        parts.append(candidates.mapInArrow(_ranking(got["key"], points, scale, k), "key long, near long, distance double"))
-    every = reduce(DataFrame.unionByName, parts)
-    return top_n(every, ["key"], [F.col("distance"), F.col("near")], k).select(F.col("key").alias(key), F.col("near").alias(near_key), "distance", "rank")
+    scale = [1.0 if x is None or x == 0 else x for x in one]
+    xs = [(F.col(f).cast("double") / F.lit(s)).alias(f"x{i}") for i, (f, s) in enumerate(zip(features, scale))]
+    found = checkpoint(rows.select(F.col(near_key).cast("long").alias("near"), *xs).dropna())
+    asked = checkpoint(queries.select(F.col(key).cast("long").alias("key"), *xs).dropna())
+    size, *spread = found.agg(F.count("*"), *[F.stddev_pop(f"x{i}") for i in range(len(scale))]).first()
+    axis = f"x{int(np.argmax([x or 0.0 for x in spread]))}"
+    cells = min(most_cells, max(1, -(-size // cell_rows)))
+    cuts = found.agg(F.percentile_approx(axis, [i / cells for i in range(1, cells)], 10_000)).first()[0] if cells > 1 and size else []
+    cuts = sorted(set(cuts))
+
+    def in_cells(df: DataFrame, *at: str) -> DataFrame:
+        """df with the cell of each position."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                new = [pa.array(np.searchsorted(cuts, batch.column(a).to_numpy(zero_copy_only=False), "right").astype(np.int32)) for a in at]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[f"cell_{a}" for a in at]])
+
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + [f"cell_{a} int" for a in at]
+        return df.mapInArrow(run, ", ".join(kinds))
+
+    placed = checkpoint(in_cells(found, axis).withColumnRenamed(f"cell_{axis}", "cell"))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))  # most_cells rows at most
+    dealt = checkpoint(placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("near"), F.col("parts")).cast("int")).drop("parts"))
+
+    def meet(some: DataFrame) -> DataFrame:
+        """Queries with the cells that they go to -> their k nearest rows of each part of these cells."""
+        sent = some.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return sent.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(lambda q, r: _closest(k)(q, r), "key long, near long, distance double")
+
+    order = [F.col("distance"), F.col("near")]
+    mine = in_cells(asked, axis).withColumnRenamed(f"cell_{axis}", "cell")
+    first = checkpoint(top_n(meet(mine), ["key"], order, k))
+    bound = first.filter(F.col("rank") == k).select("key", (F.col("distance") + 1e-8).alias("bound"))
+    reach = F.coalesce("bound", F.lit(float("inf"))) * math.sqrt(len(scale))
+    wide = mine.withColumnRenamed("cell", "own").join(bound, "key", "left").withColumns({"lo": F.col(axis) - reach, "hi": F.col(axis) + reach}).drop("bound")
+    others = in_cells(wide, "lo", "hi").withColumn("cell", F.explode(F.sequence("cell_lo", "cell_hi"))).filter("cell <> own").select("key", *[f"x{i}" for i in range(len(scale))], "cell")
+    every = first.select("key", "near", "distance").unionByName(meet(others))
+    return top_n(every, ["key"], order, k).select(F.col("key").alias(key), F.col("near").alias(near_key), "distance", "rank")
 
 
 def verdict(length: Column, distance: Column, ppl: Column, inside: Column, outside: Column) -> Column:

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .store import checkpoint
@@ -82,28 +82,33 @@ def _adding(block: Broadcast, name: str, text_at: int, pad: int | None, marks: t
     return run
 
 
+def all_rows(terms: DataFrame, term: str, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> list[Row] | None:
+    """The rows of a dictionary that is small enough for one block; None for a larger one."""
+    rows = terms.limit(block_rows + 1).collect()
+    return rows if len(rows) <= block_rows and sum(len(r[term] or "") for r in rows) <= block_bytes else None
+
+
 def blocks(terms: DataFrame, term: str, block_rows: int, block_bytes: int) -> Iterator[list[str]]:
-    """The terms in blocks; each is let go of by the driver before the next one is fetched."""
-    some = terms.select(F.col(term).cast("string").alias("t")).filter(F.length("t") > 0)
-    first = [r["t"] for r in some.limit(block_rows + 1).collect()]
-    if len(first) <= block_rows and sum(map(len, first)) <= block_bytes:
-        yield first
-        return
-    every = checkpoint(some.distinct())
+    """The terms of a large dictionary in blocks; each is let go of by the driver before the next one is fetched."""
+    every = checkpoint(terms.select(F.col(term).cast("string").alias("t")).filter(F.length("t") > 0).distinct())
     n, size = every.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
-    parts = max(-(-2 * n // block_rows), -(-2 * size // block_bytes))  # half full on average, so that hashing keeps them within bounds
-    dealt = checkpoint(every.repartition(min(parts, 2000), F.pmod(F.xxhash64("t"), F.lit(parts))))
+    parts = max(1, -(-2 * n // block_rows), -(-2 * (size or 0) // block_bytes))  # half full on average, so that hashing keeps them within bounds
+    part = F.pmod(F.xxhash64("t"), F.lit(parts))
+    dealt = every if parts == 1 else checkpoint(every.repartition(min(parts, 2000), part))
     for p in range(parts):
-        yield [r["t"] for r in dealt.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == p).collect()]
+        yield [r["t"] for r in dealt.filter(part == p).collect()]
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", keep: Sequence[str] | None = None, pad: int | None = None, marks: tuple[str, str] = ("〔", "〕"), block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`keep` (all columns of texts, if not given) and `hits`: of each term that the text holds its offsets, and with `pad` the context of each."""
+def find_terms(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", keep: Sequence[str] | None = None, pad: int | None = None, marks: tuple[str, str] = ("〔", "〕"), block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES, rows: list[Row] | None = None) -> DataFrame:
+    """`keep` (all columns of texts, if not given) and `hits`: of each term that the text holds its offsets, and with `pad` the context of each.
+    `rows` are all rows of terms, if they have been fetched already."""
     keep = list(texts.columns if keep is None else keep)
     # Columns go by place, so that no name can clash.
     out = texts.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("t"), F.array().cast(HITS).alias("hits"))
     context = texts.sparkSession.sparkContext
-    for i, block in enumerate(blocks(terms, term, block_rows, block_bytes)):
+    rows = all_rows(terms.select(term), term, block_rows, block_bytes) if rows is None else rows
+    parts = blocks(terms, term, block_rows, block_bytes) if rows is None else [[r[term] for r in rows if r[term]]]
+    for i, block in enumerate(parts):
         if i and i % CHAIN == 0:
             out = checkpoint(out)
         out = out.mapInArrow(_adding(context.broadcast(block), uuid.uuid4().hex, len(keep), pad, marks), out.schema)

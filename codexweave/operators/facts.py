@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexicon_count
-from .dictionary import BLOCK_ROWS, find_terms
+from .dictionary import all_rows, find_terms
 from .ordered import top_n
 
 
@@ -19,33 +19,32 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def _of_term(found: DataFrame, terms: DataFrame, term: str, outer: bool = False) -> DataFrame:
-    """found (a row per text and term, in `__t`) with the columns of terms; a term that stands in several rows of terms gives each of them."""
-    side = terms.withColumnRenamed(term, "__term")
-    side = F.broadcast(side) if small(side, BLOCK_ROWS) else side
-    kept = [c for c in found.columns if c not in ("__t", "n", "at")]
-    columns = [F.col("__t").alias(c) if c == term else side[c] for c in terms.columns]
-    return found.join(side, F.col("__t") == F.col("__term"), "left" if outer else "inner").select(*[found[c] for c in kept], *columns, "n", "at")
+def _hits(texts: DataFrame, terms: DataFrame, text: str, term: str, keep: Sequence[str] | None, outer: bool, options: dict) -> DataFrame:
+    """texts x terms where the text holds the term, with `__offsets`; a term that stands in several rows of terms gives each of them.  With
+    `outer` a text without terms comes once, with nulls."""
+    rows = all_rows(terms, term, **options)  # so that a dictionary that has to be worked out is worked out once
+    found = find_terms(texts, terms, text, term, keep, rows=rows, **options)
+    kept = [c for c in found.columns if c != "hits"]
+    one = found.select(*kept, (F.explode_outer if outer else F.explode)("hits").alias("__hit")).select(*kept, F.col("__hit.term").alias("__found"), F.col("__hit.at").alias("__offsets"))
+    side = (terms if rows is None else F.broadcast(terms.sparkSession.createDataFrame(rows, terms.schema))).withColumnRenamed(term, "__term")
+    columns = [F.col("__found").alias(c) if c == term else side[c] for c in terms.columns]
+    return one.join(side, F.col("__found") == F.col("__term"), "left" if outer else "inner").select(*[one[c] for c in kept], *columns, "__offsets")
 
 
 def term_hits(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", keep: Sequence[str] | None = None, **options) -> DataFrame:
     """texts (only the columns in `keep`, if given) x terms where the text holds the term, with `n`, the number of non-overlapping
     occurrences, and `at`, their offsets."""
-    found = find_terms(texts, terms, text, term, keep, **options)
-    one = found.select(*[c for c in found.columns if c != "hits"], F.explode("hits").alias("__h"))
-    return _of_term(one.select(*one.columns[:-1], F.col("__h.term").alias("__t"), F.size("__h.at").cast("long").alias("n"), F.col("__h.at").alias("at")), terms, term)
+    return _hits(texts, terms, text, term, keep, False, options).withColumn("n", F.size("__offsets").cast("long")).withColumnRenamed("__offsets", "at")
 
 
-def holding(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", **options) -> DataFrame:
-    """texts x terms where the text holds the term."""
-    return term_hits(texts, terms, text, term, **options).drop("n", "at")
+def holding(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", keep: Sequence[str] | None = None, **options) -> DataFrame:
+    """texts (or `keep`) x terms where the text holds the term."""
+    return _hits(texts, terms, text, term, keep, False, options).drop("__offsets")
 
 
 def holding_or_none(texts: DataFrame, terms: DataFrame, text: str, term: str, **options) -> DataFrame:
     """holding(), and every text that holds no term once, with nulls for the term's columns."""
-    found = find_terms(texts, terms, text, term, **options)
-    one = found.select(*[c for c in found.columns if c != "hits"], F.explode_outer("hits").alias("__h"))
-    return _of_term(one.select(*one.columns[:-1], F.col("__h.term").alias("__t"), F.lit(0).alias("n"), F.lit(0).alias("at")), terms, term, outer=True).drop("n", "at")
+    return _hits(texts, terms, text, term, None, True, options).drop("__offsets")
 
 
 def mentions(blocks: DataFrame, aliases: DataFrame, keys: Sequence[str], least: int = 2, **options) -> DataFrame:

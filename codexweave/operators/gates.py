@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.corpus import upsert
 from .facts import cooccur_of, holding, people_in
 from .ordered import top_n
 
@@ -96,6 +97,18 @@ def recheck(docs: DataFrame, issues: Sequence[DataFrame], warnings: Sequence[str
     return docs.select("chapter").join(per, "chapter", "left").select("chapter", F.coalesce("hard", F.lit(False)).alias("failed"), F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))
 
 
+def recheck_changed(docs: DataFrame, stored: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """chapter, failed, issues, digest: `stored` (the same columns) brought up to date with docs (chapter, text).
+
+    Only documents whose digest is not the stored one go through `run` (docs -> chapter, failed, issues); the others keep their rows, and rows of
+    documents that are gone go.
+    """
+    now = docs.select("chapter", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    stale = now.join(stored.select("chapter", "digest"), ["chapter", "digest"], "left_anti")
+    fresh = run(docs.join(stale.select("chapter"), "chapter", "left_semi")).join(stale, "chapter").select("chapter", "failed", "issues", "digest")
+    return upsert(stored.join(docs.select("chapter"), "chapter", "left_semi").select("chapter", "failed", "issues", "digest"), fresh, ["chapter"])
+
+
 def plan_sanity(plan: DataFrame, dead: DataFrame, once: DataFrame) -> DataFrame:
     """kind, name, n: dead persons in the plan after their death; one-off events in more than one row."""
     blob = plan.select("chapter", F.concat_ws(" ", "title", "brief").alias("p"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +129,70 @@ def wear_scenes(blocks: DataFrame, keys: Sequence[str], verbs: Sequence[str], ga
     return got.select(*keys, "clause", "garment", "colour", person.alias("person"), how.alias("how"))
 
 
+def colour_facts(blocks: DataFrame, keys: Sequence[str], verbs: Sequence[str], garments: Sequence[str], families: Mapping[str, Sequence[str]], cuts: str, pad: int = 10) -> DataFrame:
+    """keys, at, term, family, how, context: the colours of clothes.
+
+    how is 'scene' for colours in a clause with a wearing verb and a garment (context: the clause), and 'stray' for others with a garment within `pad` characters on
+    either side (context: these characters).  Of overlapping colour terms the first and longest counts.  The places of colours, garments and clauses are each
+    found once, in order, and go along together, so that a text takes linear time.
+    """
+    family = {t: f for f, ts in families.items() for t in ts}
+    longest = lambda ts: re.compile("|".join(map(re.escape, sorted(set(ts), key=lambda t: (-len(t), t)))) or r"(?!)")
+    colour, garment, verb, clause = longest(family), longest(garments), longest(verbs), re.compile(f"[^{re.escape(cuts)}]+")
+
+    def find(text: str) -> Iterator[tuple[int, str, str, str]]:
+        scenes = [m.span() for m in clause.finditer(text) if verb.search(m[0]) and garment.search(m[0])]
+        scene = 0
+        for m in colour.finditer(text):
+            lo, hi = m.span()
+            while scene < len(scenes) and scenes[scene][1] < hi:
+                scene += 1
+            if scene < len(scenes) and scenes[scene][0] <= lo:
+                yield lo, m[0], "scene", text[slice(*scenes[scene])]
+            elif garment.search(text, max(0, lo - pad), hi + pad):
+                yield lo, m[0], "stray", text[max(0, lo - pad) : hi + pad]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, rest = [], []
+            for i, text in enumerate(batch.column("text")):
+                for at, term, how, context in find(text.as_py() or ""):
+                    row.append(i)
+                    rest.append({"at": at, "term": term, "family": family[term], "how": how, "context": context})
+            kept = [batch.column(i).take(pa.array(row, pa.int64())) for i in range(len(keys))]
+            more = pa.Table.from_pylist(rest, pa.schema([("at", pa.int64()), *[(c, pa.string()) for c in ("term", "family", "how", "context")]])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*kept, *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in more.columns]], names=[*batch.schema.names[:-1], *more.column_names])
+
+    rows = blocks.select(*keys, "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, at long, term string, family string, how string, context string")
+
+
+def garment_series(scenes: DataFrame, colours: DataFrame, chapters: DataFrame, keys: Sequence[str], window: int = 1000) -> DataFrame:
+    """keys, scenes, colours, per `window` characters of the chapter, for every chapter with either."""
+    keys = list(keys)
+    n = scenes.groupBy(*keys).agg(F.count("*").alias("scenes")).join(colours.groupBy(*keys).agg(F.count("*").alias("colours")), keys, "full").na.fill(0, ["scenes", "colours"])
+    size = chapters.select(*keys, F.length("text").alias("__n"))
+    return n.join(size, keys).select(*keys, "scenes", "colours", F.round((F.col("scenes") + F.col("colours")) * float(window) / F.nullif(F.col("__n"), F.lit(0)), 4).alias("per"))
+
+
+def garment_cast(scenes: DataFrame, colours: DataFrame, keys: Sequence[str], k: int = 3) -> DataFrame:
+    """person, scenes, family, n, rank: for each person of a scene the k most frequent colour families of the blocks it is in."""
+    keys = list(keys)
+    who = scenes.filter("person is not null")
+    totals = who.groupBy("person").agg(F.count("*").alias("scenes"))
+    worn = who.select(*keys, "person").distinct().join(colours.filter("how = 'scene'"), keys).groupBy("person", "family").agg(F.count("*").alias("n"))
+    return totals.join(top_n(worn, ["person"], [F.desc("n"), F.col("family")], k), "person", "left").select("person", "scenes", "family", "n", "rank")
+
+
+def amount_series(found: DataFrame, chapter: str, anchors: Mapping[str, tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Amounts over the chapters (chapter, n, total), and over named stretches (anchor, n, total, median) given as first and last chapter."""
+    series = found.groupBy(chapter).agg(F.count("*").alias("n"), F.round(F.sum("amount"), 6).alias("total"))
+    rows = [F.struct(F.lit(a).alias("anchor"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for a, (lo, hi) in anchors.items()]
+    every = found.select("amount", F.col(chapter).alias("__c"), F.explode(F.array(*rows)).alias("a")).filter(F.col("__c").between(F.col("a.lo"), F.col("a.hi")))
+    return series, every.groupBy(F.col("a.anchor").alias("anchor")).agg(F.count("*").alias("n"), F.round(F.sum("amount"), 6).alias("total"), F.median("amount").alias("median"))
+
+
 def garment_persons(scenes: DataFrame, gifts: DataFrame) -> DataFrame:
     """person, scenes, garments, colours, gifts given."""
     worn = scenes.filter("person is not null").groupBy("person").agg(F.count("*").alias("scenes"), F.count_distinct("garment").alias("garments"), F.count_distinct("colour").alias("colours"))

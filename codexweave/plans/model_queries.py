@@ -245,18 +245,6 @@ def climate(spark, sf_dir):
     return authorship.climate_curve(chapters(spark, sf_dir), ["stream", "chapter"], "text", LEXICONS)
 
 
-@query("nearest_chapters", f"""WITH {CH}, src AS (SELECT * FROM chapters), {VECTOR_SQL}, q AS (SELECT doc_id AS key, avg_sent_len AS a, xuci_rate AS x, type_token AS t FROM m WHERE z > 0), b AS (SELECT * FROM q WHERE key % 100 = 0),
-    d AS (SELECT q.key AS doc_id, b.key AS bench_id, sqrt((((q.a - b.a) / CASE WHEN b.a = 0 THEN 1 ELSE b.a END) ** 2 + ((q.x - b.x) / CASE WHEN b.x = 0 THEN 1 ELSE b.x END) ** 2 + ((q.t - b.t) / CASE WHEN b.t = 0 THEN 1 ELSE b.t END) ** 2) / 3) AS distance FROM q, b), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(distance, 9), bench_id) AS rank FROM d)
-    SELECT doc_id, bench_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM r WHERE rank <= 3""")
-def nearest_chapters(spark, sf_dir):
-    v = chapters(spark, sf_dir).select("doc_id", style.style_vector("text", **STYLE).alias("v")).filter("v is not null")
-    feats = v.select("doc_id", *[F.col(f"v.{m}").alias(m) for m in ("avg_sent_len", "xuci_rate", "type_token")])
-    # As the SQL says: every chapter against the stated benchmark rows only, by three features; nearest_of_all ranks all chapters.  Ties are taken at nine digits.
-    bench = feats.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "bench_id")
-    joined = authorship.nearest(feats, bench, "doc_id", "bench_id", ["avg_sent_len", "xuci_rate", "type_token"], 3)
-    return joined.select("doc_id", "bench_id", "rank", F.round("distance", 6).alias("distance"))
-
-
 _HELD_SQL = ORACLES["spectrum"].replace("length(text) >= 300", "length(text) >= 8").replace(", 4) AS ppl", ", 12) AS ppl")
 _FIVE = ("avg_sent_len", "dialog_rate", "xuci_rate", "type_token", "ppl")
 

@@ -192,3 +192,17 @@ def book_union(spark, sf_dir):
     """Every fifth chapter is in a later book, which overrides the main one."""
     ch = src.chapters(spark, sf_dir).select("stream", "chapter", "doc_id", F.length("text").cast("long").alias("n"))
     return src.book_union({"main": ch, "later": ch.filter("chapter % 5 = 0")}, ["stream", "chapter"])
+
+
+@query("top_values", "WITH s AS (SELECT 'source' AS name, source AS value, count(*) AS n FROM documents GROUP BY source), l AS (SELECT 'lang' AS name, lang AS value, count(*) AS n FROM documents GROUP BY lang), e AS (SELECT 'event' AS name, event_type AS value, count(*) AS n FROM events GROUP BY event_type), u AS (FROM s UNION ALL FROM l UNION ALL FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS rank FROM u WHERE value IS NOT NULL) SELECT name, value, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
+def top_values(spark, sf_dir):
+    docs, events = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/events.parquet")
+    return src.top_values({"source": (docs, "source"), "lang": (docs, "lang"), "event": (events, "event_type")}, 3)
+
+
+@query("nested_counts", "SELECT conv_id, count(*) AS n_turns, CAST(sum(len(list_filter(string_split(text, '. '), lambda x: x <> ''))) AS BIGINT) AS n_speeches FROM conversations GROUP BY conv_id")
+def nested_counts(spark, sf_dir):
+    """Speeches of every conversation, counted through two nested arrays."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.filter(F.split("text", r"\. "), lambda x: x != "").alias("speeches"))
+    nested = turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "speeches")).alias("turns"))
+    return nested.select("conv_id", src.nested_count(["turns"]).alias("n_turns"), src.nested_count(["turns", "speeches"]).alias("n_speeches"))

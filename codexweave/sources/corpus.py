@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.store import checkpoint
+
 BLOCK = "id BIGINT, kind STRING, text STRING, page INT, editions ARRAY<STRING>, atype STRING, ink STRING"
 CORPUS = f"meta STRING, chapters ARRAY<STRUCT<no: INT, title: STRING, blocks: ARRAY<STRUCT<{BLOCK.replace(' BIGINT', ': BIGINT').replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' ARRAY', ': ARRAY')}>>>>"
 EDITION = "chapters MAP<STRING, STRUCT<title: STRING, text: STRING, annos: ARRAY<STRUCT<editions: ARRAY<STRING>, atype: STRING, text: STRING>>>>"
@@ -53,11 +56,25 @@ def pending(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFr
     return wanted.join(stored.select(*keys), list(keys), "left_anti")
 
 
-def manifest(editions: DataFrame, keys: Sequence[str] = ("stream",), text: str = "text", chapter: str = "chapter", made: Column | None = None) -> DataFrame:
-    """Per edition: chapters, characters, and a digest of the chapters' digests in order (texts themselves are not gathered)."""
-    each = editions.select(*keys, F.col(chapter).alias("c"), F.length(text).alias("n"), F.sha2(F.col(text).cast("binary"), 256).alias("d"))
-    digest = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda x: x["d"])).cast("binary"), 256)
-    out = each.groupBy(*keys).agg(F.count("*").alias("chapters"), F.sum("n").cast("long").alias("chars"), digest.alias("sha256"))
+def manifest(editions: DataFrame, keys: Sequence[str] = ("stream",), text: str = "text", chapter: str = "chapter", made: Column | None = None, run: int = 4096) -> DataFrame:
+    """Per edition: chapters, characters, and a digest of the chapters' digests in order.
+
+    Chapters go by whole numbers.  Digests of up to `run` chapters in a row are brought together and give one, then these, until one is left; an edition of
+    up to `run` chapters has the digest of all its chapters' digests, one after the other.  Neither texts nor an edition's digests are gathered as a whole.
+    """
+    each = editions.select(*keys, F.col(chapter).alias("c"), F.length(text).cast("long").alias("chars"), F.sha2(F.col(text).cast("binary"), 256).alias("d"), F.lit(1).cast("long").alias("chapters"))
+    level = rank_in_group(each.withColumn("__e", F.struct(*keys)), "__e", "c", "no").drop("__e").withColumn("no", F.col("no").cast("long") - 1)
+    done = None
+    while True:
+        joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("no", "d"))), lambda x: x["d"]))
+        up = level.groupBy(*keys, F.floor(F.col("no") / run).alias("no")).agg(F.sum("chapters").alias("chapters"), F.sum("chars").alias("chars"), F.sha2(joined.cast("binary"), 256).alias("d"))
+        level = checkpoint(up.withColumn("__more", F.max("no").over(Window.partitionBy(*keys)) > 0))
+        ready = level.filter(~F.col("__more")).select(*keys, "chapters", "chars", F.col("d").alias("sha256"))
+        done = ready if done is None else done.unionByName(ready)
+        level = level.filter("__more").drop("__more")
+        if level.isEmpty():
+            break
+    out = done
     return out if made is None else out.withColumn("made", made)
 
 
@@ -73,6 +90,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: str | N
     return tagged.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__k = 1").drop("__k", "__new")
 
 
+def overwrite_partitions(df: DataFrame, path: str, by: str, format: str = "parquet") -> None:
+    """Write df by the values of a column; only the folders of values that df has are replaced, the others stay as they are."""
+    df.repartition(by).write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").format(format).save(path)
+
+
 def carry_over(old: DataFrame, path: str) -> DataFrame:
     """Write a table that cannot be rebuilt and fail if the copy has other rows."""
     before = old.count()
@@ -83,6 +105,28 @@ def carry_over(old: DataFrame, path: str) -> DataFrame:
     return copy
 
 
+def nested_count(path: Sequence[str]) -> Column:
+    """Number of the innermost elements of a column of arrays of structs with arrays in them (a field for each level); null arrays hold none."""
+    def below(arrays: Column, field: str) -> Column:
+        return F.flatten(F.filter(F.transform(arrays, lambda x: x[field]), lambda x: x.isNotNull()))
+
+    inner = reduce(below, path[1:], F.col(path[0]))
+    return F.greatest(F.size(inner), F.lit(0)).cast("long")
+
+
+def top_values(tables: dict[str, tuple[DataFrame, str]], k: int) -> DataFrame:
+    """name, value, n, rank: of each named column the k most frequent values."""
+    out = None
+    for name, (df, column) in tables.items():
+        counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
+        first = counts.orderBy(F.desc("n"), "value").limit(k)
+        part = first.select(F.lit(name).alias("name"), "value", "n", F.row_number().over(Window.orderBy(F.desc("n"), "value")).alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no columns")
+    return out
+
+
 def corpus_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """name, n of every table."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in sorted(tables.items())]
