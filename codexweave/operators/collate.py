@@ -176,3 +176,15 @@ def build_variant_map(texts: DataFrame, edges: DataFrame, curated: DataFrame, ch
     best = top_n(votes, ["source"], [F.desc("votes"), F.col("target")], 1).select("source", "target", F.lit("voted").alias("how"))
     fixed = curated.select("source", "target", F.lit("curated").alias("how")).filter("source <> target")
     return fixed.unionByName(best.join(fixed.select("source"), "source", "left_anti"))
+
+
+def variant_coverage(texts: DataFrame, variants: DataFrame, char_class: str, common: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """How well a variant map (source, target) does: one row with the characters of the class, those that are common, those that are mapped and the share of both; and the
+    residue: characters that are neither, and occur `least` times or more, with their counts.  Texts give one row for each distinct character of a task."""
+    chars = texts.select(F.explode(F.split(tx.keep_chars("text", char_class), "")).alias("char")).filter("char <> ''").groupBy("char").agg(F.count("*").alias("n"))
+    known = chars.join(F.broadcast(common.select("char").distinct().withColumn("__c", F.lit(True))), "char", "left").join(F.broadcast(variants.select(F.col("source").alias("char")).distinct().withColumn("__v", F.lit(True))), "char", "left")
+    is_common, mapped = F.coalesce("__c", F.lit(False)), F.col("__c").isNull() & F.coalesce("__v", F.lit(False))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    share = known.agg(total.alias("chars"), F.coalesce(F.sum(F.when(is_common, F.col("n"))), F.lit(0)).alias("common"), F.coalesce(F.sum(F.when(mapped, F.col("n"))), F.lit(0)).alias("mapped"))
+    out = share.withColumn("coverage", F.round((F.col("common") + F.col("mapped")) / F.nullif(F.col("chars"), F.lit(0)), 6))
+    return out, known.filter(~is_common & ~mapped & (F.col("n") >= least)).select("char", "n")

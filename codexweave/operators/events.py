@@ -73,6 +73,7 @@ def events(scenes: DataFrame, keys: Sequence[str], aliases: DataFrame, types: Da
 def event_facts(found: DataFrame, scenes: DataFrame, keys: Sequence[str], aliases: DataFrame, chapter: str, scene: str, scenes_in: str, src: Column, width: int = 30) -> DataFrame:
     """`found` (events) with t, quote and src: t is the chapter and the middle of the scene as a fraction of it; quote the text around the first alias of
     the person in the scene, of at most `width` characters."""
-    first = term_hits(scenes, aliases, keep=[*keys, scenes_in, "text"]).groupBy(*keys, F.col("name").alias("person")).agg(F.min(F.get("at", F.lit(0))).alias("__at"), F.first("text").alias("__text"), F.first(scenes_in).alias("__n"))
+    named = scenes.withColumnRenamed(scenes_in, "__scenes")
+    first = term_hits(named, aliases, keep=[*keys, "__scenes", "text"]).groupBy(*keys, F.col("name").alias("person")).agg(F.min(F.get("at", F.lit(0))).alias("__at"), F.first("text").alias("__text"), F.first("__scenes").alias("__n"))
     t = F.round(F.col(chapter) + (F.col(scene) + 0.5) / F.greatest(F.col("__n"), F.lit(1)), 4)
     return found.join(first, [*keys, "person"]).withColumns({"t": t, "quote": tx.centred_quote("__text", "__at", width), "src": src}).drop("__at", "__text", "__n")

@@ -133,6 +133,25 @@ def variant_map(spark, sf_dir):
     return collate.build_variant_map(read(spark, sf_dir, "documents"), edges, curated, r"\p{Ll}", letters)
 
 
+VARIANTS = [("ä", "a"), ("ö", "o"), ("é", "e"), ("ñ", "n"), ("ß", "s"), ("zz", "z")]
+VARIANTS_SQL = "v(source) AS (VALUES " + ", ".join(f"('{a}')" for a, _ in VARIANTS) + "), ch AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[^\\p{Ll}]', '', 'g'), '')) AS c FROM documents) WHERE c <> '' GROUP BY c), k AS (SELECT *, c BETWEEN 'a' AND 'z' AND length(c) = 1 AND ascii(c) < 128 AS common, c IN (SELECT source FROM v) AS mapped FROM ch)"
+
+
+def covered(spark, sf_dir):
+    letters = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyz"], "char string")
+    return collate.variant_coverage(read(spark, sf_dir, "documents"), spark.createDataFrame(VARIANTS, "source string, target string"), r"\p{Ll}", letters)
+
+
+@query("variant_coverage", f"WITH {VARIANTS_SQL} SELECT CAST(sum(n) AS BIGINT) AS chars, CAST(coalesce(sum(n) FILTER (common), 0) AS BIGINT) AS common, CAST(coalesce(sum(n) FILTER (NOT common AND mapped), 0) AS BIGINT) AS mapped, round(sum(n) FILTER (common OR mapped) / sum(n), 6) AS coverage FROM k")
+def variant_coverage(spark, sf_dir):
+    return covered(spark, sf_dir)[0]
+
+
+@query("variant_residue", f"WITH {VARIANTS_SQL} SELECT c AS char, n FROM k WHERE NOT common AND NOT mapped AND n >= 5")
+def variant_residue(spark, sf_dir):
+    return covered(spark, sf_dir)[1]
+
+
 @query("wiki_text", r"SELECT page_id, 'see ' || split_part(url, '/', 3) || ' and longest' AS body FROM pages")
 def wiki_text(spark, sf_dir):
     host = F.element_at(F.split("url", "/"), 3)
