@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import classify
-from .facts import prune_edges
+from .facts import prune_edges, term_hits
 from .ordered import top_n
 from .store import checkpoint, spread_join
 
@@ -248,3 +248,78 @@ def graph_view(nodes: Mapping[str, DataFrame], links: Mapping[str, DataFrame]) -
         e = part if e is None else e.unionByName(part)
     n = n.dropDuplicates(["node"])
     return n, prune_edges(n, e, "node", "source", "target")
+
+
+def residents(persons: DataFrame, name: str, residence: str, k: int, nowhere: Sequence[str] = ()) -> DataFrame:
+    """residence, n, rank, name: how many persons live in each place, and the first k of them by name, as rows.  Null, empty and `nowhere` are no places."""
+    known = persons.select(F.col(residence).alias("residence"), F.col(name).alias("name")).filter(F.col("residence").isNotNull() & ~F.col("residence").isin("", *nowhere))
+    n = known.groupBy("residence").agg(F.count("*").alias("n"))
+    return top_n(known, ["residence"], [F.col("name")], k).join(n, "residence").select("residence", "n", "rank", "name")
+
+
+def _key(kind: str, c: Column | str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+
+
+def abode_view(persons: DataFrame, places: DataFrame, families: DataFrame, nowhere: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Families, places and residents as nodes (node, kind, residents) and links (source, target, kind).
+
+    persons are (name, residence, family), places (name, belongs), families (name, seat).  A residence that is no known place becomes one of kind 'unlisted'.  A place
+    belongs to a place or family of the first name in `belongs` (parted by /), a family has its seats in the places named in `seat` (parted by commas).
+    """
+    home = persons.filter(F.col("residence").isNotNull() & ~F.col("residence").isin("", *nowhere)).select("name", "residence", "family")
+    count = home.groupBy("residence").agg(F.count("*").alias("residents"))
+    known = places.select("name").join(count, F.col("name") == F.col("residence"), "left").select(_key("L", "name").alias("node"), F.lit("place").alias("kind"), F.coalesce("residents", F.lit(0)).alias("residents"))
+    other = count.join(places.select(F.col("name").alias("residence")), "residence", "left_anti").select(_key("L", "residence").alias("node"), F.lit("unlisted").alias("kind"), "residents")
+    rest = families.select(_key("F", "name").alias("node"), F.lit("family").alias("kind")).unionByName(home.select(_key("P", "name").alias("node"), F.lit("resident").alias("kind"))).withColumn("residents", F.lit(0).cast("long"))
+    nodes = known.unionByName(other).unionByName(rest).dropDuplicates(["node"])
+    owner = F.trim(F.split("belongs", "/")[0])
+    belongs = places.filter(F.coalesce(F.col("belongs"), F.lit("")) != "").select("name", owner.alias("owner"))
+    in_place = belongs.join(places.select(F.col("name").alias("owner")).distinct(), "owner").select(_key("L", "name").alias("source"), _key("L", "owner").alias("target"))
+    in_family = belongs.join(places.select(F.col("name").alias("owner")), "owner", "left_anti").join(families.select(F.col("name").alias("owner")).distinct(), "owner").select(_key("L", "name").alias("source"), _key("F", "owner").alias("target"))
+    seat = families.select("name", F.explode(F.split("seat", "[,，、]")).alias("s")).withColumn("s", F.regexp_replace(F.trim("s"), "^[（()）]+|[（()）]+$", ""))
+    seats = seat.join(places.select(F.col("name").alias("s")).distinct(), "s").select(_key("F", "name").alias("source"), _key("L", "s").alias("target"))
+    lives = home.select(_key("P", "name").alias("source"), _key("L", "residence").alias("target"))
+    kin = home.join(families.select(F.col("name").alias("family")).distinct(), "family").select(_key("P", "name").alias("source"), _key("F", "family").alias("target"))
+    return nodes, _tagged({"belongs": in_place.unionByName(in_family), "seat": seats, "lives": lives, "family": kin})
+
+
+def fate_view(persons: DataFrame, poems: DataFrame, genres: Sequence[str], until: int, clues: DataFrame, clue_keys: DataFrame, plan: DataFrame, landed: DataFrame, head: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """Persons with a fate, poems about them, lost clues, planned and written chapters as nodes (node, kind) and links (source, target, kind).
+
+    persons are (name, registry, fate), poems (id, genre, chapter, title, text), clues (id, clue, meaning), clue_keys (id, term), plan (chapter, title, brief) and
+    landed (chapter, text).  A poem of one of `genres` up to chapter `until` links to the persons it names; a clue to the persons it names, to the planned chapters whose title
+    or brief holds one of its terms, and to the written chapters that hold one in their first `head` characters.
+    """
+    fated = persons.filter((~F.coalesce("registry", F.lit("")).isin("", "—")) | (~F.coalesce("fate", F.lit("")).isin("", "—"))).select("name")
+    verses = poems.filter(F.col("genre").isin(list(genres)) & (F.col("chapter") <= until))
+    named = term_hits(verses.select("id", F.concat_ws("\n", "title", "text").alias("text")), persons.select("name"), term="name", keep=["id"])
+    said = term_hits(clues.select("id", F.concat_ws("\n", "clue", "meaning").alias("text")), persons.select("name"), term="name", keep=["id"])
+    planned = term_hits(plan.select("chapter", F.concat("title", "brief").alias("text")), clue_keys, keep=["chapter"])
+    written = term_hits(landed.select("chapter", F.substring("text", 1, head).alias("text")), clue_keys, keep=["chapter"])
+    link = lambda df, a, ka, b, kb: df.select(_key(ka, a).alias("source"), _key(kb, b).alias("target"))
+    links = {"poem": link(named, "id", "J", "name", "P"), "about": link(said, "id", "K", "name", "P"), "planned": link(planned, "id", "K", "chapter", "C"), "landed": link(written, "id", "K", "chapter", "W")}
+    nodes = {"person": fated.select(_key("P", "name").alias("node")), "poem": verses.select(_key("J", "id").alias("node")), "clue": clues.select(_key("K", "id").alias("node")), "plan": plan.select(_key("C", "chapter").alias("node")), "written": landed.select(_key("W", "chapter").alias("node"))}
+    return graph_view(nodes, {k: v.distinct() for k, v in links.items()})
+
+
+def timeline_view(chapters: DataFrame, key_events: DataFrame, persons: DataFrame, block: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """Chapters in order, key events and their actors as nodes and links: 'next' to the following chapter there is, 'in' from an event to its chapter, 'actor'
+    to each known person.  chapters are (chapter), key_events (name, chapter, actors), persons (name).  Chapters are
+    put in order block by block; only one row of each block is ordered as a whole."""
+    one = chapters.select("chapter").distinct().withColumn("__b", F.floor(F.col("chapter") / block))
+    step = one.withColumn("next", F.lead("chapter").over(Window.partitionBy("__b").orderBy("chapter")))
+    ahead = one.groupBy("__b").agg(F.min("chapter").alias("__first")).select("__b", F.lead("__first").over(Window.orderBy("__b")).alias("__first"))  # a row for each block
+    order = step.join(ahead, "__b").select("chapter", F.coalesce("next", "__first").alias("next")).filter("next is not null")
+    nodes = {"chapter": chapters.select(_key("C", "chapter").alias("node")).distinct(), "event": key_events.select(_key("E", "name").alias("node")), "person": persons.select(_key("P", "name").alias("node"))}
+    acts = key_events.select("name", F.explode("actors").alias("who"))
+    links = {"next": order.select(_key("C", "chapter").alias("source"), _key("C", "next").alias("target")), "in": key_events.select(_key("E", "name").alias("source"), _key("C", "chapter").alias("target")), "actor": acts.select(_key("E", "name").alias("source"), _key("P", "who").alias("target")).distinct()}
+    return graph_view(nodes, links)
+
+
+def _tagged(links: Mapping[str, DataFrame]) -> DataFrame:
+    out = None
+    for kind, df in links.items():
+        part = df.select("source", "target", F.lit(kind).alias("kind"))
+        out = part if out is None else out.unionByName(part)
+    return out

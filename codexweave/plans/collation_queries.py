@@ -241,7 +241,11 @@ def worn(spark, sf_dir):
     return ledgers.wear_scenes(src.blocks(chapters(spark, sf_dir)), ["stream", "chapter", "seq"], ["was", "ist", "est"], ["thing", "keit", "tion"], ["on", "en"], ".,!?", people, "to")
 
 
-@query("wear_scenes")
+@query("wear_scenes", f"""WITH {CH}, {BL}, people(name, term) AS (VALUES ('A', 'Der'), ('B', 'The'), ('C', 'La'), ('D', 'and')), q AS (SELECT stream, chapter, seq, text, string_split_regex(text, '[.,!?]') AS cs FROM blocks), c AS (SELECT stream, chapter, seq, text, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS clause FROM q),
+    w AS (SELECT *, regexp_extract(c, '(thing|keit|tion)', 1) AS garment, instr(c, regexp_extract(c, '(was|ist|est)', 1)) AS v, instr(c, 'to') AS h FROM c WHERE regexp_matches(c, 'was|ist|est') AND regexp_matches(c, 'thing|keit|tion')),
+    k AS (SELECT *, coalesce(nullif(regexp_extract(c, '(on|en)', 1), ''), nullif(regexp_extract(right(split_part(text, garment, 1), 10), '(on|en)', 1), '')) AS colour FROM w), j AS (SELECT k.*, name, instr(c, term) AS n FROM k LEFT JOIN people ON contains(c, term)),
+    g AS (SELECT stream, chapter, seq, clause, garment, colour, min_by(name, n) FILTER (h > 0 AND n > h) AS r, max_by(name, n) FILTER (n < v) AS s, min_by(name, abs(n - v) * 1000 + ascii(name)) FILTER (n IS NOT NULL) AS x FROM j GROUP BY ALL)
+    SELECT stream, chapter, seq, CAST(clause AS INTEGER) AS clause, garment, colour, coalesce(r, s, x) AS person, CASE WHEN r IS NOT NULL THEN 'receiver' WHEN s IS NOT NULL THEN 'subject' WHEN x IS NOT NULL THEN 'nearest' ELSE 'none' END AS how FROM g""")
 def wear_scenes(spark, sf_dir):
     return worn(spark, sf_dir)
 

@@ -200,3 +200,66 @@ def households_tree(spark, sf_dir):
 def unit_members(spark, sf_dir):
     edges, people, units, claims = crowd(spark, sf_dir)
     return graph.unit_members(units, claims, graph.households_tree(claims, units), people, edges, "m")
+
+
+def read(spark, sf_dir, table):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def abodes(spark, sf_dir):
+    c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    persons = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 9 == 0, "—").when(F.col("c_custkey") % 10 == 0, "afloat").otherwise(F.col("n_name")).alias("residence"), F.col("c_mktsegment").alias("family"))
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.concat(F.col("r_name"), F.lit(" / x")).alias("belongs")).unionByName(r.select(F.col("r_name").alias("name"), F.lit("").alias("belongs")))
+    families = c.groupBy(F.col("c_mktsegment").alias("name")).agg(F.lit("（ASIA）,EUROPE, none").alias("seat"))
+    return graph.abode_view(persons, places, families, ["—"])
+
+
+ABODE_SQL = """h AS (SELECT c_name AS name, CASE WHEN c_custkey % 10 = 0 THEN 'afloat' ELSE n_name END AS residence, c_mktsegment AS family FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 9 <> 0), pl AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region), n AS (SELECT residence, count(*) AS k FROM h GROUP BY residence)"""
+
+
+@query("abode_nodes", f"WITH {ABODE_SQL} SELECT 'L:' || name AS node, 'place' AS kind, coalesce(k, 0) AS residents FROM pl LEFT JOIN n ON residence = name UNION ALL SELECT 'L:' || residence, 'unlisted', k FROM n WHERE residence NOT IN (SELECT name FROM pl) UNION ALL SELECT DISTINCT 'F:' || c_mktsegment, 'family', 0 FROM customer UNION ALL SELECT 'P:' || name, 'resident', 0 FROM h")
+def abode_nodes(spark, sf_dir):
+    return abodes(spark, sf_dir)[0]
+
+
+@query("abode_links", f"""WITH {ABODE_SQL} SELECT 'L:' || n_name AS source, 'L:' || r_name AS target, 'belongs' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'F:' || f, 'L:' || r_name, 'seat' FROM (SELECT DISTINCT c_mktsegment AS f FROM customer), region WHERE r_name IN ('ASIA', 'EUROPE')
+    UNION ALL SELECT 'P:' || name, 'L:' || residence, 'lives' FROM h UNION ALL SELECT 'P:' || name, 'F:' || family, 'family' FROM h""")
+def abode_links(spark, sf_dir):
+    return abodes(spark, sf_dir)[1]
+
+
+CLUES = [("k1", "the storm", "Der thinks", "zuver"), ("k1", "the storm", "Der thinks", "thwh"), ("k2", "und", "", "nicht"), ("k3", "nobody", "", "quxz")]
+
+
+def fates(spark, sf_dir):
+    persons = spark.createDataFrame([("the", "first", ""), ("Der", "—", "gone"), ("und", "", None), ("La", None, "well")], "name string, registry string, fate string")
+    docs, talk = read(spark, sf_dir, "documents"), read(spark, sf_dir, "conversations")
+    poems = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("genre"), (F.col("doc_id") % 100).alias("chapter"), F.substring("text", 1, 12).alias("title"), "text")
+    clues = spark.createDataFrame(sorted({c[:3] for c in CLUES}), "id string, clue string, meaning string")
+    keys = spark.createDataFrame([(c[0], c[3]) for c in CLUES], "id string, term string")
+    plan = talk.select((F.col("conv_id") * 10 + F.col("turn")).alias("chapter"), F.col("role").alias("title"), F.col("text").alias("brief"))
+    return graph.fate_view(persons, poems, ["de", "fr"], 80, clues, keys, plan, docs.select(F.col("doc_id").alias("chapter"), "text"))
+
+
+@query("fate_links", f"""WITH p(name, fated) AS (VALUES ('the', TRUE), ('Der', TRUE), ('und', FALSE), ('La', TRUE)), c(id, clue, meaning, term) AS (VALUES {", ".join(map(repr, CLUES))}),
+    l AS (SELECT 'J:' || doc_id AS source, 'P:' || name AS target, 'poem' AS kind FROM documents JOIN p ON contains(substring(text, 1, 12) || chr(10) || text, name) WHERE lang IN ('de', 'fr') AND doc_id % 100 <= 80 AND fated
+    UNION SELECT 'K:' || id, 'P:' || name, 'about' FROM c JOIN p ON contains(clue || chr(10) || meaning, name) WHERE fated UNION SELECT 'K:' || id, 'C:' || (conv_id * 10 + turn), 'planned' FROM c JOIN conversations ON contains(role || text, term)
+    UNION SELECT 'K:' || id, 'W:' || doc_id, 'landed' FROM c JOIN documents ON contains(substring(text, 1, 4000), term)) SELECT * FROM l""")
+def fate_links(spark, sf_dir):
+    """Poems, clues, planned and written chapters linked to persons with a fate."""
+    return fates(spark, sf_dir)[1]
+
+
+@query("timeline_links", """WITH c AS (SELECT DISTINCT doc_id AS chapter FROM documents WHERE text <> ''), e AS (SELECT item_id AS name, item_id * 7 AS chapter FROM benchmark), p AS (SELECT DISTINCT source AS name FROM documents)
+    SELECT 'C:' || chapter AS source, 'C:' || lead(chapter) OVER (ORDER BY chapter) AS target, 'next' AS kind FROM c QUALIFY lead(chapter) OVER (ORDER BY chapter) IS NOT NULL UNION ALL SELECT 'E:' || name, 'C:' || chapter, 'in' FROM e SEMI JOIN c USING (chapter)
+    UNION ALL SELECT DISTINCT 'E:' || e.name, 'P:' || p.name, 'actor' FROM e JOIN p ON p.name IN ('src' || e.name, 'src' || (e.name + 1))""")
+def timeline_links(spark, sf_dir):
+    docs, bench = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    events = bench.select(F.col("item_id").alias("name"), (F.col("item_id") * 7).alias("chapter"), F.array(F.concat(F.lit("src"), F.col("item_id").cast("string")), F.concat(F.lit("src"), (F.col("item_id") + 1).cast("string"))).alias("actors"))
+    return graph.timeline_view(docs.filter("text <> ''").select(F.col("doc_id").alias("chapter")), events, docs.select(F.col("source").alias("name")).distinct())[1]
+
+
+@query("residents_listed", "WITH h AS (SELECT n_name AS residence, c_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey), r AS (SELECT residence, count(*) OVER (PARTITION BY residence) AS n, CAST(row_number() OVER (PARTITION BY residence ORDER BY name) AS INTEGER) AS rank, name FROM h) SELECT * FROM r WHERE rank <= 10")
+def residents_listed(spark, sf_dir):
+    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    return graph.residents(c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")), "c_name", "n_name", 10)
