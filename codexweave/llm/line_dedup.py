@@ -99,7 +99,7 @@ class _Run:
 
     def __init__(self, key: tuple[int, int] | None, at_edge: bool):
         self.key, self.at_edge, self.n = key, at_edge, 0
-        self.held: list[pa.RecordBatch] = []  # rows that wait for the count; fewer documents than min_docs
+        self.held: list[tuple[pa.RecordBatch, np.ndarray]] = []  # rows that wait for the count, of fewer documents than min_docs, and which are of the first
         self.last: tuple | None = None  # id and th of the latest row
 
 
@@ -129,8 +129,8 @@ def _streaming(min_docs: int, keep_first: bool, names: list[str]):
             if unsure:
                 yield edge(run, template)
             if run.held and unsure and run.n < min_docs:
-                for i, b in enumerate(run.held):
-                    yield rows(_OPEN, b, np.arange(b.num_rows) == 0 if i == 0 else False)
+                for b, leads in run.held:
+                    yield rows(_OPEN, b, leads)
 
         for batch in batches:
             if not batch.num_rows:
@@ -158,24 +158,19 @@ def _streaming(min_docs: int, keep_first: bool, names: list[str]):
                 fresh = new_doc[lo:hi].copy()
                 if run.last is not None and run.last == (ids[lo].as_py(), int(th[lo])):
                     fresh[0] = False
-                had = run.n
+                # The first document of a run keeps its first line (keep_first), unless ranges before this one have rows of the key.
+                run.held.append((batch.slice(lo, hi - lo), run.n + np.cumsum(fresh) == 1))
                 run.n += int(fresh.sum())
                 run.last = (ids[hi - 1].as_py(), int(th[hi - 1]))
-                own = batch.slice(lo, hi - lo)
                 if run.n < min_docs:
-                    run.held.append(own)
                     continue
-                # the first row of a run keeps its first line (keep_first), unless ranges before this one have rows of the key
-                head = np.zeros(hi - lo, bool)
-                head[0] = had == 0 and not run.held
-                waiting = [(b, np.arange(b.num_rows) == 0 if i == 0 else np.zeros(b.num_rows, bool)) for i, b in enumerate(run.held)] + [(own, head)]
-                run.held = []
+                waiting, run.held = run.held, []
                 for b, leads in waiting:
-                    if keep_first and run.at_edge and leads.any():
-                        yield rows(_OPEN, b.slice(0, 1), True)
-                        b, leads = b.slice(1), leads[1:]
-                    if b.num_rows:
-                        yield rows(_DROP, b, leads)
+                    k = int(leads.sum()) if keep_first and run.at_edge else 0
+                    if k:
+                        yield rows(_OPEN, b.slice(0, k), True)
+                    if k < b.num_rows:
+                        yield rows(_DROP, b.slice(k), leads[k:])
         if run is not None:
             yield from close(True)
 

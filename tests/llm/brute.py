@@ -185,3 +185,19 @@ def merkle(rows, fanout=16):
                 h = HEX(left + h + right)
             out[r[0], g] = (leaf(r), trees[g][-1][0], upper[-1][0], HEX("".join(a + b for a, b in path)), h, h == upper[-1][0])
     return out
+
+
+def language(text, content, block=1024, level=6):
+    """content: language -> dictionary bytes, the most frequent language first -> (language, score)."""
+    import zstandard as zstd
+
+    if text is None or not any(c.isalpha() for c in text) or not content:
+        return "und", 0.0
+    raw, sizes = text.lower().encode(), []
+    for place, (lang, data) in enumerate(content.items()):
+        d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        c = zstd.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append((sum(len(c.compress(raw[i : i + block])) for i in range(0, len(raw), block)), place, lang))
+    first, *rest = sorted(sizes)
+    return first[2], (rest[0][0] - first[0]) / rest[0][0] if rest else 1.0

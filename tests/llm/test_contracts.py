@@ -220,3 +220,12 @@ def test_every_sampled_document_has_its_share_of_the_dictionary(spark, letters):
 @pytest.mark.parametrize("kept,text", [(True, "Ein Haus am See steht dort und ist alt, aber schön; der Hund läuft um das Haus und sucht seinen Ball im hohen Gras. " + " ".join(f"und {w}" for w in dir(str))), (False, " ".join(f"code{i}x{i * 7}" for i in range(300))), (True, "сегодня мы идём в лес и там мы видим дом и реку, и поле, и сад; " + " ".join(f"слово{'абвгдежзик'[i % 10]}{i} и" for i in range(120)))])
 def test_prose_of_any_language_is_kept(spark, kept, text):
     assert quality_rules.assess(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["kept"] is kept
+
+
+def test_languages_match_the_plain_version(spark, docs):
+    sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    content = language_id.train(sf)
+    some = docs.select("doc_id", "text").unionByName(sf.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    got = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9), r["rejected"]) for r in language_id.identify(some, content).collect())
+    plain = [(r["doc_id"], *brute.language(r["text"], content)) for r in some.collect()]
+    assert got == sorted((i, lang, round(score, 9), lang == "und" or score < 0.005) for i, lang, score in plain)

@@ -1,8 +1,8 @@
 import brute
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from codexweave.llm import bpe
 from codexweave.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -28,8 +28,10 @@ def test_stages_in_order_with_the_columns_of_documents(spark):
             assert all(sum(brute.secrets(before[i]["text"])[:3]) for i in changed)
         docs = out
     final = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    e = bpe.encoder(tokenizer_path("word_bpe_49k.json"))
-    assert {r["doc_id"]: r["ids"] for r in final} == {i: e.encode(r["text"]) for i, r in after.items()}
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    ids = {i: library.encode(r["text"], add_special_tokens=False).ids for i, r in after.items()}
+    assert {r["doc_id"]: r["ids"] for r in final} == ids
+    assert {r["doc_id"]: r["decoded_sha256"] for r in final} == {i: brute.HEX(library.decode(x, skip_special_tokens=False)) for i, x in ids.items()}
 
 
 def test_stages_take_odd_rows(spark, docs, empty):

@@ -14,6 +14,11 @@ from codexweave.llm.queries import LOWER, QUERIES, UPPER
 DOCS = "doc_id long, text string"
 
 
+def clash(df, *names):
+    """df with columns more, whatever their names."""
+    return df.select("*", *[F.lit("no").alias(f"more{i}") for i in range(len(names))]).toDF(*df.columns, *names)
+
+
 def pairs(docs):
     return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
 
@@ -39,7 +44,7 @@ def test_search_ties_copies_null_ids_and_odd_columns(spark):
     rng = random.Random(2)
     base = prose(rng, 30)
     rows = [(i * 37 % 501, base) for i in range(400)] + [(None, base), (7, base + " and more words"), (900, base.upper()), (901, "other words here")]
-    d = spark.createDataFrame(rows, DOCS).withColumns({"__k": F.lit(1), "n": F.lit("x"), "Text": F.lit("no")}).repartition(5)
+    d = clash(spark.createDataFrame(rows, DOCS), "__k", "n", "Text", "terms").repartition(5)
     q = spark.createDataFrame([("a", base, 1), ("b", base.split()[0], 2), ("a", base, 1)], "item_id string, text string, score int")
     assert ranked(lexical_search.search(d, q)) == sorted(brute.ranked_search(rows, [("a", base), ("b", base.split()[0])]), key=repr)
 
@@ -59,8 +64,12 @@ def test_shared_nodes_give_the_sums_of_their_terms(seed):
     starts = np.append(0, np.cumsum([len(s) for s in sets]))
     plan = lexical_search.share(np.concatenate(sets), starts, n_terms)
     assert len(plan.nodes) < 0.7 * starts[-1]  # items share work
-    used = np.bincount(np.concatenate([plan.nodes, plan.left, plan.right]), minlength=n_terms + len(plan.left))
-    assert (used[n_terms:] > 1).all()  # every node serves at least two items or nodes
+    item_of = np.repeat(np.arange(n_items), np.diff(np.append(plan.starts, len(plan.nodes))))
+    serves = [set(item_of[plan.nodes == k]) for k in range(n_terms + len(plan.left))]
+    for k in reversed(range(len(plan.left))):  # a node serves the items of the nodes made of it
+        for part in (plan.left[k], plan.right[k]):
+            serves[part] |= serves[n_terms + k]
+    assert all(len(s) > 1 for s in serves[n_terms:])
     term, doc = np.nonzero(rng.random((n_terms, 17)) < 0.3)
     value = rng.integers(1, 1000, len(term))
     dense = np.zeros((n_terms, 17), np.int64)
@@ -74,7 +83,7 @@ def test_long_documents_are_scaled_without_overflow():
     assert lexical_search.scale(n, 10**11, 10**14).tolist() == [10 + 90 * int(k) * 10**11 // 10**14 for k in n]
 
 
-def lined(rng, n_docs, common):
+def lined(rng, n_docs, common, distinct):
     rows = []
     for i in range(n_docs):
         lines = [prose(rng, 3) for _ in range(rng.randint(0, 4))] + [rng.choice(["", " \t"])]
@@ -84,15 +93,15 @@ def lined(rng, n_docs, common):
                 if rng.random() < 0.2:
                     lines.append(line)
         rng.shuffle(lines)
-        rows.append((rng.choice([i, i, i, -i, 5, None]), "\n".join(lines)))
-    return rows + rows[:15] + [(1, None), (2, ""), (3, "\n\n"), (4, "x" * 50000 + "\n" + " " * 50000)]
+        rows.append((i if distinct else rng.choice([i, i, i, -i, 5, None]), "\n".join(lines)))
+    return rows + rows[:15] + [(1001, None), (1002, ""), (1003, "\n\n"), (1004, "x" * 50000 + "\n" + " " * 50000)]
 
 
 @pytest.mark.parametrize("min_docs, min_chars, keep_first, parts", [(10, 1, False, 4), (10, 1, False, 37), (2, 3, False, 5), (1, 1, True, 4), (10, 1, True, 37), (3, 1, True, 11)])
 def test_lines_match_the_plain_version(spark, min_docs, min_chars, keep_first, parts):
     rng = random.Random(min_docs * 100 + parts)
-    rows = lined(rng, 300, [("one licence line", 0.9), ("zweite Zeile", 0.4), ("é É", 0.1), ("rare", 0.03), ("b", 0.03)])
-    d = spark.createDataFrame(rows, DOCS).withColumns({"keep": F.lit(1), "th": F.lit("x"), "TEXT": F.lit("no"), "lines": F.lit(2)}).repartition(3)
+    rows = lined(rng, 300, [("one licence line", 0.9), ("zweite Zeile", 0.4), ("é É", 0.1), ("rare", 0.03), ("b", 0.03)], keep_first)  # of documents with one id the first is that of the least hash
+    d = clash(spark.createDataFrame(rows, DOCS), "keep", "th", "TEXT", "lines").repartition(3)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))  # one line's documents then fill many ranges
     try:
@@ -133,7 +142,7 @@ def checked(d, fanout=16):
 @pytest.mark.parametrize("n, fanout", [(1, 16), (40, 2), (700, 16), (300, 3)])
 def test_manifest_matches_the_plain_version(spark, n, fanout):
     rows = fields(random.Random(n), n)
-    d = spark.createDataFrame(rows, SCHEMA).withColumns({"grp": F.lit(1), "h": F.lit("x"), "pos": F.lit(2), "TEXT": F.lit("no"), "path": F.lit(0)}).repartition(5)
+    d = clash(spark.createDataFrame(rows, SCHEMA), "grp", "h", "pos", "TEXT", "path").repartition(5)
     made, out = checked(d, fanout)
     want = brute.merkle(rows, fanout)
     got = {(r["id"], r["leaf"]): tuple(r)[2:] for r in out.collect()}
