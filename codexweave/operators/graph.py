@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import classify
 from .facts import prune_edges, term_hits
 from .ordered import top_n
-from .store import checkpoint, spread_join
+from .store import checkpoint, hot_keys, spread_join
 
 
 def degree(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -46,13 +46,14 @@ def households(links: DataFrame, a: str, b: str) -> DataFrame:
     first = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("unit"), F.count("*").alias("n"))
     labels = checkpoint(first)
     ends = labels.agg(F.sum("n")).first()[0] or 0
-    degrees = labels.select(F.col("node").alias("y"), "n")
+    hubs = hot_keys(labels.select(F.col("node").alias("y"), "n"), "y", ends)
     labels = labels.select("node", "unit")
     while True:
-        near = spread_join(both, labels.select(F.col("node").alias("y"), "unit"), "y", ends, degrees).groupBy(F.col("x").alias("node")).agg(F.min("unit").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("unit").alias("old"), F.least("unit", "near").alias("unit"))
+        near = spread_join(both, labels.select(F.col("node").alias("y"), "unit"), "y", hubs).groupBy(F.col("x").alias("node")).agg(F.min("unit").alias("near"))
+        spread = checkpoint(labels.join(near, "node").select("node", F.col("unit").alias("old"), F.least("unit", "near").alias("unit")))
         jump = labels.select(F.col("node").alias("unit"), F.col("unit").alias("next"))
-        new = checkpoint(spread_join(spread, jump, "unit", ends).select("node", "old", F.least("unit", "next").alias("unit")))
+        large = hot_keys(spread.groupBy("unit").agg(F.count("*").alias("n")), "unit", ends)
+        new = checkpoint(spread_join(spread, jump, "unit", large).select("node", "old", F.least("unit", "next").alias("unit")))
         if new.filter("unit <> old").isEmpty():
             return new.select("node", "unit")
         labels = new.select("node", "unit")

@@ -21,19 +21,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, counts: DataFrame | None = None, rows_per_key: int = ROWS_PER_KEY) -> DataFrame:
-    """left joined with right on `key`, where one key may hold most of left's rows and few of right's.
-
-    `rows` is left's number of rows or a bound of it, `counts` (key, n) the rows of each key, if known.  There are HOT_KEYS hot keys at most, which are broadcast.
-    """
+def hot_keys(counts: DataFrame, key: str, rows: int, rows_per_key: int = ROWS_PER_KEY) -> DataFrame | None:
+    """The keys of `counts` (key, n) that are dealt to several tasks, and how many; None if there are none.  There are HOT_KEYS at most."""
     limit = max(rows_per_key, rows // HOT_KEYS)
     if rows <= limit:
+        return None
+    found = counts.filter(F.col("n") > limit).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+    few = found.limit(2 * HOT_KEYS).collect()
+    return F.broadcast(counts.sparkSession.createDataFrame(few, found.schema)) if few else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """left joined with right on `key`, where one key may hold most of left's rows and few of right's: rows of the keys in `hot` are dealt to several tasks."""
+    if hot is None:
         return left.join(right, key)
-    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    hot = checkpoint(counts.filter(F.col("n") > limit).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
-    if hot.isEmpty():
-        return left.join(right, key)
-    hot = F.broadcast(hot)
     parts = F.coalesce("__parts", F.lit(1))
     dealt = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__deal", F.pmod(F.xxhash64(*left.columns), parts).cast("int"))
     copied = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), parts - 1)))

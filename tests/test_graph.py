@@ -67,12 +67,11 @@ def test_hubs_are_dealt_and_give_the_same_units(spark, monkeypatch):
     df = spark.createDataFrame(links, "a int, b int")
     want = sorted(map(tuple, graph.households(df, "a", "b").collect()))
     assert {u for n, u in want if n < 1000} == {0} and {u for n, u in want if n >= 1000} == {1000}
-    monkeypatch.setattr(store.spread_join, "__defaults__", (None, 50))
-    monkeypatch.setattr(store, "HOT_KEYS", 100)
+    monkeypatch.setattr(store.hot_keys, "__defaults__", (50,))
     assert sorted(map(tuple, graph.households(df, "a", "b").collect())) == want
     left = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
     right = spark.createDataFrame([(0, "x"), (0, "y"), (2, "z")], "k long, v string")
-    assert sorted(map(tuple, store.spread_join(left, right, "k", 500).collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, store.spread_join(left, right, "k", store.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k", 500)).collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
 def test_subtrees_of_deep_chains_and_circles(spark):
