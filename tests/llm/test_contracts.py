@@ -208,13 +208,15 @@ def test_numbers_and_signs_are_no_letters(spark):
     assert got[3] == got[4] == "und" and got[5] != "und"
 
 
-@pytest.mark.parametrize("letters", ["abc", "абв", "漢字語", "\U00020000\U00020001"])
-def test_every_sampled_document_has_its_share_of_the_dictionary(spark, letters):
-    rows = [(i, f"{i:04d}" + "".join(letters[(i + k) % len(letters)] for k in range(20 + i * 9)), "x") for i in range(256)]
+@pytest.mark.parametrize("first", [0x4E00, 0x20000])
+def test_every_sampled_document_has_its_share_of_the_dictionary(spark, first):
+    """Documents of a letter each, in scripts of three and four bytes a letter."""
+    rows = [(i, chr(first + i) * (20 + i * 9), "x") for i in range(256)]
     content = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["x"]
-    parts = content.decode().split("\n")
-    assert len(content) <= 1 << 17 and sum(p[:4].isdigit() for p in parts if p) >= 40  # short ones begin with their number
-    assert len(content) > 0.9 * sum(min(511, len(t.encode())) for _, t, _ in rows)
+    got = {c: content.decode().count(c) for c in {t[0] for _, t, _ in rows}}
+    size = len(chr(first).encode())
+    assert len(content) <= 1 << 17 and all(got[t[0]] >= min(len(t), 480 // size) for _, t, _ in rows)
+
 
 
 @pytest.mark.parametrize("kept,text", [(True, "Ein Haus am See steht dort und ist alt, aber schön; der Hund läuft um das Haus und sucht seinen Ball im hohen Gras. " + " ".join(f"und {w}" for w in dir(str))), (False, " ".join(f"code{i}x{i * 7}" for i in range(300))), (True, "сегодня мы идём в лес и там мы видим дом и реку, и поле, и сад; " + " ".join(f"слово{'абвгдежзик'[i % 10]}{i} и" for i in range(120)))])
