@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -194,47 +195,63 @@ class Window:
     def __init__(self) -> None:
         self.n = self.chars = self.images = self.hits = self.main = self.evens = self.rhyming = 0
         self.xu = 0.0
-        self.sizes: dict[int, int] = {}
+        self.sizes: dict[int, int] = {}  # in order of the first clause of each
         self.classes: dict[str, int] = {}
 
     def add(self, c: Clause) -> None:
         if self.n % 2 and c.rhyme:
-            self.classes[c.rhyme] = self.classes.get(c.rhyme, 0) + 1
+            k = self.classes[c.rhyme] = self.classes.get(c.rhyme, 0) + 1
             self.evens += 1
-            self.rhyming = max(self.rhyming, self.classes[c.rhyme])
+            if k > self.rhyming:
+                self.rhyming = k
         self.n += 1
-        self.chars += c.size
+        size = c.size
+        self.chars += size
         self.images += c.images
-        self.xu += c.xu * c.size
-        self.sizes[c.size] = self.sizes.get(c.size, 0) + 1
-        if self.sizes[c.size] >= self.hits:  # of equally frequent lengths the one met first
-            self.hits = self.sizes[c.size]
-            self.main = next(s for s, k in self.sizes.items() if k == self.hits)
+        self.xu += c.xu * size
+        k = self.sizes[size] = self.sizes.get(size, 0) + 1
+        if k > self.hits:
+            self.hits, self.main = k, size
+        elif k == self.hits and size != self.main:  # of equally frequent lengths the one met first
+            self.main = next(s for s in self.sizes if s in (size, self.main))
+
+    def rhyme(self) -> float:
+        return self.rhyming / self.evens if self.evens >= 2 else 0.0
 
     def metrics(self) -> dict[str, float]:
         chars = max(1, self.chars)
-        return {"n": self.n, "main_len": self.main, "uniform": self.hits / self.n, "xu": self.xu / chars, "imagery": self.images / chars, "rhyme": self.rhyming / self.evens if self.evens >= 2 else 0.0}
+        return {"n": self.n, "main_len": self.main, "uniform": self.hits / self.n, "xu": self.xu / chars, "imagery": self.images / chars, "rhyme": self.rhyme()}
+
+
+def _by_length(r: Rules) -> dict[int, list[Rule]]:
+    return {size: [x for x in r.rules if size in x.lengths] for x in r.rules for size in x.lengths}
 
 
-def _is_verse(m: Mapping[str, float], r: Rules, anchored: bool) -> bool:
-    return any(m["main_len"] in x.lengths and x.clauses[0] <= m["n"] <= x.clauses[1] and m["uniform"] >= x.uniform and m["xu"] <= x.most_xu and m["rhyme"] >= x.least_rhyme and m["imagery"] >= x.least_imagery and (anchored or not x.anchored) for x in r.rules)
+def _is_verse(w: Window, rules: Sequence[Rule], anchored: Callable[[], bool]) -> bool:
+    """`anchored` is only asked where all else fits."""
+    n, hits, chars = w.n, w.hits, max(1, w.chars)
+    for x in rules:
+        if x.clauses[0] <= n <= x.clauses[1] and hits >= x.uniform * n and hits / n >= x.uniform and w.xu / chars <= x.most_xu and w.images / chars >= x.least_imagery and w.rhyme() >= x.least_rhyme and (not x.anchored or anchored()):
+            return True
+    return False
 
 
 def poems_of(text: str, r: Rules) -> Iterator[tuple[int, int, list[Clause], dict[str, float]]]:
     """Start, end, clauses and metrics of the longest windows that are verse, from left to right, without prose at their edges."""
     clauses, i = clauses_of(text, r), 0
-    edge, anchor = re.compile(r.edge), re.compile(r.anchor)
+    edge, anchor, rules = re.compile(r.edge), re.compile(r.anchor), _by_length(r)
     prose = lambda c: c.xu > r.edge_xu or not r.edge_lengths[0] <= c.size <= r.edge_lengths[1] or edge.search(c.body)
+    odd = [not r.usual[0] <= c.size <= r.usual[1] or c.xu > r.prose_xu for c in clauses]
     while i < len(clauses):
         at = clauses[i].start
-        anchored = anchor.search(text[max(0, at - r.anchor_back) : at]) is not None
+        anchored = lru_cache(lambda: anchor.search(text, max(0, at - r.anchor_back), at) is not None)  # noqa: B023
         seen, best, run = Window(), None, 0
         for j in range(i, min(len(clauses), i + r.window)):
-            c = clauses[j]
-            seen.add(c)
-            if _is_verse(seen.metrics(), r, anchored):
+            seen.add(clauses[j])
+            able = rules.get(seen.main)
+            if able and _is_verse(seen, able, anchored):
                 best = j
-            run = run + 1 if not r.usual[0] <= c.size <= r.usual[1] or c.xu > r.prose_xu else 0
+            run = run + 1 if odd[j] else 0
             if run > r.prose_run:
                 break
         if best is None:
