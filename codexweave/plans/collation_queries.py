@@ -99,7 +99,10 @@ def clue_ledger(spark, sf_dir):
     return collate.clue_ledger(clues, of("src0"), of("src1"), of("src2"), "phrase", [], r"\p{L}")
 
 
-@query("prophecies")
+@query("prophecies", f"""WITH {CH}, p AS (SELECT conv_id AS id, coalesce(nullif(regexp_extract(text, '(?:^|[^\\p{{L}}\\p{{N}}_])([A-Z][a-z]{{3,6}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1), ''), role) AS person FROM conversations WHERE turn = 0), s AS (SELECT * FROM p WHERE person <> ''),
+    n AS (SELECT DISTINCT person, person AS term FROM s UNION SELECT DISTINCT person, right(person, 2) FROM s), noted AS (SELECT person, min(chapter) AS noted FROM chapters JOIN n ON contains(text, term) WHERE stream = 'src1' AND regexp_matches(text, 'with|mit|avec') GROUP BY ALL),
+    l AS (SELECT person, coalesce(min(chapter) FILTER (term = person), min(chapter)) AS fulfilled, count(DISTINCT chapter) FILTER (term = person) AS n_later FROM chapters JOIN n ON contains(text, term) WHERE stream = 'src2' GROUP BY ALL)
+    SELECT id, person, noted, fulfilled, coalesce(n_later, 0) AS n_later FROM s LEFT JOIN noted USING (person) LEFT JOIN l USING (person)""")
 def prophecies(spark, sf_dir):
     """Subjects of conversation turns, first announced and fulfilled in the sources."""
     c = chapters(spark, sf_dir)
@@ -165,7 +168,8 @@ def wiki_pages(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", wikitext_to_text("html").alias("body"))
 
 
-@query("merged_strays")
+@query("merged_strays", f"""WITH {CH}, {BL}, k AS (SELECT doc_id, seq, text, CASE WHEN length(text) <= 12 THEN 'main' ELSE 'note' END AS kind FROM blocks), j AS (SELECT *, coalesce(kind = 'main' AND NOT regexp_matches(text, '[!?]') AND lag(kind) OVER w = 'note' AND lead(kind) OVER w = 'note', FALSE) AS joins FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+    t AS (SELECT *, CASE WHEN lead(joins) OVER w THEN text || lead(text) OVER w ELSE text END AS whole FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) SELECT doc_id, seq, kind, whole AS text FROM t WHERE NOT joins""")
 def merged_strays(spark, sf_dir):
     """Lines of conversations as blocks; very short ones between notes join the note before them."""
     b = src.blocks(chapters(spark, sf_dir)).select("doc_id", "seq", F.when(F.length("text") <= 12, "main").otherwise("note").alias("kind"), "text")
@@ -210,22 +214,32 @@ def concordance_totals(spark, sf_dir):
     return ledgers.concordance_totals(hits, c, ["stream", "chapter"])
 
 
+AMOUNTS_SQL = f"""{NAMES_SQL}, c AS (SELECT doc_id, text, regexp_extract_all(text, '\\d{{2,9}}') AS ms, string_split_regex(text, '\\d{{2,9}}') AS ps FROM documents), d AS (SELECT doc_id, text, unnest(ms) AS raw, unnest(ps[:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM c),
+    s AS (SELECT doc_id, text, raw, i, CAST(sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY i) - length(raw) AS BIGINT) AS pos FROM d), p AS (SELECT doc_id, i, pos, raw, substring(text, greatest(pos - 14, 0) + 1, least(pos, 14) + length(raw) + 14) AS near, substring(text, greatest(pos - 26, 0) + 1, least(pos, 26) + length(raw) + 26) AS wide, substring(text, pos + length(raw) + 1, 4) AS rest FROM s),
+    k AS (SELECT *, CAST(raw AS DOUBLE) AS amount FROM p WHERE (regexp_matches(near, '[+@.]') OR CAST(contains(near, 'and') AS INTEGER) + CAST(contains(near, 'und') AS INTEGER) + CAST(contains(near, 'de') AS INTEGER) >= 2) AND NOT regexp_matches(rest, '^[A-Za-z]') AND CAST(raw AS DOUBLE) BETWEEN 1 AND 999999999),
+    l AS (SELECT doc_id, i, max_by(name, {{'n': length(term), 'term': term}}) AS person FROM k JOIN names ON contains(wide, term) GROUP BY ALL),
+    found AS (SELECT doc_id, pos AS "at", raw, amount, coalesce(nullif(concat_ws(',', CASE WHEN contains(wide, '.') THEN 'dotted' END, CASE WHEN regexp_matches(wide, '[+(]') THEN 'phone' END), ''), 'other') AS tags, person FROM k LEFT JOIN l USING (doc_id, i))"""
+
+
 def found_amounts(spark, sf_dir):
     return ledgers.amounts(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], r"\d{2,9}", F.col("raw").cast("double"), ["+", "@", "."], ["and", "und", "de"], r"[A-Za-z]", (0, 1e9), {"dotted": ["."], "phone": ["+", "("]}, "other", names=names(spark))
 
 
-@query("amounts")
+@query("amounts", f"WITH {AMOUNTS_SQL} SELECT * FROM found")
 def amounts(spark, sf_dir):
     """Numbers with a context word, tags and the name nearby."""
     return found_amounts(spark, sf_dir).withColumn("tags", F.concat_ws(",", "tags"))
 
 
-@query("amount_tiers")
+@query("amount_tiers", f"WITH {AMOUNTS_SQL} SELECT CASE WHEN amount < 100 THEN 'small' WHEN amount < 10000 THEN 'middle' ELSE 'large' END AS tier, count(*) AS n, round(sum(amount), 6) AS total, max(amount) AS most, max_by(raw, {{'amount': amount, 'raw': raw}}) AS sample FROM found GROUP BY tier")
 def amount_tiers(spark, sf_dir):
     return ledgers.amount_tiers(found_amounts(spark, sf_dir), [("small", 100.0), ("middle", 10000.0), ("large", 0.0)])
 
 
-@query("near_anchor")
+@query("near_anchor", """WITH a AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS ms, string_split_regex(text, '[\\p{L}\\p{N}_]+') AS ps FROM documents), b AS (SELECT doc_id, unnest(ms) AS word, unnest(ps[:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM a), w AS (SELECT doc_id, word, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS start FROM b),
+    c AS (SELECT doc_id, regexp_extract_all(text, '\\d+') AS ms, string_split_regex(text, '\\d+') AS ps FROM documents), d AS (SELECT doc_id, unnest(ms) AS raw, unnest(ps[:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM c), n AS (SELECT doc_id, raw, sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY i) - length(raw) AS pos FROM d),
+    r AS (SELECT n.doc_id, start AS anchor, n.pos, raw FROM w JOIN n ON w.doc_id = n.doc_id AND abs(n.pos - start) <= 60 WHERE word IN ('the', 'der', 'la') QUALIFY row_number() OVER (PARTITION BY n.doc_id, start ORDER BY abs(n.pos - start), n.pos) <= 3)
+    SELECT doc_id, raw, CAST(f.anchor AS INTEGER) AS anchor, CAST(f.pos AS INTEGER) AS "at" FROM (SELECT doc_id, raw, min({'anchor': anchor, 'pos': pos}) AS f FROM r GROUP BY doc_id, pos // 40, raw)""")
 def near_anchor(spark, sf_dir):
     return ledgers.near_anchor(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], r"\b(?:the|der|la)\b", r"\d+")
 
@@ -274,12 +288,14 @@ def garment_series(spark, sf_dir):
     return ledgers.garment_series(worn(spark, sf_dir), coloured(spark, sf_dir), c, ["stream", "chapter"])
 
 
-@query("garment_cast")
+@query("garment_cast", f"""WITH worn AS ({ORACLES['wear_scenes']}), coloured AS ({ORACLES['colour_facts']}), who AS (SELECT * FROM worn WHERE person IS NOT NULL), t AS (SELECT person, count(*) AS scenes FROM who GROUP BY ALL), b AS (SELECT DISTINCT stream, chapter, seq, person FROM who),
+    n AS (SELECT person, family, count(*) AS n FROM b JOIN coloured USING (stream, chapter, seq) WHERE how = 'scene' GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY person ORDER BY n DESC, family) AS INTEGER) AS rank FROM n) SELECT person, scenes, family, n, rank FROM t LEFT JOIN (SELECT * FROM r WHERE rank <= 3) USING (person)""")
 def garment_cast(spark, sf_dir):
     return ledgers.garment_cast(worn(spark, sf_dir), coloured(spark, sf_dir), ["stream", "chapter", "seq"])
 
 
-@query("garment_persons")
+@query("garment_persons", f"""WITH worn AS ({ORACLES['wear_scenes']}), w AS (SELECT person, count(*) AS scenes, count(DISTINCT garment) AS garments, count(DISTINCT colour) AS colours FROM worn WHERE person IS NOT NULL GROUP BY ALL), g AS (SELECT ['A', 'B', 'C', 'D'][user_id % 4 + 1] AS person, count(*) AS gifts FROM events GROUP BY ALL)
+    SELECT person, coalesce(scenes, 0) AS scenes, coalesce(garments, 0) AS garments, coalesce(colours, 0) AS colours, coalesce(gifts, 0) AS gifts FROM w FULL JOIN g USING (person)""")
 def garment_persons(spark, sf_dir):
     gifts = read(spark, sf_dir, "events").select(F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("user_id") % 4 + 1).cast("int")).alias("giver"))
     return ledgers.garment_persons(worn(spark, sf_dir), gifts)
@@ -438,7 +454,9 @@ def parsed_notes(spark, sf_dir):
     return gates.parse_notes(c.select("conv_id", "turn", line.alias("text")), ["conv_id", "turn"])
 
 
-@query("evidence")
+@query("evidence", f"""WITH {CH}, {NAMES_SQL}, t AS (SELECT conv_id AS topic, text FROM conversations WHERE turn = 0), h AS (SELECT DISTINCT topic, name, term FROM t JOIN names ON contains(text, term)), k AS (SELECT topic, name, max(length(term)) AS size FROM h WHERE NOT EXISTS (SELECT 1 FROM h l WHERE l.topic = h.topic AND length(l.term) > length(h.term) AND contains(l.term, h.term)) GROUP BY ALL), who AS (SELECT topic, name FROM k QUALIFY row_number() OVER (PARTITION BY topic ORDER BY size DESC, name) <= 2),
+    f AS (SELECT name, chapter, CAST(sum((length(text) - length(replace(text, term, ''))) // length(term)) AS BIGINT) AS hits FROM chapters JOIN names ON contains(text, term) GROUP BY ALL), l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY chapter DESC) <= 12)
+    SELECT topic, name, '[' || string_agg('{{"chapter":' || chapter || ',"hits":' || hits || '}}', ',' ORDER BY chapter) || ']' AS arc FROM who JOIN l USING (name) GROUP BY topic, name""")
 def evidence(spark, sf_dir):
     topics = read(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("topic"), "text")
     f = facts.mentions(chapters(spark, sf_dir), names(spark), ["stream", "chapter"])
@@ -448,31 +466,49 @@ def evidence(spark, sf_dir):
 # Scenes and events
 
 
+BOOK_SQL = f"""{CH}, {BL}, folded AS (SELECT stream, chapter, seq, 0 AS scene, length(text) AS size FROM blocks WHERE seq = 0 UNION ALL
+    SELECT b.stream, b.chapter, b.seq, f.scene + CASE WHEN regexp_matches(b.text[:6], 'The|Der|La') OR f.size >= 400 THEN 1 ELSE 0 END, length(b.text) + CASE WHEN regexp_matches(b.text[:6], 'The|Der|La') OR f.size >= 400 THEN 0 ELSE f.size END
+    FROM folded f JOIN blocks b ON b.stream = f.stream AND b.chapter = f.chapter AND b.seq = f.seq + 1),
+    scenes AS (SELECT stream, chapter, CAST(scene AS INTEGER) AS scene, CAST(count(*) OVER (PARTITION BY stream, chapter) AS INTEGER) AS n_scenes, string_agg(text, '' ORDER BY seq) AS text FROM folded JOIN blocks USING (stream, chapter, seq) GROUP BY stream, chapter, scene)"""
+PEOPLE = [("A", "The"), ("A", "the"), ("B", "Der"), ("B", "der"), ("C", "la"), ("C", "La")]
+TYPES = [(0, "speech", ["tion", "sich"]), (1, "travel", ["ing", "auf", "que"]), (2, "quarrel", ["nicht", "not"])]
+HAPPENED_SQL = f"""{BOOK_SQL}, people(name, term) AS (VALUES {", ".join(map(repr, PEOPLE))}), verbs(type_no, etype, verb) AS (VALUES {", ".join(repr((i, e, v)) for i, e, vs in TYPES for v in vs)}),
+    h AS (SELECT stream, chapter, scene, text, name, bool_or(regexp_matches(text, term || '(?:.{{0,9}}(?:er|an|en)|.{{0,7}}")')) AS acting, CAST(sum((length(text) - length(replace(text, term, ''))) // length(term)) AS BIGINT) AS n, list(term) AS terms FROM scenes JOIN people ON contains(text, term) GROUP BY ALL),
+    s AS (SELECT *, list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*[”’」』）]*'), lambda x: trim(x) <> '') AS said FROM h WHERE acting),
+    m AS (SELECT *, list_aggregate(list_filter(said, lambda x: len(list_filter(terms, lambda t: contains(x, t))) > 0), 'string_agg', '') AS mine FROM s),
+    ctx AS (SELECT stream, chapter, scene, name AS person, n, CASE WHEN contains(text, 'Keit') THEN 'Keit' WHEN contains(text, 'Oner') THEN 'Oner' WHEN contains(text, 'Thth') THEN 'Thth' ELSE '' END AS place, coalesce(nullif(mine, ''), text) AS ctx FROM m),
+    w AS (SELECT stream, chapter, scene, person, type_no, etype, verb, (length(ctx) - length(replace(ctx, verb, ''))) // length(verb) * length(verb) * length(verb) AS w FROM ctx JOIN verbs ON contains(ctx, verb)),
+    best AS (SELECT stream, chapter, scene, person, etype, array_to_string(list(verb ORDER BY w DESC, verb)[:2], '、') AS acts FROM w GROUP BY stream, chapter, scene, person, type_no, etype QUALIFY row_number() OVER (PARTITION BY stream, chapter, scene, person ORDER BY sum(w) DESC, type_no) = 1),
+    happened AS (SELECT stream, chapter, scene, person, etype, acts, n, place, CAST(regexp_matches(ctx, 'tion|keit') AS BIGINT) AS speech FROM best JOIN ctx USING (stream, chapter, scene, person))"""
+
+
 def scenes(spark, sf_dir):
     return events.split_scenes(src.blocks(chapters(spark, sf_dir)), ["stream", "chapter"], "seq", ["The", "Der", "La"], 400)
 
 
-@query("scenes")
+@query("scenes", f"WITH RECURSIVE {BOOK_SQL} SELECT stream, chapter, scene, n_scenes, CAST(length(text) AS INTEGER) AS size FROM scenes")
 def scene_table(spark, sf_dir):
     return scenes(spark, sf_dir).select("stream", "chapter", "scene", "n_scenes", F.length("text").alias("size"))
 
 
-@query("events")
+@query("events", f"WITH RECURSIVE {HAPPENED_SQL} SELECT * FROM happened")
 def event_facts(spark, sf_dir):
-    people = spark.createDataFrame([("A", "The"), ("A", "the"), ("B", "Der"), ("B", "der"), ("C", "la"), ("C", "La")], "name string, term string")
-    types = spark.createDataFrame([(0, "speech", ["tion", "sich"]), (1, "travel", ["ing", "auf", "que"]), (2, "quarrel", ["nicht", "not"])], "type_no int, etype string, verbs array<string>")
+    people = spark.createDataFrame(PEOPLE, "name string, term string")
+    types = spark.createDataFrame(TYPES, "type_no int, etype string, verbs array<string>")
     return events.events(scenes(spark, sf_dir), ["stream", "chapter", "scene"], people, types, "er|an|en", '"', ["Thth", "Oner", "Keit"], ".!?", "tion|keit")
 
 
-@query("event_places")
+@query("event_places", f"""WITH RECURSIVE {HAPPENED_SQL}, f AS (SELECT stream, chapter, scene, n_scenes, text, name AS person, min(instr(text, term)) - 1 AS first FROM scenes JOIN people ON contains(text, term) GROUP BY ALL)
+    SELECT happened.*, round(chapter + (scene + 0.5) / greatest(n_scenes, 1), 4) AS t, CASE WHEN first > 15 THEN '…' ELSE '' END || substring(text, greatest(first - 15, 0) + 1, 30) || CASE WHEN greatest(first - 15, 0) + 30 < length(text) THEN '…' ELSE '' END AS quote, stream AS src FROM happened JOIN f USING (stream, chapter, scene, person)""")
 def event_places(spark, sf_dir):
     """Events with their place in the book, a quote and the stream as source."""
-    people = spark.createDataFrame([("A", "The"), ("A", "the"), ("B", "Der"), ("B", "der"), ("C", "la"), ("C", "La")], "name string, term string")
+    people = spark.createDataFrame(PEOPLE, "name string, term string")
     keys = ["stream", "chapter", "scene"]
     return events.event_facts(event_facts(spark, sf_dir), scenes(spark, sf_dir), keys, people, "chapter", "scene", "n_scenes", F.col("stream"))
 
 
-@query("seasons")
+@query("seasons", f"""WITH {CH}, {BL}, t AS (SELECT stream, chapter, replace(text, 'whole', '〇') AS text FROM blocks), n AS (SELECT stream, chapter, sum((length(text) - length(replace(text, 'wh', ''))) // 2 + (length(text) - length(replace(text, 'zu', ''))) // 2) AS spring, sum((length(text) - length(replace(text, 'ough', ''))) // 4 + (length(text) - length(replace(text, 'que', ''))) // 3) AS autumn FROM t GROUP BY ALL),
+    r AS (SELECT stream, chapter, CASE WHEN spring = 0 AND autumn = 0 THEN NULL WHEN spring >= autumn THEN 'spring' ELSE 'autumn' END AS raw FROM n) SELECT stream, chapter, last_value(raw IGNORE NULLS) OVER (PARTITION BY stream ORDER BY chapter ROWS UNBOUNDED PRECEDING) AS season FROM r""")
 def seasons(spark, sf_dir):
     b = src.blocks(chapters(spark, sf_dir))
     raw = events.fill_season(b, ["stream", "chapter"], {"spring": ["wh", "zu"], "autumn": ["ough", "que"]}, ["whole"])
@@ -520,7 +556,9 @@ def other_routes(spark, sf_dir):
     return verse.verse_by_seed(c, ["stream", "chapter"], seeds, ".,!?\n", (6, 5)), verse.verse_by_title(c, ["stream", "chapter"], titles, ".,!?\n", 4)
 
 
-@query("verse_by_seed")
+@query("verse_by_seed", f"""WITH {CH}, s AS (SELECT CAST(item_id AS VARCHAR) AS title, substring(text, 1, 14) AS opening, CASE WHEN item_id % 2 = 0 THEN 3 END AS lines FROM benchmark), t AS (SELECT title, lines, 0 AS try, opening AS term FROM s UNION ALL SELECT title, lines, 1, substring(opening, 1, 6) FROM s WHERE length(opening) > 6 UNION ALL SELECT title, lines, 2, substring(opening, 1, 5) FROM s WHERE length(opening) > 5),
+    h AS (SELECT stream, chapter, text, title, lines, instr(text, term) - 1 AS start FROM chapters JOIN t ON contains(text, term) WHERE length(term) >= 5 QUALIFY row_number() OVER (PARTITION BY title ORDER BY try, stream, chapter) = 1), r AS (SELECT *, substring(text, start + 1) AS rest FROM h)
+    SELECT stream, chapter, title, CAST(start AS BIGINT) AS start, CAST(start + CASE WHEN lines IS NULL THEN length(split_part(rest, chr(10), 1)) ELSE length(array_to_string(regexp_extract_all(rest, '[^.,!?\\n]+[.,!?\\n]*')[:3], '')) END AS BIGINT) AS "end" FROM r""")
 def verse_by_seed(spark, sf_dir):
     return other_routes(spark, sf_dir)[0]
 
