@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,16 +177,17 @@ class Clause:
 def clauses_of(text: str, r: Rules) -> list[Clause]:
     out = []
     function, imagery, script, said = frozenset(r.function_chars), frozenset(r.imagery), re.compile(r.script), re.compile(r.said)
+    drop = re.compile(r.body)
     for m in re.finditer(f"[^{re.escape(r.cuts)}]+", text):
         named = said.match(m[0])
         raw = m[0][named.end() :] if named else m[0]
-        body = re.sub(r.body, "", raw)
+        body = drop.sub("", raw)
         if body:
             signs = script.findall(body)
-            xu = sum(c in function for c in signs) / len(signs) if signs else 1.0
+            xu = sum(map(function.__contains__, signs)) / len(signs) if signs else 1.0
             last = body[-r.ending :]
             lead = len(raw) - len(raw.lstrip())
-            out.append(Clause(m.end() - len(raw) + lead, m.start() + len(m[0].rstrip()), body, named[0].strip("：: ") if named else "", len(raw.split()) if r.unit == "word" else len(body), xu, sum(c in imagery for c in body), last if r.rhymes is None else r.rhymes.get(last, "")))
+            out.append(Clause(m.end() - len(raw) + lead, m.start() + len(m[0].rstrip()), body, named[0].strip("：: ") if named else "", len(raw.split()) if r.unit == "word" else len(body), xu, sum(map(imagery.__contains__, body)), last if r.rhymes is None else r.rhymes.get(last, "")))
     return out
 
 
@@ -223,54 +225,123 @@ class Window:
         return {"n": self.n, "main_len": self.main, "uniform": self.hits / self.n, "xu": self.xu / chars, "imagery": self.images / chars, "rhyme": self.rhyme()}
 
 
-def _by_length(r: Rules) -> dict[int, list[Rule]]:
-    return {size: [x for x in r.rules if size in x.lengths] for x in r.rules for size in x.lengths}
+def _last_ends(clauses: Sequence[Clause], ends: np.ndarray, r: Rules, anchored: Callable[[int], bool]) -> np.ndarray:
+    """For each clause the last clause at which a window that begins with it is verse, or -1; `ends` are the ends of the clauses' texts.
 
+    All windows grow together, one clause a step.  What a step needs to know of clause j and the window of the last k + 1 clauses is kept in arrays over j: `same`, how many are of its length,
+    `head`, the first of these, and `rhymes`, how many of every other clause rhyme with it.  `anchored` is only asked where all else fits.
+    """
+    n = len(clauses)
+    of = lambda values, kind: np.fromiter(values, kind, n)
+    place = np.arange(n)
+    size, images, density = of((c.size for c in clauses), np.int64), of((c.images for c in clauses), np.int64), of((c.xu for c in clauses), np.float64)
+    classes: dict[str, int] = {}
+    rhyme = of((classes.setdefault(c.rhyme, len(classes)) if c.rhyme else -1 for c in clauses), np.int64)
+    odd = (size < r.usual[0]) | (size > r.usual[1]) | (density > r.prose_xu)
+    run = place - np.maximum.accumulate(np.where(odd, -1, place))
+    breaks = np.append(np.flatnonzero(run > r.prose_run), n)
+    stop = np.minimum(np.minimum(breaks[np.searchsorted(breaks, np.minimum(place + r.prose_run, n))], ends - 1), place + r.window - 1)
+    same, head, rhymes = np.ones(n, np.int64), place.copy(), np.ones(n, np.int64)
+    best, asked = np.full(n, -1), np.full(n, -1, np.int8)
+    start = place
+    hits, main, first, chars, image, evens, rhyming = (np.zeros(n, np.int64) for _ in range(7))
+    xu, weight = np.zeros(n), density * size
+    for k in range(r.window):
+        if not len(start):
+            break
+        if k:
+            equal = size[k:] == size[:-k]
+            same[k:] += equal
+            np.copyto(head[k:], place[:-k], where=equal)
+        j = start + k
+        if k % 2:
+            if k > 2:
+                rhymes[k - 1 :] += rhyme[k - 1 :] == rhyme[: 1 - k]
+            rhymed = rhyme[j] >= 0
+            evens, rhyming = evens + rhymed, np.maximum(rhyming, np.where(rhymed, rhymes[j], 0))
+        count, long_, since = same[j], size[j], head[j]
+        more = count > hits
+        other = more | ((count == hits) & (since < first))  # of equally frequent lengths the one met first
+        hits, main, first = np.where(more, count, hits), np.where(other, long_, main), np.where(other, since, first)
+        chars, image, xu = chars + long_, image + images[j], xu + weight[j]
+        verse = np.zeros(len(start), bool)
+        for x in sorted(r.rules, key=lambda x: x.anchored):
+            if not x.clauses[0] <= k + 1 <= x.clauses[1]:
+                continue
+            size_fits = reduce(np.logical_or, [main == s for s in x.lengths])
+            fits = size_fits & (hits >= x.uniform * (k + 1)) & (hits / (k + 1) >= x.uniform) & ~verse
+            at = np.flatnonzero(fits)
+            if len(at):
+                every = np.maximum(chars[at], 1)
+                share = np.where(evens[at] >= 2, rhyming[at] / np.maximum(evens[at], 1), 0.0)
+                at = at[(xu[at] / every <= x.most_xu) & (image[at] / every >= x.least_imagery) & (share >= x.least_rhyme)]
+            if x.anchored and len(at):
+                for i in start[at][asked[start[at]] < 0].tolist():
+                    asked[i] = anchored(i)
+                at = at[asked[start[at]] == 1]
+            verse[at] = True
+        best[start[verse]] = j[verse]
+        on = j < stop[start]
+        if not on.all():
+            start, hits, main, first, chars, image, evens, rhyming, xu = (a[on] for a in (start, hits, main, first, chars, image, evens, rhyming, xu))
+    return best
+
+
+def poems_of_all(texts: Sequence[str], r: Rules) -> Iterator[tuple[int, int, int, list[Clause], dict[str, float]]]:
+    """Number of the text, start, end, clauses and metrics of the longest windows that are verse, from left to right, without prose at their edges.
+
+    Texts are judged together, GROUP clauses or one text at a time.
+    """
+    edge, anchor = re.compile(r.edge), re.compile(r.anchor)
+    prose = lambda c: c.xu > r.edge_xu or not r.edge_lengths[0] <= c.size <= r.edge_lengths[1] or edge.search(c.body)
 
-def _is_verse(w: Window, rules: Sequence[Rule], anchored: Callable[[], bool]) -> bool:
-    """`anchored` is only asked where all else fits."""
-    n, hits, chars = w.n, w.hits, max(1, w.chars)
-    for x in rules:
-        if x.clauses[0] <= n <= x.clauses[1] and hits >= x.uniform * n and hits / n >= x.uniform and w.xu / chars <= x.most_xu and w.images / chars >= x.least_imagery and w.rhyme() >= x.least_rhyme and (not x.anchored or anchored()):
-            return True
-    return False
+    def settle(held: list[tuple[int, list[Clause]]]) -> Iterator[tuple[int, int, int, list[Clause], dict[str, float]]]:
+        clauses = [c for _, some in held for c in some]
+        sizes = [len(some) for _, some in held]
+        ends, owner = np.repeat(np.cumsum(sizes), sizes), np.repeat([no for no, _ in held], sizes)
+
+        def anchored(i: int) -> bool:
+            at = clauses[i].start
+            return anchor.search(texts[owner[i]], max(0, at - r.anchor_back), at) is not None
+
+        best = _last_ends(clauses, ends, r, anchored)
+        done = 0
+        for i in np.flatnonzero(best >= 0).tolist():
+            if i < done:
+                continue
+            done = int(best[i]) + 1
+            first, last = i, done - 1
+            while first <= last and prose(clauses[first]):
+                first += 1
+            while last >= first and prose(clauses[last]):
+                last -= 1
+            kept = clauses[first : last + 1]
+            if len(kept) >= r.least_lines:
+                own = Window()
+                for c in kept:
+                    own.add(c)
+                yield int(owner[i]), kept[0].start, kept[-1].end, kept, own.metrics()
+
+    held, n = [], 0
+    for no, text in enumerate(texts):
+        some = clauses_of(text, r)
+        if some:
+            held.append((no, some))
+            n += len(some)
+        if n >= GROUP:
+            yield from settle(held)
+            held, n = [], 0
+    if held:
+        yield from settle(held)
 
 
 def poems_of(text: str, r: Rules) -> Iterator[tuple[int, int, list[Clause], dict[str, float]]]:
-    """Start, end, clauses and metrics of the longest windows that are verse, from left to right, without prose at their edges."""
-    clauses, i = clauses_of(text, r), 0
-    edge, anchor, rules = re.compile(r.edge), re.compile(r.anchor), _by_length(r)
-    prose = lambda c: c.xu > r.edge_xu or not r.edge_lengths[0] <= c.size <= r.edge_lengths[1] or edge.search(c.body)
-    odd = [not r.usual[0] <= c.size <= r.usual[1] or c.xu > r.prose_xu for c in clauses]
-    while i < len(clauses):
-        at = clauses[i].start
-        anchored = lru_cache(lambda: anchor.search(text, max(0, at - r.anchor_back), at) is not None)  # noqa: B023
-        seen, best, run = Window(), None, 0
-        for j in range(i, min(len(clauses), i + r.window)):
-            seen.add(clauses[j])
-            able = rules.get(seen.main)
-            if able and _is_verse(seen, able, anchored):
-                best = j
-            run = run + 1 if odd[j] else 0
-            if run > r.prose_run:
-                break
-        if best is None:
-            i += 1
-            continue
-        first, last = i, best
-        while first <= last and prose(clauses[first]):
-            first += 1
-        while last >= first and prose(clauses[last]):
-            last -= 1
-        kept = clauses[first : last + 1]
-        if len(kept) >= r.least_lines:
-            own = Window()
-            for c in kept:
-                own.add(c)
-            yield kept[0].start, kept[-1].end, kept, own.metrics()
-        i = best + 1
+    """Start, end, clauses and metrics of the verse of one text."""
+    return (x[1:] for x in poems_of_all([text], r))
 
 
+#: Clauses that are judged together.
+GROUP = 1 << 14
 POEM = "start long, end long, lines array<string>, speakers array<string>, n long, main_len long, uniform double, xu double, imagery double, rhyme double"
 
 
@@ -282,9 +353,9 @@ def verse_by_rules(chapters: DataFrame, keys: Sequence[str], rules: Rules = Rule
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for *k, text in batch[[*names, "text"]].itertuples(index=False):
-                for start, end, kept, m in poems_of(text or "", held.value):
-                    rows.append((*k, start, end, [c.body for c in kept], [c.speaker for c in kept if c.speaker], *m.values()))
+            keyed = list(batch[names].itertuples(index=False))
+            for no, start, end, kept, m in poems_of_all([t or "" for t in batch["text"]], held.value):
+                rows.append((*keyed[no], start, end, [c.body for c in kept], [c.speaker for c in kept if c.speaker], *m.values()))
             yield pd.DataFrame(rows, columns=[*names, "start", "end", "lines", "speakers", "n", "main_len", "uniform", "xu", "imagery", "rhyme"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chapters.select(*names).schema.fields)
