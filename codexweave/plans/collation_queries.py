@@ -573,6 +573,17 @@ def verse_routes(spark, sf_dir):
     return verse.drop_overlaps(every, ["stream", "chapter"], ["seed", "form", "title"])
 
 
+@query("known_routes", f"""WITH {CH}, n AS (SELECT DISTINCT substring(text, 1, 9) AS title FROM benchmark), h AS (SELECT stream, chapter, text, title, instr(text, title) - 1 + length(title) AS place FROM chapters JOIN n ON contains(text, title) QUALIFY row_number() OVER (PARTITION BY title ORDER BY stream, chapter) = 1),
+    r AS (SELECT *, substring(text, place + 1) AS rest FROM h), t AS (SELECT stream, chapter, CAST(place + length(regexp_extract(rest, '^[.,!?\\s]*')) AS BIGINT) AS start, length(array_to_string(regexp_extract_all(rest, '[^.,!?\\n]+[.,!?\\n]*')[:4], '')) AS size FROM r),
+    e AS (SELECT stream, chapter, start, "end", 'seed' AS route, 1 AS k FROM ({ORACLES['verse_by_seed']}) UNION ALL SELECT stream, chapter, start, CAST(start + size AS BIGINT), 'title', 2 FROM t)
+    SELECT stream, chapter, start, "end", route FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.stream = e.stream AND b.chapter = e.chapter AND b.k < e.k AND b.start < e."end" AND e.start < b."end")""")
+def known_routes(spark, sf_dir):
+    """Spans by seed and by title, without overlaps."""
+    keep = ["stream", "chapter", "start", "end"]
+    by_seed, by_title = (df.select(*keep, F.lit(route).alias("route")) for df, route in zip(other_routes(spark, sf_dir), ("seed", "title")))
+    return verse.drop_overlaps(by_seed.unionByName(by_title), ["stream", "chapter"], ["seed", "title"])
+
+
 @query("poem_density")
 def poem_density(spark, sf_dir):
     return verse.poem_density(poems(spark, sf_dir), chapters(spark, sf_dir), ["stream", "chapter"])

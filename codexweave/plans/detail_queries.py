@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import facts, gates, graph, ledgers, verse
 from ..registry import ORACLES, query
 from ..sources import corpus as src
-from .fact_queries import FACTS_SQL, MOODS, NAMES_SQL, NOTES_SQL, blocks, chapters, fact_table, names, notes
+from .fact_queries import FACTS_SQL, IMAGES_SQL, MOODS, NAMES_SQL, NOTES_SQL, blocks, chapters, fact_table, images, names, notes
 from .model_queries import LEXICONS, climate, spectrum
 
 CH, BL = src.CHAPTERS_SQL, src.BLOCKS_SQL
@@ -46,6 +46,23 @@ def poet_profiles(spark, sf_dir):
     return verse.poet_profiles(poems(spark, sf_dir), ["riddle"], {"soft": "[aeiou]", "hard": "[kt]"}, r"\p{L}")
 
 
+@query("gatherings", f"""WITH {POEMS_SQL}, j AS (SELECT n_name AS gathering, poems.* FROM nation LEFT JOIN poems ON chapter = n_nationkey), p AS (SELECT gathering, count(id) AS poems, coalesce(string_agg(DISTINCT author, ',' ORDER BY author) FILTER (author <> ''), '') AS authors FROM j GROUP BY ALL),
+    n AS (SELECT gathering, genre, count(*) AS n FROM j WHERE genre IS NOT NULL GROUP BY ALL), g AS (SELECT gathering, string_agg(genre, ',' ORDER BY n DESC, genre) AS genres FROM n GROUP BY ALL) SELECT gathering, poems, authors, coalesce(genres, '') AS genres FROM p LEFT JOIN g USING (gathering)""")
+def gatherings(spark, sf_dir):
+    """What was written in the chapter of each gathering; nations stand for gatherings."""
+    g = read(spark, sf_dir, "nation").select(F.col("n_name").alias("gathering"), F.col("n_nationkey").alias("chapter"))
+    return verse.salon_table(g, poems(spark, sf_dir)).select("gathering", "poems", F.concat_ws(",", "authors").alias("authors"), F.concat_ws(",", "genres").alias("genres"))
+
+
+@query("poets_of_lines", f"""WITH {POEMS_SQL}, {IMAGES_SQL}, p AS (SELECT * FROM poems WHERE genre <> 'riddle' AND author <> ''), a AS (SELECT author, count(*) AS poems, CAST(sum(greatest(n_lines, 1)) AS BIGINT) AS lines, avg(rhyme) AS mean_rhyme FROM p GROUP BY ALL), i AS (SELECT author, term, sum((length(text) - length(replace(text, term, ''))) // length(term)) AS n FROM p JOIN images ON contains(text, term) GROUP BY ALL),
+    b AS (SELECT author, string_agg(term, ',' ORDER BY n DESC, term) AS images FROM (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY author ORDER BY n DESC, term) <= 8) GROUP BY ALL)
+    SELECT author, poems, lines, round(lines / poems, 6) AS mean_lines, round(mean_rhyme, 6) AS mean_rhyme, coalesce(images, '') AS images FROM a LEFT JOIN b USING (author) ORDER BY starts_with(author, '（'), poems DESC, author LIMIT 16""")
+def poets_of_lines(spark, sf_dir):
+    """The poets of the lines with their imagery."""
+    p = poems(spark, sf_dir)
+    return verse.poet_stats(p, facts.image_facts(p, images(spark), ["id"]), ["riddle"])
+
+
 @query("own_chars", """WITH c AS (SELECT lang AS author, unnest(string_split(regexp_replace(text, '[^\\p{L}]', '', 'g'), '')) AS char FROM documents WHERE source <> 'src0' AND lang <> ''), n AS (SELECT author, char, count(*) AS n FROM c WHERE char <> '' AND char NOT IN ('a', 'e', 'i', 'o', 'u') GROUP BY ALL), s AS (SELECT char FROM n GROUP BY char HAVING count(*) = 1),
     f AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY n DESC, char) AS r FROM n), k AS (SELECT author, char, n, CAST(row_number() OVER (PARTITION BY author ORDER BY n DESC, char) AS INTEGER) AS rank FROM f SEMI JOIN s USING (char) WHERE r <= 400 AND n >= 2) SELECT author, char, n, rank FROM k WHERE rank <= 10""")
 def own_chars(spark, sf_dir):
