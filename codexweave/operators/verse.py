@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .facts import holding, image_facts, range_join
+from .dictionary import BLOCK_ROWS
+from .facts import holding, image_facts, range_join, small, term_hits
 from .ordered import top_n
 
 
@@ -362,12 +363,23 @@ def verse_by_rules(chapters: DataFrame, keys: Sequence[str], rules: Rules = Rule
     return chapters.select(*names, "text").mapInPandas(find, f"{kinds}, {POEM}")
 
 
+def _first_places(chapters: DataFrame, keys: Sequence[str], terms: DataFrame, term: str, order: Sequence[Column], dictionary: DataFrame) -> DataFrame:
+    """keys, the columns of terms, text and __at, the place of the term: for each title the first hit by `order`, then keys, which name one chapter each.
+
+    Hits go without their texts; only the chapters that are chosen, one for each title of the dictionary, are read again.
+    """
+    hit = term_hits(chapters, terms, term=term, keep=keys).select(*keys, *terms.columns, F.get("at", F.lit(0)).alias("__at"))
+    best = top_n(hit, ["title"], [*order, *[F.col(k) for k in keys]], 1).drop("rank")
+    side = F.broadcast(best) if small(dictionary, BLOCK_ROWS) else best
+    text = chapters.select(*[F.col(k).alias(f"__{k}") for k in keys], "text")
+    return text.join(side, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).select(*best.columns, "text")
+
+
 def verse_by_seed(chapters: DataFrame, keys: Sequence[str], seeds: DataFrame, cuts: str, prefixes: Sequence[int] = (4, 3, 2)) -> DataFrame:
     """keys, title, start, end: a known opening (or, failing that, its first 4, 3, 2 characters), for its number of clauses, or to the paragraph's end if that is null."""
     tries = F.array_distinct(F.concat(F.array("opening"), F.array(*[F.substring("opening", 1, n) for n in prefixes])))
     spread = seeds.select("title", "lines", F.posexplode(tries).alias("try", "term")).filter(F.length("term") >= min(prefixes))
-    hit = holding(chapters, spread).withColumn("start", F.instr(F.col("text"), F.col("term")) - 1)
-    best = top_n(hit, ["title"], [F.col("try"), *[F.col(k) for k in keys]], 1)
+    best = _first_places(chapters, keys, spread, "term", [F.col("try")], seeds).withColumnRenamed("__at", "start")
     rest = F.substring("text", F.col("start") + 1, F.length("text"))
     clauses = F.regexp_extract_all(rest, F.lit(f"[^{re.escape(cuts)}]+[{re.escape(cuts)}]*"), F.lit(0))
     whole = F.regexp_extract(rest, r"(?s)^(.*?)(?:\n|$)", 1)
@@ -377,12 +389,11 @@ def verse_by_seed(chapters: DataFrame, keys: Sequence[str], seeds: DataFrame, cu
 
 def verse_by_title(chapters: DataFrame, keys: Sequence[str], titles: DataFrame, cuts: str, lines: int) -> DataFrame:
     """keys, title, start, end: the `lines` clauses that follow a title."""
-    hit = holding(chapters, titles, term="title").withColumn("at", F.instr(F.col("text"), F.col("title")) - 1 + F.length("title"))
+    best = _first_places(chapters, keys, titles.select("title"), "title", [], titles).withColumn("at", F.col("__at") + F.length("title"))
     rest = F.substring("text", F.col("at") + 1, F.length("text"))
     lead = F.length(F.regexp_extract(rest, f"^[{re.escape(cuts)}\\s]*", 0))
     clauses = F.regexp_extract_all(rest, F.lit(f"[^{re.escape(cuts)}]+[{re.escape(cuts)}]*"), F.lit(0))
     size = F.length(F.concat_ws("", F.slice(clauses, 1, lines)))
-    best = top_n(hit, ["title"], [F.col(k) for k in keys], 1)
     return best.select(*keys, "title", (F.col("at") + lead).cast("long").alias("start"), (F.col("at") + lead + size).cast("long").alias("end"))
 
 
