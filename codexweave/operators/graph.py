@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Hashable, Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -122,7 +122,7 @@ def households_tree(claims: DataFrame, units: DataFrame, family: int = 100_000)
     child's next claim is tried.
 
     Units that claims do not connect have nothing to do with each other.  So families of up to `family` claims are each settled in one task, one claim
-    after the other; the claims of larger ones are settled in rounds, over all units at once.
+    after the other; the claims of larger ones in batches of as many, over all these families at once.
     """
     unit_of = lambda c, name: units.select(F.col("node").alias(c), F.col("unit").alias(name))
     met = claims.select("child", "parent", "rel", "rank").dropDuplicates(["child", "parent", "rel"]).join(unit_of("child", "ck"), "child", "left").join(unit_of("parent", "hk"), "parent", "left")
@@ -135,68 +135,91 @@ def households_tree(claims: DataFrame, units: DataFrame, family: int = 100_000)
     large = checkpoint(labelled.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > family).select("family"))
     taken = _in_families(labelled.join(large, "family", "left_anti"))
     if not large.isEmpty():
-        taken = taken.unionByName(_in_rounds(labelled.join(large, "family", "left_semi").select("ck", "hk", "at")))
+        taken = taken.unionByName(_in_batches(labelled.join(large, "family", "left_semi").select("ck", "hk", "at"), family))
     solid = taken.withColumn("solid", F.lit(True))
     return every.join(solid, ["ck", "at"], "left").select(F.col("ck").alias("child_unit"), F.col("hk").alias("parent_unit"), "child", "parent", "rel", F.coalesce("solid", F.lit(False)).alias("solid"))
 
 
+def _settle(claims: Iterable[tuple[Hashable, Hashable, int]]) -> tuple[dict, list[tuple]]:
+    """Claims (unit, claimed unit, number) one after the other: a unit above each that has a parent, and (unit, number) of the claims taken."""
+    above: dict = {}
+    taken = []
+    for ck, hk, no in claims:
+        top, way = hk, []
+        while top in above:
+            way.append(top)
+            top = above[top]
+        for x in way:  # the way up is kept short; solid edges are those in `taken`
+            above[x] = top
+        if ck not in above and top != ck:
+            above[ck] = top
+            taken.append((ck, no))
+    return above, taken
+
+
 def _in_families(labelled: DataFrame) -> DataFrame:
     """(ck, at) of the claims that are taken, of families small enough for a task each."""
     kind = labelled.schema["ck"].dataType.simpleString()
     ordered = labelled.withColumn("no", F.row_number().over(Window.partitionBy("family").orderBy("at")))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        above: dict = {}
-        taken = []
-        for ck, hk, no in rows.sort_values("no")[["ck", "hk", "no"]].itertuples(index=False):
-            top, way = hk, []
-            while top in above:
-                way.append(top)
-                top = above[top]
-            for x in way:  # the way up is kept short; solid edges are those in `taken`
-                above[x] = top
-            if ck not in above and top != ck:
-                above[ck] = top
-                taken.append((rows["family"].iat[0], no))
-        return pd.DataFrame(taken, columns=["family", "no"])
+        _, taken = _settle(rows.sort_values("no")[["ck", "hk", "no"]].itertuples(index=False))
+        return pd.DataFrame([(rows["family"].iat[0], no) for _, no in taken], columns=["family", "no"])
 
     chosen = ordered.select("family", "ck", "hk", "no").groupBy("family").applyInPandas(settle, f"family {kind}, no int")
     return ordered.join(chosen, ["family", "no"]).select("ck", "at")
 
 
-def _in_rounds(left: DataFrame) -> DataFrame:
-    """(ck, at) of the claims (ck, hk, at) that are taken, in rounds over all units at once.
-
-    Every unit follows the first of its claims that is not refused; where units then follow each other in a circle, the last claim of
-    the circle is refused.  When there are no circles left, what is followed is what taking the claims one by one would have
-    chosen: every other claim of a circle comes before the refused one, and nothing else can refuse it.
-    """
-    while True:
-        best = checkpoint(left.groupBy("ck").agg(F.min(F.struct("at", "hk")).alias("b")).select("ck", F.col("b.hk").alias("hk"), F.col("b.at").alias("at")))
-        refused = _last_of_circles(best)
-        if refused is None:
-            return best.select("ck", "at")
-        left = checkpoint(left.join(refused, ["ck", "at"], "left_anti"))
+def _in_order(claims: DataFrame, by: str, name: str) -> DataFrame:
+    """claims with their places by the column `by`, from 0, written down.  Ranges are sorted each for itself; only their sizes pass through the driver."""
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = checkpoint(claims.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("__id", F.monotonically_increasing_id()))
+    part, before, start = F.shiftright("__id", 33), 0, []
+    for p, n in sorted(map(tuple, ranges.groupBy(part).count().collect())):
+        start += [F.lit(p).cast("long"), F.lit(before).cast("long")]
+        before += n
+    return ranges.withColumn(name, F.create_map(*start)[part] + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
 
 
-def _last_of_circles(best: DataFrame) -> DataFrame | None:
-    """(ck, at) of the last claim of every circle, where each unit ck follows one unit hk; None if there is no circle.
+def _in_batches(claims: DataFrame, batch: int) -> DataFrame:
+    """(ck, at) of the claims (ck, hk, at) that are taken, up to `batch` of them at a time in the order of `at`.
 
-    The distance followed doubles each round, and units that come to an end drop out.  Once it exceeds the number of all units that follow one, whoever is left has
-    been led around a circle: the units reached are in circles, and the last claim on the way of each of these is that of its whole circle.
+    The first claims are settled in one task, one after the other.  Then the rest follow: claims of units that have a parent now are gone, a claimed unit
+    gives way to the one at the top of its tree, where a unit that meets itself is refused.  Of a unit's claims on one top only the first stays: where it is
+    not taken, the unit has a parent or is that top's top itself, which holds for the later ones too.
     """
-    total = best.count()
-    way = best.select(F.col("ck").alias("node"), F.col("hk").alias("top"), F.col("at").alias("last"))
-    length = 1
+    numbered = _in_order(claims, "at", "no")
+    kind = claims.schema["ck"].dataType.simpleString()
+    left = numbered.select("ck", "hk", "no")
+    n = left.count()
+    width = max(1, min(batch, max(batch // 16, n // 4096)))
+    chosen, bound = None, 0
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        above, taken = _settle(rows.sort_values("no")[["ck", "hk", "no"]].itertuples(index=False))
+        for unit in above:
+            top, way = unit, []
+            while top in above:
+                way.append(top)
+                top = above[top]
+            for x in way[:-1]:
+                above[x] = top
+        return pd.DataFrame([(ck, above[ck], no) for ck, no in taken], columns=["unit", "top", "no"])
+
     while True:
-        step = way.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("last").alias("beyond"))
-        way = checkpoint(way.join(step, "top").select("node", F.col("next").alias("top"), F.greatest("last", "beyond").alias("last")))
-        n, length = way.count(), 2 * length
-        if not n:
-            return None
-        if length > total:
-            in_circles = way.select(F.col("top").alias("node")).distinct()
-            return way.join(in_circles, "node").select(F.col("node").alias("ck"), F.col("last").alias("at")).join(best.select("ck", "at"), ["ck", "at"], "left_semi")
+        here = 0
+        for k, size in sorted(map(tuple, left.groupBy(F.floor(F.col("no") / width)).count().collect())):
+            if here and here + size > batch:
+                break
+            here, bound = here + size, (k + 1) * width
+        if not here:
+            return numbered.join(chosen, "no").select("ck", "at")
+        first = left.filter(F.col("no") < bound).groupBy(F.floor(F.col("no") / bound)).applyInPandas(settle, f"unit {kind}, top {kind}, no long")
+        done = F.broadcast(checkpoint(first))
+        chosen = done.select("no") if chosen is None else chosen.unionByName(done.select("no"))
+        rest = left.filter(F.col("no") >= bound).join(done.select(F.col("unit").alias("ck")), "ck", "left_anti")
+        raised = rest.join(done.select(F.col("unit").alias("hk"), "top"), "hk", "left").select("ck", F.coalesce("top", "hk").alias("hk"), "no")
+        left = checkpoint(raised.filter("ck <> hk").groupBy("ck", "hk").agg(F.min("no").alias("no")))
 
 
 def unit_members(units: DataFrame, claims: DataFrame, tree: DataFrame, people: DataFrame, kin: DataFrame, male: str, attached: Sequence[str] = ("concubine", "servant")) -> DataFrame:

@@ -26,7 +26,7 @@ def one_by_one(claims, unit):
 
 @pytest.mark.parametrize("seed, family, n", [(0, 1000, 60), (1, 1000, 60), (2, 0, 12), (3, 8, 14)])
 def test_household_trees_take_claims_as_one_by_one(spark, seed, family, n):
-    """In families of one task each, in rounds over all units, and both."""
+    """In families of one task each, in batches over all families, and both."""
     rng = random.Random(seed)
     people = [f"p{i}" for i in range(n)]
     claims = {(rng.randrange(4), rng.choice(people), rng.choice(people), rng.choice("ab")) for _ in range(2 * n)}
@@ -39,6 +39,18 @@ def test_household_trees_take_claims_as_one_by_one(spark, seed, family, n):
     assert got == want and 0 < sum(want.values()) < len(want)
 
 
+def test_refusals_of_a_hub_do_not_take_a_round_each(spark, monkeypatch):
+    """Each of the hub's claims is onto a unit that follows it just before: all are refused, and what is written down grows with the batches only."""
+    written, plain = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: written.append(1) or plain(df))
+    claims = [x for i in range(30) for x in ((2 * i, "hub", f"d{i:02}", "of"), (2 * i + 1, f"d{i:02}", "hub", "of"))]
+    df = spark.createDataFrame([(c, p, rel, r) for r, p, c, rel in claims], "child string, parent string, rel string, rank int")
+    units = spark.createDataFrame([], "node string, unit string")
+    got = {(r["child"], r["parent"], r["rel"]): r["solid"] for r in graph.households_tree(df, units, 20).collect()}
+    assert got == one_by_one(claims, {}) and sum(got.values()) == 30
+    assert len(written) < 40
+
+
 def test_circles_and_displaced_claims(spark):
     claims = [("b", "a", 1), ("c", "b", 2), ("a", "c", 3), ("a", "d", 4), ("c", "d", 5), ("d", "d", 0), ("a2", "b", 0)]
     df = spark.createDataFrame([(c, p, "of", r) for c, p, r in claims], "child string, parent string, rel string, rank int")
