@@ -16,6 +16,7 @@ from ..functions import text as tx
 from .dictionary import BLOCK_ROWS
 from .facts import holding, image_facts, range_join, small, term_hits
 from .ordered import top_n
+from .store import checkpoint
 
 
 @dataclass(frozen=True)
@@ -40,61 +41,69 @@ class Form:
 def clause_list(text: str, form: Form) -> list[tuple[int, int, int, float, str]]:
     """(start, end, length, function share, rhyme key) of each clause."""
     out = []
+    function, drop = frozenset(form.function_chars), re.compile(r"[\W_]")
     for m in re.finditer(f"[^{re.escape(form.cuts)}]+", text):
-        body = re.sub(r"[\W_]", "", m[0])
+        body = drop.sub("", m[0])
         if not body:
             continue
         size = len(body) if form.unit == "char" else len(m[0].split())
-        xu = sum(c in form.function_chars for c in body) / len(body)
+        xu = (sum(map(body.count, function)) if len(function) <= 16 else sum(map(function.__contains__, body))) / len(body)
         out.append((m.start(), m.end(), size, xu, body[-1] if form.unit == "char" else body[-2:]))
     return out
 
 
 def verse_spans(text: str, form: Form) -> list[tuple[int, int, int, int, float]]:
     """(start, end, lines, main length, rhyme) of the longest verse windows, from left to right."""
-    clauses, out, i = clause_list(text, form), [], 0
+    return [span for _, span in spans_of_all([text], form)]
+
+
+def spans_of_all(texts: Sequence[str], form: Form) -> Iterator[tuple[int, tuple[int, int, int, int, float]]]:
+    """Number of the text and span of verse_spans; texts are judged together, GROUP clauses or one text at a time."""
     lo, hi = form.lengths
-    while i < len(clauses):
-        sizes: dict[int, int] = {}  # in order of their first clause, which decides between equal counts
-        rhymes: dict[str, int] = {}
-        xu_sum = chars = evens = bad = main = hits = most = 0
-        best = anchored = None
-        for j in range(i, min(len(clauses), i + form.window)):
-            _, _, size, xu, key = clauses[j]
-            of_size = sizes[size] = sizes.get(size, 0) + 1
-            if of_size > hits or (of_size == hits and next(s for s in sizes if s in (size, main)) == size):
-                main, hits = size, of_size
-            xu_sum, chars = xu_sum + xu * size, chars + size
-            if (j - i) % 2:
-                of_key = rhymes[key] = rhymes.get(key, 0) + 1
-                most = max(most, of_key)
-                evens += 1
-            n = j - i + 1
-            if n >= form.least_lines and lo <= main <= hi and hits / n >= form.uniform and xu_sum / chars <= form.most_xu:
-                rhyme = most / evens if evens >= 2 else 0.0
-                enough = rhyme >= form.least_rhyme
-                if not enough and xu_sum / chars <= form.most_xu / 2:
-                    if anchored is None:
-                        anchored = re.search(form.anchor, text[max(0, clauses[i][0] - form.anchor_back) : clauses[i][0]]) is not None
-                    enough = anchored
-                if enough:
-                    best = (j, main, rhyme)
-            bad = bad + 1 if not lo <= size <= hi else 0
-            if bad > form.bad_run:
-                break
-        if best is None:
-            i += 1
-            continue
-        j, main, rhyme = best
-        first, last = i, j
-        while first < last and re.search(form.edge, text[clauses[first][0] : clauses[first][1]]):
-            first += 1
-        while last > first and re.search(form.edge, text[clauses[last][0] : clauses[last][1]]):
-            last -= 1
-        if last - first + 1 >= form.least_lines:
-            out.append((clauses[first][0], clauses[last][1], last - first + 1, main, rhyme))
-        i = j + 1
-    return out
+    usual, long_enough = tuple(range(lo, hi + 1)), (form.least_lines, form.window)
+    fits = (Rule(usual, long_enough, form.uniform, form.most_xu, form.least_rhyme), Rule(usual, long_enough, form.uniform, form.most_xu / 2, anchored=True))
+    rules = Rules(rules=fits, usual=form.lengths, prose_xu=float("inf"), prose_run=form.bad_run, window=form.window)
+
+    def settle(held: list[tuple[int, list[Clause]]]) -> Iterator[tuple[int, tuple[int, int, int, int, float]]]:
+        clauses = [c for _, some in held for c in some]
+        sizes = [len(some) for _, some in held]
+        ends, owner = np.repeat(np.cumsum(sizes), sizes), np.repeat([no for no, _ in held], sizes)
+
+        def anchored(i: int) -> bool:
+            at = clauses[i].start
+            return re.search(form.anchor, texts[owner[i]][max(0, at - form.anchor_back) : at]) is not None
+
+        def prose(i: int) -> bool:
+            return re.search(form.edge, texts[owner[i]][clauses[i].start : clauses[i].end]) is not None
+
+        best = _last_ends(clauses, ends, rules, anchored)
+        done = 0
+        for i in np.flatnonzero(best >= 0).tolist():
+            if i < done:
+                continue
+            own = Window()
+            for c in clauses[i : int(best[i]) + 1]:
+                own.add(c)
+            first, last = i, int(best[i])
+            done = last + 1
+            while first < last and prose(first):
+                first += 1
+            while last > first and prose(last):
+                last -= 1
+            if last - first + 1 >= form.least_lines:
+                yield int(owner[i]), (clauses[first].start, clauses[last].end, last - first + 1, own.main, own.rhyme())
+
+    held, n = [], 0
+    for no, text in enumerate(texts):
+        some = [Clause(start, end, "", "", size, xu, 0, key) for start, end, size, xu, key in clause_list(text, form)]
+        if some:
+            held.append((no, some))
+            n += len(some)
+        if n >= GROUP:
+            yield from settle(held)
+            held, n = [], 0
+    if held:
+        yield from settle(held)
 
 
 def verse_by_form(chapters: DataFrame, keys: Sequence[str], form: Form = Form()) -> DataFrame:
@@ -103,7 +112,8 @@ def verse_by_form(chapters: DataFrame, keys: Sequence[str], form: Form = Form())
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*k, *s) for *k, t in batch[[*names, "text"]].itertuples(index=False) for s in verse_spans(t or "", form)]
+            keyed = list(batch[names].itertuples(index=False))
+            rows = [(*keyed[no], *span) for no, span in spans_of_all([t or "" for t in batch["text"]], form)]
             yield pd.DataFrame(rows, columns=[*names, "start", "end", "n_lines", "main_len", "rhyme"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chapters.select(*names).schema.fields)
@@ -398,9 +408,9 @@ def verse_by_title(chapters: DataFrame, keys: Sequence[str], titles: DataFrame,
 
 
 def drop_overlaps(spans: DataFrame, keys: Sequence[str], routes: Sequence[str]) -> DataFrame:
-    """Spans of all routes, without those that overlap one of a route named before theirs in the same chapter."""
+    """Spans of all routes, without those that overlap one of a route named before theirs in the same chapter.  Spans are found once and written."""
     rank = F.array_position(F.array(*map(F.lit, routes)), F.col("route"))
-    s = spans.withColumn("__r", rank)
+    s = checkpoint(spans.withColumn("__r", rank))
     better = s.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("__r").alias("__q"))
     on = [s[k] == better[k] for k in keys] + [better["__q"] < s["__r"], better["__s"] < s["end"], s["start"] < better["__e"]]
     return s.join(better, on, "left_anti").drop("__r")

@@ -126,3 +126,18 @@ def test_fixed_poems_have_the_facts_of_a_rebuild(spark):
     marked = [facts[0].withColumn("xu", F.lit(-1.0)), *facts[1:]]
     kept = {r["id"]: r["xu"] for r in verse.fixed_poem_facts(poems, after, marked, R, images)[0].collect()}
     assert {i for i, x in kept.items() if x == -1.0} == {0, 5} and set(kept) == {0, 1, 4, 5, 9}
+
+
+def test_spans_of_routes_are_found_once(spark):
+    """Overlaps compare spans with spans; what finds them, such as verse_by_form, runs over the texts once."""
+    found = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            found.add(len(batch))
+            yield batch
+
+    spans = spark.createDataFrame([(1, 0, 9, "form"), (1, 5, 12, "seed"), (1, 12, 20, "form"), (2, 0, 4, "title")], "ch int, start long, end long, route string")
+    got = verse.drop_overlaps(spans.mapInPandas(count, spans.schema), ["ch"], ["seed", "form", "title"]).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 12, "seed"), (1, 12, 20, "form"), (2, 0, 4, "title")]
+    assert found.value == 4
