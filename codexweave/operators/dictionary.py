@@ -2,8 +2,8 @@
 
 A task gets the terms once, builds an Aho-Corasick automaton of them and runs every text through it; what comes back is, for each text, the terms with the
 offsets of their occurrences (and the context around each, if wanted), so that neither texts nor pairs of texts and terms are multiplied.
-A dictionary of up to BLOCK_ROWS terms and BLOCK_BYTES bytes is broadcast as one block.  A larger one is written down and goes in blocks by hash: the texts pass
-through CHAIN blocks one after the other in the same tasks, and are written between chains.  The result is the same for any number of blocks.
+A dictionary of up to BLOCK_ROWS terms and BLOCK_BYTES bytes is broadcast as one block.  A larger one is written down and goes in blocks by hash: the texts meet
+as many blocks in one pass as CHAIN full ones hold, and are written between passes.  The result is the same for any number of blocks.
 
 Occurrences are non-overlapping for each term by itself, leftmost first; terms do not exclude each other.  Offsets are in code points.
 Null and empty texts hold nothing; null and empty terms stand nowhere.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .store import checkpoint
 
 BLOCK_ROWS, BLOCK_BYTES = 100_000, 8 << 20
-#: Blocks that texts pass through before they are written.
+#: Full blocks that texts meet in one pass; smaller ones may be more.
 CHAIN = 4
 _HITS = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32())), ("context", pa.list_(pa.string()))]))
 HITS = "array<struct<term:string,at:array<int>,context:array<string>>>"
@@ -51,14 +52,14 @@ class Finder:
         return {self.terms[i]: at for i, at in sorted(found.items())}
 
 
-_finders: dict[str, Finder] = {}
+_finders: dict[str, list[Finder]] = {}
 
 
-def _finder(block: Broadcast, name: str) -> Finder:
-    """A block's automaton, kept by the worker while it goes on with the same block."""
+def _finder(held: Broadcast, name: str) -> list[Finder]:
+    """The automata of some blocks, kept by the worker while it goes on with the same blocks."""
     if name not in _finders:
         _finders.clear()
-        _finders[name] = Finder(block.value)
+        _finders[name] = [Finder(block) for block in held.value]
     return _finders[name]
 
 
@@ -66,22 +67,43 @@ def snippet(text: str, start: int, size: int, pad: int, marks: tuple[str, str])
     return f"{text[max(0, start - pad):start]}{marks[0]}{text[start:start + size]}{marks[1]}{text[start + size:start + size + pad]}"
 
 
-def _adding(block: Broadcast, name: str, text_at: int, pad: int | None, marks: tuple[str, str]):
-    """Batches whose last column holds hits -> the same with this block's hits added."""
+def _adding(held: Broadcast, name: str, text_at: int, pad: int | None, marks: tuple[str, str]):
+    """Batches whose last column holds hits -> the same with the hits of these blocks added.  What was found before stays in Arrow."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(block, name)
+        finders = _finder(held, name)
         for batch in batches:
+            had = batch.column(batch.num_columns - 1)
             rows = []
-            for text, had in zip(batch.column(text_at), batch.column(batch.num_columns - 1)):
-                value = text.as_py() or ""
-                new = [(t, at, None if pad is None else [snippet(value, s, len(t), pad, marks) for s in at]) for t, at in finder.find(value).items()]
-                rows.append([*((h["term"], h["at"], h["context"]) for h in had.as_py()), *new] if len(had) else new)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, _HITS)], names=batch.schema.names)
+            for text in batch.column(text_at).to_pylist():
+                value = text or ""
+                rows.append([(t, at, None if pad is None else [snippet(value, s, len(t), pad, marks) for s in at]) for f in finders for t, at in f.find(value).items()] if value else [])
+            new = pa.array(rows, _HITS)
+            if len(had.flatten()):
+                # each text's hits of before and then its new ones: both lists' values one after the other, taken in that order
+                sizes = [np.diff(x.offsets.to_numpy()) for x in (had, new)]
+                owner = np.concatenate([np.repeat(np.arange(len(rows)), n) for n in sizes])
+                order = np.argsort(owner, kind="stable")
+                values = pa.concat_arrays([had.flatten().cast(_HITS.value_type), new.flatten()]).take(pa.array(order))
+                new = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])]).astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=batch.schema.names)
 
     return run
 
 
+def passes(parts: Iterable[list[str]]) -> Iterator[list[list[str]]]:
+    """Blocks that texts meet in one pass: together within CHAIN blocks of full size, whatever the blocks' number."""
+    held, n, size = [], 0, 0
+    for block in parts:
+        chars = sum(map(len, block))
+        if held and (n + len(block) > CHAIN * BLOCK_ROWS or size + chars > CHAIN * BLOCK_BYTES):
+            yield held
+            held, n, size = [], 0, 0
+        held, n, size = [*held, block], n + len(block), size + chars
+    if held:
+        yield held
+
+
 def all_rows(terms: DataFrame, term: str, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> list[Row] | None:
     """The rows of a dictionary that is small enough for one block; None for a larger one."""
     rows = terms.limit(block_rows + 1).collect()
@@ -108,10 +130,10 @@ def find_terms(texts: DataFrame, terms: DataFrame, text: str = "text", term: str
     context = texts.sparkSession.sparkContext
     rows = all_rows(terms.select(term), term, block_rows, block_bytes) if rows is None else rows
     parts = blocks(terms, term, block_rows, block_bytes) if rows is None else [[r[term] for r in rows if r[term]]]
-    for i, block in enumerate(parts):
-        if i and i % CHAIN == 0:
+    for i, held in enumerate(passes(parts)):
+        if i:
             out = checkpoint(out)
-        out = out.mapInArrow(_adding(context.broadcast(block), uuid.uuid4().hex, len(keep), pad, marks), out.schema)
+        out = out.mapInArrow(_adding(context.broadcast(held), uuid.uuid4().hex, len(keep), pad, marks), out.schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "hits")
 
 

@@ -58,3 +58,19 @@ def test_concordance_carries_no_text(spark):
     t = spark.createDataFrame([(1, "ab" * 50)], "ch int, text string")
     hits = ledgers.kwic(t, spark.createDataFrame([("a",), ("b",)], "term string"), ["ch"], 3)
     assert hits.count() == 100 and "text" not in hits.columns
+
+
+@pytest.mark.parametrize("chain, written", [(4, 0), (0, 5)])
+def test_small_blocks_share_a_pass(spark, monkeypatch, chain, written):
+    """Texts are only written where more blocks follow than a pass may hold; hits of earlier passes keep their places."""
+    tables, plain_checkpoint = [], dictionary.checkpoint
+    monkeypatch.setattr(dictionary, "checkpoint", lambda df: tables.append("hits" in df.columns) or plain_checkpoint(df))
+    monkeypatch.setattr(dictionary, "CHAIN", chain)
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("abcdef ") for _ in range(rng.choice([0, 5, 30])))) for i in range(50)]
+    terms = [x + y for x in "abc" for y in "def"] + ["a", "b", "c"]
+    d, t = spark.createDataFrame(texts, "id int, text string").repartition(2), spark.createDataFrame([(x,) for x in terms], "term string")
+    monkeypatch.setattr(dictionary, "blocks", lambda *_: iter([terms[i : i + 2] for i in range(0, 12, 2)]))
+    got = {r["id"]: {h["term"]: h["at"] for h in r["hits"]} for r in dictionary.find_terms(d, t, keep=["id"], block_rows=2).collect()}
+    assert got == {i: {x: plain(s, x) for x in terms if x in s} for i, s in texts}
+    assert sum(tables) == written
