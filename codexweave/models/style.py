@@ -23,25 +23,30 @@ def style_vector(text: Column | str, function_chars: str, char_class: str = tx.H
     four characters before a pause mark.
     """
     text = F.col(text) if isinstance(text, str) else text
-    z = tx.keep_chars(text, char_class)
-    n = F.length(z)
-    sents = tx.split_sentences(text, ends)
-    total = F.aggregate(sents, F.lit(0), lambda a, s: a + F.length(s))
     phrase = phrase or rf"[{char_class}]{{4}}(?=[，。、；])"
-    marks = F.length(text) - F.length(F.translate(text, dialogue, ""))
-    inside = n - F.length(F.translate(z, function_chars, "")) if function_chars else F.lit(0)
-    kinds = F.size(F.array_distinct(F.filter(F.split(z, ""), lambda c: c != "")))
-    return F.when(
-        n > 0,
-        F.struct(
-            n.cast("long").alias("chars"),
-            (total / F.greatest(F.size(sents), F.lit(1))).alias("avg_sent_len"),
-            (marks / n).alias("dialog_rate"),
-            (inside / n).alias("xuci_rate"),
-            (kinds / n).alias("type_token"),
-            F.regexp_count(text, F.lit(phrase)).cast("long").alias("four_char"),
-        ),
-    )
+
+    def measure(x: Column) -> Column:
+        z, sents = x["z"], x["sents"]
+        n = F.length(z)
+        total = F.aggregate(sents, F.lit(0), lambda a, s: a + F.length(s))
+        marks = F.length(x["text"]) - F.length(F.translate(x["text"], dialogue, ""))
+        inside = n - F.length(F.translate(z, function_chars, "")) if function_chars else F.lit(0)
+        kinds = F.size(F.array_distinct(F.filter(F.split(z, ""), lambda c: c != "")))
+        return F.when(
+            n > 0,
+            F.struct(
+                n.cast("long").alias("chars"),
+                (total / F.greatest(F.size(sents), F.lit(1))).alias("avg_sent_len"),
+                (marks / n).alias("dialog_rate"),
+                (inside / n).alias("xuci_rate"),
+                (kinds / n).alias("type_token"),
+                F.regexp_count(x["text"], F.lit(phrase)).cast("long").alias("four_char"),
+            ),
+        )
+
+    # The text, its characters of the class and its sentences are bound once; each is used several times.
+    once = F.array(F.struct(text.alias("text"), tx.keep_chars(text, char_class).alias("z"), tx.split_sentences(text, ends).alias("sents")))
+    return F.get(F.transform(once, measure), F.lit(0))
 
 
 def top_chars(texts: DataFrame, keys: Sequence[str], text: str, char_class: str, k: int = 20) -> DataFrame:

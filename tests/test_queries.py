@@ -61,3 +61,9 @@ def test_names_of_plans_are_bound_once():
 
 def test_known_people_are_those_of_the_sql(spark):
     assert sorted(r["name"] for r in collation_queries.known_people(spark).collect()) == ["Den", "Er", "Oror", "The", "Thth"]
+
+
+def test_verdicts_measures_texts_once(spark):
+    """Scores and style of the texts are written before the medians are taken and the verdicts given: the result's plan reads no documents."""
+    plan = registry.QUERIES["verdicts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "regexp_extract_all" not in plan
