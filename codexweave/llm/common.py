@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,13 @@ _held: dict[str, Callable[[], object]] = {}
 
 
 def hold(name: str, drop: Callable[[], object]) -> None:
-    """In a worker: `name` keeps tables from task to task, which drop() lets go of.  What other operators have kept goes now."""
-    for other in [k for k in _held if k != name]:
+    """In a worker: `name` keeps tables from task to task, which drop() lets go of.  What other operators have kept goes now, also tables that refer to themselves."""
+    others = [k for k in _held if k != name]
+    for other in others:
         _held.pop(other)()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     _held[name] = drop
 
 

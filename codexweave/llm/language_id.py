@@ -47,7 +47,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = list(counts)
     # Only ids and languages are ranked, and of each language only about four times the wanted number, by hash.
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    bounds = labelled.sparkSession.createDataFrame([(k, min(1 << 30, (4 * docs_per_lang << 30) // n)) for k, n in counts.items()], "lang string, bound long")
+    bound = [min(1 << 30, (4 * docs_per_lang << 30) // n) for n in counts.values()]
+    bounds = labelled.sparkSession.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "bound": pa.array(bound, pa.int64())}))  # a list would start Python workers of another kind
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "id"))
     few = labelled.select("id", "lang").join(F.broadcast(bounds), "lang").filter(spot <= F.col("bound")).select("id", "lang").distinct()
     chosen = few.withColumn("k", rank).filter(F.col("k") <= docs_per_lang).select("id", "lang", "k")

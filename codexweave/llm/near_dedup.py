@@ -212,6 +212,7 @@ def _features(k: int):
     """doc, hash of its words, and its shingles: sorted 32-bit hashes, repeated as often as they occur."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dedup", _donors.cache_clear)
         for batch in batches:
             for part in slices_by_bytes(batch, "text", SLICE):
                 hash_, doc, whole = shingles(*text_buffer(part.column("text")), k)
@@ -231,6 +232,7 @@ def _prefixes(shared: Broadcast, k: int, threshold: float):
     """doc, its weight, and the shingles of which one is shared with each text that reaches the threshold, with the weight left from there on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dedup", _donors.cache_clear)
         weights = shared.value
         for batch in batches:
             for part in slices_by_bytes(batch, "text", SLICE):
@@ -329,9 +331,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     spread = texts.select("doc", F.explode("bands").alias("key"))
     centres = checkpoint(spread.groupBy("key").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).filter("n > 1"))
     members = checkpoint(salted_join(spread, centres, ["key"], n * BANDS, counts=centres.select("key", "n")))
+    nothing = docs.sparkSession.range(0).toDF("node")  # a list would start Python workers of another kind
     pairs, seen = measured(members.filter("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), n=F.count(F.lit(1)))
     links, n_links = verified(pairs, seen["n"], named, shared, shingle, threshold) if seen["n"] else (None, 0)
-    labels = components(links) if n_links else docs.sparkSession.createDataFrame([], "node long, label long")
+    labels = components(links) if n_links else nothing.select("node", F.col("node").alias("label"))
     rest = rest_pairs(members, labels, named, shared, shingle, threshold)
     if rest is not None and rest[1]:
         new, n_new = verified(*rest, named, shared, shingle, threshold)
@@ -339,7 +342,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             links = new if links is None else links.unionByName(new)
             labels = components(links)
     if links is None:
-        degree = docs.sparkSession.createDataFrame([], "node long, n_links long")
+        degree = nothing.select("node", F.col("node").alias("n_links"))
     else:
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_text = texts.select(*whole, F.col("doc").alias("node")).join(labels, "node", "left").join(degree, "node", "left")

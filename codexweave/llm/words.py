@@ -153,10 +153,11 @@ def window_ok(words: Words, k: int) -> np.ndarray:
 
 
 def slices_by_bytes(batch: pa.RecordBatch, column: str, limit: int):
-    """Row slices of a batch whose texts hold about `limit` bytes together; a larger text stands alone."""
+    """Row slices of a batch whose texts hold about `limit` bytes together; a larger text stands alone.  Between them Arrow gives back memory it only keeps for later."""
     _, offsets = text_buffer(batch.column(column))
     lo, n = 0, batch.num_rows
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()
         lo = hi

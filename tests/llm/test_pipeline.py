@@ -1,8 +1,12 @@
+import gc
+import weakref
+
 import brute
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from codexweave.llm import bpe, common, language_id, near_dedup
 from codexweave.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +50,30 @@ def test_stages_take_odd_rows(spark, docs, empty):
 def test_run_gives_the_kept_documents(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 100 < out.count() <= 200 and out.filter("size(ids) <> n_tokens").count() == 0
+
+
+def test_workers_let_go_of_tables_that_refer_to_themselves():
+    """A worker serves one stage after another: the tokenizer's tables must be gone when the next operator begins, without waiting for Python's own collections."""
+    gc.disable()
+    try:
+        bpe.encoder.cache_clear()
+        common.hold("bpe", bpe.encoder.cache_clear)
+        kept = weakref.ref(bpe.encoder(tokenizer_path("word_bpe_49k.json")))
+        common.hold("bpe", bpe.encoder.cache_clear)
+        assert kept() is not None
+        common.hold("near_dedup", near_dedup._donors.cache_clear)
+        assert kept() is None
+    finally:
+        gc.enable()
+
+
+def test_pipeline_starts_no_second_kind_of_python_workers(spark, docs, monkeypatch):
+    """A frame made of a list of rows is a Python job with a daemon and workers of its own; ids and texts here have links and then none."""
+    made = []
+    frame = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: (made.append(type(data)), frame(self, data, *a, **b))[1])
+    plain = docs.drop("n_words")
+    language_id.train(plain)
+    near_dedup.classes(plain).count()
+    near_dedup.classes(plain.filter("doc_id < 0")).count()
+    assert list not in made
