@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -64,13 +64,14 @@ def taboo(docs: DataFrame, taboos: DataFrame) -> DataFrame:
 
 
 def grounding(docs: DataFrame, known: DataFrame, speaker: str, not_name: str, generic: Sequence[str], k: int = 6) -> DataFrame:
-    """Speakers that are no known name or place, hold no function character and are not generic; the first k of a text, as a warning."""
+    """Speakers that are no known name or place, hold no function character and are not generic; the first k of a chapter, each once, as a warning."""
     cand = docs.select("chapter", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(speaker), F.lit(1)))).alias("detail"))
     cand = cand.filter((F.length("detail") >= 2) & ~F.col("detail").isin(list(generic)))
     if not_name:
         cand = cand.filter(~F.col("detail").rlike(f"[{not_name}]"))
     unknown = cand.join(known.select(F.col("name").alias("detail")), "detail", "left_anti")
-    return top_n(unknown, ["chapter"], [F.col("detail")], k).select("chapter", F.lit("G5").alias("gate"), "detail")
+    ranked = unknown.withColumn("rank", F.dense_rank().over(Window.partitionBy("chapter").orderBy("detail"))).filter(F.col("rank") <= k)
+    return ranked.select("chapter", F.lit("G5").alias("gate"), "detail").dropDuplicates()
 
 
 def body_checks(docs: DataFrame, char_class: str, band: tuple[int, int], markers: Sequence[str], dialogue: str, least: int, ending: str, last: int = 160) -> DataFrame:
