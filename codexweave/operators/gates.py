@@ -74,14 +74,14 @@ def grounding(docs: DataFrame, known: DataFrame, speaker: str, not_name: str, ge
     return ranked.select("chapter", F.lit("G5").alias("gate"), "detail").dropDuplicates()
 
 
-def body_checks(docs: DataFrame, char_class: str, band: tuple[int, int], markers: Sequence[str], dialogue: str, least: int, ending: str, last: int = 160) -> DataFrame:
-    """Length band, stray markers, a heading mark, dialogue marks, the required ending."""
+def body_checks(docs: DataFrame, char_class: str, band: tuple[int, int], markers: Sequence[str], dialogue: str, least: int, ending: str, last: int = 160, blank: str = r"\p{Z}\s") -> DataFrame:
+    """Length band, stray markers, a heading mark (after characters of `blank`, if any), dialogue marks, the required ending."""
     n = F.length(tx.keep_chars("text", char_class))
     tests = {
         "short": n < band[0],
         "long": n > band[1],
         "marker": F.col("text").rlike("|".join(map(re.escape, markers))),
-        "heading": F.ltrim("text").startswith("#"),
+        "heading": F.col("text").rlike(f"^[{blank}]*#"),
         "dialogue": F.regexp_count("text", F.lit(dialogue)) < least,
         "ending": ~F.contains(F.right("text", F.lit(last)), F.lit(ending)),
     }
