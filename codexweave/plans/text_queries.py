@@ -130,7 +130,8 @@ def pending_keys(spark, sf_dir):
 
 @query("edition_manifest", f"WITH {src.CHAPTERS_SQL} SELECT stream, count(*) AS chapters, CAST(sum(length(text)) AS BIGINT) AS chars, sha256(string_agg(sha256(text), '' ORDER BY chapter)) AS sha256 FROM chapters GROUP BY stream")
 def edition_manifest(spark, sf_dir):
-    return src.manifest(src.chapters(spark, sf_dir))
+    # Chapters ascend by doc_id, so digests are ordered by it and texts are not moved.
+    return src.manifest(documents(spark, sf_dir).select(F.col("source").alias("stream"), "doc_id", "text"), chapter="doc_id")
 
 
 @query("upsert_rows", "SELECT doc_id, 1 - quality AS quality, toxic FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id + 1000000000, quality, toxic FROM labels WHERE doc_id % 5 = 0")

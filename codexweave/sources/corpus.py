@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,17 +58,59 @@ def pending(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFr
     return wanted.join(stored.select(*keys), list(keys), "left_anti")
 
 
-def manifest(editions: DataFrame, keys: Sequence[str] = ("stream",), text: str = "text", chapter: str = "chapter", made: Column | None = None, run: int = 4096) -> DataFrame:
-    """Per edition: chapters, characters, and a digest of the chapters' digests in order.
+#: Chapter digests that go to the hash of their edition together.
+DIGESTS = 256
 
-    Chapters go by whole numbers.  Digests of up to `run` chapters in a row are brought together and give one, then these, until one is left; an edition of
-    up to `run` chapters has the digest of all its chapters' digests, one after the other.  Neither texts nor an edition's digests are gathered as a whole.
+
+def _hashed_in_order(n_keys: int):
+    """Rows (keys, no, chapters, chars, d) in order of keys and no to one row a key: the sums, and the digest of all d, one after the other."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, columns, chapters, chars, digest = None, [], 0, None, None
+
+        def whole() -> pa.RecordBatch:
+            sums = [pa.array([chapters], pa.int64()), pa.array([chars], pa.int64()), pa.array([digest and digest.hexdigest()], pa.string())]
+            return pa.RecordBatch.from_arrays([*columns, *sums], names=[*[f"k{i}" for i in range(n_keys)], "chapters", "chars", "sha256"])
+
+        for batch in batches:
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)]))
+            for row, name in enumerate(names):
+                if name != key:
+                    if key is not None:
+                        yield whole()
+                    key, columns, chapters, chars, digest = name, [batch.column(i).slice(row, 1) for i in range(n_keys)], 0, None, None
+                some, size, d = (batch.column(n_keys + i)[row].as_py() for i in (1, 2, 3))
+                chapters += some
+                if size is not None:
+                    chars = (chars or 0) + size
+                if d is not None:
+                    digest = digest or hashlib.sha256()
+                    digest.update(d.encode())
+        if key is not None:
+            yield whole()
+
+    return run
+
+
+def manifest(editions: DataFrame, keys: Sequence[str] = ("stream",), text: str = "text", chapter: str = "chapter", made: Column | None = None, run: int | None = None) -> DataFrame:
+    """Per edition: chapters, characters, and a digest of the chapters' digests in order, one after the other.
+
+    Chapters go by whole numbers; null texts have no digest, and an edition of these alone has none.  The digests, not the texts, of an edition meet in one
+    task, which hashes them as they come, DIGESTS at a time, and holds no more.  With `run` no task sees an edition's digests: up to `run` chapters in a row
+    give one digest, then these, until one is left.
     """
     each = editions.select(*keys, F.col(chapter).alias("c"), F.length(text).cast("long").alias("chars"), F.sha2(F.col(text).cast("binary"), 256).alias("d"), F.lit(1).cast("long").alias("chapters"))
     level = rank_in_group(each.withColumn("__e", F.struct(*keys)), "__e", "c", "no").drop("__e").withColumn("no", F.col("no").cast("long") - 1)
+    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("no", "d"))), lambda x: x["d"]))
+    if run is None:
+        parts = level.groupBy(*keys, F.floor(F.col("no") / DIGESTS).alias("no")).agg(F.sum("chapters").alias("chapters"), F.sum("chars").alias("chars"), F.when(F.count("d") > 0, joined).alias("d"))
+        rows = parts.toDF(*[f"k{i}" for i in range(len(keys))], *parts.columns[len(keys) :])
+        ordered = rows.repartition(*rows.columns[: len(keys)]).sortWithinPartitions(*rows.columns[: len(keys) + 1])
+        kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keys)])
+        out = ordered.mapInArrow(_hashed_in_order(len(keys)), kinds + "chapters long, chars long, sha256 string").toDF(*keys, "chapters", "chars", "sha256")
+        return out if made is None else out.withColumn("made", made)
     done = None
     while True:
-        joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("no", "d"))), lambda x: x["d"]))
         up = level.groupBy(*keys, F.floor(F.col("no") / run).alias("no")).agg(F.sum("chapters").alias("chapters"), F.sum("chars").alias("chars"), F.sha2(joined.cast("binary"), 256).alias("d"))
         level = checkpoint(up.withColumn("__more", F.max("no").over(Window.partitionBy(*keys)) > 0))
         ready = level.filter(~F.col("__more")).select(*keys, "chapters", "chars", F.col("d").alias("sha256"))
