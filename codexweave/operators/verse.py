@@ -499,14 +499,15 @@ def poem_ranges(poems: DataFrame, chapters: DataFrame, ranges: DataFrame, chapte
     return sums.select("label", "poems", "lines", "chapters", F.round(F.col("poems") * 10000.0 / F.greatest("chars", F.lit(1)), 6).alias("per_10k"))
 
 
-def poet_profiles(poems: DataFrame, excluded: Sequence[str], densities: Mapping[str, str], char_class: str, chapter: str = "chapter", k: int = 16) -> DataFrame:
-    """author, poems, lines, mean_line_len, a density per character of the class for each pattern, n_chapters, first, last of the k authors with most poems, bracketed names last."""
+def poet_profiles(poems: DataFrame, excluded: Sequence[str], densities: Mapping[str, str], char_class: str, chapter: str = "chapter", k: int | None = 16) -> DataFrame:
+    """author, poems, lines, mean_line_len, a density per character of the class for each pattern, n_chapters, first, last of the k authors (None: all) with most poems, bracketed names last."""
     p = poems.filter(~F.col("genre").isin(list(excluded)) & (F.col("author") != ""))
     n = {d: F.regexp_count("text", F.lit(pattern)) for d, pattern in densities.items()}
     one = p.select("author", chapter, F.greatest("n_lines", F.lit(1)).alias("__l"), F.length("text").alias("__t"), F.length(tx.keep_chars("text", char_class)).alias("__z"), *[c.alias(f"__{d}") for d, c in n.items()])
     each = one.groupBy("author", chapter).agg(F.count("*").alias("poems"), *[F.sum(c).alias(c) for c in one.columns[2:]])
     sums = each.groupBy("author").agg(F.sum("poems").cast("long").alias("poems"), *[F.sum(c).cast("long").alias(c) for c in one.columns[2:]], F.count("*").alias("n_chapters"), F.min(chapter).alias("first"), F.max(chapter).alias("last"))
-    top = sums.orderBy(F.startswith("author", F.lit("（")), F.desc("poems"), F.desc("__l"), "author").limit(k)
+    ranked = sums.orderBy(F.startswith("author", F.lit("（")), F.desc("poems"), F.desc("__l"), "author")
+    top = ranked if k is None else ranked.limit(k)
     rates = [F.round(F.col(f"__{d}") / F.greatest("__z", F.lit(1)), 6).alias(d) for d in densities]
     return top.select("author", "poems", F.col("__l").alias("lines"), F.round(F.col("__t") / F.col("__l"), 6).alias("mean_line_len"), *rates, "n_chapters", "first", "last")
 
@@ -521,14 +522,17 @@ def own_chars(poems: DataFrame, excluded: Sequence[str], char_class: str, stop:
     return top_n(frequent.join(single, "char", "left_semi").drop("__r"), ["author"], [F.desc("n"), F.col("char")], k)
 
 
-def poet_stats(poems: DataFrame, images: DataFrame, excluded: Sequence[str], k: int = 16, top: int = 8) -> DataFrame:
-    """author, poems, lines, mean_lines, mean_rhyme, images (the most frequent ones): the k authors with most poems, bracketed names last."""
+def poet_stats(poems: DataFrame, images: DataFrame, excluded: Sequence[str], k: int | None = 16, top: int | None = 8) -> DataFrame:
+    """author, poems, lines, mean_lines, mean_rhyme, images (the `top` most frequent ones): the k authors with most poems, bracketed names last.  None: all."""
     p = poems.filter(~F.col("genre").isin(list(excluded)) & (F.col("author") != ""))
     per = p.groupBy("author").agg(F.count("*").alias("poems"), F.sum(F.greatest("n_lines", F.lit(1))).cast("long").alias("lines"), F.avg("rhyme").alias("mean_rhyme"))
     used = images.join(p.select("id", "author"), "id").groupBy("author", "term").agg(F.sum("n").cast("long").alias("n"))
-    best = top_n(used, ["author"], [F.desc("n"), F.col("term")], top).groupBy("author").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])).alias("images"))
-    ranked = per.join(best, "author", "left").orderBy(F.startswith("author", F.lit("（")), F.desc("poems"), "author").limit(k)
-    return ranked.select("author", "poems", "lines", F.round(F.col("lines") / F.col("poems"), 6).alias("mean_lines"), F.round("mean_rhyme", 6).alias("mean_rhyme"), F.coalesce("images", F.lit("")).alias("images"))
+    kept = used if top is None else top_n(used, ["author"], [F.desc("n"), F.col("term")], top)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), lambda x: x["term"])
+    best = kept.groupBy("author").agg(F.concat_ws(",", listed).alias("images"))
+    ranked = per.join(best, "author", "left").orderBy(F.startswith("author", F.lit("（")), F.desc("poems"), "author")
+    shown = ranked if k is None else ranked.limit(k)
+    return shown.select("author", "poems", "lines", F.round(F.col("lines") / F.col("poems"), 6).alias("mean_lines"), F.round("mean_rhyme", 6).alias("mean_rhyme"), F.coalesce("images", F.lit("")).alias("images"))
 
 
 def salon_table(gatherings: DataFrame, poems: DataFrame, key: str = "chapter", k: int = 4) -> DataFrame:
